@@ -1,10 +1,69 @@
-"""Corpus pipeline: quality rules, toxicity, near duplicates, repeated passages, packing."""
+"""Corpus pipeline: quality rules, toxicity, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns a
+DataFrame that is written as Parquet and read again as the next stage's docs.
+All but the last return the columns of documents. SQL can't express the fitted
+stages, so ``ORACLE_SQL`` is None; tests compare the stages with brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessel.llm._shared import materialize, table
+from tessel.llm.jaccard_join import jaccard_join
+from tessel.llm.packing import pack
+from tessel.llm.quality_rules import quality_rules
+from tessel.llm.substring_dedup import substring_dedup
+from tessel.llm.toxicity import fit, score
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and every certified cut-off let through."""
+    verdict = quality_rules(docs, table(spark, sf_dir, "labels")).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(verdict, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5."""
+    model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return score(docs, model).where("score < 0.5").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group linked by five-word shingles at a similarity of 0.8."""
+    groups = jaccard_join(docs, n=5, percent=80)
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 20 words or more that stand earlier in the corpus."""
+    d = substring_dedup(docs, window=20)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return d.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2,048 ids."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("substring_dedup", drop_repeats),
+    ("packing", pack_sequences),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
