@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
+from . import html_extraction, jaccard_join, packing, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_token_files": token_files.op2_token_files,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op4_html_extraction": html_extraction.op4_html_extraction,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
