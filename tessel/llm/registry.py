@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import html_extraction, jaccard_join, packing, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
+from . import html_extraction, jaccard_join, nearest, packing, quality_classifier, quality_rules, sentencepiece_fst, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_token_files": token_files.op2_token_files,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_html_extraction": html_extraction.op4_html_extraction,
+    "op5_sentencepiece": sentencepiece_fst.op5_sentencepiece,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+    "op9_nearest": nearest.op9_nearest,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
