@@ -109,8 +109,11 @@ _PROBE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binar
 _PROBE_SQL = "bucket int, kind int, docs binary, lens binary, pos binary, low binary, high binary"
 
 
-def _meet(size: int):
-    """Hits (doc, positions) among the probes and blocks that meet in this partition."""
+_HIT_SQL = "bucket int, docs binary, lens binary, pos binary"
+
+
+def _meet(size: int, buckets: int):
+    """Hits among the probes and blocks that meet in this partition, packed per bucket of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, pos, key, lead = [], [], [], []
@@ -119,7 +122,7 @@ def _meet(size: int):
                 d = np.repeat(np.frombuffer(x["docs"], "<i8"), np.frombuffer(x["lens"], "<u4"))
                 p = np.cumsum(np.frombuffer(x["pos"], "<i4"), dtype=np.int64)
                 if x["kind"]:
-                    yield from _hits(d, p)
+                    yield from _packed(d, p, buckets)
                     continue
                 docs.append(d)
                 pos.append(p.astype(np.int32))
@@ -135,19 +138,41 @@ def _meet(size: int):
         group = np.cumsum(new) - 1
         meets = (np.bincount(group) > 1) & (np.bincount(group, p[o] % size == 0) > 0)
         o = o[meets[group]]
-        yield from _hits(d[o], p[o])
+        yield from _packed(d[o], p[o], buckets)
 
     return run
 
 
-def _hits(d: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _packed(d: np.ndarray, p: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    key = (_mix(d.view(np.uint64).copy()) % np.uint64(buckets)).astype(np.int64)
+    o = np.lexsort((p, d, key))
+    d, p, key = d[o], p[o], key[o]
+    ends = [*(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else []
+    rows, a = [], 0
+    for z in ends:
+        runs = np.flatnonzero(np.concatenate([[True], d[a:z][1:] != d[a:z][:-1]]))
+        rows.append({"bucket": int(key[a]), "docs": d[a:z][runs].astype("<i8").tobytes(), "lens": np.diff([*runs, z - a]).astype("<u4").tobytes(), "pos": np.diff(p[a:z], prepend=0).astype("<i4").tobytes()})
+        a = z
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("lens", pa.binary()), ("pos", pa.binary())]))
+
+
+def _by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (doc, hits) per document of this partition."""
+    docs, pos = [], []
+    for b in batches:
+        for x in b.to_pylist():
+            docs.append(np.repeat(np.frombuffer(x["docs"], "<i8"), np.frombuffer(x["lens"], "<u4")))
+            pos.append(np.cumsum(np.frombuffer(x["pos"], "<i4"), dtype=np.int64).astype(np.int32))
+    if not docs:
+        return
+    d, p = np.concatenate(docs), np.concatenate(pos)
     o = np.lexsort((p, d))
     d, p = d[o], p[o]
-    cut = np.concatenate([[True], d[1:] != d[:-1]]) if len(d) else np.zeros(0, bool)
-    runs = np.flatnonzero(cut)
-    if len(runs):
-        lists = pa.ListArray.from_arrays(pa.array(np.append(runs, len(d)).astype(np.int32)), pa.array(p.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(d[runs]), lists], ["doc", "pos"])
+    runs = np.append(np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])), len(d))
+    for a in range(0, len(runs) - 1, 5_000):
+        r = runs[a : a + 5_001]
+        yield pa.RecordBatch.from_arrays([pa.array(d[r[:-1]]), pa.ListArray.from_arrays(pa.array((r - r[0]).astype(np.int32)), pa.array(p[r[0] : r[-1]]))], ["doc", "hits"])
 
 
 def _text_key(t: str | None) -> int:
@@ -163,8 +188,8 @@ def _windows(size: int, window: int):
         hasher = Hasher(lower=False)
         for b in batches:
             docs = b.column("doc").to_numpy()
-            hits = pc.list_flatten(pc.list_flatten(b.column("hits"))).to_numpy()
-            per = np.array([sum(map(len, x)) for x in b.column("hits").to_pylist()], np.int64)
+            hits = pc.list_flatten(b.column("hits")).to_numpy()
+            per = pc.list_value_length(b.column("hits")).to_numpy().astype(np.int64)
             cut = np.concatenate([[0], np.cumsum(per)])
             for w in word_slices(b.column("text")):
                 start, count = _starts(w), np.bincount(w.row, minlength=w.n)
@@ -260,8 +285,9 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     d = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     text = d.select("doc", "text")
     probes = text.mapInArrow(_probes(size, window, n), _PROBE_SQL).repartition(n, "bucket")
-    hits = materialize(probes.mapInArrow(_meet(size), "doc long, pos array<int>"), "dedup-hits")
-    near = text.join(hits.groupBy("doc").agg(F.collect_list("pos").alias("hits")), "doc")
+    hits = probes.mapInArrow(_meet(size, n), _HIT_SQL).repartition(n, "bucket")
+    hits = materialize(hits.mapInArrow(_by_doc, "doc long, hits array<int>"), "dedup-hits")
+    near = text.join(hits, "doc")
     spans = near.mapInArrow(_windows(size, window), "h1 long, h2 long, doc long, tkey long, start int, starts array<int>")
     spans = materialize(spans, "dedup-windows")
     first = W.partitionBy("h1", "h2").orderBy("doc", "tkey", "start")
