@@ -1,0 +1,9 @@
+"""Column functions for use in expressions, gathered from the operators that define them."""
+
+from ..operators.encode import one_hot
+from ..operators.images.stencil import edge_angle, edge_strength, quantize_angle
+from ..operators.metrics import bce_with_logits, cross_entropy
+from ..operators.network import argmax, dense, flatten_channels, relu, softmax
+from ..operators.ranking import draw, draw_number
+
+__all__ = ["argmax", "bce_with_logits", "cross_entropy", "dense", "draw", "draw_number", "edge_angle", "edge_strength", "flatten_channels", "one_hot", "quantize_angle", "relu", "softmax"]

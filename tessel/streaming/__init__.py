@@ -1,0 +1 @@
+"""No operator of this library works on streams: every source is a bounded table."""
