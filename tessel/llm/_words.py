@@ -19,7 +19,7 @@ class Words:
     uniq: pa.Array  # distinct words
 
 
-def word_slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[Words]:
+def word_slices(texts: pa.Array, size: int = 3_000_000) -> Iterator[Words]:
     """Slices of about ``size`` bytes of text; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     bytes_ = np.asarray(pc.binary_length(texts), dtype=np.int64)

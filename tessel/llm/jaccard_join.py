@@ -53,32 +53,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hasher:
-    """64-bit hash of each distinct word of a slice (ASCII letters lowered), remembered over a task."""
+def word_hashes(w: Words, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each word of a slice, through its distinct words (ASCII letters lowered or as they stand)."""
+    from xxhash import xxh64_intdigest
 
-    def __init__(self, lower: bool = True):
-        self.lower, self.seen = lower, {}
-
-    def codes(self, w: Words) -> np.ndarray:
-        import xxhash
-
-        if len(self.seen) > 400_000:
-            self.seen.clear()
-        got, out = self.seen, np.zeros(len(w.uniq), np.uint64)
-        for i, x in enumerate((pc.ascii_lower(w.uniq) if self.lower else w.uniq).to_pylist()):
-            h = got.get(x)
-            if h is None:
-                h = got[x] = xxhash.xxh64_intdigest(x)
-            out[i] = h
-        return out
+    names = (pc.ascii_lower(w.uniq) if lower else w.uniq).to_pylist()
+    return np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names))[w.code]
 
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
 
 
-def shingle_sets(w: Words, hasher: Hasher, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts' rows and n-gram hashes (int64), distinct, by row and hash."""
-    h = hasher.codes(w)[w.code] if len(w.code) else np.zeros(0, np.uint64)
+    h = word_hashes(w)
     size = np.bincount(w.row, minlength=w.n)
     start = np.cumsum(size) - size
     grams, rows = [], []
@@ -89,7 +77,7 @@ def shingle_sets(w: Words, hasher: Hasher, n: int) -> tuple[np.ndarray, np.ndarr
         rows.append(w.row[: len(g)][whole])
     for i in np.flatnonzero((size > 0) & (size < n)).tolist():
         x = h[start[i] : start[i] + size[i]]
-        grams.append(_mix((x * _FACTORS[: len(x)]).sum(keepdims=True) + np.uint64(len(x)) * _FACTORS[7]))
+        grams.append(_mix((x * _FACTORS[: len(x)]).sum(keepdims=True) + _FACTORS[7:] * np.uint64(len(x))))
         rows.append(np.array([i]))
     if not grams:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -111,10 +99,9 @@ def _emit(n: int, what: str):
     """mapInArrow functions over (doc_id, text): ``classes`` doc_id, n, cls; ``block`` gram, cls; ``sets`` cls, n, g."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for b in batches:
             for w in word_slices(b.column("text")):
-                r, g = shingle_sets(w, hasher, n)
+                r, g = shingle_sets(w, n)
                 cut = np.searchsorted(r, np.arange(w.n + 1))
                 cls, size = _digests(g, cut), np.diff(cut)
                 if what == "classes":

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 
 from ._shared import materialize, partitions, table
 from ._words import Words, word_slices
-from .jaccard_join import Hasher, _mix
+from .jaccard_join import _mix, word_hashes
 
 LAST = 2**63 - 1  # stands for a null doc_id in the order
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -64,12 +64,11 @@ def _probes(size: int, window: int, buckets: int):
         return x.astype(kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(lower=False)
         for b in batches:
             docs = b.column("doc").to_numpy()
             for w in word_slices(b.column("text")):
                 start, count = _starts(w), np.bincount(w.row, minlength=w.n)
-                h, at = rolling(hasher.codes(w)[w.code], w.row, size) if len(w.code) else rolling(np.zeros(0, np.uint64), w.row, size)
+                h, at = rolling(word_hashes(w, lower=False), w.row, size)
                 use = count[w.row[at]] >= window
                 h, at = h[use], at[use]
                 row = w.row[at]
@@ -185,7 +184,6 @@ def _windows(size: int, window: int):
     """Windows around the hits: first of each kind in a slice (h1, h2, doc, tkey, start); the others at once as repeats (starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(lower=False)
         for b in batches:
             docs = b.column("doc").to_numpy()
             hits = pc.list_flatten(b.column("hits")).to_numpy()
@@ -193,7 +191,7 @@ def _windows(size: int, window: int):
             cut = np.concatenate([[0], np.cumsum(per)])
             for w in word_slices(b.column("text")):
                 start, count = _starts(w), np.bincount(w.row, minlength=w.n)
-                wh = hasher.codes(w)[w.code] if len(w.code) else np.zeros(0, np.uint64)
+                wh = word_hashes(w, lower=False)
                 (h1, at), (h2, _) = rolling(wh, w.row, window), rolling(wh, w.row, window, 1)
                 # Starts in [q - (window - size), q] for a hit at q.
                 mark = np.zeros(len(w.row) + 1, np.int64)
