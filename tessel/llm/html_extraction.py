@@ -24,7 +24,7 @@ Defined results: null or empty html, and pages without content, give an empty
 text; a null or malformed url counts as one host of its own; pages cut off
 anywhere are read as far as they go; repeated pages are extracted each for
 themselves; an empty table gives no rows; extra columns are ignored. Elements
-nested more than MAX_DEPTH deep are read as if they stood MAX_DEPTH deep.
+nested more than MAX_DEPTH deep are blocks of the element at that depth.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ class Node:
 def parse(html: str) -> Node:
     """Tree of block elements; a text kid is a list of (raw text, inside a link)."""
     root = Node("")
-    stack, run, link = [root], None, 0
+    stack, names, run, link = [root], [""], None, 0  # elements beyond MAX_DEPTH stand for their parent
     for m in _TOKEN.finditer(html):
         t = m.group(0)
         if t[0] != "<" or len(t) == 1:
@@ -93,20 +93,23 @@ def parse(html: str) -> Node:
         run, link = None, 0
         if end:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].kind.split(".")[0] == name:
-                    del stack[i:]
+                if names[i] == name:
+                    del stack[i:], names[i:]
                     break
             continue
         shut = CLOSES.get(name)
-        while shut and len(stack) > 1 and stack[-1].kind.split(".")[0] in shut:
+        while shut and len(stack) > 1 and names[-1] in shut:
             stack.pop()
+            names.pop()
         marks = sorted({x.lower() for a in _ATTR.finditer(t) for x in (a.group(2) or a.group(3) or a.group(4) or "").split() if not any(c.isdigit() for c in x)})
         node = Node(".".join([name, *marks]))
-        stack[-1].kids.append(node)
+        if len(stack) > MAX_DEPTH:
+            node = stack[-1]
+        else:
+            stack[-1].kids.append(node)
         if name not in VOID:
-            if len(stack) > MAX_DEPTH:
-                stack.pop()
             stack.append(node)
+            names.append(name)
     return root
 
 

@@ -191,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` (0 to 1) to ``docs``, by their column text."""
+    """Add ``score`` (0 to 1) to ``docs``, by their column text; a column of that name is replaced."""
+    docs = docs.drop("score")
     schema = docs.select("*", F.lit(0.0).alias("score")).schema
     both = docs.sparkSession.sparkContext.broadcast((model.weights * model.ratio, model.ratio**2))  # 2**BITS numbers each
 

@@ -247,7 +247,7 @@ _WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64())
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            repeats = b.column("repeats").to_pylist()
+            repeats = b.column("_dedup_repeats").to_pylist()
             for w in word_slices(b.column("text")):
                 start = _starts(w)
                 count = np.bincount(w.row, minlength=w.n)
@@ -270,18 +270,19 @@ def _remove(window: int):
                 for i in range(w.n):
                     a, z = int(start[i]), int(start[i] + count[i])
                     kept.append(" ".join([names[c] for c, o in zip(code[a:z], out[a:z].tolist()) if not o] if n_gone[i] else [names[c] for c in code[a:z]]))
-                part = b.slice(w.first, w.n).drop_columns(["repeats"])
+                part = b.slice(w.first, w.n).drop_columns(["_dedup_repeats"])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(count.astype(np.int64)), pa.array(n_gone), pa.array(kept)], names=[*part.schema.names, "n_words", "n_removed", "kept_text"])
 
     return run
 
 
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
-    """``docs`` (doc_id, text and further columns) with n_words, n_removed and kept_text (kept words, one space apart)."""
+    """``docs`` (doc_id, text and further columns) with n_words, n_removed and kept_text (kept words, one space apart); columns of these names are replaced."""
     spark = docs.sparkSession
+    docs = docs.drop("n_words", "n_removed", "kept_text")
     size, n = window // 2, 2 * partitions(spark)
-    d = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    text = d.select("doc", "text")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    text = docs.select(doc.alias("doc"), "text")
     probes = text.mapInArrow(_probes(size, window, n), _PROBE_SQL).repartition(n, "bucket")
     hits = probes.mapInArrow(_meet(size, n), _HIT_SQL).repartition(n, "bucket")
     hits = materialize(hits.mapInArrow(_by_doc, "doc long, hits array<int>"), "dedup-hits")
@@ -291,10 +292,10 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     first = W.partitionBy("h1", "h2").orderBy("doc", "tkey", "start")
     later = spans.where("h1 is not null").withColumn("_k", F.dense_rank().over(first)).where("_k > 1").groupBy("doc", "tkey").agg(F.collect_list("start").alias("starts"))
     again = spans.where("h1 is null").select("doc", "tkey", "starts").union(later)
-    repeats = again.groupBy("doc").agg(F.collect_list(F.struct("tkey", "starts")).alias("repeats"))
+    repeats = again.groupBy(F.col("doc").alias("_dedup_doc")).agg(F.collect_list(F.struct("tkey", "starts")).alias("_dedup_repeats"))
     repeats = materialize(repeats, "dedup-repeats")
     out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
-    return d.join(repeats, "doc", "left").drop("doc").mapInArrow(_remove(window), out)
+    return docs.withColumn("_dedup_doc", doc).join(repeats, "_dedup_doc", "left").drop("_dedup_doc").mapInArrow(_remove(window), out)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,7 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` (0 to 1) to ``docs``, by their column text."""
+    """Add ``score`` (0 to 1) to ``docs``, by their column text; a column of that name is replaced."""
+    docs = docs.drop("score")
     schema = docs.select("*", F.lit(0.0).alias("score")).schema
     weights, mean, scale = np.array(model.weights), np.array(model.mean), np.array(model.scale)
 
