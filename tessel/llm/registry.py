@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import html_extraction, jaccard_join, nearest, packing, quality_classifier, quality_rules, sentencepiece_fst, substring_dedup, token_files, toxicity
+from .oracle import ORACLE_SQL
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
