@@ -14,8 +14,11 @@ similarity of at least ``percent`` / 100, found exactly:
 4. In each column, pairs are formed with one pivot member first, overlaps are
    counted on the full sets and pairs below the size-derived bound discarded.
    Classes that are already connected need no further pair, so a large group of
-   near copies costs a few pairs a member. Two rounds of pivots are followed by
-   all remaining pairs between different components of a column.
+   near copies costs a few pairs a member. After two rounds of pivots the
+   remaining pairs of short columns are formed one by one; classes that meet in
+   long columns are dealt into blocks, whose products are taken inside the tasks
+   (:func:`block_links`): a product returns at most one link a class, however
+   many pairs it compares.
 
 Hashes have 64 bits. Defined results: a text of fewer than n words is one n-gram
 of all its words; null texts and texts without words have the empty set and
@@ -40,6 +43,9 @@ from ._words import Words, word_slices
 
 FIRST_BLOCK = 0.25  # share of the n-gram hashes in the first product
 LOW_BLOCK = 0.5  # share of the n-gram hashes that come first in the order
+PIVOT_ROUNDS = 2
+SHORT = 32  # classes in a column up to which the remaining pairs are formed one by one
+BLOCK_CLASSES, BLOCK_GRAMS = 1_024, 500_000  # size of a block of the product, in classes and in n-grams
 ACTIVE_BROADCAST = 1_000_000  # class representatives up to which their ids are broadcast
 
 
@@ -141,6 +147,93 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(_need("na", "nb", percent)).select("a", "b")
 
 
+def block_links(cls: np.ndarray, side: np.ndarray, size: np.ndarray, row: np.ndarray, gram: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the classes of side 0 and those of side 1 (or among those of side 2), as (class, a class it reaches).
+
+    The overlaps of all pairs are the product of two sparse incidence blocks:
+    n-grams in many rows are multiplied as dense columns, the others column by
+    column. Pairs below the size-derived bound are discarded, and of the links
+    only what connects their ends is returned: at most one a class.
+    """
+    one = side[0] == 2
+    left, right = (np.arange(len(cls)), np.arange(len(cls))) if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    at_l, at_r = np.full(len(cls), -1), np.full(len(cls), -1)
+    at_l[left], at_r[right] = np.arange(len(left)), np.arange(len(right))
+    _, code = np.unique(gram, return_inverse=True)
+    in_l, in_r = at_l[row] >= 0, at_r[row] >= 0
+    both = np.zeros((len(left), len(right)), np.float32)
+    n_code = int(code.max()) + 1 if len(code) else 0
+    df_l, df_r = np.bincount(code[in_l], minlength=n_code), np.bincount(code[in_r], minlength=n_code)
+    dense = np.flatnonzero((df_l >= 32) & (df_r >= 32))
+    for a in range(0, len(dense), 4_096):
+        pick = np.full(n_code, -1)
+        pick[dense[a : a + 4_096]] = np.arange(len(dense[a : a + 4_096]))
+        x, y = np.zeros((len(left), 4_096), np.float32), np.zeros((len(right), 4_096), np.float32)
+        use = (pick[code] >= 0) & in_l
+        x[at_l[row[use]], pick[code[use]]] = 1
+        use = (pick[code] >= 0) & in_r
+        y[at_r[row[use]], pick[code[use]]] = 1
+        both += x @ y.T
+    thin = ((df_l < 32) | (df_r < 32)) & (df_l > 0) & (df_r > 0)
+    use_l, use_r = in_l & thin[code], in_r & thin[code]
+    ol, orr = np.argsort(code[use_l], kind="stable"), np.argsort(code[use_r], kind="stable")
+    cl, rl = code[use_l][ol], at_l[row[use_l]][ol]
+    cr, rr = code[use_r][orr], at_r[row[use_r]][orr]
+    lo, hi = np.searchsorted(cr, cl), np.searchsorted(cr, cl, side="right")
+    k = hi - lo
+    ends = np.cumsum(k)
+    start = 0
+    while start < len(cl):  # about four million cells at a time
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 4_000_000, side="right")))
+        kk = k[start:stop]
+        pos = np.repeat(lo[start:stop] - (np.cumsum(kk) - kk), kk) + np.arange(kk.sum())
+        cell = np.repeat(rl[start:stop], kk) * len(right) + rr[pos]
+        both += np.bincount(cell, minlength=both.size).reshape(both.shape).astype(np.float32) if len(cell) > both.size // 8 else 0
+        if len(cell) <= both.size // 8:
+            np.add.at(both.reshape(-1), cell, 1)
+        start = stop
+    near = (100 + percent) * both.astype(np.float64) >= percent * (size[left][:, None] + size[right][None])
+    near &= both > 0
+    if one:
+        np.fill_diagonal(near, False)
+    label = np.arange(len(cls))
+    while True:
+        before = label.copy()
+        label[left] = np.minimum(label[left], np.where(near, label[right][None], len(cls)).min(1, initial=len(cls)))
+        label[right] = np.minimum(label[right], np.where(near, label[left][:, None], len(cls)).min(0, initial=len(cls)))
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(cls)))
+    return cls[moved], cls[label[moved]]
+
+
+def _products(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what the links inside each group (node, label) connect.
+
+    A group's classes are dealt into blocks by hash; each pair of blocks is one
+    product. A class travels once for each block of its group.
+    """
+    g = groups.join(sets.select(F.col("cls").alias("node"), "n"), "node")
+    blocks = g.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("nb"))
+    m = g.join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    m = m.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
+    m = m.select("label", F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"), side.alias("side"), "node")
+    data = m.join(sets.select(F.col("cls").alias("node"), "n", "g"), "node").select("label", "bi", "bj", "side", "node", "n", "g")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        side = t.column("side").to_numpy()
+        lists = t.column("g").chunk(0) if t.num_rows else None
+        out = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if t.num_rows > 1 and (side[0] == 2 or len(set(side.tolist())) == 2):
+            size = t.column("n").to_numpy()
+            out = block_links(t.column("node").to_numpy(), side, size, np.repeat(np.arange(t.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy(), percent)
+        return pa.table({"a": pa.array(out[0]), "b": pa.array(out[1])})
+
+    return data.groupBy("label", "bi", "bj").applyInArrow(run, "a long, b long")
+
+
 def links_of(sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the classes of ``sets`` (cls, n, g) that have links."""
     spark = sets.sparkSession
@@ -154,7 +247,9 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame:
     w = W.partitionBy("cls")
     tail = F.when(F.col("gram") < _limit(LOW_BLOCK), 0).otherwise(1)
     place = F.row_number().over(w.orderBy(tail, "df", "gram")) + F.col("low") - F.count("*").over(w)
-    posts = shared.withColumn("place", place).where("place <= p").select("gram", "cls", "n")
+    # A text that others were copied from shares most of its n-grams with most of them: the best pivot.
+    hub = F.sum("df").over(w) / F.col("low")
+    posts = shared.withColumn("place", place).withColumn("hub", hub).where("place <= p").select("gram", "cls", "n", "hub")
     posts = materialize(posts, "jaccard-posts")
     many = posts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     posts = materialize(posts.join(many, "gram", "left_semi"), "jaccard-posts")
@@ -162,33 +257,36 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame:
     labels = None
     tested = None
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
-    for turn in range(3):
+    for turn in range(PIVOT_ROUNDS + 1):
         if labels is None:
-            now = posts.withColumn("label", F.col("cls"))
+            some = posts.withColumn("label", F.col("cls")).withColumn("main", F.lit(None).cast("long"))
         else:
             now = posts.join(labels, posts["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
-            mixed = now.groupBy("gram").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).where("_a <> _z").select("gram")
-            now = now.join(mixed, "gram")
-        if turn < 2:
-            pivot = now.groupBy("gram").agg(F.min_by(F.struct("cls", "n", "label"), F.xxhash64(F.lit(turn), "cls")).alias("v"))
-            pairs = now.join(pivot, "gram").where(F.col("label") != F.col("v.label")).select(F.col("v.cls").alias("a"), F.col("v.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-        else:
-            # All that is left: members outside a column's largest component against the members of other components.
             sizes = now.groupBy("gram", "label").agg(F.count("*").alias("k"))
-            main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+            main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
             some = now.join(main, "gram")
-            few = some.where("label <> main").select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            rest = some.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("big"))
-            pairs = few.join(rest, "gram").where((F.col("la") != F.col("lb")) & (F.col("big") | (F.col("a") < F.col("b")))).select("a", "na", "b", "nb")
+        if turn < PIVOT_ROUNDS:
+            # The pivot comes from outside the column's largest component, which earlier pivots have met.
+            outside = F.col("main").isNull() | (F.col("label") != F.col("main"))
+            pivot = some.where(outside).groupBy("gram").agg(F.max_by(F.struct("cls", "n", "label"), F.struct("hub", "cls")).alias("v"))
+            pairs = some.join(pivot, "gram").where(F.col("label") != F.col("v.label")).select(F.col("v.cls").alias("a"), F.col("v.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+        else:
+            # All that is left: pairs in short columns, and block products for the long ones.
+            some = materialize(some.select("gram", "cls", "n", "label"), "jaccard-rest")
+            size = some.groupBy("gram").agg(F.count("*").alias("m"), F.min("cls").alias("lead"))
+            long = some.join(size.where(F.col("m") > SHORT), "gram").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
+            long = materialize(long.distinct(), "jaccard-long")
+            if long.limit(1).count():
+                found = found.union(materialize(_products(components(long), sets, percent), "jaccard-links"))
+            short = some.join(size.where(F.col("m") <= SHORT).select("gram"), "gram")
+            left = short.select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+            right = short.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+            pairs = left.join(right, "gram").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))).select("a", "na", "b", "nb")
         pairs = pairs.where(near).distinct()
         if tested is not None:
             # A pair that failed before fails again, whichever end was the pivot.
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "jaccard-pairs")
-        if not pairs.limit(1).count():
-            if turn < 2:
-                continue
-            break
         good = materialize(_verify(pairs, sets, percent), "jaccard-links")
         found = found.union(good)
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
@@ -217,4 +315,4 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
