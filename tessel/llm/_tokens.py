@@ -25,6 +25,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.keep = keep
+        self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)  # without offsets, where the library can
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.byte_level = self.tok.normalizer is None and type(self.tok.pre_tokenizer).__name__ == "ByteLevel"
         vocab = self.tok.get_vocab(with_added_tokens=True)
@@ -40,23 +41,23 @@ class Encoder:
             self.starts, self.lens, self.flat = np.append(self.starts, len(self.flat)), np.append(self.lens, len(x)), np.concatenate([self.flat, x])
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    def _add(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        k = len(self.starts)
-        self.at.update(zip(names, range(k, k + len(names))))
-        starts = np.concatenate([[0], ends[:-1]])
-        self.starts, self.lens = np.concatenate([self.starts, starts + len(self.flat)]), np.concatenate([self.lens, ends - starts])
-        self.flat = np.concatenate([self.flat, ids])
+        return np.array(self._batch([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     def _learn(self, chunks: list[str]) -> None:
         """Remember ``chunks`` as if each stood behind a space. One call of the library encodes many."""
-        for i in range(0, len(chunks), 20_000):
-            part = chunks[i : i + 20_000]
-            text = " " + " ".join(part)
-            ids = self.whole(text)
+        flat, starts, lens, held = [self.flat], [self.starts], [self.lens], len(self.flat)
+        self.at.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks))))
+        for i in range(0, len(chunks), 3_000):
+            part = chunks[i : i + 3_000]
+            ids = self.whole(" " + " ".join(part))
             size = np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1
-            self._add(part, ids, np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1)
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1
+            begin = np.concatenate([[0], ends[:-1]])
+            flat.append(ids)
+            starts.append(begin + held)
+            lens.append(ends - begin)
+            held += len(ids)
+        self.flat, self.starts, self.lens = np.concatenate(flat), np.concatenate(starts), np.concatenate(lens)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids (uint32) of each text of a string array; null counts as empty."""

@@ -10,7 +10,8 @@ shards. A shard is one byte string:
             exception positions u2 each | exception differences u4 each
 
 All numbers are little-endian. A block's differences to its minimum are packed
-at the width that holds a share ``percentile`` of them; larger ones leave their
+at the width (rounded up to an even one, or a multiple of 4 above 16) that holds
+a share ``percentile`` of them; larger ones leave their
 low bits in place and are patched from the exception list. The shards travel in
 Parquet rows, so that Spark's commit protocol protects them and any store works.
 
@@ -35,11 +36,13 @@ from ._shared import partitions, shared_dir, table
 BLOCK = 256
 _HEAD = np.dtype([("magic", "S4"), ("block", "<u2"), ("docs", "<u4"), ("ids", "<u8"), ("blocks", "<u4")])
 _BLOCK_HEAD = 7
+#: Width used for each bit length: whole bytes for every two or four numbers.
+_WIDTHS = np.array([w if w % 2 == 0 else w + 1 for w in range(17)] + [-(-w // 4) * 4 for w in range(17, 33)], np.uint8)
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bit length of each number below 2**32."""
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
 def pack_ids(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> tuple[np.ndarray, list[bytes]]:
@@ -54,16 +57,25 @@ def pack_ids(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> tu
     low = m.min(axis=1)
     diff = m - low[:, None]
     need = _bits(diff)
-    width = np.sort(need, axis=1)[:, min(block - 1, int(percentile * block))]
+    width = _WIDTHS[np.sort(need, axis=1)[:, min(block - 1, int(percentile * block))]]
+    high = need > width[:, None]
+    exceptions = high.sum(axis=1)
     out: list[bytes] = [b""] * k
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        bits = ((diff[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(rows), block * w)
-        packed = np.packbits(bits, axis=1, bitorder="little")
-        for r, p in zip(rows.tolist(), packed):
-            pos = np.flatnonzero(need[r] > w)
-            head = int(low[r]).to_bytes(4, "little") + bytes([w]) + len(pos).to_bytes(2, "little")
-            out[r] = head + p.tobytes() + pos.astype("<u2").tobytes() + diff[r, pos].astype("<u4").tobytes()
+        per = 4 if w <= 16 else 2  # numbers in a 64-bit word, of which per * w / 8 bytes are kept
+        v = (diff[rows] & np.uint32((1 << w) - 1)).astype(np.uint64).reshape(len(rows), block // per, per)
+        word = v[:, :, 0].copy()
+        for j in range(1, per):
+            word |= v[:, :, j] << np.uint64(j * w)
+        packed = np.ascontiguousarray(word.view(np.uint8).reshape(len(rows), block // per, 8)[:, :, : per * w // 8]).reshape(len(rows), -1)
+        for r, p, e in zip(rows.tolist(), packed, exceptions[rows].tolist()):
+            head = int(low[r]).to_bytes(4, "little") + bytes([w]) + e.to_bytes(2, "little")
+            if e:
+                pos = np.flatnonzero(high[r])
+                out[r] = head + p.tobytes() + pos.astype("<u2").tobytes() + diff[r, pos].astype("<u4").tobytes()
+            else:
+                out[r] = head + p.tobytes()
     sizes = np.array([len(b) for b in out], np.int64)
     return (np.cumsum(sizes) - sizes).astype("<u4"), out
 
@@ -82,9 +94,15 @@ def unpack_ids(data: memoryview, offsets: np.ndarray, n: int, block: int = BLOCK
         for w in np.unique(width).tolist():
             rows = np.flatnonzero(width == w)
             nbytes = (block * w + 7) // 8
-            packed = raw[offs[rows, None] + _BLOCK_HEAD + np.arange(nbytes)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little")[:, : block * w].reshape(len(rows), block, w)
-            out[rows] = bits.astype(np.uint32) @ (np.uint32(1) << np.arange(w, dtype=np.uint32)) if w else 0
+            if not w:
+                continue
+            per = 4 if w <= 16 else 2
+            packed = raw[offs[rows, None] + _BLOCK_HEAD + np.arange(nbytes)].reshape(len(rows), block // per, per * w // 8)
+            word = np.zeros((len(rows), block // per, 8), np.uint8)
+            word[:, :, : per * w // 8] = packed
+            word = word.view("<u8")[:, :, 0]
+            v = np.stack([(word >> np.uint64(j * w)) & np.uint64((1 << w) - 1) for j in range(per)], axis=2)
+            out[rows] = v.reshape(len(rows), block)
         for r in np.flatnonzero(exc).tolist():
             at, e = offs[r] + _BLOCK_HEAD + size[r], int(exc[r])
             pos = raw[at : at + 2 * e].copy().view("<u2")
