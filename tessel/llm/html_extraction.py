@@ -14,15 +14,19 @@ expression of their own: a child is required, optional (``?``), repeated
   folds these in a stream, in two steps (host and salt, then host), so a host
   with very many pages is never collected anywhere.
 
-Slots then get a role per host: the main container is the article-like element
-of the wrapper, or else the one whose slots hold most text outside links; slots
-outside it, and those below menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments, are not content. Each page is read along its host's
-wrapper and the content slots' texts are its blocks.
+Slots then get a role per host: the main containers are all outermost
+article-like elements of the wrapper (a host may have several templates), or
+else the one whose slots hold most text outside links; slots outside them, and
+those below menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments, are not content. Each page is read along its host's wrapper and
+the content slots' texts are its blocks. A page that has none of its host's main
+containers is read by its own: its article-like elements, or else the element
+that holds most of its text outside links.
 
 Defined results: null or empty html, and pages without content, give an empty
-text; a null or malformed url counts as one host of its own; pages cut off
-anywhere are read as far as they go; repeated pages are extracted each for
+text, as does a page without a main container whose text lies in no element
+that could be one (a bare paragraph); null and malformed urls count as one host
+of their own, with as many templates as it takes; pages cut off anywhere are read as far as they go; repeated pages are extracted each for
 themselves; an empty table gives no rows; extra columns are ignored. Elements
 nested more than MAX_DEPTH deep are blocks of the element at that depth.
 """
@@ -196,38 +200,41 @@ def _paths(node: Node, path: tuple, out: dict) -> None:
             _paths(k, (*path, k.kind), out)
 
 
-def container(paths: dict[tuple, tuple[int, int]]) -> tuple | None:
-    """Path of the main container: the article-like element with most text, or else the deepest element that holds most of the text outside links."""
+def containers(paths: dict[tuple, tuple[int, int]]) -> tuple[tuple | None, frozenset[tuple]]:
+    """Paths of the main containers: none and all outermost article-like elements with text, or else the deepest element that holds most of the text outside links and no others."""
     sums: dict[tuple, int] = defaultdict(int)
     for path, (plain, linked) in paths.items():
         if any(map(_outside, path)):
             continue
         for i in range(len(path) + 1):
             sums[path[:i]] += plain - linked
-    named = {p: s for p, s in sums.items() if p and _is_main(p[-1]) and not any(map(_is_main, p[:-1]))}
-    if any(s > 0 for s in named.values()):
-        return min(named, key=lambda p: (-named[p], p))
+    named = frozenset(p for p, s in sums.items() if p and s > 0 and _is_main(p[-1]) and not any(map(_is_main, p[:-1])))
+    if named:
+        return None, named
     at: tuple = ()
     total = sums.get((), 0)
     if total <= 0:
-        return None
+        return None, frozenset()
     while True:
         below = [p for p in sums if len(p) == len(at) + 1 and p[: len(at)] == at and sums[p] >= 0.7 * total and p[-1].split(".")[0] not in ("p", "li", "td", "blockquote", "pre", "h1", "h2", "h3")]
         if not below:
-            return at
+            return at, frozenset()
         at = min(below, key=lambda p: (-sums[p], p))
 
 
-def read_page(root: Node, wrapper: list | None, main: tuple | None) -> str:
+def read_page(root: Node, wrapper: list | None, main: tuple | None, named: frozenset[tuple] = frozenset()) -> str:
     """Blocks of the content slots, in page order.
 
     The page is read along the wrapper: a child stands for the next child of
-    its kind in the expression. A page, or part of one, that the wrapper
-    doesn't know is judged by its own elements.
+    its kind in the expression. A part of a page that the wrapper doesn't know
+    is judged by its own elements, and so is a page with none of the host's main
+    containers (``main`` and ``named``).
     """
     out: list[str] = []
+    met, alone = main == (), False
 
     def walk(node: Node, shape: list | None, path: tuple, inside: bool) -> None:
+        nonlocal met
         at = 0
         for k in node.kids:
             kind = "#" if isinstance(k, list) else k.kind
@@ -244,10 +251,19 @@ def read_page(root: Node, wrapper: list | None, main: tuple | None) -> str:
             if _outside(kind) and not (inside and kind.split(".")[0] == "header"):
                 continue
             here = (*path, kind)
-            known = main is not None and sub is not None
-            walk(k, sub, here, inside or (here == main if known else _is_main(kind)))
-
-    walk(root, wrapper, (), main == ())
+            known = alone or (sub is not None and (main is not None or bool(named)))
+            starts = not inside and (here == main or here in named if known else _is_main(kind))
+            met = met or starts
+            walk(k, sub, here, inside or starts)
+
+    walk(root, wrapper, (), met)
+    if not met:
+        sums: dict = defaultdict(lambda: [0, 0])
+        _paths(root, (), sums)
+        main, named = containers(sums)
+        if main != ():
+            alone = True
+            walk(root, None, (), False)
     return "\n".join(out)
 
 
@@ -317,8 +333,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 if host not in made:
                     if len(made) > 2_000:
                         made.clear()
-                    main = container({tuple(json.loads(x["path"])): (x["plain"], x["linked"]) for x in paths or []})
-                    made[host] = (json.loads(wrapper) if wrapper else None, main)
+                    main, named = containers({tuple(json.loads(x["path"])): (x["plain"], x["linked"]) for x in paths or []})
+                    made[host] = (json.loads(wrapper) if wrapper else None, main, named)
                 texts.append(read_page(parse(page or ""), *made[host]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

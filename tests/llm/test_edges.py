@@ -141,6 +141,30 @@ def test_html(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_html_templates(spark):
+    """A host with several templates, and pages without a host: none is emptied by the largest."""
+    page = lambda body: f"<html><body><nav>menu</nav>{body}<footer>foot</footer></body></html>"
+    forms = [
+        ("<article><p>{}</p></article>", "long text of the largest template"), ("<div class='wrap'><article><p>{}</p></article></div>", "inner"),
+        ("<article class='post'><p>{}</p></article>", "post"), ("<article class='post featured'><p>{}</p></article>", "featured"),
+        ("<table><tr><td>{}</td></tr></table>", "cell"), ("<div class='box'><p>{}</p></div>", "box"),
+    ]
+    rows, want, i = [], [], 0
+    for url in ("http://a.b/x", None, "/relative", "nonsense"):
+        for n, (form, text) in enumerate(forms):
+            for _ in range(5 if n == 0 else 1):
+                i += 1
+                rows.append((i, url, page(form.format(text))))
+                want.append((i, text, len(text)))
+    for n, (form, text) in enumerate([forms[5]] * 5 + [forms[4]]):  # no article-like element on the whole host
+        rows.append((100 + n, "http://c.d/x", page(form.format(text))))
+        want.append((100 + n, text, len(text)))
+    rows.append((200, "http://a.b/x", page("<article></article>")))
+    want.append((200, "", 0))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_extraction.extract(df).collect()) == want
+
+
 def test_nearest(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(30)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [1.0, None]), (104, [1.0, 2.0, 3.0]), (105, []), (None, [1.0, 1.0]), (0, [1.0, 0.0])]
     v = spark.createDataFrame(rows, "id long, v array<double>").withColumn("eid", F.lit("clash"))
