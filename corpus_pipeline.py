@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns a
 DataFrame that is written as Parquet and read again as the next stage's docs.
-All but the last return the columns of documents. SQL can't express the fitted
+All but the last return the columns of documents. Verdicts are about rows, not
+ids: rows without a doc_id or with the same one are judged each for themselves. SQL can't express the fitted
 stages, so ``ORACLE_SQL`` is None; tests compare the stages with brute force.
 """
 
@@ -20,30 +21,50 @@ from tessel.llm.substring_dedup import substring_dedup
 from tessel.llm.toxicity import fit, score
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a key for each row, and the key's name."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows"), key
+
+
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of these names renamed, as an operator replaces them, and each column's name there."""
+    now = {c: f"_aside_{c}" if c in names else c for c in docs.columns}
+    return docs.withColumnsRenamed(now), now
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and every certified cut-off let through."""
-    verdict = quality_rules(docs, table(spark, sf_dir, "labels")).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti").select(docs.columns)
+    rows, key = _keyed(docs)
+    bad = quality_rules(rows, table(spark, sf_dir, "labels"), keep=(key,)).where(~F.col("kept")).select(key)
+    return rows.join(bad, key, "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5."""
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return score(docs, model).where("score < 0.5").select(docs.columns)
+    rows, now = _aside(docs, "score")
+    return score(rows, model).where("score < 0.5").select(*[F.col(now[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by five-word shingles at a similarity of 0.8."""
-    groups = jaccard_join(docs, n=5, percent=80)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group linked by five-word shingles at a similarity of 0.8: the smallest id, a missing one last, rows of one id by a hash of their texts."""
+    rows, key = _keyed(docs)
+    groups = jaccard_join(rows.select(F.col(key).alias("doc_id"), "text"), n=5, percent=80)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), F.col(key).alias("row")).alias("at")
+    members = groups.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, order), key)
+    first = members.groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at.row").alias(key))
+    return rows.join(first, key, "left_semi").select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 20 words or more that stand earlier in the corpus."""
-    d = substring_dedup(docs, window=20)
+    rows, now = _aside(docs, "n_words", "n_removed", "kept_text")
+    d = substring_dedup(rows, window=20)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return d.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
+    return d.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(now[c])).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

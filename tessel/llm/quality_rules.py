@@ -154,10 +154,10 @@ def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
     return d.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_s", "_cuts")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """Statistics and verdict (``base_failed``, ``kept``) of every document, by language (a missing one is its own stratum); columns as of :func:`text_stats`, without the text."""
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Statistics and verdict (``base_failed``, ``kept``) of every document, by language (a missing one is its own stratum); columns as of :func:`text_stats`, without the text, and those of ``keep``."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    stats = text_stats(docs.select("doc_id", F.col("text").alias("text"), lang.alias("lang")))
+    stats = text_stats(docs.select("doc_id", F.col("text").alias("text"), lang.alias("lang"), *keep))
     stats = materialize(stats.withColumn("stratum", F.coalesce("lang", F.lit("?"))).drop("text", "lang"), "quality-stats")
     holdout = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     return judge(stats, calibrate(stats, holdout, "stratum", risk, delta), "stratum")

@@ -197,6 +197,38 @@ def test_pipeline_stages(spark, data):
         assert r["n_chars"] == len(r["text"] or "")
 
 
+def test_pipeline_judges_rows(spark, docs, data):
+    """Rows without an id, with one id for several texts, and repeated rows, through every stage."""
+    stage = dict(corpus_pipeline.STAGES)
+    near = COPY.replace("c", "d")
+    more = [(20, " ".join(f"good{i}" for i in range(60))), (20, "too short"), (None, near), (None, near + " tail"), (21, near.replace("d", "e")), (21, "another text of one id")]
+    extra = spark.createDataFrame(more, "doc_id long, text string")
+    both = docs.unionByName(extra.withColumns({c: F.lit(1) if c == "repeats" else F.lit(None).cast("string") if c == "lang" else F.lit("clash") for c in docs.columns[2:]}))
+    rows, order = ROWS + more, lambda xs: sorted(xs, key=repr)
+
+    def out(name):
+        d = stage[name](spark, both, data)
+        assert d.columns == both.columns
+        got = d.collect()
+        assert all(r[c] == "clash" for r in got for c in [*EXTRA.split(), "n_words"])
+        return order([(r["doc_id"], r["text"]) for r in got])
+
+    assert out("quality_rules") == order([r for r in rows if not brute.stats(r[1])[5]])
+    gone = [(5, ROWS[4][1]), (7, COPY), (8, COPY + " tail"), (9, "x " + COPY), (None, COPY)]
+    want = list(rows)
+    for r in gone:
+        want.remove(r)
+    kept = out("ngram_jaccard_join")
+    assert len([r for r in kept if r in more[2:4]]) == 1 and [r for r in kept if r not in more[2:4]] == order([r for r in want if r not in more[2:4]])
+    toxic = out("toxicity")
+    assert all(toxic.count(r) in (0, rows.count(r)) for r in rows)
+    assert len(out("substring_dedup")) == len(rows)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOK)
+    assert sum(r["length"] for r in stage["packing"](spark, both, data).collect()) == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
 def test_pipeline_runs(spark, data):
     rows = corpus_pipeline.run(spark, data)
     assert rows.count() > 0 and "sequence_id" in rows.columns
