@@ -2,8 +2,9 @@
 
 A text's features are indicators of n-grams (one to three words) of word
 shapes: runs of upper-case letters, lower-case letters, digits and the marks
-themselves, with a sign for a word that equals the one before it. They are
-hashed into ``2**BITS`` places. Each indicator is scaled by its class log-count
+themselves, with a sign for a word that equals the one before it. A word of any
+length is read to its end: a shape of more than PIECE signs counts as several
+words, cut after its marks and then each PIECE signs. They are hashed into ``2**BITS`` places. Each indicator is scaled by its class log-count
 ratio, and a linear hinge-loss model is fitted by dual coordinate descent.
 Platt's sigmoid, fitted on training rows that the model hasn't seen, turns the
 margin into a score.
@@ -35,18 +36,35 @@ from ._words import Words, held_out, sample_labels, word_slices
 
 TRAIN_ROWS = 16_000  # labelled documents that the model is fitted on, at most
 BITS = 18
-_RUN = re.compile(r"(.)\1{2,}")
+PIECE = 12  # signs of a shape that make one feature
+_SAME = re.compile(r"([0Aa])\1+")
+_RUN = re.compile(r"(.)\1{2,}", re.S)
+_PARTS = re.compile(r"[0Aa]*[^0Aa]+|[0Aa]+")  # letters and digits with the marks behind them
+
+
+class _Kinds(dict):
+    """For str.translate: 0, A, a or the mark itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        k = self[code] = "0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
+        return k
+
+
+_KINDS = _Kinds()
 
 
 def shape(word: str) -> str:
     """``THE,!!`` -> ``A,!!``, ``erhei***`` -> ``a***``, ``Then`` -> ``Aa``."""
-    out, last = [], ""
-    for c in word[:64]:
-        k = "0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
-        if k != last or k not in "0Aa":
-            out.append(k)
-        last = k
-    return _RUN.sub(r"\1\1\1", "".join(out))[:12]
+    return _RUN.sub(r"\1\1\1", _SAME.sub(r"\1", word.translate(_KINDS)))
+
+
+def pieces(word: str) -> list[str]:
+    """The word's shape, in parts of at most PIECE signs; all of it."""
+    s = shape(word)
+    if len(s) <= PIECE:
+        return [s]
+    return [p[i : i + PIECE] for p in _PARTS.findall(s) for i in range(0, len(p), PIECE)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,24 +73,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shaper:
-    """Hash of each distinct word's shape, remembered over a task's slices."""
+    """Hashes of each distinct word's pieces, remembered over a task's slices (those of long words aren't: they hardly recur)."""
 
     def __init__(self):
-        self.of_word: dict[str, int] = {}
+        self.of_word: dict[str, list[int]] = {}
 
-    def codes(self, w: Words) -> np.ndarray:
+    def codes(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all distinct words on end, and how many each word has."""
         import zlib
 
         if len(self.of_word) > 300_000:
             self.of_word.clear()
         got = self.of_word
-        out = np.zeros(len(w.uniq), np.uint64)
+        out: list[int] = []
+        size = np.zeros(len(w.uniq), np.int64)
         for i, x in enumerate(w.uniq.to_pylist()):
             h = got.get(x)
             if h is None:
-                h = got[x] = zlib.crc32(shape(x).encode()) + 1
-            out[i] = h
-        return out
+                h = [zlib.crc32(p.encode()) + 1 for p in pieces(x)]
+                if len(x) <= 64:
+                    got[x] = h
+            out += h
+            size[i] = len(h)
+        return np.array(out, np.uint64), size
 
 
 def indicators(w: Words, shaper: Shaper) -> tuple[np.ndarray, np.ndarray]:
@@ -83,15 +106,18 @@ def indicators(w: Words, shaper: Shaper) -> tuple[np.ndarray, np.ndarray]:
     keys = []
     if len(w.code):
         empty[w.row] = False
-        h = shaper.codes(w)[w.code]
-        same = np.zeros(len(h), np.uint64)
+        codes, size = shaper.codes(w)
+        same = np.zeros(len(w.code), np.uint64)
         same[1:] = (w.code[1:] == w.code[:-1]) & (w.row[1:] == w.row[:-1])
-        h = h * np.uint64(2) + same
-        row = w.row.astype(np.uint64) << np.uint64(BITS)
+        n = size[w.code]  # pieces of each word
+        doc = np.repeat(w.row, n)
+        at = np.repeat((np.cumsum(size) - size)[w.code] - (np.cumsum(n) - n), n) + np.arange(len(doc))
+        h = codes[at] * np.uint64(2) + np.repeat(same, n)
+        row = doc.astype(np.uint64) << np.uint64(BITS)
         gram = np.zeros(len(h), np.uint64)
         for k in range(3):
             gram = _mix(gram[: len(h) - k] + h[k:] + np.uint64(k << 40))
-            inside = w.row[: len(gram)] == w.row[k:] if k else slice(None)
+            inside = doc[: len(gram)] == doc[k:] if k else slice(None)
             keys.append((row[: len(gram)] | (gram & mask))[inside])
             if len(gram) < 2:
                 break

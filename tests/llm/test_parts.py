@@ -161,6 +161,24 @@ def test_page_reading():
     assert html_extraction.read_page(html_extraction.parse("<p>a <b"), None, ()) == "a"
 
 
+def test_long_words_are_read_to_their_end():
+    """Text without spaces: what stands at its end counts, wherever it begins."""
+    import pyarrow as pa
+
+    from tessel.llm._words import word_slices
+
+    def places(text):
+        (w,) = word_slices(pa.array([text]))
+        return set(quality_classifier.indicators(w, quality_classifier.Shaper())[1].tolist())
+
+    for base in ("日本語の文。" * 200, "".join(f"x{i}=Y;" for i in range(300)), "q" * 5000, "aB3" * 40, "abcdefgh.IJ"):
+        junk = places(base + "###***$$$") - places(base)
+        assert junk and places("xx" + base + "###***$$$") - places("xx" + base)
+    assert places("日本語の文。" * 200 + "日本***") & (places("erhei***") - places("erhei"))
+    assert "".join(quality_classifier.pieces("日本。" * 50 + "!?")) == "a。" * 50 + "!?"
+    assert quality_classifier.pieces("THE,!!!!!") == ["A,!!!"] and quality_classifier.pieces("Then") == ["Aa"]
+
+
 @pytest.mark.parametrize("text", ["a  b \n c 日本 \U0001f600", "    x   y", " ", "aaaa aaaaaaaa $$$ $$$$$", "hello world's 12345", "\t\tfoo(bar)", "ﬁne ▁x"])
 def test_transducer_matches_library(text):
     import public_tokenizers
