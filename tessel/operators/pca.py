@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .kmeans import cluster_vs_label, kmeans_fit
+from .ranking import percentiles
 from .scale import covariance, standardize
 
 
@@ -54,7 +55,7 @@ def pca_library(df: DataFrame, cols: list[str], k: int) -> DataFrame:
 def cluster_on_components(df: DataFrame, cols: list[str], label: str, k: int = 3) -> DataFrame:
     """K-means on the first two scores of the standardised columns, against the true classes. Starts at k spread-out rows by the first score."""
     z = standardize(df, cols)
-    s = pca_project(z, pca_fit(z, cols), cols, 2)
-    q = s.agg(F.percentile("pc1", [(i + 0.5) / k for i in range(k)]).alias("a"), F.avg("pc2").alias("b")).first()
-    fitted = kmeans_fit(s, ["pc1", "pc2"], [[float(x), float(q["b"])] for x in q["a"]])
+    s = pca_project(z, pca_fit(z, cols), cols, 2).persist()
+    b = s.agg(F.avg("pc2")).first()[0]
+    fitted = kmeans_fit(s, ["pc1", "pc2"], [[x, float(b)] for x in percentiles(s, "pc1", [(i + 0.5) / k for i in range(k)])])
     return cluster_vs_label(fitted.labels, label)

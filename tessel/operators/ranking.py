@@ -1,4 +1,4 @@
-"""A dense global rank without a window over the whole table."""
+"""A dense global rank, ordered ranges and percentiles without a window over the whole table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+RANGES = 200
+
 
 def draw(seed: int, *keys: Column | str) -> Column:
     """md5 of seed and key columns: the library's only source of randomness for splits and samples."""
@@ -37,3 +39,51 @@ def global_rank(df: DataFrame, hashed: Column, out: str = "rank", within: list[s
     for c in [*within, "_b"]:
         j = j.drop(offsets[c])
     return j.withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_h", "_b", "_in", "_before")
+
+
+def quantile_ranges(df: DataFrame, value: str, out: str = "_r") -> DataFrame:
+    """Add ``out``: which of RANGES ordered ranges, about equal in rows, ``value`` lies in; equal values share one.
+
+    The bounds come from a sketch of bounded size. Being inexact only makes the
+    ranges less even, as any bounds cut the values in order.
+    """
+    bounds = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_bounds"))  # one row
+    return df.crossJoin(F.broadcast(bounds)).withColumn(out, F.size(F.filter("_bounds", lambda b: b <= F.col(value)))).drop("_bounds")
+
+
+def percentiles(df: DataFrame, value: str, at: list[float]) -> list[float]:
+    """The exact percentiles of a column of doubles, as ``percentile`` defines them; nulls take no part.
+
+    Counts of ordered ranges tell which ranges hold the wanted ranks; values are
+    counted and ranked inside these ranges only.
+    """
+    d = quantile_ranges(df.select(F.col(value).cast("double").alias("_v")).where("_v is not null"), "_v").persist()
+    sizes = sorted((r["_r"], r["n"]) for r in d.groupBy("_r").agg(F.count("*").alias("n")).collect())  # at most RANGES rows
+    total = sum(n for _, n in sizes)
+    if not total:
+        raise ValueError(f"{value} has no values")
+    places = [p * (total - 1) for p in at]
+    wanted, seen = {}, 0  # range -> rows before it, wanted ranks (from 0)
+    for r, n in sizes:
+        ranks = sorted({k for p in places for k in (int(p // 1), int(-(-p // 1))) if seen <= k < seen + n})
+        if ranks:
+            wanted[r] = (seen, ranks)
+        seen += n
+    counts = d.where(F.col("_r").isin(list(wanted))).groupBy("_r", "_v").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("z", F.sum("n").over(W.partitionBy("_r").orderBy("_v")))
+    hit = F.lit(False)
+    for r, (before, ranks) in wanted.items():
+        for k in ranks:
+            hit = hit | ((F.col("_r") == r) & (F.col("z") > k - before) & (F.col("z") - F.col("n") <= k - before))
+    spans = [(wanted[x["_r"]][0] + x["z"] - x["n"], wanted[x["_r"]][0] + x["z"], x["_v"]) for x in counts.where(hit).collect()]  # one row per rank
+    d.unpersist()
+
+    def value_at(k: int) -> float:
+        return next(v for a, z, v in spans if a <= k < z)
+
+    out = []
+    for p in places:
+        lo, hi = int(p // 1), int(-(-p // 1))
+        a, b = value_at(lo), value_at(hi)
+        out.append(a if lo == hi or a == b else (hi - p) * a + (p - lo) * b)
+    return out

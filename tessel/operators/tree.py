@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .encode import categories
-
-RANGES = 200
+from .ranking import RANGES, quantile_ranges
 
 
 def gini(df: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -148,18 +147,21 @@ def label_change_split(df: DataFrame, feature: str, label: str, min_leaf: int =
     are rows. One row: the best threshold and gain (the first of equal ones), and
     the gain and sizes of the last candidate. Equal (value, label) rows are one
     group here: a label can change only between groups, which keeps the ordered
-    scan as small as the number of distinct pairs.
+    scan as small as the number of distinct pairs. The groups are dealt into
+    ordered ranges; a range's scan starts from the totals of those before it and
+    ends at the first group of the next, so no task holds all of them.
     """
     g = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("double").alias("v"), F.col(label).alias("y")).agg(F.count("*").alias("n"))
     classes = categories(df, label)
-    w = W.partitionBy(F.lit(1)).orderBy("v", "y")
-    every = W.partitionBy(F.lit(1))
-    d = g.select(
-        "v", "y", F.lead("v").over(w).alias("v2"), F.lead("y").over(w).alias("y2"),
-        *[F.sum(F.when(F.col("y") == F.lit(c), F.col("n")).otherwise(0)).over(w).alias(f"l{i}") for i, c in enumerate(classes)],
-        *[F.sum(F.when(F.col("y") == F.lit(c), F.col("n")).otherwise(0)).over(every).alias(f"a{i}") for i, c in enumerate(classes)],
-    )
     k = len(classes)
+    d = quantile_ranges(g, "v").withColumns({f"c{i}": F.when(F.col("y") == F.lit(c), F.col("n")).otherwise(0) for i, c in enumerate(classes)})
+    ranges = d.groupBy("_r").agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in range(k)], F.min(F.struct("v", "y")).alias("_first"))
+    w, every = W.partitionBy(F.lit(1)).orderBy("_r"), W.partitionBy(F.lit(1))  # at most RANGES rows
+    ranges = ranges.select("_r", F.lead("_first").over(w).alias("_next"), *[(F.sum(f"t{i}").over(w) - F.col(f"t{i}")).alias(f"b{i}") for i in range(k)], *[F.sum(f"t{i}").over(every).alias(f"a{i}") for i in range(k)])
+    inner = W.partitionBy("_r").orderBy("v", "y")
+    after = F.coalesce(F.lead(F.struct("v", "y")).over(inner), F.col("_next")).alias("after")
+    d = d.join(F.broadcast(ranges), "_r").select("v", "y", after, *[(F.col(f"b{i}") + F.sum(f"c{i}").over(inner)).alias(f"l{i}") for i in range(k)], *[f"a{i}" for i in range(k)])
+    d = d.select("*", F.col("after.v").alias("v2"), F.col("after.y").alias("y2"))
     left, right, al = [F.col(f"l{i}") for i in range(k)], [F.col(f"a{i}") - F.col(f"l{i}") for i in range(k)], [F.col(f"a{i}") for i in range(k)]
     nl, nr, n = sum(left, F.lit(0)), sum(right, F.lit(0)), sum(al, F.lit(0))
     gain = _impurity(al, n) - (nl / n * _impurity(left, nl) + nr / n * _impurity(right, nr))

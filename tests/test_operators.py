@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.operators import encode, kmeans, linear, matrix, metrics, naive_bayes, network, pca, profile, scale, split, tree
+from tessel.operators import encode, kmeans, linear, matrix, metrics, naive_bayes, network, pca, profile, ranking, scale, split, tree
 from tessel.operators.images import geometry, hog, hough, pixel, spectral, stencil, tables
 
 
@@ -253,3 +253,52 @@ def test_hough_line(spark):
     assert {r["y"] for r in on.collect()} == {5}
     assert hough.hough_votes(px.limit(0), 16, 16).count() == 0
     assert hough.paint(px, on, 7).where("v = 7").count() == 16
+
+
+def label_change_by_rows(pairs, min_leaf):
+    """Thresholds and gains of the scan, in order, by a walk over all rows."""
+    rows = sorted(pairs)
+    classes = sorted({y for _, y in rows})
+    g = lambda part: 1 - sum((sum(y == c for _, y in part) / len(part)) ** 2 for c in classes)
+    out = []
+    for i in range(1, len(rows)):
+        a, b = rows[:i], rows[i:]
+        if rows[i - 1][1] != rows[i][1] and min(len(a), len(b)) >= min_leaf:
+            out.append(((rows[i - 1][0] + rows[i][0]) / 2, round(g(rows) - len(a) / len(rows) * g(a) - len(b) / len(rows) * g(b), 12), len(a), len(b)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "ties", "one"])
+def test_label_change_split_matches_walk(spark, kind):
+    rng = np.random.default_rng(4)
+    v = {"even": rng.normal(size=500), "skewed": np.exp(rng.normal(size=500) * 6), "ties": rng.integers(0, 5, 500) * 1.0, "one": np.ones(500)}[kind]
+    pairs = list(zip(v.tolist(), [str(x) for x in (v > np.median(v)).astype(int) + rng.integers(0, 2, 500)]))
+    r = tree.label_change_split(spark.createDataFrame(pairs, "x double, y string"), "x", "y", 5).first()
+    want = label_change_by_rows(pairs, 5)
+    best = max(want, key=lambda c: (c[1], -c[0], -c[2]))
+    assert r["n_candidates"] == len(want) and np.isclose(r["thr"], best[0], rtol=1e-12) and np.isclose(r["gain"], best[1], atol=1e-11)
+    assert np.isclose(r["last_gain"], want[-1][1], atol=1e-11) and (r["last_left"], r["last_right"]) == want[-1][2:]
+
+
+def test_label_change_split_scans_inside_ranges(spark):
+    """No window that is ordered by the feature spans the table."""
+    r = tree.label_change_split(spark.createDataFrame([(float(i), str(i % 2)) for i in range(40)], "x double, y string"), "x", "y", 5)
+    scans = [x for x in r._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "v#" in x.rsplit("], [", 1)[-1]]
+    assert scans and all("], [_r#" in x for x in scans)
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "ties", "one", "few"])
+def test_percentiles_match_spark(spark, kind):
+    rng = np.random.default_rng(5)
+    v = {"even": rng.normal(size=3000), "skewed": np.exp(rng.normal(size=3000) * 6), "ties": rng.integers(0, 3, 3000) * 1.0, "one": np.ones(300), "few": np.array([3.0, 1.0])}[kind]
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double")
+    at = [0.0, 1 / 6, 0.5, 5 / 6, 0.999, 1.0]
+    assert ranking.percentiles(df, "x", at) == df.agg(F.percentile("x", at)).first()[0]
+
+
+def test_no_task_holds_all_values(spark):
+    """Ranges are about even in rows, also of skewed values."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(float(x),) for x in np.exp(rng.normal(size=4000) * 6)], "x double")
+    sizes = [r["count"] for r in ranking.quantile_ranges(df, "x").groupBy("_r").count().collect()]
+    assert len(sizes) > 150 and max(sizes) < 80
