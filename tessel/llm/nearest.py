@@ -3,23 +3,30 @@
 1. Equal vectors become one entry (with its smallest ids), so a vector with very
    many copies is one row of the index.
 2. Coarse centroids and the codebooks of the residuals are fitted on at most
-   ``train`` entries, chosen by hash. Every entry is then indexed: its list and
-   one code per subspace.
-3. Segments of the inverted file (entries dealt by hash, sorted by list) meet
-   blocks of queries. A query scans the lists of its nearest centroids by
-   asymmetric distance tables and keeps its ``rerank`` best of each segment.
-4. The best ``rerank`` over all segments are measured exactly, in double
-   precision on the original vectors.
+   ``train`` entries, chosen by hash. Every entry is then indexed: its list, one
+   code per subspace, and the squared length of what list and code stand for.
+3. The inverted file is dealt by list: neighbouring lists share a group of about
+   SEGMENT entries, larger lists are split. Queries are dealt into blocks by
+   their nearest list, and a list travels to those blocks only that probe it.
+   With c the centroid and r the coded residual, |q - (c + r)|^2 is
+   |q|^2 - 2 qc + |c + r|^2 - 2 qr: a number per query and list, one per entry,
+   and a sum over the query's distance tables, which are made once a query and
+   hold for every list.
+4. Each query's ``rerank`` best are measured exactly, in double precision on the
+   original vectors.
 
 ``probe_share`` of the lists are scanned. Vectors without clusters need a large
-share: on the test data (independent directions in 64 dimensions) 0.6 gives a
-recall@10 above 0.95; with clustered vectors a few per cent do.
+share: on independent directions in 64 dimensions 0.6 gives a recall@10 above
+0.93; with clustered vectors a few per cent do. ``rerank=None`` is exact: all
+lists are scanned, and since an entry's distance to its code is stored, every
+entry that could by the triangle inequality be among the nearest is measured.
 
 Defined results: vectors that are null, empty, zero, hold nulls or values that
 aren't finite, or have another dimension than the most frequent one, and rows
-with a null id take no part; rows that repeat id and vector count once; ties go
-to the smaller id; with fewer candidates than k all are returned; an empty table
-gives no rows; extra columns are ignored.
+with a null id take no part; rows that repeat id and vector count once; of
+different vectors with one query id the smallest (by its components) asks; ties
+go to the smaller id; with fewer candidates than k all are returned; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import materialize, table
+from ._shared import materialize, partitions, table
 
 TRAIN = 20_000  # entries that centroids and codebooks are fitted on, at most
-MAX_LISTS = 512
-SEGMENT = 16_384  # entries of a segment, about
-QUERY_BLOCK = 512
+MAX_LISTS = 1_024  # a bounded sample can't place more centroids; larger lists are split, not cut
+SEGMENT = 16_384  # entries of a group, about
+QUERY_BLOCK = 256  # queries of a block, about
 
 
-def lloyd(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
+def lloyd(x: np.ndarray, k: int, steps: int = 10) -> np.ndarray:
     """k centroids of x, started from evenly spaced rows (x comes in hash order); empty clusters stay where they are."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(steps):
@@ -54,7 +61,7 @@ def lloyd(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (c**2).sum(1)
-    return np.concatenate([np.argmin(half - 2 * x[i : i + 8192] @ c.T, axis=1) for i in range(0, len(x), 8192)]) if len(x) else np.zeros(0, np.int64)
+    return np.concatenate([np.argmin(half - 2 * x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
 def _spaces(dim: int, parts: int) -> list[slice]:
@@ -62,147 +69,194 @@ def _spaces(dim: int, parts: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cut, cut[1:])]
 
 
-def train_index(x: np.ndarray, n: int, parts: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Centroids and codebooks for an index of n entries, from the sample x."""
-    coarse = lloyd(x, max(1, min(MAX_LISTS, round(math.sqrt(n)), len(x))))
-    rest = x - coarse[nearest(x, coarse)]
-    return coarse, [lloyd(rest[:, s], min(256, len(x)), 8) for s in _spaces(x.shape[1], parts)]
+class Index:
+    """Shift, scale, centroids and codebooks; small and of bounded size, so tasks carry it along."""
 
+    def __init__(self, x: np.ndarray, n: int, parts: int, scale: float):
+        """For an index of n entries, from the sample x."""
+        x = x / scale
+        self.scale, self.shift = scale, x.mean(0)
+        x = x - self.shift
+        self.coarse = lloyd(x, max(1, min(MAX_LISTS, round(math.sqrt(n)), len(x))))
+        rest = (x - self.coarse[nearest(x, self.coarse)])[:10_000]
+        self.spaces = _spaces(x.shape[1], parts)
+        self.books = [lloyd(rest[:, s], min(256, len(rest)), 6) for s in self.spaces]
 
-def _smallest(keep: int):
-    """Per batch: each distinct vector with its ``keep`` smallest ids."""
+    def place(self, x: np.ndarray) -> np.ndarray:
+        return x / self.scale - self.shift
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held: dict[bytes, list[int]] = {}
-            ids = b.column("id").to_numpy()
-            flat, offs = np.asarray(b.column("v").flatten(), dtype=np.float32), np.asarray(b.column("v").offsets)
-            offs = offs - offs[0] if len(offs) else offs
-            for i in np.argsort(ids, kind="stable").tolist():
-                got = held.setdefault(flat[offs[i] : offs[i + 1]].tobytes(), [])
-                if len(got) < keep and ids[i] not in got:
-                    got.append(int(ids[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], ["v", "ids"])
+    def far(self, x: np.ndarray) -> np.ndarray:
+        """|q|^2 - 2 qc for each query and list."""
+        return (x**2).sum(1)[:, None] - 2 * x @ self.coarse.T
 
-    return run
+    def probes(self, x: np.ndarray, n_probe: int) -> np.ndarray:
+        """Lists of each query, the nearest first."""
+        return np.argsort(self.far(x) + (self.coarse**2).sum(1), axis=1, kind="stable")[:, :n_probe].astype(np.int32)
+
+
+def _matrix(col: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(col.flatten(), dtype=np.float64).reshape(len(col), dim)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
 
 
-def entries(vectors: DataFrame, k: int) -> DataFrame:
-    """Distinct usable vectors of ``vectors`` (id, v): eid (smallest id), ids (the k + 1 smallest), v (float32 bytes)."""
-    plus = F.col("v").cast("array<float>")
+def usable(vectors: DataFrame) -> DataFrame:
+    """(id, v as doubles) of the rows that take part, of any dimension."""
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = vectors.select("id", plus.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
-    # -0.0 equals 0.0
-    good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))
-    dim = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not dim:
-        return vectors.sparkSession.createDataFrame([], "eid long, ids array<long>, v binary")
-    part = good.where(F.size("v") == dim[0]["d"]).mapInArrow(_smallest(k + 1), "v binary, ids array<long>")
-    # A vector of any number of copies arrives with k + 1 ids a batch.
-    one = part.groupBy("v").agg(F.slice(F.array_distinct(F.sort_array(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-    return one.select(F.col("ids")[0].alias("eid"), "ids", "v")
+    good = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
+    return good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 equals 0.0
+
+
+def entries(good: DataFrame, dim: int, k: int) -> DataFrame:
+    """Distinct vectors of ``good`` (id, v): eid (smallest id), ids (the k + 1 smallest), v. Ranks are cut before the shuffle and no list outgrows k + 1."""
+    rank = F.dense_rank().over(W.partitionBy("v").orderBy("id"))
+    few = good.where(F.size("v") == dim).withColumn("_r", rank).where(F.col("_r") <= k + 1)
+    return few.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("eid"), "ids", "v")
 
 
-def _encode(coarse: np.ndarray, books: list[np.ndarray]):
+def _encode(ix: Index):
+    """Index rows: eid, list, code (a byte per subspace), size (|c + r|^2) and err (distance of the entry to c + r)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spaces = _spaces(coarse.shape[1], len(books))
         for b in batches:
-            x = np.frombuffer(b"".join(b.column("v").to_pylist()), "<f4").reshape(len(b), -1).astype(np.float64)
-            a = nearest(x, coarse)
-            rest = x - coarse[a]
-            codes = np.stack([nearest(rest[:, s], c) for s, c in zip(spaces, books)], axis=1).astype(np.uint8) if len(b) else np.zeros((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("eid"), pa.array(a.astype(np.int32)), pa.array([r.tobytes() for r in codes], pa.binary())], ["eid", "list", "code"])
+            x = ix.place(_matrix(b.column("v"), len(ix.shift)))
+            a = nearest(x, ix.coarse)
+            rest = x - ix.coarse[a]
+            codes = np.stack([nearest(rest[:, s], c) for s, c in zip(ix.spaces, ix.books)], axis=1).astype(np.uint8)
+            coded = np.concatenate([c[codes[:, j]] for j, c in enumerate(ix.books)], axis=1)
+            size, err = ((ix.coarse[a] + coded) ** 2).sum(1), np.sqrt(((rest - coded) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("eid"), pa.array(a.astype(np.int32)), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(size), pa.array(err)], ["eid", "list", "code", "size", "err"])
 
     return run
 
 
-def _scan(coarse: np.ndarray, books: list[np.ndarray], n_probe: int, rerank: int):
-    """Per row (a segment and a block of queries): the best entries of each query by asymmetric distance."""
-
+def _route(ix: Index, n_probe: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spaces = _spaces(coarse.shape[1], len(books))
         for b in batches:
-            for seg, block in zip(b.column("entries"), b.column("queries")):
-                e, q = seg.values, block.values
-                eid, lists = e.field("eid").to_numpy(), e.field("list").to_numpy()
-                codes = np.frombuffer(b"".join(e.field("code").to_pylist()), np.uint8).reshape(len(eid), len(books))
-                o = np.lexsort((eid, lists))
-                eid, lists, codes = eid[o], lists[o], codes[o]
-                qid = q.field("qid").to_numpy()
-                x = np.frombuffer(b"".join(q.field("v").to_pylist()), "<f4").reshape(len(qid), -1).astype(np.float64)
-                far = ((x[:, None, :] - coarse[None]) ** 2).sum(2) if len(coarse) * len(x) < 400_000 else (x**2).sum(1)[:, None] - 2 * x @ coarse.T + (coarse**2).sum(1)
-                probed = np.zeros(far.shape, bool)
-                np.put_along_axis(probed, np.argsort(far, axis=1, kind="stable")[:, :n_probe], True, axis=1)
-                dist = np.full((len(qid), len(eid)), np.inf, np.float32)
-                for c in np.unique(lists).tolist():
-                    a, z = np.searchsorted(lists, [c, c + 1])
-                    who = np.flatnonzero(probed[:, c])
-                    if not len(who):
-                        continue
-                    rest = x[who] - coarse[c]
-                    d = np.zeros((len(who), z - a), np.float32)
-                    for j, (s, book) in enumerate(zip(spaces, books)):  # asymmetric distance table of each subspace
-                        t = ((rest[:, None, s] - book[None]) ** 2).sum(2).astype(np.float32)
-                        d += t[:, codes[a:z, j]]
-                    dist[who, a:z] = d
-                k = min(rerank, len(eid))
-                best = np.argpartition(dist, k - 1, axis=1)[:, :k]
-                d = np.take_along_axis(dist, best, 1)
-                ok = np.isfinite(d)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, k)[ok.ravel()]), pa.array(eid[best][ok]), pa.array(d[ok].astype(np.float64))], ["qid", "eid", "adc"])
+            p = ix.probes(ix.place(_matrix(b.column("v"), len(ix.shift))), n_probe)
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("v"), pa.array(p[:, 0]), _lists(p)], ["qid", "v", "home", "probes"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, train: int = TRAIN, parts: int = 32, probe_share: float = 0.6, rerank: int = 300) -> DataFrame:
+def _scan(ix: Index, n_probe: int, rerank: int | None, k: int):
+    """The best entries of each query of a block in a group of lists, by asymmetric distance."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["qid", "eid", "adc", "err"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
+        left = left.sort_by([("list", "ascending"), ("eid", "ascending")]).combine_chunks()
+        eid, lists, size, err = (left.column(c).to_numpy() for c in ("eid", "list", "size", "err"))
+        codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(eid), -1)
+        codes = np.ascontiguousarray(codes.T).astype(np.intp)
+        qid = right.column("qid").to_numpy()
+        x = ix.place(_matrix(right.column("v").combine_chunks(), len(ix.shift)))
+        base, probed = ix.far(x), np.zeros((len(x), len(ix.coarse)), bool)
+        np.put_along_axis(probed, ix.probes(x, n_probe), True, axis=1)
+        tables = [-2 * x[:, s] @ c.T for s, c in zip(ix.spaces, ix.books)]  # one table a query and subspace
+        dist = np.full((len(x), len(eid)), np.inf)
+        for c in np.unique(lists).tolist():
+            a, z = np.searchsorted(lists, [c, c + 1])
+            who = np.flatnonzero(probed[:, c])
+            if len(who):
+                d = base[who, c][:, None] + size[a:z]
+                for t, code in zip(tables, codes):
+                    d += np.take(t[who], code[a:z], axis=1)
+                dist[who, a:z] = np.maximum(d, 0)
+        out = []
+        for a in range(0, len(x), 64):
+            d = dist[a : a + 64]
+            if rerank is None:  # all whose lower bound is within the k + 1 smallest upper bounds
+                high = np.sqrt(d) + err
+                m = min(k, high.shape[1] - 1)
+                pick = np.sqrt(d) - err <= np.partition(high, m, axis=1)[:, m : m + 1] * (1 + 1e-9) + 1e-12
+            else:
+                pick = np.zeros(d.shape, bool)
+                m = min(rerank, d.shape[1])
+                np.put_along_axis(pick, np.argpartition(d, m - 1, axis=1)[:, :m], True, axis=1)
+            q, e = np.nonzero(pick & np.isfinite(d))
+            out.append(pa.table([pa.array(qid[a + q]), pa.array(eid[e]), pa.array(d[q, e]), pa.array(err[e])], names))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _deal(sizes: dict[int, int], limit: int) -> list[tuple[int, int, int, int]]:
+    """Rows (key, part, parts, group): keys in order share groups of about ``limit``; larger keys are split into parts of their own. One row per list, or a few."""
+    rows, group, held = [], 0, 0
+    for key in sorted(sizes):
+        parts = max(1, math.ceil(sizes[key] / limit))
+        if held and held + sizes[key] > limit:
+            group, held = group + 1, 0
+        rows += [(key, p, parts, group + p) for p in range(parts)]
+        held += sizes[key]
+        if parts > 1:
+            group, held = group + parts, 0
+    return rows
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, train: int = TRAIN, parts: int = 32, probe_share: float = 0.6, rerank: int | None = 300) -> DataFrame:
     """(query_id, rank, vec_id, score) of ``queries`` (id, v) among ``vectors`` (id, v), the query's own id left out."""
     spark = vectors.sparkSession
-    none = "query_id long, rank int, vec_id long, score double"
-    e = materialize(entries(vectors, k), "ann-entries")
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    good = usable(vectors)
+    dim = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top")).orderBy(F.desc("n"), "d").first()
+    if not dim:
+        return none
+    scale = dim["top"] if not 1e-100 < dim["top"] < 1e100 else 1.0  # squares stay within a double's range
+    e = materialize(entries(good, dim["d"], k), "ann-entries")
     n = e.count()
-    if not n:
-        return spark.createDataFrame([], none)
-    sample = e.orderBy(F.xxhash64("v"), "eid").limit(train).collect()
-    x = np.frombuffer(b"".join(bytes(r["v"]) for r in sample), "<f4").reshape(len(sample), -1).astype(np.float64)
-    coarse, books = train_index(x, n, parts)
-    n_probe = max(math.ceil(probe_share * len(coarse)), min(len(coarse), 32))
-
-    index = e.select("eid", "v").mapInArrow(_encode(coarse, books), "eid long, list int, code binary")
-    n_seg = max(1, math.ceil(n / SEGMENT))
-    segments = index.groupBy(F.pmod(F.xxhash64("eid"), F.lit(n_seg)).alias("seg")).agg(F.collect_list(F.struct("eid", "list", "code")).alias("entries"))
-    # The queries are those of the usable entries: ids that were asked for, with their vectors.
-    plus = F.transform(F.col("v").cast("array<float>"), lambda y: y + F.lit(0.0).cast("float"))
-    q = entries_of(queries.select("id", plus.alias("v")), x.shape[1])
-    q = materialize(q, "ann-queries")
-    n_block = max(1, math.ceil(q.count() / QUERY_BLOCK))
-    blocks = q.groupBy(F.pmod(F.xxhash64("qid"), F.lit(n_block)).alias("block")).agg(F.collect_list(F.struct("qid", "v")).alias("queries"))
-    pairs = segments.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_block - 1)))).join(blocks.withColumn("block", F.col("block").cast("int")), "block")
-    found = pairs.select("entries", "queries").mapInArrow(_scan(coarse, books, n_probe, rerank), "qid long, eid long, adc double")
-    top = found.withColumn("_k", F.row_number().over(W.partitionBy("qid").orderBy("adc", "eid"))).where(F.col("_k") <= rerank).select("qid", "eid")
+    some = e.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, 1.2 * train / n)))
+    sample = some.orderBy(F.xxhash64("v"), "eid").limit(train).select("v").collect()
+    ix = Index(np.array([r["v"] for r in sample], np.float64), n, parts, scale)
+    n_list = len(ix.coarse)
+    n_probe = n_list if rerank is None else max(math.ceil(probe_share * n_list), min(n_list, 32))
+
+    index = materialize(e.select("eid", "v").mapInArrow(_encode(ix), "eid long, list int, code binary, size double, err double"), "ann-index")
+    q = usable(queries).where(F.size("v") == dim["d"]).groupBy(F.col("id").alias("qid")).agg(F.min("v").alias("v"))
+    q = materialize(q.mapInArrow(_route(ix, n_probe), "qid long, v array<double>, home int, probes array<int>"), "ann-queries")
+    # Both plans hold one row per list (MAX_LISTS at most) or per split of one.
+    lists = _deal({r["list"]: r["count"] for r in index.groupBy("list").count().collect()}, SEGMENT)
+    homes = _deal({r["home"]: r["count"] for r in q.groupBy("home").count().collect()}, QUERY_BLOCK)
+    if not homes:
+        return none
+    groups = spark.createDataFrame(lists, "list int, part int, parts int, g int")
+    blocks = spark.createDataFrame(homes, "home int, part int, parts int, b int")
+    cells = (1 + max(r[3] for r in lists)) * (1 + max(r[3] for r in homes))
+    spread = max(partitions(spark), min(2 * cells, 8 * partitions(spark)))
+
+    part = lambda key: F.pmod(F.xxhash64(key), F.col("parts")).cast("int")
+    qb = q.join(blocks.select("home", "parts").distinct(), "home").withColumn("part", part("qid")).drop("parts").join(blocks.drop("parts"), ["home", "part"])
+    routes = qb.select("b", F.explode("probes").alias("list")).distinct().join(groups.drop("parts"), "list")
+    split = index.join(groups.select("list", "parts").distinct(), "list").withColumn("part", part("eid")).drop("parts")
+    left = split.join(routes, ["list", "part"]).select("g", "b", "eid", "list", "code", "size", "err").repartition(spread, "g", "b")
+    right = qb.select("b", "qid", "v").join(routes.select("b", "g").distinct(), "b").select(F.col("g").alias("gq"), F.col("b").alias("bq"), "qid", "v").repartition(spread, "gq", "bq")
+    found = left.groupBy("g", "b").cogroup(right.groupBy("gq", "bq")).applyInArrow(_scan(ix, n_probe, rerank, k), "qid long, eid long, adc double, err double")
+    if rerank is None:
+        found = materialize(found, "ann-found")
+        high = F.sqrt("adc") + F.col("err")
+        bound = found.withColumn("_k", F.row_number().over(W.partitionBy("qid").orderBy(high))).where(F.col("_k") <= k + 1).groupBy("qid").agg(F.max(high).alias("bound"))
+        top = found.join(bound, "qid").where(F.sqrt("adc") - F.col("err") <= F.col("bound") * (1 + 1e-9) + 1e-12).select("qid", "eid")
+    else:
+        top = found.withColumn("_k", F.row_number().over(W.partitionBy("qid").orderBy("adc", "eid"))).where(F.col("_k") <= rerank).select("qid", "eid")
     near = top.join(e.select("eid", "ids", F.col("v").alias("ev")), "eid").join(q.select("qid", F.col("v").alias("qv")), "qid")
-    exact = near.mapInArrow(_exact, "qid long, ids array<long>, score double")
+    exact = near.mapInArrow(_exact(scale, dim["d"]), "qid long, ids array<long>, score double")
     flat = exact.select("qid", F.explode("ids").alias("vec_id"), "score").where("qid <> vec_id")
     rank = F.row_number().over(W.partitionBy("qid").orderBy("score", "vec_id")).cast("int")
     return flat.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("qid").alias("query_id"), "rank", "vec_id", "score")
 
 
-def entries_of(queries: DataFrame, dim: int) -> DataFrame:
-    """(qid, v as float32 bytes) of the usable queries."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exact(scale: float, dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([np.array(v, "<f4").tobytes() for v in b.column("v").to_pylist()], pa.binary())], ["qid", "v"])
-
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = queries.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine & (F.size("v") == dim))
-    return good.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(pack, "qid long, v binary").dropDuplicates(["qid"])
-
+            x, y = _matrix(b.column("ev"), dim), _matrix(b.column("qv"), dim)
+            d = np.sqrt(((x - y) ** 2).sum(1)) if scale == 1.0 else scale * np.sqrt(((x / scale - y / scale) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("ids"), pa.array(d)], ["qid", "ids", "score"])
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = np.frombuffer(b"".join(b.column("ev").to_pylist()), "<f4").reshape(len(b), -1).astype(np.float64)
-        y = np.frombuffer(b"".join(b.column("qv").to_pylist()), "<f4").reshape(len(b), -1).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("ids"), pa.array(np.sqrt(((x - y) ** 2).sum(1)))], ["qid", "ids", "score"])
+    return run
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
