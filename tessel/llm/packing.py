@@ -36,7 +36,6 @@ from pyspark.sql import Window as W
 from ._shared import materialize, prefix_sum, table
 
 FREQUENT = 64  # lengths from which patterns of three are made
-CUT_BROADCAST = 200_000  # documents with a cut left-over, up to which their cuts are broadcast
 
 
 def patterns_of(hist: np.ndarray, size: int) -> list[tuple[int, ...]]:
@@ -86,45 +85,48 @@ def plan(hist: np.ndarray, size: int) -> tuple[list[tuple[int, int, int, int, in
     return rows, seq
 
 
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary values between neighbouring byte offsets of ``data``."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _count(path: str, end_id: int, size: int):
+    """Per document its length, the checksums of its windows, and the ids of what is left over (in two bytes each where all ids fit)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ._tokens import encode_slices
+        from ._tokens import encode_slices, encoder, spans
 
-        end = np.array([end_id], np.uint32)
+        kind = _kind(encoder(path).n_ids)
         for b in batches:
             ids = b.column("doc_id")
-            for a, encoded in encode_slices(b.column("text"), path):
-                n, crcs = [], []
-                for x in encoded:
-                    x = np.concatenate([x, end]).astype("<u4")
-                    n.append(len(x))
-                    crcs.append([zlib.crc32(x[i : i + size].tobytes()) for i in range(0, len(x), size)])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, len(n)), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+            for a, flat, offs in encode_slices(b.column("text"), path, end_id):
+                n = np.diff(offs)
+                image = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
+                crcs = [[zlib.crc32(image[4 * i : 4 * min(i + size, z)]) for i in range(s, z, size)] for s, z in zip(offs[:-1].tolist(), offs[1:].tolist())]
+                rest = flat[spans(offs[1:] - n % size, n % size)].astype(kind)
+                left = _binary(rest, np.concatenate([[0], np.cumsum(n % size)]) * rest.itemsize)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, len(n)), pa.array(n), pa.array(crcs, pa.list_(pa.int64())), left], ["doc_id", "doc_tokens", "crcs", "ids"])
 
     return run
 
 
-def _recount(path: str, end_id: int, size: int):
-    """Checksums of the parts of cut left-overs: the few documents concerned are encoded again."""
+def _kind(n_ids: int) -> str:
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def _checksums(path: str):
+    """Pieces with the checksum of their part (from ``begin``) of the left-over ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ._tokens import encode_slices
+        from ._tokens import encoder
 
-        end = np.array([end_id], np.uint32)
+        kind = np.dtype(_kind(encoder(path).n_ids))
         for b in batches:
-            cuts = b.column("cuts").to_pylist()
-            for a, encoded in encode_slices(b.column("text"), path):
-                rows, starts, sums = [], [], []
-                for j, x in enumerate(encoded):
-                    x = np.concatenate([x, end]).astype("<u4")
-                    crcs = [zlib.crc32(x[i : i + size].tobytes()) for i in range(0, len(x), size)]
-                    for c in cuts[a + j]:
-                        if c["crcs"] == crcs and c["doc_tokens"] == len(x):  # rows that share a doc_id: the right text
-                            for s, e in zip(c["at"], [*c["at"][1:], len(x)]):
-                                rows.append(c["row"])
-                                starts.append(s)
-                                sums.append(zlib.crc32(x[s:e].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(sums, pa.int64())], ["row", "start", "crc"])
+            sums = [zlib.crc32(np.frombuffer(x, kind, n, s * kind.itemsize).astype("<u4").tobytes()) for x, s, n in zip(*(b.column(c).to_pylist() for c in ("ids", "begin", "length")))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("length"), pa.array(sums, pa.int64()), b.column("doc_tokens"), b.column("sequence_id"), b.column("offset")], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
@@ -133,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048) -> Data
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = docs.mapInArrow(_count(tokenizer, end_id, size), "doc_id long, doc_tokens long, crcs array<long>")
+    counted = docs.mapInArrow(_count(tokenizer, end_id, size), "doc_id long, doc_tokens long, crcs array<long>, ids binary")
     d = materialize(counted.withColumn("row", F.monotonically_increasing_id()), "packing-counts")
     d = d.withColumn("full", F.expr(f"doc_tokens div {size}")).withColumn("rest", (F.col("doc_tokens") % size).cast("int"))
 
@@ -188,19 +190,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048) -> Data
         off = F.when(here, F.col("a") - s).otherwise(off)
     parts = res.select("row", "doc_id", "doc_tokens", "full", "at", last.alias("crc"), F.size("cuts").alias("k"), F.inline(F.arrays_zip(F.col("cuts").alias("a"), F.col("next").alias("z"))))
     parts = parts.select(
-        "row", "doc_id", (F.col("full") * size + F.col("a") - F.col("at")).alias("start"), (F.col("z") - F.col("a")).alias("length"),
-        "crc", "k", "doc_tokens", seq.cast("long").alias("sequence_id"), off.cast("long").alias("offset"),
+        "row", "doc_id", (F.col("full") * size + F.col("a") - F.col("at")).alias("start"), (F.col("z") - F.col("a")).alias("length"), "crc", "k",
+        "doc_tokens", seq.cast("long").alias("sequence_id"), off.cast("long").alias("offset"), (F.col("a") - F.col("at")).alias("begin"),
     )
-    cut = res.where(F.size("cuts") > 1)
-    few = cut.count() <= CUT_BROADCAST
-    at = F.transform("cuts", lambda c: F.col("full") * size + c - F.col("at"))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))  # a null doc_id must meet itself; checksums tell texts apart
-    cut = cut.groupBy(key.alias("_key")).agg(F.collect_list(F.struct("row", "doc_tokens", "crcs", at.alias("at"))).alias("cuts"))
-    again = docs.withColumn("_key", key).join(F.broadcast(cut) if few else cut, "_key").select("text", "cuts")
-    sums = again.mapInArrow(_recount(tokenizer, end_id, size), "row long, start long, crc long").groupBy("row", "start").agg(F.max("crc").alias("part_crc"))
-    parts = parts.join(sums, ["row", "start"], "left").select(
-        "doc_id", "start", "length", F.when(F.col("k") > 1, F.col("part_crc")).otherwise(F.col("crc")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    whole = parts.where("k = 1").withColumnRenamed("crc", "ids_crc32").select(names)
+    # Parts of cut left-overs, about two a window of these, meet their ids; Spark chooses the join by their size.
+    cut = parts.where("k > 1").join(d.select("row", "ids"), "row").select("ids", "begin", "length", "doc_id", "start", "doc_tokens", "sequence_id", "offset")
+    parts = whole.unionByName(cut.mapInArrow(_checksums(tokenizer), _PIECE))
     return full.unionByName(good).unionByName(parts)
 
 

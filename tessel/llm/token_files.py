@@ -10,10 +10,11 @@ shards. A shard is one byte string:
             exception positions u2 each | exception differences u4 each
 
 All numbers are little-endian. A block's differences to its minimum are packed
-at the width (rounded up to an even one, or a multiple of 4 above 16) that holds
-a share ``percentile`` of them; larger ones leave their
-low bits in place and are patched from the exception list. The shards travel in
-Parquet rows, so that Spark's commit protocol protects them and any store works.
+at the width that holds a share ``percentile`` of them, eight numbers in as many
+bytes as the width has bits; larger ones leave their low bits in place and are
+patched from the exception list. A token file is a Parquet file whose rows are
+shards (part, seq, n_docs, n_ids, image), so that Spark's commit protocol
+protects it and any store works.
 
 Defined results: a null or empty text gives only the end id; rows with a null
 doc_id come first; rows that share a doc_id are written one after the other, in
@@ -36,20 +37,50 @@ from ._shared import partitions, shared_dir, table
 BLOCK = 256
 _HEAD = np.dtype([("magic", "S4"), ("block", "<u2"), ("docs", "<u4"), ("ids", "<u8"), ("blocks", "<u4")])
 _BLOCK_HEAD = 7
-#: Width used for each bit length: whole bytes for every two or four numbers.
-_WIDTHS = np.array([w if w % 2 == 0 else w + 1 for w in range(17)] + [-(-w // 4) * 4 for w in range(17, 33)], np.uint8)
+_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bit length of each number below 2**32."""
-    return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
-
-
-def pack_ids(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> tuple[np.ndarray, list[bytes]]:
-    """Byte offsets of the blocks and their bytes, in order."""
+    return _LENGTHS[x] if not x.size or x.max() < 1 << 16 else np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+
+
+def _pack(v: np.ndarray, w: int) -> np.ndarray:
+    """Rows of numbers below 2**w, eight of them in w bytes, the lowest bits first."""
+    v = v.astype(np.uint64).reshape(len(v), -1, 8)
+    words = np.zeros((*v.shape[:2], -(-w // 8)), np.uint64)
+    for j in range(8):
+        at, low = divmod(j * w, 64)
+        words[:, :, at] |= v[:, :, j] << np.uint64(low)
+        if low + w > 64:
+            words[:, :, at + 1] |= v[:, :, j] >> np.uint64(64 - low)
+    return np.ascontiguousarray(words.astype("<u8", copy=False).view(np.uint8)[:, :, :w]).reshape(len(v), -1)
+
+
+def _unpack(raw: np.ndarray, w: int) -> np.ndarray:
+    """The numbers of :func:`_pack`."""
+    image = np.zeros((len(raw), raw.shape[1] // w, 8 * -(-w // 8)), np.uint8)
+    image[:, :, :w] = raw.reshape(len(raw), -1, w)
+    words, mask = image.view("<u8"), np.uint64((1 << w) - 1)
+    out = np.empty((*image.shape[:2], 8), np.uint32)
+    for j in range(8):
+        at, low = divmod(j * w, 64)
+        v = words[:, :, at] >> np.uint64(low)
+        if low + w > 64:
+            v = v | words[:, :, at + 1] << np.uint64(64 - low)
+        out[:, :, j] = v & mask
+    return out.reshape(len(raw), -1)
+
+
+def _places(start: np.ndarray, n: int) -> np.ndarray:
+    return start[:, None] + np.arange(n)
+
+
+def pack_ids(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets of the blocks (a multiple of eight numbers each), and their bytes."""
     n = len(ids)
     if not n:
-        return np.zeros(0, "<u4"), []
+        return np.zeros(0, "<u4"), np.zeros(0, np.uint8)
     k = -(-n // block)
     m = np.full(k * block, ids[-1], np.uint32)
     m[:n] = ids
@@ -57,84 +88,67 @@ def pack_ids(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> tu
     low = m.min(axis=1)
     diff = m - low[:, None]
     need = _bits(diff)
-    width = _WIDTHS[np.sort(need, axis=1)[:, min(block - 1, int(percentile * block))]]
-    high = need > width[:, None]
-    exceptions = high.sum(axis=1)
-    out: list[bytes] = [b""] * k
-    for w in np.unique(width).tolist():
+    width = np.sort(need, axis=1)[:, min(block - 1, int(percentile * block))]
+    row, pos = np.nonzero(need > width[:, None])
+    exceptions = np.bincount(row, minlength=k)
+    packed = block // 8 * width.astype(np.int64)
+    sizes = _BLOCK_HEAD + packed + 6 * exceptions
+    at = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    out[_places(at, 4)] = low.astype("<u4").view(np.uint8).reshape(k, 4)
+    out[at + 4] = width
+    out[_places(at + 5, 2)] = exceptions.astype("<u2").view(np.uint8).reshape(k, 2)
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        per = 4 if w <= 16 else 2  # numbers in a 64-bit word, of which per * w / 8 bytes are kept
-        v = (diff[rows] & np.uint32((1 << w) - 1)).astype(np.uint64).reshape(len(rows), block // per, per)
-        word = v[:, :, 0].copy()
-        for j in range(1, per):
-            word |= v[:, :, j] << np.uint64(j * w)
-        packed = np.ascontiguousarray(word.view(np.uint8).reshape(len(rows), block // per, 8)[:, :, : per * w // 8]).reshape(len(rows), -1)
-        for r, p, e in zip(rows.tolist(), packed, exceptions[rows].tolist()):
-            head = int(low[r]).to_bytes(4, "little") + bytes([w]) + e.to_bytes(2, "little")
-            if e:
-                pos = np.flatnonzero(high[r])
-                out[r] = head + p.tobytes() + pos.astype("<u2").tobytes() + diff[r, pos].astype("<u4").tobytes()
-            else:
-                out[r] = head + p.tobytes()
-    sizes = np.array([len(b) for b in out], np.int64)
-    return (np.cumsum(sizes) - sizes).astype("<u4"), out
-
-
-def unpack_ids(data: memoryview, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-    """The ids of :func:`pack_ids`; ``offsets`` are those of the blocks in ``data``."""
+        for r, x in zip((at[rows] + _BLOCK_HEAD).tolist(), _pack(diff[rows] & np.uint32((1 << w) - 1), w)):
+            out[r : r + len(x)] = x
+    if len(row):
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+        first = (at + _BLOCK_HEAD + packed)[row]
+        out[_places(first + 2 * nth, 2)] = pos.astype("<u2").view(np.uint8).reshape(-1, 2)
+        out[_places(first + 2 * exceptions[row] + 4 * nth, 4)] = diff[row, pos].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return at.astype("<u4"), out
+
+
+def unpack_ids(raw: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
+    """The ids of :func:`pack_ids`; ``offsets`` are those of the blocks in ``raw``."""
     k = len(offsets)
     out = np.zeros((k, block), np.uint32)
-    raw = np.frombuffer(data, np.uint8)
-    offs = offsets.astype(np.int64)
     if k:
-        low = raw[offs[:, None] + np.arange(4)].copy().view("<u4").ravel()
-        width = raw[offs + 4]
-        exc = raw[offs[:, None] + np.arange(5, 7)].copy().view("<u2").ravel().astype(np.int64)
-        size = (block * width.astype(np.int64) + 7) // 8
-        for w in np.unique(width).tolist():
+        at = offsets.astype(np.int64)
+        low = raw[_places(at, 4)].view("<u4").ravel()
+        width = raw[at + 4].astype(np.int64)
+        exceptions = raw[_places(at + 5, 2)].view("<u2").ravel().astype(np.int64)
+        for w in np.unique(width[width > 0]).tolist():
             rows = np.flatnonzero(width == w)
-            nbytes = (block * w + 7) // 8
-            if not w:
-                continue
-            per = 4 if w <= 16 else 2
-            packed = raw[offs[rows, None] + _BLOCK_HEAD + np.arange(nbytes)].reshape(len(rows), block // per, per * w // 8)
-            word = np.zeros((len(rows), block // per, 8), np.uint8)
-            word[:, :, : per * w // 8] = packed
-            word = word.view("<u8")[:, :, 0]
-            v = np.stack([(word >> np.uint64(j * w)) & np.uint64((1 << w) - 1) for j in range(per)], axis=2)
-            out[rows] = v.reshape(len(rows), block)
-        for r in np.flatnonzero(exc).tolist():
-            at, e = offs[r] + _BLOCK_HEAD + size[r], int(exc[r])
-            pos = raw[at : at + 2 * e].copy().view("<u2")
-            out[r, pos] = raw[at + 2 * e : at + 6 * e].copy().view("<u4")
+            out[rows] = _unpack(raw[_places(at[rows] + _BLOCK_HEAD, block // 8 * w)], w)
+        row = np.repeat(np.arange(k), exceptions)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+        first = (at + _BLOCK_HEAD + block // 8 * width)[row]
+        pos = raw[_places(first + 2 * nth, 2)].view("<u2").ravel()
+        out[row, pos] = raw[_places(first + 2 * exceptions[row] + 4 * nth, 4)].view("<u4").ravel()
         out += low[:, None]
     return out.ravel()[:n]
 
 
-def write_shard(doc_ids: list[int | None], rows: list[np.ndarray], block: int = BLOCK) -> bytes:
-    """One shard of these documents' ids (the format in the module's docstring)."""
-    lens = np.array([len(r) for r in rows], "<u4")
-    ids = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+def write_shard(doc_ids: pa.Array, lens: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """One shard of documents of these lengths, whose ids follow each other (the format in the module's docstring)."""
     offsets, blocks = pack_ids(ids, block)
-    head = np.array([(b"TFR1", block, len(rows), len(ids), len(blocks))], _HEAD)
-    known = np.array([d is not None for d in doc_ids], np.uint8)
-    names = np.array([d or 0 for d in doc_ids], "<i8")
-    return b"".join([head.tobytes(), names.tobytes(), known.tobytes(), lens.tobytes(), offsets.tobytes(), *blocks])
+    head = np.array([(b"TFR1", block, len(lens), len(ids), len(offsets))], _HEAD)
+    known = doc_ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+    return b"".join([head.tobytes(), doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), known.tobytes(), lens.astype("<u4").tobytes(), offsets.tobytes(), blocks.tobytes()])
 
 
-def read_shard(image: bytes) -> tuple[list[int | None], list[np.ndarray]]:
-    """doc_ids and ids of each document of a shard."""
+def read_shard(image: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """doc_ids, lengths and ids of a shard's documents."""
     head = np.frombuffer(image, _HEAD, 1)[0]
     if head["magic"] != b"TFR1":
         raise ValueError("not a token shard")
     d, at = int(head["docs"]), _HEAD.itemsize
-    names = np.frombuffer(image, "<i8", d, at)
-    known = np.frombuffer(image, np.uint8, d, at + 8 * d)
-    lens = np.frombuffer(image, "<u4", d, at + 9 * d)
+    names = pa.array(np.frombuffer(image, "<i8", d, at), mask=np.frombuffer(image, np.uint8, d, at + 8 * d) == 0)
+    lens = np.frombuffer(image, "<u4", d, at + 9 * d).astype(np.int64)
     offsets = np.frombuffer(image, "<u4", int(head["blocks"]), at + 13 * d)
-    ids = unpack_ids(memoryview(image)[at + 13 * d + 4 * len(offsets) :], offsets, int(head["ids"]), int(head["block"]))
-    ends = np.cumsum(lens.astype(np.int64))
-    return [n if k else None for n, k in zip(names.tolist(), known.tolist())], [ids[e - m : e] for e, m in zip(ends, lens)]
+    return names, lens, unpack_ids(np.frombuffer(image, np.uint8, offset=at + 13 * d + 4 * len(offsets)), offsets, int(head["ids"]), int(head["block"]))
 
 
 _SHARDS = "part int, seq int, n_docs long, n_ids long, image binary"
@@ -146,24 +160,27 @@ def _write(path: str, end_id: int, shard_ids: int):
 
         from ._tokens import encode_slices
 
-        part, seq, names, rows, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, names, lens, ids = TaskContext.get().partitionId(), 0, [], [], []
 
         def flush():
-            image = write_shard(names, rows)
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_docs": len(rows), "n_ids": held, "image": image}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())]))
+            n, x = np.concatenate(lens), np.concatenate(ids)
+            row = [[part], [seq], [len(n)], [len(x)], [write_shard(pa.concat_arrays(names), n, x)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "seq", "n_docs", "n_ids", "image"])
 
-        end = np.array([end_id], np.uint32)
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            for a, encoded in encode_slices(b.column("text"), path):
-                for j, x in enumerate(encoded):
-                    names.append(ids[a + j])
-                    rows.append(np.concatenate([x, end]))
-                    held += len(x) + 1
-                    if held >= shard_ids:
+            for a, flat, offs in encode_slices(b.column("text"), path, end_id):
+                # A shard ends with the document that reaches its size; documents stay whole.
+                n = np.diff(offs)
+                group = (sum(map(len, ids)) + offs[1:] - 1) // shard_ids
+                cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(n)]
+                for s, z in zip(cuts, cuts[1:]):
+                    if s:
                         yield flush()
-                        seq, names, rows, held = seq + 1, [], [], 0
-        if rows:
+                        seq, names, lens, ids = seq + 1, [], [], []
+                    names.append(b.column("doc_id").slice(a + s, z - s))
+                    lens.append(n[s:z])
+                    ids.append(flat[offs[s] : offs[z]])
+        if lens:
             yield flush()
 
     return run
@@ -172,13 +189,11 @@ def _write(path: str, end_id: int, shard_ids: int):
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part, seq, image in zip(*(b.column(c) for c in ("part", "seq", "image"))):
-            names, rows = read_shard(image.as_py())
-            lens = np.array([len(r) for r in rows], np.int64)
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([part.as_py()] * len(rows), pa.int32()), "seq": pa.array([seq.as_py()] * len(rows), pa.int32()),
-                "doc_id": pa.array(names, pa.int64()), "local": pa.array(np.cumsum(lens) - lens), "n_tokens": pa.array(lens),
-                "ids_crc32": pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()),
-            })
+            names, lens, ids = read_shard(image.as_py())
+            data, ends = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), np.cumsum(lens)
+            sums = [zlib.crc32(data[4 * (z - n) : 4 * z]) for z, n in zip(ends.tolist(), lens.tolist())]
+            same = lambda x: pa.array(np.full(len(lens), x.as_py(), np.int32))
+            yield pa.RecordBatch.from_arrays([same(part), same(seq), names, pa.array(ends - lens), pa.array(lens), pa.array(sums, pa.int64())], ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = 1 << 20) -> None:

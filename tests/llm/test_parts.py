@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,9 +18,21 @@ from tessel.llm._graph import components
 def test_blocks_round_trip(ids):
     x = np.array(ids, np.uint32)
     offsets, blocks = token_files.pack_ids(x)
-    assert (token_files.unpack_ids(memoryview(b"".join(blocks)), offsets, len(x)) == x).all()
-    names, rows = token_files.read_shard(token_files.write_shard([7, None], [x, x[:3]]))
-    assert names == [7, None] and (rows[0] == x).all() and (rows[1] == x[:3]).all()
+    assert (token_files.unpack_ids(blocks, offsets, len(x)) == x).all()
+    names, lens, back = token_files.read_shard(token_files.write_shard(pa.array([7, None], pa.int64()), np.array([len(x), min(3, len(x))]), np.concatenate([x, x[:3]])))
+    assert names.to_pylist() == [7, None] and lens.tolist() == [len(x), min(3, len(x))] and (back == np.concatenate([x, x[:3]])).all()
+
+
+@pytest.mark.parametrize("width", range(33))
+def test_blocks_take_the_percentile_width(width):
+    """Nine tenths of a block's differences fit the width, the rest are exceptions; every width packs to as many bits."""
+    rng = np.random.default_rng(width)
+    x = rng.integers(0, 1 << width, 256, dtype=np.uint64).astype(np.uint32) if width else np.full(256, 5, np.uint32)
+    x[0], x[1] = 0 if width else 5, (1 << width) - 1 if width else 5
+    need = sorted(int(v - x.min()).bit_length() for v in x.tolist())
+    offsets, image = token_files.pack_ids(x)
+    assert image[4] == need[230] and len(image) == 7 + 32 * need[230] + 6 * sum(n > need[230] for n in need)
+    assert (token_files.unpack_ids(image, offsets, 256) == x).all()
 
 
 def test_plan_fits_histogram():
@@ -90,8 +103,6 @@ def test_automaton_matches_edit_distance(word):
 
 
 def test_quotation_counts_apart():
-    import pyarrow as pa
-
     from tessel.llm._words import word_slices
 
     m = toxicity.Matcher(toxicity.Model({"stupid": 5.0}, {}))
@@ -163,8 +174,6 @@ def test_page_reading():
 
 def test_long_words_are_read_to_their_end():
     """Text without spaces: what stands at its end counts, wherever it begins."""
-    import pyarrow as pa
-
     from tessel.llm._words import word_slices
 
     def places(text):
@@ -179,6 +188,18 @@ def test_long_words_are_read_to_their_end():
     assert quality_classifier.pieces("THE,!!!!!") == ["A,!!!"] and quality_classifier.pieces("Then") == ["Aa"]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "the", "ing", " ", " ", "  ", "\n", "\t", "\r\n", ".", ",", "!", "'s", "1", "é", "日本", "😀", "\u00a0", "\u3000", "\x1c", "\x85", "\x0b", "<|endoftext|>", "\x00", "\x02", "’", "×", "$$"]), max_size=20).map("".join) | st.none(), max_size=8))
+def test_encoder_matches_library(texts):
+    import public_tokenizers
+
+    from tessel.llm._tokens import encoder
+
+    e = encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    flat, offs = e.encode(pa.array(texts, pa.string()), 7)
+    assert [flat[a:z].tolist() for a, z in zip(offs, offs[1:])] == [[*x.ids, 7] for x in e.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("text", ["a  b \n c 日本 \U0001f600", "    x   y", " ", "aaaa aaaaaaaa $$$ $$$$$", "hello world's 12345", "\t\tfoo(bar)", "ﬁne ▁x"])
 def test_transducer_matches_library(text):
     import public_tokenizers
