@@ -137,7 +137,7 @@ def test_html(spark):
     rows = [(1, None, None), (2, "nonsense", ""), (3, "http://a.b/x", page), (3, "http://a.b/x", page), (4, None, page), (5, "http://a.b/y", "<p>only"), (None, "http://a.b/z", page)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("clash"), "text": F.lit("clash"), "wrapper": F.lit(1)})
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_extraction.extract(df).collect())
-    assert got == sorted([("1", "", 0), ("2", "", 0), ("3", "text", 4), ("3", "text", 4), ("4", "text", 4), ("5", "", 0), ("None", "text", 4)])
+    assert got == sorted([("1", "", 0), ("2", "", 0), ("3", "text", 4), ("3", "text", 4), ("4", "text", 4), ("5", "only", 4), ("None", "text", 4)])
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
@@ -161,6 +161,13 @@ def test_html_templates(spark):
         want.append((100 + n, text, len(text)))
     rows.append((200, "http://a.b/x", page("<article></article>")))
     want.append((200, "", 0))
+    # Classes only; reader comments inside the article; a menu without a name inside it.
+    inner = "<div class='story'><p>{0}</p></div>", "<article><p>{0}</p><div class='comments'><p>reader {0}</p></div></article>", "<article><div><ul><li><a href=x>Home</a><li><a href=y>Shop</a></ul></div><p>{0}</p><p>By the editors</p></article>"
+    for n, form in enumerate(inner):
+        for k in range(4):
+            rows.append((300 + 10 * n + k, f"http://d{n}.e/{k}", page(form.format(f"story {k} told"))))
+            text = f"story {k} told" + ("\nBy the editors" if n == 2 else "")
+            want.append((300 + 10 * n + k, text, len(text)))
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_extraction.extract(df).collect()) == want
 
