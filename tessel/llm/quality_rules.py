@@ -3,12 +3,15 @@
 Fixed base rules reject texts that no cut-off may save. On top, each statistic
 of :data:`RULES` gets a cut-off per stratum. A cut-off is used only if an exact
 binomial test on labelled holdout rows shows that it rejects at most ``risk``
-of the good documents of its stratum; the error level ``delta`` is shared over
-all stratum x statistic x cut-off tests (Bonferroni), so with probability
-``1 - delta`` every cut-off used keeps its promise. Only DataFrame functions
-run: no Python touches a row.
-
-Defined results: a null or empty text has no words and fails the base rules;
+of the good documents of its stratum, and a stratum's cut-offs are used together
+only as far as the same test shows it of the documents that any of them rejects.
+The error level ``delta`` is shared over all strata and all sets of cut-offs that
+could have been chosen (Bonferroni), so with probability ``1 - delta`` the rules
+of every stratum together keep the promise. Only DataFrame functions run: no
+Python touches a row.
+
+Risk and proof are about the good documents that pass the base rules. Defined
+results: a null or empty text has no words and fails the base rules;
 null or unknown strata form a stratum of their own; without labels (or with too
 few to prove anything) nothing but the base rules rejects; a document labelled
 twice counts once, as good if any label says so; repeated documents are judged
@@ -17,8 +20,11 @@ each for themselves; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ._shared import GAP, materialize, table, words
 
@@ -33,6 +39,8 @@ RULES = (
     ("mark_share", True, (0.02, 0.05, 0.1)),
     ("upper_share", True, (0.1, 0.2, 0.4)),
 )
+#: Sets of cut-offs, one or none of each rule, that a stratum may end up with.
+SETS = math.prod(1 + len(cuts) for _, _, cuts in RULES)
 _POS = 31  # low bits of a key: the position; high bits: the hash of the trigram
 
 
@@ -91,8 +99,6 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     are summed and the rest bounded by the geometric series, so the value is
     never too small: the test stays valid for any n.
     """
-    import math
-
     first = _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
     start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
     steps = F.when(k >= 1, F.sequence(F.lit(0), F.least(k, F.lit(4000)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
@@ -108,12 +114,15 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def calibrate(stats: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """Cut-offs (stratum, rule, stat, above, cut, n_good, n_rejected, p_value) that the holdout proves safe.
+    """Cut-offs (stratum, rule, stat, above, cut, n_good, n_rejected, p_value, n_together, p_together) that the holdout proves safe, alone and together.
 
     ``labels`` has doc_id and quality. Rows of both classes take part: of the
     safe cut-offs of a statistic the strictest is used, and only if it catches
-    bad documents at a higher rate than good ones. Everything is counted in
-    one pass over the labelled rows and one row per stratum and cut-off.
+    bad documents at a higher rate than good ones. They are then taken in the
+    order of the bad documents they catch, as long as the good documents that
+    the ones so far reject together stay within the proven risk. Everything is
+    counted in two passes over the labelled rows and one row per stratum and
+    cut-off.
     """
     lab = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_q"))
     cells = [(i, j, s, above, float(c)) for i, (s, above, cuts) in enumerate(RULES) for j, c in enumerate(cuts)]
@@ -128,14 +137,23 @@ def calibrate(stats: DataFrame, labels: DataFrame, stratum: str, risk: float = 0
     long = counts.select("stratum", "n_good", "n_bad", F.count("*").over(_all()).alias("_strata"), F.inline(F.array(*[row(*c) for c in cells])))
     tested = long.withColumn("p_value", binomial_cdf(F.col("n_rejected"), F.col("n_good"), risk))
     useful = F.col("n_caught") * F.col("n_good") > F.col("n_rejected") * F.col("n_bad")
-    safe = tested.where((F.col("n_good") > 0) & useful & (F.col("p_value") * F.col("_strata") * len(cells) <= delta))
+    proven = lambda p: p * F.col("_strata") * SETS <= delta
+    safe = tested.where((F.col("n_good") > 0) & useful & proven(F.col("p_value")))
     strict = F.when(F.col("above"), -F.col("cut")).otherwise(F.col("cut"))
-    return safe.groupBy("stratum", "rule", "stat", "above").agg(*[F.max_by(c, strict).alias(c) for c in ("cut", "n_good", "n_rejected", "p_value")])
+    one = safe.groupBy("stratum", "rule", "stat", "above", "_strata").agg(*[F.max_by(c, strict).alias(c) for c in ("cut", "n_good", "n_rejected", "n_caught", "p_value")])
+    place = F.row_number().over(W.partitionBy("stratum").orderBy(F.desc("n_caught"), "rule"))  # as many rows as rules
+    one = one.withColumn("_place", place)
+    # The first of the chosen cut-offs that rejects each good document.
+    per = one.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct("cut", "_place")))).alias("_cuts"))
+    which = lambda i: F.try_element_at("_cuts", F.lit(i))
+    first = F.least(*[F.when((F.col(s) > which(i)["cut"]) if above else (F.col(s) < which(i)["cut"]), which(i)["_place"]) for i, (s, above, _) in enumerate(RULES)])
+    hits = base.where("_q = 1").join(F.broadcast(per), "stratum").withColumn("_first", first).where("_first is not null").groupBy("stratum", F.col("_first").alias("_place")).agg(F.count("*").alias("_hits"))
+    so_far = F.sum(F.coalesce("_hits", F.lit(0))).over(W.partitionBy("stratum").orderBy("_place"))
+    both = one.join(hits, ["stratum", "_place"], "left").withColumn("n_together", so_far).withColumn("p_together", binomial_cdf(F.col("n_together"), F.col("n_good"), risk))
+    return both.where(proven(F.col("p_together"))).select("stratum", "rule", "stat", "above", "cut", "n_good", "n_rejected", "p_value", "n_together", "p_together")
 
 
 def _all():
-    from pyspark.sql import Window as W
-
     return W.partitionBy(F.lit(1))  # one row per stratum
 
 

@@ -53,6 +53,7 @@ class Transducer:
                 self.ids[p] = i
         self.unknown = sp.unk_id()
         self.size = [len(p) for p in self.pieces]
+        self.longest = max(map(len, self.ids), default=1)
         self.raw = [p.encode() for p in self.pieces]
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
@@ -122,7 +123,7 @@ class Transducer:
     def _arcs(self, chunk: str, i: int) -> list[int]:
         """Pieces that start at i, the longest first."""
         node, out = self.trie, []
-        for c in chunk[i : i + 64] if len(chunk) > 64 else chunk[i:]:
+        for c in chunk[i : i + self.longest]:
             node = node.get(c)
             if node is None:
                 break

@@ -4,11 +4,16 @@
    and word beginnings (stems) that stand in toxic documents and hardly in
    others, with their log odds.
 2. The lexicon is a trie. A word meets it exactly, by a stem, or within one
-   edit: the word's Levenshtein automaton walks along the trie, dead branches
-   are left at once. (With one edit, one half of a term stays as it is, so only
-   words that share a half with a term need the walk; this loses no match.)
-3. A window of words around each hit tells abuse from quotation: hits inside
-   quotation marks or beside reporting words count apart.
+   edit (a swap of neighbours is one; terms of four letters by a swap only): the
+   word's Levenshtein automaton walks along the trie, dead branches are left at
+   once. (With one edit, one half of a term stays as it is, or the two letters
+   between the halves are swapped, so only such words need the walk; this loses
+   no match.)
+3. A window of words around each hit tells abuse from quotation: a hit with an
+   opening mark before it and a closing mark behind it, no other marks between,
+   is quoted; with a reporting word nearby it counts once more. A mark opens at
+   the start of a word and closes at the end of one, so an inch mark or a lone
+   quote far away changes nothing.
 4. A logistic model over the sums of hits, fitted on the same rows, gives the
    score.
 
@@ -36,7 +41,6 @@ from ._shared import table
 from ._words import Words, held_out, sample_labels, word_slices
 
 TRAIN_ROWS = 20_000  # labelled documents that the model is fitted on, at most
-LEXICON = 500  # terms kept, at most
 MIN_ODDS = 3.0  # log odds that a term must have
 MIN_CONTEXTS = 6  # words before it, in toxic documents, that a term must be met behind (at least)
 STEMS = (4, 5, 6)  # lengths of stems
@@ -45,6 +49,7 @@ TRIM = ".,;:!?\"'()[]{}<>“”„«»‘’…*#$%&|-_"
 #: Fixed word list: words that report what others said (en, de, fr, es).
 REPORTING = frozenset("said says wrote quoted called sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 QUOTES = "\"“”„«»"
+BEFORE, BEHIND = "([{<*_-–—", ".,;:!?…)]}>*_-–—"  # what may stand outside a mark
 
 
 class Trie:
@@ -52,6 +57,7 @@ class Trie:
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
+        self.terms = set(terms)
         self.left: dict[str, set[int]] = {}  # half of a term -> lengths of such terms
         self.right: dict[str, set[int]] = {}
         for t in terms:
@@ -74,24 +80,26 @@ class Trie:
 
     def near(self, word: str) -> tuple[str, int] | None:
         halves = [self.left.get(word[:k]) for k in self.left_sizes] + [self.right.get(word[-k:]) for k in self.right_sizes]
-        if not any(abs(n - len(word)) <= 1 for sizes in halves if sizes for n in sizes):
+        if not any(abs(n - len(word)) <= 1 for sizes in halves if sizes for n in sizes) and not any(word[:i] + word[i + 1] + word[i] + word[i + 2 :] in self.terms for i in range(len(word) - 1)):
             return None
         best = None
-        # State of the automaton: the row of edit distances between the trie path and each prefix of the word, cut at 1.
-        stack = [(self.root, [*range(len(word) + 1)])]
+        # State of the automaton: the rows of edit distances between the trie path (and the path before its last letter) and each prefix of the word, cut at 1.
+        stack = [(self.root, [*range(len(word) + 1)], None, "")]
         while stack:
-            node, row = stack.pop()
+            node, row, before, last = stack.pop()
             for c, child in node.items():
                 if c == "":
                     d = row[-1]
-                    if d <= 1 and len(child) >= 5 and (best is None or (d, child) < (best[1], best[0])):
+                    if d <= 1 and (len(child) >= 5 or (len(child) == 4 and sorted(child) == sorted(word))) and (best is None or (d, child) < (best[1], best[0])):
                         best = (child, d)
                     continue
                 new = [row[0] + 1]
                 for j, w in enumerate(word):
                     new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (w != c)))
-                if min(new) <= 1:
-                    stack.append((child, new))
+                    if before and j and c == word[j - 1] and last == w:
+                        new[-1] = min(new[-1], before[j - 1] + 1)
+                if min(new) <= 1 or (min(row) <= 1 and c in word):
+                    stack.append((child, new, row, c))
         return best
 
 
@@ -140,6 +148,20 @@ class Matcher:
 N_FEATURES = 7
 
 
+def _marks(word: str) -> tuple[bool, bool]:
+    """Whether a quotation may open with this word, and whether one may close with it."""
+    head, tail = word.lstrip(BEFORE)[:1], word.rstrip(BEHIND)[-1:]
+    return head in QUOTES and head not in ("»", "") or word[-1:] in "«„", tail in QUOTES and tail not in ("«", "„", "")
+
+
+def quoted(text: list[str], s: int) -> bool:
+    """Whether word s stands between an opening and a closing mark, both at most WINDOW words away, with no other marks between."""
+    marks = {i: _marks(text[i]) for i in range(max(0, s - WINDOW), min(len(text), s + WINDOW + 1)) if any(q in text[i] for q in QUOTES)}
+    opens = marks.get(s, (False, False))[0] or next((marks[i][0] and not (marks[i][1] and len(text[i]) > 1) for i in range(s - 1, s - WINDOW - 1, -1) if i in marks), False)
+    closes = marks.get(s, (False, False))[1] or next((marks[i][1] and not (marks[i][0] and len(text[i]) > 1) for i in range(s + 1, s + WINDOW + 1) if i in marks), False)
+    return opens and closes
+
+
 def features(w: Words, m: Matcher) -> np.ndarray:
     """Per text: exact, stem, near and quoted log odds (log of the sums), the strongest plain hit, hits a word, hits in reported speech."""
     out = np.zeros((w.n, N_FEATURES))
@@ -152,17 +174,13 @@ def features(w: Words, m: Matcher) -> np.ndarray:
         code = w.code[a:b]
         spots = np.flatnonzero(is_hit[a:b]).tolist()
         text = w.uniq.take(pa.array(code)).to_pylist()
-        whole = " ".join(text)
-        marked = any(q in whole for q in QUOTES)
-        opened = np.cumsum([sum(t.count(q) for q in QUOTES) for t in text]) % 2 if marked else np.zeros(len(text))
         for s in spots:
             o, k = float(odds[code[s]]), int(kind[code[s]])
-            around = text[max(0, s - WINDOW) : s + WINDOW + 1]
-            quoted = bool(opened[s]) or any(q in text[s] for q in QUOTES)
-            reported = any(x.lower().strip(TRIM) in REPORTING for x in around)
-            out[i, 3 if quoted else k] += o
-            out[i, 6] += quoted and reported
-            if not quoted:
+            inside = quoted(text, s)
+            reported = inside and any(x.lower().strip(TRIM) in REPORTING for x in text[max(0, s - WINDOW) : s + WINDOW + 1])
+            out[i, 3 if inside else k] += o
+            out[i, 6] += reported
+            if not inside:
                 out[i, 4] = max(out[i, 4], o if k < 2 else 0.0)
         out[i, 5] = len(spots) / max(1, len(code))
     out[:, [0, 1, 2, 3, 6]] = np.log1p(out[:, [0, 1, 2, 3, 6]])
@@ -205,13 +223,14 @@ def _lexicon(texts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     total = texts.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     pos, n = int(total["p"] or 0), int(total["n"])
     if not pos or pos == n:
+        counts.unpersist()
         return {}, {}
     base, seen, have = pos / n, F.col("pos") + F.col("neg"), counts.count()
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (n - pos + 1))
     p = F.col("pos") / seen
     gain = seen * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
     top = counts.where(F.col("pos") > 0).withColumn("odds", odds).where((gain > math.log(max(have, 1) / 0.05)) & (F.col("odds") >= MIN_ODDS) & (F.col("contexts") >= MIN_CONTEXTS))
-    top = top.orderBy(F.desc(gain), "t").limit(4 * LEXICON).collect()
+    top = top.orderBy(F.desc(gain), "t").collect()  # terms of the bounded sample that pass the test
     counts.unpersist()
     terms = {r["t"]: r for r in top if not r["t"].endswith("*")}
     stems: dict[str, float] = {}
@@ -221,7 +240,7 @@ def _lexicon(texts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         # A stem that stands for hardly more than one word says nothing that the word doesn't.
         if not any(s.startswith(x) for x in stems) and r["pos"] > 1.2 * max(below, default=0):
             stems[s] = float(r["odds"])
-    whole = [t for t in terms if not any(t.startswith(s) for s in stems)][:LEXICON]
+    whole = [t for t in terms if not any(t.startswith(s) for s in stems)]
     return {t: float(terms[t]["odds"]) for t in whole}, stems
 
 

@@ -78,11 +78,26 @@ def test_cutoffs_hold_their_risk(spark):
     cut = quality_rules.calibrate(df, df.select("doc_id", "quality"), "stratum", risk=0.01)
     found = cut.collect()
     assert [r["stat"] for r in found] == ["symbol_share"]
-    assert found[0]["n_rejected"] <= 0.01 * found[0]["n_good"]
+    assert found[0]["n_rejected"] <= 0.01 * found[0]["n_good"] and found[0]["n_together"] == found[0]["n_rejected"]
     # eighty good rows can't prove a risk of one per cent
     assert quality_rules.calibrate(df.limit(80), df.select("doc_id", "quality"), "stratum").count() == 0
 
 
+def test_cutoffs_together_hold_their_risk(spark):
+    """Each of two statistics may reject 0.7 per cent of the good rows alone, not both of them together."""
+    rows = []
+    for i in range(40_000):
+        good = i < 30_000
+        a, b = (i < 210, 210 <= i < 420) if good else (i % 2 == 0, i % 2 == 1 and i % 10 < 8)
+        rows.append((i, "s", False, 0.5 if a else 0.0, 0.9 if b else 0.0, 0.0, 5.0, 0.0, 0.0, int(good)))
+    names = "doc_id long, stratum string, base_failed boolean, symbol_share double, dup_line_share double, repeat_share double, mean_word double, mark_share double, upper_share double, quality int"
+    df = spark.createDataFrame(rows, names)
+    found = quality_rules.calibrate(df, df.select("doc_id", "quality"), "stratum", risk=0.01).collect()
+    assert [(r["stat"], r["n_rejected"], r["n_together"]) for r in found] == [("symbol_share", 210, 210)]
+    both = {(r["stat"], r["n_together"]) for r in quality_rules.calibrate(df, df.select("doc_id", "quality"), "stratum", risk=0.02).collect()}
+    assert both == {("symbol_share", 210), ("dup_line_share", 420)}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -93,12 +108,17 @@ def edits(a, b):
     return row[-1]
 
 
-@settings(max_examples=200, deadline=None)
+def swapped(a, b):
+    return len(a) == len(b) and any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1))
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.text("abc", min_size=3, max_size=8))
 def test_automaton_matches_edit_distance(word):
-    terms = ["abcab", "aabbc", "cabcab", "bcabca", "abc"]
+    terms = ["abcab", "aabbc", "cabcab", "bcabca", "abc", "abac"]
     t = toxicity.Trie(terms)
-    near = sorted((edits(word, x), x) for x in terms if len(x) >= 5 and edits(word, x) <= 1)
+    one = lambda x: word != x and swapped(word, x)
+    near = sorted((0 if word == x else 1, x) for x in terms if (len(x) >= 5 and (edits(word, x) <= 1 or one(x))) or (len(x) == 4 and (word == x or one(x))))
     assert t.near(word) == ((near[0][1], near[0][0]) if near else None)
 
 
@@ -112,6 +132,9 @@ def test_quotation_counts_apart():
     assert x[1, 0] == 0 and x[1, 3] > 0 and x[1, 6] > 0
     assert x[2, 2] > 0 and x[2, 0] == 0
     assert not x[3].any() and not x[4].any()
+    inside = lambda t: toxicity.quoted(t.split(), [i for i, v in enumerate(t.split()) if "stupid" in v][0])
+    assert not inside('a 5" pipe and more . you are stupid') and not inside('"no" you are stupid "yes"') and not inside('you are stupid "yes"') and not inside('"you are stupid')
+    assert inside('"stupid"') and inside("« you are stupid »") and inside("„du bist stupid“, sagte") and inside('("stupid").') and inside("he wrote “you are stupid” there")
 
 
 def test_dual_descent_reaches_the_optimum():
