@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import RULES, SETS
+from .quality_rules import RULES
 
 GAP = r"[\x20\x09-\x0D]+"
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -38,10 +38,10 @@ def _op10(risk: float = 0.01, delta: float = 0.05) -> str:
     cells = [(i, s, a, c) for i, (s, a, cuts) in enumerate(RULES) for c in cuts]
     bad = lambda s, a, c: f"{s} {'>' if a else '<'} {c}"
     less = lambda chars: f"(length(t) - length(translate(t, '{chars}', '')))"
-    counted = " UNION ALL ".join(f"SELECT stratum, {i} AS rule, CAST({c} AS DOUBLE) AS cut, {a} AS above, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 0) AS nb, count(*) FILTER (q = 1 AND {bad(s, a, c)}) AS g, count(*) FILTER (q = 0 AND {bad(s, a, c)}) AS b FROM lab GROUP BY 1" for i, s, a, c in cells)
+    counted = " UNION ALL ".join(f"SELECT stratum, {i} AS rule, CAST({c} AS DOUBLE) AS cut, {a} AS above, count(*) FILTER (q = 1 AND NOT proves) AS n, count(*) FILTER (q = 0 AND NOT proves) AS nb, count(*) FILTER (q = 1 AND proves) AS np, count(*) FILTER (q = 1 AND NOT proves AND {bad(s, a, c)}) AS g, count(*) FILTER (q = 0 AND NOT proves AND {bad(s, a, c)}) AS b FROM lab GROUP BY 1" for i, s, a, c in cells)
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0 END"
-    tail = lambda g: f"list_sum(list_transform(range(0, {g} + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln({1 - risk}))))"
-    proven = lambda g: f"(CASE WHEN {g} >= n * {risk} THEN 1 ELSE {tail(g)} END) * (SELECT count(DISTINCT stratum) FROM lab) * {SETS} <= {delta}"
+    tail = lambda g, n: f"list_sum(list_transform(range(0, {g} + 1), lambda j: exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) + j * ln({risk}) + ({n} - j) * ln({1 - risk}))))"
+    cdf = lambda g, n: f"CASE WHEN {g} >= {n} * {risk} THEN 1 ELSE {tail(g, n)} END"
     hit = " OR ".join(f"(rule = {i} AND {s} {'>' if a else '<'} cut)" for i, (s, a, _) in enumerate(RULES))
     return f"""WITH p AS (SELECT doc_id, coalesce(lang, '?') AS stratum, coalesce(text, '') AS t, {_words("coalesce(text, '')")} AS ws FROM documents),
  tri AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, k) AS m FROM (SELECT doc_id, s, array_to_string(ws[s + 1:s + 3], ' ') AS k FROM p, unnest(range(greatest(len(ws) - 2, 0))) u(s))),
@@ -49,13 +49,13 @@ def _op10(risk: float = 0.01, delta: float = 0.05) -> str:
  ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM p) WHERE regexp_replace(x, '{GAP}', '', 'g') <> '' GROUP BY 1),
  s0 AS (SELECT p.doc_id, stratum, len(ws) AS n_words, length(regexp_replace(t, '{GAP}', '', 'g')) AS word_chars, {less('#*$%&|<>')} AS n_symbols, {less('!?')} AS marks, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS upper_n, coalesce(n_lines, 0) AS n_lines, coalesce(dup, 0) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words FROM p LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
  st AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {share('n_symbols', 'word_chars')} AS symbol_share, {share('n_dup_lines', 'n_lines')} AS dup_line_share, {share('n_repeat_words', 'n_words')} AS repeat_share, {share('word_chars', 'n_words')} AS mean_word, {share('marks', 'word_chars')} AS mark_share, {share('upper_n', 'word_chars')} AS upper_share FROM s0),
- lab AS (SELECT st.*, q FROM st JOIN (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL AND {_crc32('CAST(doc_id AS VARCHAR)')} % 5 <> 0 GROUP BY 1) l USING (doc_id) WHERE NOT base_failed),
+ lab AS (SELECT st.*, q, crc % 2 = 1 AS proves FROM st JOIN (SELECT doc_id, crc, max(quality) AS q FROM (SELECT *, {_crc32('CAST(doc_id AS VARCHAR)')} AS crc FROM labels) WHERE quality IS NOT NULL AND crc % 5 <> 0 GROUP BY 1, 2) l USING (doc_id) WHERE NOT base_failed),
  cnt AS ({counted}),
- safe AS (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY CASE WHEN above THEN cut ELSE -cut END) AS strict FROM cnt WHERE n > 0 AND b * n > g * nb AND {proven("g")}),
+ safe AS (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY CASE WHEN above THEN cut ELSE -cut END) AS strict FROM cnt WHERE n > 0 AND b * n > g * nb AND {cdf("g", "n")} <= {delta}),
  one AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY b DESC, rule) AS place FROM safe WHERE strict = 1),
- fst AS (SELECT doc_id, lab.stratum, min(place) AS place FROM lab JOIN one ON one.stratum = lab.stratum AND ({hit}) WHERE q = 1 GROUP BY 1, 2),
- tog AS (SELECT stratum, rule, cut, n, (SELECT count(*) FROM fst WHERE fst.stratum = one.stratum AND fst.place <= one.place) AS m FROM one),
- used AS (SELECT stratum, rule, cut FROM tog WHERE {proven("m")})
+ fst AS (SELECT doc_id, lab.stratum, min(place) AS place FROM lab JOIN one ON one.stratum = lab.stratum AND ({hit}) WHERE q = 1 AND proves GROUP BY 1, 2),
+ tog AS (SELECT stratum, rule, cut, np, (SELECT count(*) FROM fst WHERE fst.stratum = one.stratum AND fst.place <= one.place) AS m FROM one),
+ used AS (SELECT stratum, rule, cut FROM tog WHERE np > 0 AND ({cdf("m", "np")}) * (SELECT count(DISTINCT stratum) FROM lab) <= {delta})
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM used WHERE used.stratum = st.stratum AND ({hit})) AS kept, stratum FROM st"""
 
 

@@ -1,14 +1,15 @@
 """Quality rules with risk-controlled cut-offs.
 
 Fixed base rules reject texts that no cut-off may save. On top, each statistic
-of :data:`RULES` gets a cut-off per stratum. A cut-off is used only if an exact
-binomial test on labelled holdout rows shows that it rejects at most ``risk``
-of the good documents of its stratum, and a stratum's cut-offs are used together
-only as far as the same test shows it of the documents that any of them rejects.
-The error level ``delta`` is shared over all strata and all sets of cut-offs that
-could have been chosen (Bonferroni), so with probability ``1 - delta`` the rules
-of every stratum together keep the promise. Only DataFrame functions run: no
-Python touches a row.
+of :data:`RULES` gets a cut-off per stratum. One half of the labelled holdout
+rows (by the checksum of their ids) selects them: the strictest of a statistic
+that an exact binomial test lets pass, in the order of the bad documents they
+catch. The other half proves them: in that order, cut-offs are used as long as
+the exact test shows that those so far together reject at most ``risk`` of the
+good documents of the stratum. Such a sequence of tests, left at its first
+failure, needs no correction; the error level ``delta`` is shared over the
+strata (Bonferroni). So with probability ``1 - delta`` the rules of every stratum
+together keep the promise. Only DataFrame functions run: no Python touches a row.
 
 Risk and proof are about the good documents that pass the base rules. Defined
 results: a null or empty text has no words and fails the base rules;
@@ -39,8 +40,6 @@ RULES = (
     ("mark_share", True, (0.02, 0.05, 0.1)),
     ("upper_share", True, (0.1, 0.2, 0.4)),
 )
-#: Sets of cut-offs, one or none of each rule, that a stratum may end up with.
-SETS = math.prod(1 + len(cuts) for _, _, cuts in RULES)
 _POS = 31  # low bits of a key: the position; high bits: the hash of the trigram
 
 
@@ -113,44 +112,46 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(first) * (total["s"] + tail)))
 
 
+def proves(doc_id: Column) -> Column:
+    """Whether a labelled row is of the proving half."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 2 == 1
+
+
 def calibrate(stats: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """Cut-offs (stratum, rule, stat, above, cut, n_good, n_rejected, p_value, n_together, p_together) that the holdout proves safe, alone and together.
-
-    ``labels`` has doc_id and quality. Rows of both classes take part: of the
-    safe cut-offs of a statistic the strictest is used, and only if it catches
-    bad documents at a higher rate than good ones. They are then taken in the
-    order of the bad documents they catch, as long as the good documents that
-    the ones so far reject together stay within the proven risk. Everything is
-    counted in two passes over the labelled rows and one row per stratum and
+    """Cut-offs (stratum, rule, stat, above, cut, n_good, n_rejected, p_value) that the holdout proves safe.
+
+    ``labels`` has doc_id and quality. A cut-off is selected only if it catches
+    bad documents at a higher rate than good ones. ``n_rejected`` of ``n_good``
+    proving rows are rejected by this cut-off and those before it. Everything
+    is counted in two passes over the labelled rows and one row per stratum and
     cut-off.
     """
     lab = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_q"))
     cells = [(i, j, s, above, float(c)) for i, (s, above, cuts) in enumerate(RULES) for j, c in enumerate(cuts)]
-    base = stats.where(~F.col("base_failed")).select("doc_id", F.col(stratum).alias("stratum"), *sorted({r[0] for r in RULES})).join(lab, "doc_id")
+    base = stats.where(~F.col("base_failed")).select("doc_id", F.col(stratum).alias("stratum"), *sorted({r[0] for r in RULES})).join(lab, "doc_id").withColumn("_proves", proves(F.col("doc_id")))
     hit = lambda s, above, c: (F.col(s) > c) if above else (F.col(s) < c)
+    good, bad = ~F.col("_proves") & (F.col("_q") == 1), ~F.col("_proves") & (F.col("_q") == 0)
     counts = base.groupBy("stratum").agg(
-        F.count_if(F.col("_q") == 1).alias("n_good"), F.count_if(F.col("_q") == 0).alias("n_bad"),
-        *[F.count_if(hit(s, a, c) & (F.col("_q") == 1)).alias(f"g{i}_{j}") for i, j, s, a, c in cells],
-        *[F.count_if(hit(s, a, c) & (F.col("_q") == 0)).alias(f"b{i}_{j}") for i, j, s, a, c in cells],
+        F.count_if(good).alias("n_good"), F.count_if(bad).alias("n_bad"), F.count_if(F.col("_proves") & (F.col("_q") == 1)).alias("n_proving"),
+        *[F.count_if(hit(s, a, c) & good).alias(f"g{i}_{j}") for i, j, s, a, c in cells],
+        *[F.count_if(hit(s, a, c) & bad).alias(f"b{i}_{j}") for i, j, s, a, c in cells],
     )
-    row = lambda i, j, s, a, c: F.struct(F.lit(i).alias("rule"), F.lit(s).alias("stat"), F.lit(a).alias("above"), F.lit(c).alias("cut"), F.col(f"g{i}_{j}").alias("n_rejected"), F.col(f"b{i}_{j}").alias("n_caught"))
-    long = counts.select("stratum", "n_good", "n_bad", F.count("*").over(_all()).alias("_strata"), F.inline(F.array(*[row(*c) for c in cells])))
-    tested = long.withColumn("p_value", binomial_cdf(F.col("n_rejected"), F.col("n_good"), risk))
-    useful = F.col("n_caught") * F.col("n_good") > F.col("n_rejected") * F.col("n_bad")
-    proven = lambda p: p * F.col("_strata") * SETS <= delta
-    safe = tested.where((F.col("n_good") > 0) & useful & proven(F.col("p_value")))
+    row = lambda i, j, s, a, c: F.struct(F.lit(i).alias("rule"), F.lit(s).alias("stat"), F.lit(a).alias("above"), F.lit(c).alias("cut"), F.col(f"g{i}_{j}").alias("g"), F.col(f"b{i}_{j}").alias("b"))
+    long = counts.select("stratum", "n_good", "n_bad", "n_proving", F.count("*").over(_all()).alias("_strata"), F.inline(F.array(*[row(*c) for c in cells])))
+    useful = F.col("b") * F.col("n_good") > F.col("g") * F.col("n_bad")
+    safe = long.where((F.col("n_good") > 0) & useful & (binomial_cdf(F.col("g"), F.col("n_good"), risk) <= delta))
     strict = F.when(F.col("above"), -F.col("cut")).otherwise(F.col("cut"))
-    one = safe.groupBy("stratum", "rule", "stat", "above", "_strata").agg(*[F.max_by(c, strict).alias(c) for c in ("cut", "n_good", "n_rejected", "n_caught", "p_value")])
-    place = F.row_number().over(W.partitionBy("stratum").orderBy(F.desc("n_caught"), "rule"))  # as many rows as rules
-    one = one.withColumn("_place", place)
-    # The first of the chosen cut-offs that rejects each good document.
+    one = safe.groupBy("stratum", "rule", "stat", "above", "_strata", F.col("n_proving").alias("n_good")).agg(F.max_by("cut", strict).alias("cut"), F.max_by("b", strict).alias("b"))
+    one = one.withColumn("_place", F.row_number().over(W.partitionBy("stratum").orderBy(F.desc("b"), "rule")))  # as many rows as rules
+    # The first of the selected cut-offs that rejects each good document.
     per = one.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct("cut", "_place")))).alias("_cuts"))
     which = lambda i: F.try_element_at("_cuts", F.lit(i))
     first = F.least(*[F.when((F.col(s) > which(i)["cut"]) if above else (F.col(s) < which(i)["cut"]), which(i)["_place"]) for i, (s, above, _) in enumerate(RULES)])
-    hits = base.where("_q = 1").join(F.broadcast(per), "stratum").withColumn("_first", first).where("_first is not null").groupBy("stratum", F.col("_first").alias("_place")).agg(F.count("*").alias("_hits"))
+    hits = base.where("_proves and _q = 1").join(F.broadcast(per), "stratum").withColumn("_place", first).where("_place is not null").groupBy("stratum", "_place").agg(F.count("*").alias("_hits"))
     so_far = F.sum(F.coalesce("_hits", F.lit(0))).over(W.partitionBy("stratum").orderBy("_place"))
-    both = one.join(hits, ["stratum", "_place"], "left").withColumn("n_together", so_far).withColumn("p_together", binomial_cdf(F.col("n_together"), F.col("n_good"), risk))
-    return both.where(proven(F.col("p_together"))).select("stratum", "rule", "stat", "above", "cut", "n_good", "n_rejected", "p_value", "n_together", "p_together")
+    tested = one.join(hits, ["stratum", "_place"], "left").withColumn("n_rejected", so_far).withColumn("p_value", binomial_cdf(F.col("n_rejected"), F.col("n_good"), risk))
+    # The counts only grow along the sequence, so what passes comes before what fails.
+    return tested.where((F.col("n_good") > 0) & (F.col("p_value") * F.col("_strata") <= delta)).select("stratum", "rule", "stat", "above", "cut", "n_good", "n_rejected", "p_value")
 
 
 def _all():
