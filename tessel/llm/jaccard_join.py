@@ -8,23 +8,28 @@ similarity of at least ``percent`` / 100, found exactly:
    per class, the n-grams that no other class has. At a similarity t a class
    may keep at most (1 - t) of its n-grams to itself, so classes above that
    bound are dropped (:func:`lonely`).
-3. For the rest, n-grams are ordered (those of the low block first, rare ones
-   first). Two sets that meet the bound share one of their first
-   n - ceil(t n) + 1 n-grams; the columns of the product are cut to these.
-4. In each column, pairs are formed with one pivot member first, overlaps are
-   counted on the full sets and pairs below the size-derived bound discarded.
-   Classes that are already connected need no further pair, so a large group of
-   near copies costs a few pairs a member. After two rounds of pivots the
-   remaining pairs of short columns are formed one by one; classes that meet in
-   long columns are dealt into blocks, whose products are taken inside the tasks
-   (:func:`block_links`): a product returns at most one link a class, however
-   many pairs it compares.
-
-Hashes have 64 bits. Defined results: a text of fewer than n words is one n-gram
-of all its words; null texts and texts without words have the empty set and
-link with nothing; equal sets are linked; rows with a null doc_id are returned
-with a component of their own texts' smallest known doc_id, or null; rows that
-share a doc_id are compared each for themselves; extra columns are ignored.
+3. The columns (n-grams) of the rest are dealt into blocks. Each block's product
+   adds up, inside a task, how many of its columns each pair of classes shares;
+   pairs whose sizes can't meet the bound are left out; Spark sums the counts of
+   the blocks (:func:`block_products`). So the overlap of a pair is the sum over
+   all its columns of up to SHORT classes.
+4. What a pair may still share are columns of more classes. Pairs whose count and
+   number of these can't reach the bound are discarded, for the others the
+   overlap in them is added (:func:`counted`).
+5. Pairs that meet in such long columns only have nearly all their n-grams there.
+   Their columns are cut to the first l - ceil(t n) + 1 (rare ones first), one
+   of which such a pair must share, and in each a pivot member is compared
+   first: a large group of near copies costs a few pairs a member. After two
+   rounds of pivots the classes that still meet are dealt into blocks, whose
+   products are taken inside the tasks (:func:`block_links`).
+
+N-grams are compared by 64-bit hashes, sets by 128 bits: a class is named by 64
+of them, or if other classes have the same by a hash of all. Defined results: a
+text of fewer than n words is one n-gram of all its words; null texts and texts
+without words have the empty set and link with nothing; equal sets are linked;
+rows with a null doc_id are returned with a component of their own texts'
+smallest known doc_id, or null; rows that share a doc_id are compared each for
+themselves; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,15 +41,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ._graph import components
-from ._shared import materialize, table
+from ._shared import materialize, partitions, table
 from ._words import Words, word_slices
 
 FIRST_BLOCK = 0.25  # share of the n-gram hashes in the first product
-LOW_BLOCK = 0.5  # share of the n-gram hashes that come first in the order
 PIVOT_ROUNDS = 2
-SHORT = 32  # classes in a column up to which the remaining pairs are formed one by one
+SHORT = 32  # classes in a column up to which its pairs are counted
+SAMPLED, HOT = 64, 64  # a column with more than HOT of every SAMPLED-th class is hot: long for certain, and spread over all tasks
+HOT_BROADCAST = 1_000_000  # hot columns up to which their names are broadcast; beyond, they are joined by shuffle
 BLOCK_CLASSES, BLOCK_GRAMS = 1_024, 500_000  # size of a block of the product, in classes and in n-grams
 ACTIVE_BROADCAST = 1_000_000  # class representatives up to which their ids are broadcast
 
@@ -95,23 +102,28 @@ def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return r[keep], g[keep]
 
 
-def _digests(g: np.ndarray, cut: np.ndarray) -> np.ndarray:
+def _digests(g: np.ndarray, cut: np.ndarray, clash: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set: the class's name, and the rest."""
     import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(g[a:b].tobytes(), seed=b - a) for a, b in zip(cut.tolist(), cut[1:].tolist())], np.uint64).view(np.int64)
+    both = [xxhash.xxh3_128_intdigest(g[a:b].tobytes(), seed=b - a) for a, b in zip(cut.tolist(), cut[1:].tolist())]
+    low, high = (np.array([x >> s & (1 << 64) - 1 for x in both], np.uint64).view(np.int64) for s in (0, 64))
+    for i in np.flatnonzero(np.isin(low, np.array(sorted(clash), np.int64))).tolist() if clash else ():
+        low[i] = np.uint64(xxhash.xxh64_intdigest(both[i].to_bytes(16, "little"), seed=1)).astype(np.int64)
+    return low, high
 
 
-def _emit(n: int, what: str):
-    """mapInArrow functions over (doc_id, text): ``classes`` doc_id, n, cls; ``block`` gram, cls; ``sets`` cls, n, g."""
+def _emit(n: int, what: str, clash: frozenset[int] = frozenset()):
+    """mapInArrow functions over (doc_id, text): ``classes`` doc_id, n, cls, more; ``block`` gram, cls; ``sets`` cls, n, g. ``clash``: names of more than one class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in word_slices(b.column("text")):
                 r, g = shingle_sets(w, n)
                 cut = np.searchsorted(r, np.arange(w.n + 1))
-                cls, size = _digests(g, cut), np.diff(cut)
+                (cls, more), size = _digests(g, cut, clash), np.diff(cut)
                 if what == "classes":
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(w.first, w.n), pa.array(size), pa.array(cls)], ["doc_id", "n", "cls"])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(w.first, w.n), pa.array(size), pa.array(cls), pa.array(more)], ["doc_id", "n", "cls", "more"])
                 elif what == "block":
                     _, first = np.unique(cls, return_index=True)  # copies in one slice count once
                     lead = np.zeros(w.n, bool)
@@ -126,25 +138,124 @@ def _emit(n: int, what: str):
     return run
 
 
-def lonely(docs: DataFrame, n: int) -> DataFrame:
+def lonely(docs: DataFrame, n: int, clash: frozenset[int]) -> DataFrame:
     """(cls, own): n-grams of the first block that only this class has."""
-    rows = docs.mapInArrow(_emit(n, "block"), "gram long, cls long")
+    rows = docs.mapInArrow(_emit(n, "block", clash), "gram long, cls long")
     return rows.groupBy("gram").agg(F.min("cls").alias("cls"), F.max("cls").alias("_z")).where("cls = _z").groupBy("cls").agg(F.count("*").alias("own"))
 
 
-def _need(a: str, b: str, percent: int):
-    """Whether ``both`` shared n-grams are enough for sets of sizes a and b: 100 * both >= percent * union."""
-    return (100 + percent) * F.col("both") >= percent * (F.col(a) + F.col(b))
+def _need(percent: int, both="both"):
+    """Whether ``both`` shared n-grams are enough for sets of sizes na and nb: 100 * both >= percent * union."""
+    return (100 + percent) * (F.col(both) if isinstance(both, str) else both) >= percent * (F.col("na") + F.col("nb"))
+
+
+_CELL = "a long, b long, na long, nb long, both long, gram long"
+
+
+def _product(percent: int):
+    """The product of a block of columns, which come sorted: (a, b, na, nb, both) per pair of classes; members (a, na) of each column of more than SHORT classes with its gram."""
+    names = ["a", "b", "na", "nb", "both", "gram"]
+
+    def members(gram, cls, n):
+        none = pa.nulls(len(gram), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(cls), none, pa.array(n), none, none, pa.array(gram)], names)
+
+    def cells(gram, cls, n):
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        m = np.diff(np.append(first, len(gram)))
+        long = np.repeat(m > SHORT, m)
+        if long.any():
+            yield members(gram[long], cls[long], n[long])
+        ids, at = np.unique(cls, return_inverse=True)
+        size = np.zeros(len(ids), np.int64)
+        size[at] = n
+        keys = []
+        for k in np.unique(m[(m > 1) & (m <= SHORT)]).tolist():
+            rows = np.sort(at[first[m == k][:, None] + np.arange(k)], axis=1)
+            i, j = np.triu_indices(k, 1)
+            a, b = rows[:, i].ravel(), rows[:, j].ravel()
+            near = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+            keys.append(a[near] * len(ids) + b[near])
+        if keys:
+            key, both = np.unique(np.concatenate(keys), return_counts=True)
+            a, b = key // len(ids), key % len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(size[a]), pa.array(size[b]), pa.array(both.astype(np.int64)), pa.nulls(len(key), pa.int64())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, over = [], 0, None  # ``over``: the column at hand, if it is long already
+        for b in batches:
+            gram, cls, n = (b.column(c).to_numpy() for c in ("gram", "cls", "n"))
+            if not len(gram):
+                continue
+            if over is not None:
+                z = int(np.searchsorted(gram, over, side="right"))
+                if z:
+                    yield members(gram[:z], cls[:z], n[:z])
+                gram, cls, n = gram[z:], cls[z:], n[z:]
+                if not len(gram):
+                    continue
+                over = None
+            held.append((gram, cls, n))
+            count += len(gram)
+            if count < 200_000:
+                continue
+            gram, cls, n = (np.concatenate(x) for x in zip(*held))
+            new = np.ones(len(gram), bool)  # a class may come twice, from rows that share a doc_id
+            new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])
+            gram, cls, n = gram[new], cls[new], n[new]
+            z = int(np.searchsorted(gram, gram[-1]))
+            if z:
+                yield from cells(gram[:z], cls[:z], n[:z])
+            if len(gram) - z > SHORT:
+                over = gram[-1]
+                yield members(gram[z:], cls[z:], n[z:])
+                held, count = [], 0
+            else:
+                held, count = [(gram[z:], cls[z:], n[z:])], len(gram) - z
+        if held:
+            gram, cls, n = (np.concatenate(x) for x in zip(*held))
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])
+            yield from cells(gram[new], cls[new], n[new])
+
+    return run
+
+
+def block_products(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, na, nb, both): n-grams that pairs of classes share in columns of up to SHORT classes; (cls, n, gram): the members of longer columns."""
+    spark = sets.sparkSession
+    rows = sets.select(F.explode("g").alias("gram"), "cls", "n")
+    hot = materialize(rows.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLED)) == 0).groupBy("gram").agg(F.count_distinct("cls").alias("m")).where(F.col("m") > HOT).select("gram"), "jaccard-hot")
+    few = hot.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST
+    side = F.broadcast(hot) if few else hot
+    cool = rows.join(side, "gram", "left_anti").repartition(partitions(spark), "gram").sortWithinPartitions("gram", "cls")
+    out = materialize(cool.mapInArrow(_product(percent), _CELL), "jaccard-cells")
+    pairs = out.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("both").alias("both"))
+    long = out.where("b is null").select(F.col("a").alias("cls"), F.col("na").alias("n"), "gram").union(rows.join(side, "gram", "left_semi").select("cls", "n", "gram").distinct())
+    return pairs, long
+
+
+def counted(pairs: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """Pairs of :func:`block_products` that meet the bound, what they share in long columns added where it can matter."""
+    per = materialize(long.groupBy("cls").agg(F.count("*").alias("l"), F.collect_list("gram").alias("gl")), "jaccard-long")  # at most a class's own set
+    l = lambda side: per.select(F.col("cls").alias(side), F.col("l").alias(f"l{side}"))  # noqa: E731, E741
+    near = pairs.join(l("a"), "a", "left").join(l("b"), "b", "left").withColumn("more", F.coalesce(F.least("la", "lb"), F.lit(0)) * F.col("la").isNotNull().cast("long") * F.col("lb").isNotNull().cast("long"))
+    near = materialize(near.where(_need(percent, F.col("both") + F.col("more"))).select("a", "b", "na", "nb", "both"), "jaccard-near")
+    sure = near.where(_need(percent)).select("a", "b")
+    open_ = near.where(~_need(percent))
+    g = lambda side: per.select(F.col("cls").alias(side), F.col("gl").alias(f"g{side}"))
+    added = open_.join(g("a"), "a").join(g("b"), "b").where(_need(percent, F.col("both") + F.size(F.array_intersect("ga", "gb"))))
+    return sure.union(added.select("a", "b"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose overlap reaches the bound. b's set travels once a pair, a's once for each 1,024th of them."""
+    """The pairs (a, b, na, nb) of pivots whose overlap reaches the bound. b's set travels once a pair, a's once for each 1,024th of them."""
     salt = F.pmod(F.xxhash64("b"), F.lit(1024))
     p = pairs.withColumn("salt", salt)
     right = p.join(sets.select(F.col("cls").alias("b"), F.col("g").alias("gb")), "b")
     left = p.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), F.col("g").alias("ga")), "a")
     both = right.join(left, ["a", "salt"]).withColumn("both", F.size(F.array_intersect("ga", "gb")))
-    return both.where(_need("na", "nb", percent)).select("a", "b")
+    return both.where(_need(percent)).select("a", "b")
 
 
 def block_links(cls: np.ndarray, side: np.ndarray, size: np.ndarray, row: np.ndarray, gram: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,77 +346,78 @@ def _products(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links_of(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of the classes of ``sets`` (cls, n, g) that have links."""
-    spark = sets.sparkSession
-    low = F.least(F.col("n"), F.greatest(F.aggregate("g", F.lit(0), lambda s, x: s + (x < _limit(LOW_BLOCK)).cast("int")), F.col("p")))
-    sized = sets.withColumn("p", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")).withColumn("low", low)
-    rows = sized.select("cls", "n", "p", "low", F.explode(F.slice("g", F.lit(1), F.col("low"))).alias("gram"))
-    df = rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    from pyspark.sql import Window as W
-
-    shared = rows.join(df, "gram")
+    """(node, label) of the classes of ``sets`` (cls, n, g; one row a class) that have links."""
+    pairs, long = block_products(sets, percent)
+    long = materialize(long, "jaccard-members")
+    found = materialize(counted(pairs, long, percent), "jaccard-links")
+    labels = materialize(components(found), "jaccard-labels")
+
+    # Pairs without a short column in common: classes with nearly all n-grams in long columns, cut to the first few of these.
+    many = long.groupBy("cls").agg(F.count("*").alias("l"), F.first("n").alias("n")).withColumn("p", F.col("l") - F.ceil(F.col("n") * percent / 100) + 1)
+    many = many.where("p > 0")
+    if not many.limit(1).count():
+        return labels
+    df = long.groupBy("gram").agg(F.count("*").alias("df"))
+    salts = partitions(sets.sparkSession)
+    salt, all_salts = F.pmod(F.xxhash64("cls"), F.lit(salts)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    spread = lambda d: d.select("*", all_salts)  # noqa: E731  one row a column, for a join that hot columns don't hold up
+    inside = long.join(many.select("cls", "p"), "cls").select("*", salt).join(spread(df), ["gram", "salt"])
     w = W.partitionBy("cls")
-    tail = F.when(F.col("gram") < _limit(LOW_BLOCK), 0).otherwise(1)
-    place = F.row_number().over(w.orderBy(tail, "df", "gram")) + F.col("low") - F.count("*").over(w)
     # A text that others were copied from shares most of its n-grams with most of them: the best pivot.
-    hub = F.sum("df").over(w) / F.col("low")
-    posts = shared.withColumn("place", place).withColumn("hub", hub).where("place <= p").select("gram", "cls", "n", "hub")
-    posts = materialize(posts, "jaccard-posts")
-    many = posts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    posts = materialize(posts.join(many, "gram", "left_semi"), "jaccard-posts")
-    found = spark.createDataFrame([], "a long, b long")
-    labels = None
+    posts = inside.withColumn("place", F.row_number().over(w.orderBy("df", "gram"))).withColumn("hub", F.sum("df").over(w) / F.col("n"))
+    posts = materialize(posts.where("place <= p").select("gram", "cls", "n", "hub", "salt"), "jaccard-posts")
+    shared = posts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    posts = materialize(posts.join(spread(shared), ["gram", "salt"]), "jaccard-posts")
     tested = None
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
     for turn in range(PIVOT_ROUNDS + 1):
-        if labels is None:
-            some = posts.withColumn("label", F.col("cls")).withColumn("main", F.lit(None).cast("long"))
-        else:
-            now = posts.join(labels, posts["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
-            sizes = now.groupBy("gram", "label").agg(F.count("*").alias("k"))
-            main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
-            some = now.join(main, "gram")
-        if turn < PIVOT_ROUNDS:
-            # The pivot comes from outside the column's largest component, which earlier pivots have met.
-            outside = F.col("main").isNull() | (F.col("label") != F.col("main"))
-            pivot = some.where(outside).groupBy("gram").agg(F.max_by(F.struct("cls", "n", "label"), F.struct("hub", "cls")).alias("v"))
-            pairs = some.join(pivot, "gram").where(F.col("label") != F.col("v.label")).select(F.col("v.cls").alias("a"), F.col("v.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-        else:
-            # All that is left: pairs in short columns, and block products for the long ones.
-            some = materialize(some.select("gram", "cls", "n", "label"), "jaccard-rest")
-            size = some.groupBy("gram").agg(F.count("*").alias("m"), F.min("cls").alias("lead"))
-            long = some.join(size.where(F.col("m") > SHORT), "gram").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
-            long = materialize(long.distinct(), "jaccard-long")
-            if long.limit(1).count():
-                found = found.union(materialize(_products(components(long), sets, percent), "jaccard-links"))
-            short = some.join(size.where(F.col("m") <= SHORT).select("gram"), "gram")
-            left = short.select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            right = short.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = left.join(right, "gram").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))).select("a", "na", "b", "nb")
+        now = posts.join(labels, posts["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
+        sizes = now.groupBy("gram", "label").agg(F.count("*").alias("k"))
+        main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+        some = materialize(now.join(spread(main), ["gram", "salt"]), "jaccard-open")
+        if turn == PIVOT_ROUNDS:
+            break
+        # The pivot comes from outside the column's largest component, which earlier pivots have met.
+        pivot = some.where(F.col("label") != F.col("main")).groupBy("gram").agg(F.max_by(F.struct("cls", "n", "label"), F.struct("hub", "cls")).alias("v"))
+        pairs = some.join(spread(pivot), ["gram", "salt"]).where(F.col("label") != F.col("v.label")).select(F.col("v.cls").alias("a"), F.col("v.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
         pairs = pairs.where(near).distinct()
         if tested is not None:
             # A pair that failed before fails again, whichever end was the pivot.
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "jaccard-pairs")
-        good = materialize(_verify(pairs, sets, percent), "jaccard-links")
-        found = found.union(good)
+        found = found.union(materialize(_verify(pairs, sets, percent), "jaccard-links"))
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         labels = materialize(components(found), "jaccard-labels")
-    return labels if labels is not None else spark.createDataFrame([], "node long, label long")
+    if not some.limit(1).count():
+        return labels
+    # All that is left: products of the blocks of classes that still meet.
+    lead = some.groupBy("gram").agg(F.min("cls").alias("lead"))
+    meet = some.select("gram", "cls", "salt").join(spread(lead), ["gram", "salt"]).where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
+    return materialize(components(found.union(materialize(_products(components(meet), sets, percent), "jaccard-links"))), "jaccard-labels")
 
 
 def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    meta = materialize(docs.mapInArrow(_emit(n, "classes"), "doc_id long, n long, cls long"), "jaccard-classes")
-    classes = meta.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
-    own = lonely(docs, n)
+    meta = materialize(docs.mapInArrow(_emit(n, "classes"), "doc_id long, n long, cls long, more long"), "jaccard-classes")
+    classes = meta.where("n > 0").groupBy("cls", "more", "n").agg(F.min("doc_id").alias("rep"))
+    # Names that by chance stand for several classes: about one pair in 10**10 classes.
+    clash = frozenset(r["cls"] for r in classes.groupBy("cls").count().where("count > 1").select("cls").collect())
+    if clash:
+        meta = materialize(docs.mapInArrow(_emit(n, "classes", clash), "doc_id long, n long, cls long, more long"), "jaccard-classes")
+        classes = meta.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(classes.select("cls", "n", "rep"), "jaccard-names")
+    own = lonely(docs, n, clash)
     active = classes.join(own, "cls", "left").where(100 * F.coalesce("own", F.lit(0)) <= (100 - percent) * F.col("n")).where("rep is not null")
     active = materialize(active.select("cls", "n", "rep"), "jaccard-active")
     ids = active.select(F.col("rep").alias("doc_id"))
     small = active.count() <= ACTIVE_BROADCAST
     some = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    sets = materialize(some.mapInArrow(_emit(n, "sets"), "cls long, n long, g array<long>").where("n > 0"), "jaccard-sets")
+    # A row that shares its doc_id with a representative comes along; a class that comes twice counts once.
+    sets = some.mapInArrow(_emit(n, "sets", clash), "cls long, n long, g array<long>").where("n > 0")
+    if meta.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["cls"])
+    sets = materialize(sets, "jaccard-sets")
     labels = links_of(sets, percent)
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "n", "rep", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
