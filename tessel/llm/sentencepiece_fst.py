@@ -16,7 +16,8 @@ No piece holds U+2581 behind another character, so every path passes through
 the state between words; the words' paths are found once and remembered.
 
 Defined results: null and empty texts give no ids; texts with U+2581 itself are
-decoded with spaces there; unpaired surrogates become U+FFFD; repeated rows are
+decoded with spaces there; a chunk without a path of finite weight falls apart
+into characters, or their bytes; unpaired surrogates become U+FFFD; repeated rows are
 encoded each for themselves; an empty table gives no rows; extra columns are
 ignored.
 """
@@ -165,8 +166,8 @@ class Transducer:
                     turn.append(0)
                     break
             else:
-                if not steps:
-                    raise ValueError(f"no path for {chunk!r}")
+                if not steps:  # pieces that no merges make: characters, or their bytes
+                    return [(a, a + 1, self.ids.get(c, -2)) for a, c in enumerate(chunk)]
                 dead.add((i, last))
                 todo.pop()
                 turn.pop()

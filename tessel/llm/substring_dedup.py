@@ -9,14 +9,18 @@ document) is removed.
    probes it. Any window of a repeat holds a whole block of each of its
    occurrences, so every repeat is hit. Index and probes travel as packed hash
    columns, dealt by hash; runs that already meet inside one slice of texts
-   send one member for all, so a passage in very many documents stays small.
+   send one member for all, so a passage in very many documents stays small. The
+   number of parts that hashes are dealt into follows the size of the texts.
 2. Extension: around the hits, and only there, whole windows are compared by
-   128-bit hashes; all but the first occurrence are repeats. Overlapping
-   windows join to maximal repeats.
+   128-bit hashes made from 128-bit hashes of their words; all but the first
+   occurrence are repeats. A window in very many documents comes once from each
+   slice of texts. Overlapping windows join to maximal repeats, in both
+   directions from the hit.
 3. The covered words are removed.
 
 Defined results: null texts have no words; texts shorter than a window keep all
-words; rows with a null doc_id count as last; rows that share doc_id and text
+words; rows with a null doc_id count as last, in the order of a hash of their
+texts, with ids of 2**62 and more; rows that share doc_id and text
 are one occurrence and each keep what it keeps; rows that share a doc_id only
 are ordered by a hash of their texts; an empty table gives no rows; extra
 columns are ignored.
@@ -37,7 +41,8 @@ from ._shared import materialize, partitions, table
 from ._words import Words, word_slices
 from .jaccard_join import _mix, word_hashes
 
-LAST = 2**63 - 1  # stands for a null doc_id in the order
+LAST = 2**62  # where the order of rows without a doc_id begins
+BUCKET = 64 << 20  # bytes of text to a bucket of hashes, about
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -52,6 +57,14 @@ def rolling(h: np.ndarray, row: np.ndarray, size: int, seed: int = 0) -> tuple[n
     return _mix(g[at] + np.uint64(seed)), at
 
 
+def long_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit hash of each word of a slice, through its distinct words."""
+    from xxhash import xxh3_128_digest
+
+    both = np.frombuffer(b"".join(map(xxh3_128_digest, w.uniq.to_pylist())), "<u8").reshape(-1, 2)
+    return both[:, 0][w.code], both[:, 1][w.code]
+
+
 def _starts(w: Words) -> np.ndarray:
     size = np.bincount(w.row, minlength=w.n)
     return np.cumsum(size) - size
@@ -90,7 +103,7 @@ def _probes(size: int, window: int, buckets: int):
                 for kind, pick in ((0, order[send]), (1, order[local])):
                     if not len(pick):
                         continue
-                    key = ((h[pick] >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64) if kind == 0 else row[pick] % buckets
+                    key = ((h[pick] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64) if kind == 0 else row[pick] % buckets
                     o = np.lexsort((pos[pick], row[pick], key))
                     pick, key = pick[o], key[o]
                     for a, z in zip(*(lambda c: (c, [*c[1:], len(key)]))([0, *(np.flatnonzero(np.diff(key)) + 1).tolist()])):
@@ -125,7 +138,7 @@ def _meet(size: int, buckets: int):
                     continue
                 docs.append(d)
                 pos.append(p.astype(np.int32))
-                key.append((np.uint64(x["bucket"]) << np.uint64(40)) | (np.frombuffer(x["high"], "u1").astype(np.uint64) << np.uint64(32)) | np.frombuffer(x["low"], "<u4").astype(np.uint64))
+                key.append((np.uint64(x["bucket"] & 0xFFFFFF) << np.uint64(40)) | (np.frombuffer(x["high"], "u1").astype(np.uint64) << np.uint64(32)) | np.frombuffer(x["low"], "<u4").astype(np.uint64))
         if not key:
             return
         d, p, k = np.concatenate(docs), np.concatenate(pos), np.concatenate(key)
@@ -191,8 +204,8 @@ def _windows(size: int, window: int):
             cut = np.concatenate([[0], np.cumsum(per)])
             for w in word_slices(b.column("text")):
                 start, count = _starts(w), np.bincount(w.row, minlength=w.n)
-                wh = word_hashes(w, lower=False)
-                (h1, at), (h2, _) = rolling(wh, w.row, window), rolling(wh, w.row, window, 1)
+                low, high = long_hashes(w)
+                (h1, at), (h2, _) = rolling(low, w.row, window), rolling(high, w.row, window, 1)
                 # Starts in [q - (window - size), q] for a hit at q.
                 mark = np.zeros(len(w.row) + 1, np.int64)
                 for i in range(w.n):
@@ -280,9 +293,10 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     """``docs`` (doc_id, text and further columns) with n_words, n_removed and kept_text (kept words, one space apart); columns of these names are replaced."""
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    size, n = window // 2, 2 * partitions(spark)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    doc = F.coalesce(F.col("doc_id").cast("long"), LAST + F.pmod(F.xxhash64("text"), F.lit(LAST - 1)))
     text = docs.select(doc.alias("doc"), "text")
+    total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, n = window // 2, max(2 * partitions(spark), -(-total // BUCKET))
     probes = text.mapInArrow(_probes(size, window, n), _PROBE_SQL).repartition(n, "bucket")
     hits = probes.mapInArrow(_meet(size, n), _HIT_SQL).repartition(n, "bucket")
     hits = materialize(hits.mapInArrow(_by_doc, "doc long, hits array<int>"), "dedup-hits")

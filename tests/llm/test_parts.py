@@ -273,3 +273,36 @@ def test_transducer_matches_library(text):
     t = sentencepiece_fst.transducer(path)
     assert np.frombuffer(t.encode(text), "<u4").tolist() == sp.encode(text)
     assert t.decode(t.encode(text)) == text.replace("▁", " ")
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("abeht ing\u2581é日", min_size=1, max_size=9))
+def test_unigram_path_is_the_lightest(text):
+    """The tropical shortest path of a one-state grammar against all ways to cut the text."""
+    import public_tokenizers
+
+    t = sentencepiece_fst.transducer(public_tokenizers.path("piece_bpe_32k.model"), "unigram")
+
+    def weight(steps):
+        return sum(1e6 if i < 0 else -t.score[i] for _, _, i in steps)
+
+    def least(at, seen={}):
+        if at == len(text):
+            return 0.0
+        ways = [(z, -t.score[t.ids[text[at:z]]]) for z in range(at + 1, len(text) + 1) if text[at:z] in t.ids]
+        if text[at] not in t.ids:
+            ways.append((at + 1, 1e6))
+        return min(w + least(z) for z, w in ways)
+
+    steps = t._lightest(text)
+    assert [a for a, _, _ in steps] == [0, *(z for _, z, _ in steps[:-1])] and steps[-1][1] == len(text)
+    assert math.isclose(weight(steps), least(0))
+    assert t.decode(t.path(text)) == (text.replace("\u2581", " ")[1:] if text[0] in " \u2581" else text.replace("\u2581", " "))
+
+
+def test_path_of_unmergeable_pieces():
+    import public_tokenizers
+
+    t = sentencepiece_fst.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    t._side_by_side = lambda a, b: False
+    assert [t.pieces[i] if i >= 0 else "" for _, _, i in t._only("qzé")] == ["q", "z", "é"]
