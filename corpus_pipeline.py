@@ -2,14 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns a
 DataFrame that is written as Parquet and read again as the next stage's docs.
-All but the last return the columns of documents. Verdicts are about rows, not
-ids: rows without a doc_id or with the same one are judged each for themselves. SQL can't express the fitted
+All but the last return the columns of documents. SQL can't express the fitted
 stages, so ``ORACLE_SQL`` is None; tests compare the stages with brute force.
+
+Defined results, for every stage: verdicts are about rows, not ids, so rows
+without a doc_id, with the same one, or repeated are judged each for themselves
+(of equal rows the near-copy stage keeps one); null and empty texts fail the
+quality rules, and where they reach a later stage have no hits, no links, no
+repeats and one end id; an empty table gives an empty one; further columns are
+kept, also those with names that the operators use.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +74,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 ids."""
+    import public_tokenizers
+
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
 
 
