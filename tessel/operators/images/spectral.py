@@ -10,15 +10,32 @@ from pyspark.sql import functions as F
 from .tables import arrays_of, map_images
 
 
+def waves(n: int) -> np.ndarray:
+    """The matrix of the transform of length n."""
+    k = np.arange(n)
+    return np.exp(-2j * np.pi * (np.outer(k, k) % n) / n)
+
+
+def transform(a: np.ndarray) -> np.ndarray:
+    """The transform of one image or of a stack of them: two matrix products."""
+    return waves(a.shape[-2]) @ a @ waves(a.shape[-1])
+
+
+def inverse(f: np.ndarray) -> np.ndarray:
+    return waves(f.shape[-2]).conj() @ f @ waves(f.shape[-1]).conj() / (f.shape[-2] * f.shape[-1])
+
+
 def dft2d(images: DataFrame, scaled: bool = False) -> DataFrame:
     """(image_id, u, v, re, im) of gray images; ``scaled`` divides by the root of the pixel count."""
 
     def run(it):
         for p in it:
-            for i, a in arrays_of(p):
-                f = np.fft.fft2(a) / (np.sqrt(a.size) if scaled else 1)
-                u, v = np.mgrid[: a.shape[0], : a.shape[1]]
-                yield pd.DataFrame({"image_id": i, "u": u.ravel(), "v": v.ravel(), "re": f.real.ravel(), "im": f.imag.ravel()})
+            for _, same in p.groupby(["height", "width"]):  # images of one size as a stack
+                ids, stack = zip(*arrays_of(same))
+                a = np.stack(stack)
+                f = transform(a) / (np.sqrt(a[0].size) if scaled else 1)
+                i, u, v = (x.ravel() for x in np.mgrid[: a.shape[0], : a.shape[1], : a.shape[2]])
+                yield pd.DataFrame({"image_id": np.array(ids)[i], "u": u, "v": v, "re": f.real.ravel(), "im": f.imag.ravel()})
 
     return images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, "image_id long, u int, v int, re double, im double")
 
@@ -33,7 +50,7 @@ def idft2d(images: DataFrame, scaled: bool = False) -> DataFrame:
     """Inverse of two-channel images (re, im): the real part scaled to 0..255; ``scaled``: the absolute value of the scaled transform, clipped."""
 
     def back(a: np.ndarray) -> np.ndarray:
-        f = np.fft.ifft2(a[..., 0] + 1j * a[..., 1])
+        f = inverse(a[..., 0] + 1j * a[..., 1])
         return np.floor(np.round(np.clip(np.abs(f) * np.sqrt(f.size), 0, 255), 6)) if scaled else _scale(f.real)
 
     return map_images(images, back)
@@ -51,8 +68,7 @@ def low_pass_array(a: np.ndarray, by_ratio: float | None = None) -> np.ndarray:
     y, x = np.mgrid[:h, :w]
     far = np.sqrt((y - h // 2) ** 2 + (x - w // 2) ** 2)
     keep = far <= (h // 4 if by_ratio is None else w // 2 * by_ratio)
-    f = np.fft.ifftshift(np.fft.fftshift(np.fft.fft2(a)) * keep)
-    back = np.fft.ifft2(f)
+    back = inverse(transform(a) * np.roll(keep, (-(h // 2), -(w // 2)), (0, 1)))
     return _scale(back.real) if by_ratio is None else np.floor(np.round(np.clip(np.abs(back), 0, 255), 6))
 
 

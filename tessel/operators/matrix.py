@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranking import draw, draw_number
+
 
 def from_rows(df: DataFrame, row: str, array: str) -> DataFrame:
     return df.select(F.col(row).cast("long").alias("i"), F.posexplode(array).alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
@@ -20,7 +22,8 @@ def fill(spark: SparkSession, n: int, m: int, v: float | Column) -> DataFrame:
 
 
 def rand(spark: SparkSession, n: int, m: int, seed: int = 0) -> DataFrame:
-    return fill(spark, n, m, F.rand(seed))
+    """Numbers in [0, 1), from md5 draws of seed and cell."""
+    return fill(spark, n, m, draw_number(draw(seed, "i", "j")).cast("double") / float(16**15))
 
 
 def eye(spark: SparkSession, n: int) -> DataFrame:

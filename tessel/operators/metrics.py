@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .encode import categories
+from .encode import MAX_CATEGORIES, categories
 
 
 def accuracy(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -23,7 +23,14 @@ def confusion_matrix(df: DataFrame, y: str, pred: str, labels: list | None = Non
 
 def classification_report(df: DataFrame, y: str, pred: str) -> DataFrame:
     """(label, precision, recall, f1, support), then accuracy, macro avg and weighted avg; 0 where a division has no ground."""
-    cm = confusion_matrix(df, y, pred)
+    # One pass over the rows; a pair of labels each reaches the driver.
+    found = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(F.count("*").alias("n")).limit(MAX_CATEGORIES**2 + 1).collect()
+    labels = sorted({r["actual"] for r in found} | {r["predicted"] for r in found})
+    if len(labels) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} labels")
+    if not found:
+        return df.sparkSession.createDataFrame([], "label string, precision double, recall double, f1 double, support long")
+    cm = df.sparkSession.createDataFrame([tuple(r) for r in found] + [(a, a, 0) for a in labels], ["actual", "predicted", "n"])
     part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
     rows = cm.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support"), tp.alias("tp"))

@@ -103,7 +103,13 @@ def i9(spark, d):
     return n.select("image_id", "y", "x", *[F.round(c, 6).alias(c) for c in "rgb"]).join(back, ["image_id", "y", "x"])
 
 
-@query("i10_add_noise")
+def normal(seed: int, a: str, b: str, keys: str) -> str:
+    """A normal number by Box and Muller from the md5 draws tagged a and b."""
+    u = lambda tag: f"((CAST(CAST('0x' || substr(md5('{seed}|{tag}|' || {keys}), 1, 15) AS BIGINT) AS DOUBLE) + 1) / CAST({16**15} AS DOUBLE))"
+    return f"sqrt(-2 * ln({u(a)})) * cos(2 * pi() * {u(b)})"
+
+
+@query("i10_add_noise", f"SELECT image_id, y, x, round(v + 0.1 * {normal(0, 'a', 'b', "image_id || '|' || y || '|' || x")}, 6) AS v FROM {GRAY} p")
 def i10(spark, d):
     return pixel.add_noise(gray_px(spark, d), 0.1).withColumn("v", F.round("v", 6))
 
@@ -217,9 +223,14 @@ def g9(spark, d):
     return geometry.resize_nearest(gray_px(spark, d), 8, 8, 1.5).select("image_id", "y", "x", "v")
 
 
-BIL = f"""WITH p AS {GRAY}, t AS (SELECT a, b, a / 1.5 AS sy, b / 1.5 AS sx, least(7, CAST(floor(round(a / 1.5, 9)) AS INTEGER)) AS y1, least(7, CAST(floor(round(b / 1.5, 9)) AS INTEGER)) AS x1 FROM (SELECT unnest(range(12)) AS a), (SELECT unnest(range(12)) AS b))
- SELECT q11.image_id, CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS x, CAST(floor(round(q11.v * (1 - (sx - x1)) * (1 - (sy - y1)) + q21.v * (1 - (sx - x1)) * (sy - y1) + q12.v * (sx - x1) * (1 - (sy - y1)) + q22.v * (sx - x1) * (sy - y1), 9)) AS BIGINT) AS v
- FROM t JOIN p q11 ON q11.y = y1 AND q11.x = x1 JOIN p q21 ON q21.image_id = q11.image_id AND q21.y = y1 AND q21.x = least(7, x1 + 1) JOIN p q12 ON q12.image_id = q11.image_id AND q12.y = least(7, y1 + 1) AND q12.x = x1 JOIN p q22 ON q22.image_id = q11.image_id AND q22.y = least(7, y1 + 1) AND q22.x = least(7, x1 + 1)"""
+def at(p: str) -> str:
+    """Pixel number ``p`` of the 8x8 image of a vector."""
+    return f"CAST(least(255, greatest(0, floor((CAST(embedding[({p}) + 1] AS DOUBLE) + 1) * 127.5))) AS INTEGER)"
+
+
+BIL = f"""WITH t AS (SELECT a, b, a / 1.5 AS sy, b / 1.5 AS sx, least(7, CAST(floor(round(a / 1.5, 9)) AS INTEGER)) AS y1, least(7, CAST(floor(round(b / 1.5, 9)) AS INTEGER)) AS x1 FROM (SELECT unnest(range(12)) AS a), (SELECT unnest(range(12)) AS b)),
+ q AS (SELECT vec_id AS image_id, a, b, sy - y1 AS fy, sx - x1 AS fx, {at('y1 * 8 + x1')} AS q11, {at('y1 * 8 + least(7, x1 + 1)')} AS q21, {at('least(7, y1 + 1) * 8 + x1')} AS q12, {at('least(7, y1 + 1) * 8 + least(7, x1 + 1)')} AS q22 FROM embeddings, t)
+ SELECT image_id, CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS x, CAST(floor(round(q11 * (1 - fx) * (1 - fy) + q21 * (1 - fx) * fy + q12 * fx * (1 - fy) + q22 * fx * fy, 9)) AS BIGINT) AS v FROM q"""
 
 
 @query("g10_resize_bilinear", BIL)
@@ -236,8 +247,7 @@ def g11(spark, d):
 
 
 TPL = [[120, 130], [140, 110]]
-SSD = f"""WITH p AS {GRAY}, t AS (SELECT 0 AS ty, 0 AS tx, 120 AS tv UNION ALL SELECT 0, 1, 130 UNION ALL SELECT 1, 0, 140 UNION ALL SELECT 1, 1, 110),
- s AS (SELECT image_id, y - ty AS dy, x - tx AS dx, sum((v - tv) * (v - tv)) AS ssd FROM p, t WHERE y - ty BETWEEN 0 AND 5 AND x - tx BETWEEN 0 AND 5 GROUP BY 1, 2, 3),
+SSD = f"""WITH s AS (SELECT vec_id AS image_id, dy, dx, {' + '.join(f"power({at(f'(dy + {ty}) * 8 + dx + {tx}')} - {v}, 2)" for ty, r in enumerate(TPL) for tx, v in enumerate(r))} AS ssd FROM embeddings, (SELECT unnest(range(6)) AS dy), (SELECT unnest(range(6)) AS dx)),
  m AS (SELECT image_id, min_by(dy, ssd * 100 + dy * 8 + dx) AS y, min_by(dx, ssd * 100 + dy * 8 + dx) AS x, CAST(min(ssd) AS DOUBLE) AS ssd FROM s GROUP BY 1)"""
 
 
@@ -252,7 +262,7 @@ def g12p(spark, d):
     return geometry.template_match_pixels(gray_px(spark, d), t, 8, 8, 2, 2).withColumn("ssd", F.col("ssd").cast("double"))
 
 
-@query("g13_draw_box", SSD + " SELECT p.image_id, p.y, p.x, CASE WHEN (p.x BETWEEN m.x AND m.x + 2 AND p.y IN (m.y, m.y + 2)) OR (p.y BETWEEN m.y AND m.y + 2 AND p.x IN (m.x, m.x + 2)) THEN 255 ELSE v END AS v FROM p JOIN m USING (image_id)")
+@query("g13_draw_box", SSD + f", p AS (SELECT * FROM {GRAY} g)" + " SELECT p.image_id, p.y, p.x, CASE WHEN (p.x BETWEEN m.x AND m.x + 2 AND p.y IN (m.y, m.y + 2)) OR (p.y BETWEEN m.y AND m.y + 2 AND p.x IN (m.x, m.x + 2)) THEN 255 ELSE v END AS v FROM p JOIN m USING (image_id)")
 def g13(spark, d):
     return geometry.draw_box(gray_px(spark, d), geometry.template_match(gray(spark, d), np.array(TPL)), 2, 2)
 
@@ -283,9 +293,15 @@ def f2(spark, d):
     return spectral.quadrant_shift(spectral.dft2d(gray(spark, d)), 8, 8).select("image_id", "u", "v", (F.round("re", 4) + 0.0).alias("re"))
 
 
-@query("f3_low_pass")
+LOW = f"""WITH k AS (SELECT u, w FROM (SELECT unnest(range(32)) AS u), (SELECT unnest(range(32)) AS w) WHERE power((u + 16) % 32 - 16, 2) + power((w + 16) % 32 - 16, 2) <= 64),
+ f AS (SELECT image_id, u, w, sum(p.v * cos(-2 * pi() * ((p.y * u + p.x * w) % 32) / 32)) AS re, sum(p.v * sin(-2 * pi() * ((p.y * u + p.x * w) % 32) / 32)) AS im FROM {BIG} p, k GROUP BY 1, 2, 3),
+ b AS (SELECT image_id, y, x, round(sum(re * cos(2 * pi() * ((y * u + x * w) % 32) / 32) - im * sin(2 * pi() * ((y * u + x * w) % 32) / 32)) / 1024, 9) AS r FROM f, (SELECT unnest(range(32)) AS y), (SELECT unnest(range(32)) AS x) GROUP BY 1, 2, 3)
+ SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(floor(round((r - min(r) OVER q) / (max(r) OVER q - min(r) OVER q) * 255, 6)) AS BIGINT) AS v FROM b WINDOW q AS (PARTITION BY image_id)"""
+
+
+@query("f3_low_pass", LOW)
 def f3(spark, d):
-    return px(spectral.low_pass(big(spark, d)))
+    return px(spectral.low_pass(big(spark, d))).withColumn("v", F.col("v").cast("long"))
 
 
 @query("f4_log_spectrum", f"SELECT image_id, u, v, round(ln(sqrt(re * re + im * im) + 1), 4) AS log_abs FROM {DFT} f")

@@ -83,9 +83,15 @@ def k2(spark, d):
     return u.select("cluster", "n", *[F.round(c, 9).alias(c) for c in XS])
 
 
-@query("k3_kmeans_fit", _steps(4) + " SELECT vec_id, k AS cluster FROM a4")
+ROUNDS, TOL = 12, 0.02
+_MOVED = " UNION ALL ".join(f"SELECT {i} AS i, sqrt(sum(power(a.c0 - b.c0, 2) + power(a.c1 - b.c1, 2) + power(a.c2 - b.c2, 2))) AS d FROM c{i} a JOIN c{i + 1} b ON b.k = a.k" for i in range(ROUNDS))
+#: The stop: the first step that moves the centroids by less than TOL is taken back.
+_STOP = f", mv AS ({_MOVED}), stop AS (SELECT coalesce(min(i) FILTER (d < {TOL}), {ROUNDS}) AS i FROM mv)"
+
+
+@query("k3_kmeans_fit", _steps(ROUNDS).replace(" AS (SELECT", " AS MATERIALIZED (SELECT") + _STOP + " " + " UNION ALL ".join(f"SELECT vec_id, k AS cluster FROM a{i} WHERE (SELECT i FROM stop) = {i}" for i in range(ROUNDS + 1)))
 def k3(spark, d):
-    return kmeans.kmeans_fit(vectors(spark, d, 3), XS, START, max_iters=4, tol=0.0).labels.select("vec_id", "cluster")
+    return kmeans.kmeans_fit(vectors(spark, d, 3), XS, START, ROUNDS, TOL).labels.select("vec_id", "cluster")
 
 
 @query("k4_kmeans_history", _steps(3) + " " + " UNION ALL ".join(f"SELECT {i} AS iter, k AS cluster, n, round(c0, 9) AS x0, round(c1, 9) AS x1, round(c2, 9) AS x2 FROM c{i + 1}" for i in range(3)))
@@ -167,39 +173,71 @@ def c2(spark, d):
     return b.select("feature", F.round("thr", 6).alias("thr"), F.round("gain", 9).alias("gain"), F.col("n_left").cast("long").alias("n_left"), F.col("n_right").cast("long").alias("n_right"))
 
 
-STUMP = f"{CAND}, b AS (SELECT fi, thr, gain FROM s WHERE gain > 0 ORDER BY gain DESC, fi, thr LIMIT 1), side AS (SELECT t.*, CASE WHEN (CASE fi WHEN 0 THEN f0 ELSE f1 END) < thr THEN 2 ELSE 3 END AS node FROM t, b), cnt AS (SELECT node, y, count(*) AS n FROM side GROUP BY 1, 2), lab AS (SELECT node, max_by(y, row(n, -ascii(y))) AS pred, CAST(sum(n) AS BIGINT) AS n FROM cnt GROUP BY 1)"
+DEPTH = 4
 
 
-@query("c3_tree_fit", f"WITH {STUMP} SELECT CAST(1 AS BIGINT) AS node_id, 0 AS depth, false AS is_leaf, CASE fi WHEN 0 THEN 'p_size' ELSE 'p_retailprice' END AS feature, round(thr, 6) AS thr, (SELECT count(*) FROM t) AS n FROM b UNION ALL SELECT node, 1, true, NULL, NULL, n FROM lab")
-def c3(spark, d):
+def _cart(depth: int) -> str:
+    """Chained CTEs: t0 .. tn (rows with their node at each level), b0 .. (the splits made there), all splits b and the labels of all nodes."""
+    out = [f"t0 AS MATERIALIZED (SELECT *, 1 AS node FROM {PARTS})"]
+    for i in range(depth):
+        out += [
+            f"u{i} AS (SELECT node, 0 AS fi, f0 AS v, y FROM t{i} UNION ALL SELECT node, 1, f1, y FROM t{i})",
+            f"g{i} AS (SELECT node, fi, v, count(*) FILTER (y = 'a') AS a, count(*) FILTER (y = 'b') AS b, count(*) FILTER (y = 'c') AS c FROM u{i} GROUP BY 1, 2, 3)",
+            f"w{i} AS (SELECT node, fi, v, lead(v) OVER (PARTITION BY node, fi ORDER BY v) AS nxt, sum(a) OVER o AS l_a, sum(b) OVER o AS l_b, sum(c) OVER o AS l_c, sum(a) OVER p AS n_a, sum(b) OVER p AS n_b, sum(c) OVER p AS n_c FROM g{i} WINDOW o AS (PARTITION BY node, fi ORDER BY v), p AS (PARTITION BY node, fi))",
+            f"x{i} AS (SELECT *, l_a + l_b + l_c AS l, n_a + n_b + n_c AS n, n_a - l_a AS r_a, n_b - l_b AS r_b, n_c - l_c AS r_c, n_a + n_b + n_c - l_a - l_b - l_c AS r FROM w{i} WHERE nxt IS NOT NULL)",
+            f"s{i} AS (SELECT node, fi, (v + nxt) / 2 AS thr, l, r, round((1 - ({_G.format('n')})) - (l / n * (1 - ({_G.format('l')})) + r / n * (1 - ({_G.format('r')}))), 12) AS gain FROM x{i} WHERE l >= {LEAF} AND r >= {LEAF})",
+            f"b{i} AS MATERIALIZED (SELECT node, fi, thr, gain FROM s{i} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, fi, thr) = 1)",
+            f"t{i + 1} AS MATERIALIZED (SELECT t.p_partkey, t.f0, t.f1, t.y, CASE WHEN fi IS NULL THEN t.node WHEN (CASE fi WHEN 0 THEN f0 ELSE f1 END) < thr THEN 2 * t.node ELSE 2 * t.node + 1 END AS node FROM t{i} t LEFT JOIN b{i} b ON b.node = t.node)",
+        ]
+    out.append("b AS (" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(depth)) + ")")
+    out.append("cnt AS (" + " UNION ".join(f"SELECT node, y, count(*) AS n FROM t{i} GROUP BY 1, 2" for i in range(depth + 1)) + ")")
+    out.append("lab AS (SELECT node, max_by(y, row(n, -ascii(y))) AS pred, CAST(sum(n) AS BIGINT) AS n FROM cnt GROUP BY 1)")
+    return ", ".join(out)
+
+
+CART = _cart(DEPTH)
+
+
+_NODES = """ SELECT CAST(lab.node AS BIGINT) AS node_id, CAST(floor(log2(lab.node)) AS INTEGER) AS depth, b.node IS NULL AS is_leaf, pred, CASE fi WHEN 0 THEN 'p_size' WHEN 1 THEN 'p_retailprice' END AS feature, round(thr, 6) AS thr, round(gain, 9) AS gain, n,
+ CASE WHEN b.node IS NOT NULL THEN CAST(2 * b.node AS BIGINT) END AS left_id, CASE WHEN b.node IS NOT NULL THEN CAST(2 * b.node + 1 AS BIGINT) END AS right_id FROM lab LEFT JOIN b ON b.node = lab.node"""
+
+
+def nodes(spark, d, depth: int):
     p = parts(spark, d)
-    return tree.tree_fit(p, FEATURES, "y", 1, LEAF).table(p).select("node_id", "depth", "is_leaf", "feature", F.round("thr", 6).alias("thr"), "n")
+    return tree.tree_fit(p, FEATURES, "y", depth, LEAF).table(p).withColumns({"thr": F.round("thr", 6), "gain": F.round("gain", 9)})
+
+
+@query("c3_tree_fit", f"WITH {CART}" + _NODES)
+def c3(spark, d):
+    return nodes(spark, d, DEPTH)
 
 
-@query("c3_tree_fit_deep")
+@query("c3_tree_fit_deep", f"WITH {_cart(DEPTH + 2)}" + _NODES)
 def c3d(spark, d):
-    p = parts(spark, d)
-    return tree.tree_fit(p, FEATURES, "y", 4, LEAF).table(p)
+    return nodes(spark, d, DEPTH + 2)
 
 
-@query("c4_tree_predict", f"WITH {STUMP} SELECT p_partkey, pred FROM side JOIN lab USING (node)")
+@query("c4_tree_predict", f"WITH {CART} SELECT p_partkey, pred FROM t{DEPTH} JOIN lab USING (node)")
 def c4(spark, d):
     p = parts(spark, d)
-    return tree.tree_predict(p, tree.tree_fit(p, FEATURES, "y", 1, LEAF)).select("p_partkey", "pred")
+    return tree.tree_predict(p, tree.tree_fit(p, FEATURES, "y", DEPTH, LEAF)).select("p_partkey", "pred")
 
 
-@query("c5_tree_accuracy", f"WITH {STUMP} SELECT round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) AS n FROM side JOIN lab USING (node)")
+@query("c5_tree_accuracy", f"WITH {CART} SELECT round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) AS n FROM t{DEPTH} JOIN lab USING (node)")
 def c5(spark, d):
     p = parts(spark, d)
-    return tree.tree_accuracy(p, tree.tree_fit(p, FEATURES, "y", 1, LEAF), "y").withColumn("accuracy", F.round("accuracy", 9))
+    return tree.tree_accuracy(p, tree.tree_fit(p, FEATURES, "y", DEPTH, LEAF), "y").withColumn("accuracy", F.round("accuracy", 9))
+
+
+_DOWN = ", ".join(f"r{i + 1} AS (SELECT gx, gy, CASE WHEN fi IS NULL THEN r.node WHEN (CASE fi WHEN 0 THEN gx ELSE gy END) < thr THEN 2 * r.node ELSE 2 * r.node + 1 END AS node FROM r{i} r LEFT JOIN b{i} b ON b.node = r.node)" for i in range(DEPTH))
 
 
-@query("c6_grid_predict", f"""WITH {STUMP}, e AS (SELECT min(f0) - 1 AS x0, max(f0) + 1 AS x1, min(f1) - 1 AS y0, max(f1) + 1 AS y1 FROM t),
- gr AS (SELECT i, j, x0 + j * ((x1 - x0) / 299) AS gx, y0 + i * ((y1 - y0) / 299) AS gy FROM e, (SELECT unnest(range(300)) AS i), (SELECT unnest(range(300)) AS j))
- SELECT pred, count(*) AS n FROM (SELECT CASE WHEN (CASE fi WHEN 0 THEN gx ELSE gy END) < thr THEN 2 ELSE 3 END AS node FROM gr, b) JOIN lab USING (node) GROUP BY 1""")
+@query("c6_grid_predict", f"""WITH {CART}, e AS (SELECT min(f0) - 1 AS x0, max(f0) + 1 AS x1, min(f1) - 1 AS y0, max(f1) + 1 AS y1 FROM t0),
+ r0 AS (SELECT x0 + j * ((x1 - x0) / 299) AS gx, y0 + i * ((y1 - y0) / 299) AS gy, 1 AS node FROM e, (SELECT unnest(range(300)) AS i), (SELECT unnest(range(300)) AS j)), {_DOWN}
+ SELECT pred, count(*) AS n FROM r{DEPTH} JOIN lab USING (node) GROUP BY 1""")
 def c6(spark, d):
     p = parts(spark, d)
-    return tree.grid_predict(p, tree.tree_fit(p, FEATURES, "y", 1, LEAF), *FEATURES).groupBy("pred").agg(F.count("*").alias("n"))
+    return tree.grid_predict(p, tree.tree_fit(p, FEATURES, "y", DEPTH, LEAF), *FEATURES).groupBy("pred").agg(F.count("*").alias("n"))
 
 
 @query("c7_label_change_split", f"""WITH t AS {PARTS}, g AS (SELECT f1 AS v, y, count(*) AS k FROM t GROUP BY 1, 2),

@@ -13,8 +13,12 @@ from .registry import query, table
 
 
 def scratch(spark) -> str:
-    """A fresh folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-")
+    """A fresh folder that driver and executors share; only a local session may leave spark.checkpoint.dir unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors can write")
+        base = tempfile.mkdtemp(prefix="tessel-")
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
@@ -67,19 +71,32 @@ def s6(spark, d):
     return tables.read_model(spark, path).select("class", "n", F.round("prior", 9).alias("prior"))
 
 
-@query("s7_make_blobs", "SELECT CAST(i % 3 AS INTEGER) AS y, count(*) AS n FROM (SELECT unnest(range((SELECT count(*) FROM part))) AS i) GROUP BY 1")
+def _draw(seed: int, tag: str, key: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}|{tag}|' || {key}), 1, 15) AS BIGINT)"
+
+
+def _normal(seed: int, tag: str, key: str) -> str:
+    u = lambda x: f"((CAST({_draw(seed, tag + x, key)} AS DOUBLE) + 1) / CAST({16**15} AS DOUBLE))"
+    return f"sqrt(-2 * ln({u('u')})) * cos(2 * pi() * {u('v')})"
+
+
+CENTERS = [[-4.0, 1.0], [0.5, 6.0], [5.0, -3.0]]
+
+
+@query("s7_make_blobs", f"SELECT p_partkey, y, " + ", ".join(f"round(CASE y {' '.join(f'WHEN {k} THEN {c[j]}' for k, c in enumerate(CENTERS))} END + 3 * {_normal(10, f'x{j}', 'p_partkey')}, 6) AS x{j}" for j in (0, 1)) + f" FROM (SELECT p_partkey, CAST({_draw(10, 'y', 'p_partkey')} % 3 AS INTEGER) AS y FROM part) p")
 def s7(spark, d):
-    return synthetic.make_blobs(spark, table(spark, d, "part").count(), 3).groupBy("y").agg(F.count("*").alias("n"))
+    return synthetic.make_blobs(table(spark, d, "part"), "p_partkey", CENTERS).withColumns({c: F.round(c, 6) for c in ("x0", "x1")})
 
 
-@query("s8_make_linear")
+@query("s8_make_linear", f"SELECT p_partkey, round(f0, 6) AS feature_0, round(f1, 6) AS feature_1, round(f2, 6) AS feature_2, round(1.5 * f0 - 2 * f1 + 0.5 * f2 + 0.8 + 0.1 * e, 6) AS target FROM (SELECT p_partkey, {', '.join(f'{_normal(0, f"f{j}", "p_partkey")} AS f{j}' for j in range(3))}, {_normal(0, 'noise', 'p_partkey')} AS e FROM part) p")
 def s8(spark, d):
-    return synthetic.make_linear(spark, table(spark, d, "part").count(), [1.5, -2.0, 0.5], 0.8)
+    x = synthetic.make_linear(table(spark, d, "part"), "p_partkey", [1.5, -2.0, 0.5], 0.8)
+    return x.withColumns({c: F.round(c, 6) for c in x.columns[1:]})
 
 
-@query("s9_make_random_images")
+@query("s9_make_random_images", f"SELECT vec_id AS image_id, CAST({_draw(0, 'label', 'vec_id')} % 3 AS INTEGER) AS label, round(list_sum(list_transform(range(192), lambda i: CAST(CAST('0x' || substr(md5('0|' || vec_id || '|' || i), 1, 15) AS BIGINT) AS DOUBLE) / CAST({16**15} AS DOUBLE))) / 192, 6) AS mean FROM embeddings")
 def s9(spark, d):
-    p = synthetic.make_random_images(spark, table(spark, d, "embeddings").count(), size=8)
+    p = synthetic.make_random_images(table(spark, d, "embeddings"), "vec_id", size=8)
     return p.select("image_id", "label", F.round(F.aggregate("image", F.lit(0.0), lambda a, x: a + x) / F.size("image"), 6).alias("mean"))
 
 
