@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         # Done when all links lead straight to a root: none of their ends has a link of its own.
         onward = after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("b")
         split = after.groupBy("a").count().where("count > 1").select("a")
+        discard(edges)  # each round was computed from it when it was written
         edges = after
         if not onward.union(split).limit(1).count():
             break

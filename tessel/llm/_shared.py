@@ -13,6 +13,8 @@ GAP = r"[\x20\x09-\x0D]+"
 #: While a step is written: its shuffle files go when it is done, and texts travel to Python in small batches.
 _STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _OWN: dict[str, str] = {}
+#: Folders that materialize wrote and nobody has removed.
+WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +51,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    WRITTEN.append(path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that :func:`materialize` returned, once nothing will read them again."""
+    for t in tables:
+        remove(t.sparkSession, [t._written])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
 
 
 def words(text: Column | str) -> Column:

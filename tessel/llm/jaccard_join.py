@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._graph import components
-from ._shared import materialize, partitions, table
+from ._shared import discard, materialize, partitions, table
 from ._words import Words, word_slices
 
 FIRST_BLOCK = 0.25  # share of the n-gram hashes in the first product
@@ -222,7 +222,7 @@ def _product(percent: int):
 
 
 def block_products(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, na, nb, both): n-grams that pairs of classes share in columns of up to SHORT classes; (cls, n, gram): the members of longer columns."""
+    """(a, b, na, nb, both): n-grams that pairs of classes share in columns of up to SHORT classes; (cls, n, gram): the members of longer columns. Both are written tables."""
     spark = sets.sparkSession
     rows = sets.select(F.explode("g").alias("gram"), "cls", "n")
     hot = materialize(rows.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLED)) == 0).groupBy("gram").agg(F.count_distinct("cls").alias("m")).where(F.col("m") > HOT).select("gram"), "jaccard-hot")
@@ -232,6 +232,8 @@ def block_products(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     out = materialize(cool.mapInArrow(_product(percent), _CELL), "jaccard-cells")
     pairs = out.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("both").alias("both"))
     long = out.where("b is null").select(F.col("a").alias("cls"), F.col("na").alias("n"), "gram").union(rows.join(side, "gram", "left_semi").select("cls", "n", "gram").distinct())
+    pairs, long = materialize(pairs, "jaccard-counts"), materialize(long, "jaccard-members")
+    discard(out, hot)
     return pairs, long
 
 
@@ -348,8 +350,8 @@ def _products(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links_of(sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the classes of ``sets`` (cls, n, g; one row a class) that have links."""
     pairs, long = block_products(sets, percent)
-    long = materialize(long, "jaccard-members")
     found = materialize(counted(pairs, long, percent), "jaccard-links")
+    discard(pairs)
     labels = materialize(components(found), "jaccard-labels")
 
     # Pairs without a short column in common: classes with nearly all n-grams in long columns, cut to the first few of these.
@@ -419,6 +421,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         sets = sets.dropDuplicates(["cls"])
     sets = materialize(sets, "jaccard-sets")
     labels = links_of(sets, percent)
+    discard(sets, active)
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "n", "rep", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     component = named.join(least, "label").select("cls", "n", "component_id")

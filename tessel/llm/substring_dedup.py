@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import materialize, partitions, table
+from ._shared import discard, materialize, partitions, table
 from ._words import Words, word_slices
 from .jaccard_join import _mix, word_hashes
 
@@ -303,11 +303,13 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     near = text.join(hits, "doc")
     spans = near.mapInArrow(_windows(size, window), "h1 long, h2 long, doc long, tkey long, start int, starts array<int>")
     spans = materialize(spans, "dedup-windows")
+    discard(hits)
     first = W.partitionBy("h1", "h2").orderBy("doc", "tkey", "start")
     later = spans.where("h1 is not null").withColumn("_k", F.dense_rank().over(first)).where("_k > 1").groupBy("doc", "tkey").agg(F.collect_list("start").alias("starts"))
     again = spans.where("h1 is null").select("doc", "tkey", "starts").union(later)
     repeats = again.groupBy(F.col("doc").alias("_dedup_doc")).agg(F.collect_list(F.struct("tkey", "starts")).alias("_dedup_repeats"))
     repeats = materialize(repeats, "dedup-repeats")
+    discard(spans)
     out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
     return docs.withColumn("_dedup_doc", doc).join(repeats, "_dedup_doc", "left").drop("_dedup_doc").mapInArrow(_remove(window), out)
 
