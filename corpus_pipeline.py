@@ -15,10 +15,12 @@ kept, also those with names that the operators use.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm._shared import materialize, table
+from tessel.llm._shared import WRITTEN, materialize, remove, table
 from tessel.llm.jaccard_join import jaccard_join
 from tessel.llm.packing import pack
 from tessel.llm.quality_rules import quality_rules
@@ -26,6 +28,24 @@ from tessel.llm.substring_dedup import substring_dedup
 from tessel.llm.toxicity import fit, score
 
 
+_BEFORE: list[str] = []  # intermediate tables of the stage before
+
+
+def _stage(f):
+    """A stage that first removes the intermediate tables of the stage before: its result has been written by now. Those that ``docs`` itself still reads stay."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles()
+        remove(spark, [p for p in _BEFORE if not any(p.rsplit("/", 1)[-1] in x for x in files)])
+        held = set(WRITTEN)
+        out = f(spark, docs, sf_dir)
+        _BEFORE[:] = [p for p in WRITTEN if p not in held]
+        return out
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs``, written with a key for each row, and the key's name."""
     key = "_row"
@@ -40,6 +60,7 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     return docs.withColumnsRenamed(now), now
 
 
+@_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and every certified cut-off let through."""
     rows, key = _keyed(docs)
@@ -47,6 +68,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(bad, key, "left_anti").select(docs.columns)
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5."""
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -54,6 +76,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(rows, model).where("score < 0.5").select(*[F.col(now[c]).alias(c) for c in docs.columns])
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked by five-word shingles at a similarity of 0.8: the smallest id, a missing one last, rows of one id by a hash of their texts."""
     rows, key = _keyed(docs)
@@ -64,6 +87,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(first, key, "left_semi").select(docs.columns)
 
 
+@_stage
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 20 words or more that stand earlier in the corpus."""
     rows, now = _aside(docs, "n_words", "n_removed", "kept_text")
@@ -72,6 +96,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return d.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(now[c])).alias(c) for c in docs.columns])
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 ids."""
     import public_tokenizers
