@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .ranking import ordered_rank
 
 MAX_CATEGORIES = 1_000  # one column is made per category
 
@@ -32,9 +33,9 @@ def one_hot(col: str, n: int):
 
 
 def index_labels(df: DataFrame, col: str) -> DataFrame:
-    """(value, idx, n): distinct values, their place in sorted order and their count. The window spans the classes only."""
+    """(value, idx, n): distinct values, their place in sorted order and their count. However many they are, windows stay inside ranges of values."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("idx", F.row_number().over(W.orderBy("value")) - 1)
+    return ordered_rank(counts, "value", "idx").select("value", "n", "idx")
 
 
 def label_names(df: DataFrame, names: dict[int, str], col: str, out: str = "name") -> DataFrame:

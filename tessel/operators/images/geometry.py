@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from .tables import map_images
 
 
-def _grid(pixels: DataFrame, height: int, width: int, scale: float) -> DataFrame:
-    n_y, n_x = int(height * scale), int(width * scale)
-    g = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(n_y * n_x - 1))).alias("p"))
-    return g.select("image_id", F.expr(f"cast(p div {n_x} as int)").alias("ty"), (F.col("p") % n_x).alias("tx"))
+MAX_TEMPLATE = 1_024  # pixels of a template that meets pixel tables
 
 
 def resize_nearest(pixels: DataFrame, height: int, width: int, scale: float) -> DataFrame:
-    """Target (y, x) takes the source int(y / scale), int(x / scale), inside the image."""
-    src = lambda c, n: F.least(F.lit(n - 1), F.floor(F.round(F.col(c) / scale, 9)).cast("int"))
-    t = _grid(pixels, height, width, scale).withColumns({"y": src("ty", height), "x": src("tx", width)})
-    return t.join(pixels, ["image_id", "y", "x"]).drop("y", "x").withColumnsRenamed({"ty": "y", "tx": "x"})
+    """Target (y, x) takes the source int(y / scale), int(x / scale), inside the image. Each source pixel names its targets, so nothing is joined."""
+
+    def targets(c: str, n: int):
+        m, at = int(n * scale), F.col(c)
+        near = F.sequence(F.floor(at * scale).cast("int") - 1, F.ceil((at + 1) * scale).cast("int") + 1)
+        return F.explode(F.filter(near, lambda t: (t >= 0) & (t < m) & (F.least(F.lit(n - 1), F.floor(F.round(t / scale, 9)).cast("int")) == at)))
+
+    return pixels.withColumn("y", targets("y", height)).withColumn("x", targets("x", width))
 
 
 def bilinear_array(a: np.ndarray, scale: float, standard: bool = False) -> np.ndarray:
@@ -84,9 +85,12 @@ def template_match(images: DataFrame, template: np.ndarray, inclusive: bool = Fa
 
 
 def template_match_pixels(pixels: DataFrame, template: DataFrame, height: int, width: int, t_height: int, t_width: int) -> DataFrame:
-    """The same on pixel tables: the template (y, x, v) meets each pixel by offset; for templates of a few pixels."""
-    t = template.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("v").alias("tv"))
-    at = pixels.crossJoin(F.broadcast(t)).select("image_id", (F.col("y") - F.col("ty")).alias("dy"), (F.col("x") - F.col("tx")).alias("dx"), F.pow(F.col("v") - F.col("tv"), 2).alias("d"))
+    """The same on pixel tables: the template (y, x, v), of MAX_TEMPLATE pixels at most, meets each pixel by offset."""
+    t = template.select("y", "x", "v").limit(MAX_TEMPLATE + 1).collect()
+    if len(t) > MAX_TEMPLATE:
+        raise ValueError(f"a template of more than {MAX_TEMPLATE} pixels: use template_match")
+    meets = F.array(*[F.struct(F.lit(r["y"]).alias("ty"), F.lit(r["x"]).alias("tx"), F.lit(r["v"]).alias("tv")) for r in t])
+    at = pixels.select("image_id", "y", "x", "v", F.inline(meets)).select("image_id", (F.col("y") - F.col("ty")).alias("dy"), (F.col("x") - F.col("tx")).alias("dx"), F.pow(F.col("v") - F.col("tv"), 2).alias("d"))
     at = at.where((F.col("dy") >= 0) & (F.col("dx") >= 0) & (F.col("dy") < height - t_height) & (F.col("dx") < width - t_width))
     sums = at.groupBy("image_id", "dy", "dx").agg(F.sum("d").alias("ssd"))
     return sums.groupBy("image_id").agg(F.min_by(F.struct("dy", "dx", "ssd"), F.struct("ssd", "dy", "dx")).alias("b")).select("image_id", F.col("b.dy").alias("y"), F.col("b.dx").alias("x"), F.col("b.ssd").alias("ssd"))

@@ -20,8 +20,12 @@ from pyspark.sql import Window as W
 from .tables import arrays_of
 
 
-def gradients(pixels: DataFrame, variant: str = "A") -> DataFrame:
-    """Pixel table (image_id, y, x, v) with gx, gy, mag and ang (degrees in 0..180), by windows along rows and columns."""
+def gradients(pixels: DataFrame, variant: str = "A", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pixel table (image_id, y, x, v) as image_id, y, x, ``keep``, gx, gy, mag and ang (degrees in 0..180).
+
+    Images are shuffled once; windows along rows and columns both work inside that partitioning.
+    """
+    pixels = pixels.repartition("image_id")
     row, col = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
     lag = lambda w: F.lag("v").over(w)
     lead = lambda w: F.lead("v").over(w)
@@ -37,7 +41,7 @@ def gradients(pixels: DataFrame, variant: str = "A") -> DataFrame:
         d = pixels.withColumns({"gx": F.when(gx == 0, 1e-6).otherwise(gx), "gy": (F.coalesce(lead(col), here) - F.coalesce(lag(col), here)).cast("double")})
         ang = F.degrees(F.atan(F.col("gy") / F.col("gx")))
         ang = F.when(ang < 0, ang + 180).otherwise(ang)
-    return d.withColumns({"mag": F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), "ang": F.round(ang, 9)}).select("image_id", "y", "x", "gx", "gy", "mag", "ang")
+    return d.withColumns({"mag": F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), "ang": F.round(ang, 9)}).select("image_id", "y", "x", *keep, "gx", "gy", "mag", "ang")
 
 
 def quantize_orientation(ang: Column, variant: str = "A") -> Column:

@@ -22,11 +22,16 @@ def channels_last(data: Column, channels: int, height: int, width: int) -> Colum
     return F.transform(F.sequence(F.lit(0), F.lit(n * channels - 1)), lambda k: F.get(data, (k % channels) * n + (k / channels).cast("int")))
 
 
-def grayscale(pixels: DataFrame, truncate: bool = False, library: bool = False) -> DataFrame:
-    """(image_id, y, x, v): 0.2126 R + 0.7152 G + 0.0722 B, or the library's 0.299 / 0.587 / 0.114; truncated to whole numbers on request."""
+def gray_value(truncate: bool = False, library: bool = False) -> Column:
+    """0.2126 R + 0.7152 G + 0.0722 B, or the library's 0.299 / 0.587 / 0.114; truncated to whole numbers on request."""
     wr, wg, wb = (0.299, 0.587, 0.114) if library else (0.2126, 0.7152, 0.0722)
     v = F.round(F.col("r") * wr + F.col("g") * wg + F.col("b") * wb, 9)
-    return pixels.select("image_id", "y", "x", (v.cast("int") if truncate else v).alias("v"))
+    return v.cast("int") if truncate else v
+
+
+def grayscale(pixels: DataFrame, truncate: bool = False, library: bool = False) -> DataFrame:
+    """(image_id, y, x, v) with :func:`gray_value`."""
+    return pixels.select("image_id", "y", "x", gray_value(truncate, library).alias("v"))
 
 
 def bgr_to_hsv(pixels: DataFrame) -> DataFrame:
@@ -96,22 +101,30 @@ def random_flip(pixels: DataFrame, width: int, seed: int = 42) -> DataFrame:
 
 
 def random_crop(pixels: DataFrame, size: int = 32, pad: int = 4, seed: int = 42) -> DataFrame:
-    """Pad by zeros and crop ``size`` x ``size`` at a random offset: pixels move, those outside go, what is left empty is 0.
+    """Pad whole ``size`` x ``size`` images by zeros and crop them to that size at a random offset: pixels move, those outside go, what is left empty is 0.
 
-    One pass: the target grid of each image looks its source up by an equi-join.
+    Nothing is shuffled: each pixel moves by itself, and the one at the origin
+    also brings the empty places of its image.
     """
     offset = lambda tag: (draw_number(draw(seed, F.lit(tag), "image_id")) % (2 * pad + 1) - pad).cast("int")
-    grid = F.sequence(F.lit(0), F.lit(size * size - 1))
-    images = pixels.select("image_id").distinct().select("image_id", F.explode(grid).alias("p"))
-    target = images.select("image_id", F.expr(f"cast(p div {size} as int)").alias("y"), (F.col("p") % size).alias("x"))
-    source = pixels.withColumns({"y": F.col("y") - offset("dy"), "x": F.col("x") - offset("dx")})
-    return target.join(source, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("v", F.lit(0)).alias("v"))
+    outside = lambda e: (e < 0) | (e >= size)
+    d = pixels.select("image_id", "y", "x", F.coalesce("v", F.lit(0)).alias("v"), offset("dy").alias("_dy"), offset("dx").alias("_dx"))
+    cell = lambda y, x, v: F.struct(y.cast("int").alias("y"), x.cast("int").alias("x"), v.alias("v"))
+    moved = F.filter(F.array(cell(F.col("y") - F.col("_dy"), F.col("x") - F.col("_dx"), F.col("v"))), lambda s: ~outside(s["y"]) & ~outside(s["x"]))
+    none = F.lit(0).cast(d.schema["v"].dataType)
+    places = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda p: cell(F.floor(p / size), p % size, none))
+    empty = F.filter(places, lambda s: outside(s["y"] + F.col("_dy")) | outside(s["x"] + F.col("_dx")))
+    return d.select("image_id", F.inline(F.when((F.col("y") == 0) & (F.col("x") == 0), F.concat(moved, empty)).otherwise(moved)))
 
 
 def hsv_wheel(spark: SparkSession, size: int = 500) -> DataFrame:
     """(y, x, r, g, b in 0..1): hue by angle, value by radius, white outside the disc."""
+    return paint_wheel(spark.range(size * size).select(F.expr(f"cast(id div {size} as int)").alias("y"), (F.col("id") % size).cast("int").alias("x")), size)
+
+
+def paint_wheel(pixels: DataFrame, size: int) -> DataFrame:
+    """The wheel's r, g, b at the places of a table of ``size`` x ``size`` images."""
     c = size // 2
-    p = spark.range(size * size).select(F.expr(f"cast(id div {size} as int)").alias("y"), (F.col("id") % size).cast("int").alias("x"))
     dx, dy = F.col("x") - c, F.col("y") - c
     dist = F.sqrt((dx * dx + dy * dy).cast("double"))
     h6 = F.round((F.atan2(dy.cast("double"), dx.cast("double")) + math.pi) / (2 * math.pi) * 6, 9)
@@ -127,7 +140,7 @@ def hsv_wheel(spark: SparkSession, size: int = 500) -> DataFrame:
             e = e.when(sector == i, r[k])
         return e
 
-    return p.select("y", "x", part(0).alias("r"), part(1).alias("g"), part(2).alias("b"))
+    return pixels.withColumns({"r": part(0), "g": part(1), "b": part(2)})
 
 
 def minmax_scale(pixels: DataFrame, col: str = "v", top: float = 1.0, max_only: bool = False) -> DataFrame:

@@ -122,10 +122,12 @@ def _gradient(x: np.ndarray, y: np.ndarray, layers: Layers, loss: str) -> tuple[
 def train_mlp(df: DataFrame, features: str, target: str, layers: Layers, loss: str = "mse", optimizer: str = "adam", lr: float = 0.01, epochs: int = 50, batch: str | None = None) -> tuple[Layers, list[float]]:
     """Synchronous data-parallel training: each step every task returns one summed gradient, which are added and applied.
 
-    Full batches by default; with ``batch`` one step per value of that column.
+    Full batches by default; with ``batch`` one step per value of that column:
+    cached blocks are sorted by it, so that a step reads only blocks that hold it.
     Returns the layers and the loss of each epoch (before its updates, per row).
     """
-    spark, data = df.sparkSession, df.persist()
+    spark, data = df.sparkSession, df.select(features, target, *([batch] if batch else []))
+    data = (data.sortWithinPartitions(batch) if batch else data).persist()
     flat = np.concatenate([np.concatenate([w.ravel(), b]) for w, b in layers])
     shapes = [w.shape for w, _ in layers]
 

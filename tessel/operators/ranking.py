@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 RANGES = 200
+SAMPLE = 10_000  # values that bounds of ranges are taken from
 
 
 def draw(seed: int, *keys: Column | str) -> Column:
@@ -24,6 +25,7 @@ def global_rank(df: DataFrame, hashed: Column, out: str = "rank", within: list[s
 
     The first three digits deal the rows into 4,096 ordered, even buckets; only
     the buckets' counts meet in one place, rows are ranked inside their bucket.
+    The counts of many groups are joined as Spark finds fit by their size.
     """
     within = within or []
     d = df.withColumn("_h", hashed).withColumn("_b", F.substring("_h", 1, 3))
@@ -31,11 +33,10 @@ def global_rank(df: DataFrame, hashed: Column, out: str = "rank", within: list[s
     before = F.sum("_n").over(W.partitionBy(*within).orderBy("_b")) - F.col("_n")
     offsets = sizes.select(*within, "_b", before.alias("_before"))
     inside = F.row_number().over(W.partitionBy(*within, "_b").orderBy("_h"))
-    # Null-safe equality keeps rows whose group is null.
-    on = [d[c].eqNullSafe(offsets[c]) for c in [*within, "_b"]]
     j = d.withColumn("_in", inside)
+    # Null-safe equality keeps rows whose group is null.
     on = [j[c].eqNullSafe(offsets[c]) for c in [*within, "_b"]]
-    j = j.join(F.broadcast(offsets), on)  # at most 4,096 rows a group
+    j = j.join(offsets if within else F.broadcast(offsets), on)  # without groups at most 4,096 rows
     for c in [*within, "_b"]:
         j = j.drop(offsets[c])
     return j.withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_h", "_b", "_in", "_before")
@@ -51,6 +52,27 @@ def quantile_ranges(df: DataFrame, value: str, out: str = "_r") -> DataFrame:
     return df.crossJoin(F.broadcast(bounds)).withColumn(out, F.size(F.filter("_bounds", lambda b: b <= F.col(value)))).drop("_bounds")
 
 
+def ordered_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
+    """Add ``out``: 0-based rank by ``value``, of any type that can be ordered; equal values in any order, nulls last.
+
+    Bounds from a bounded sample of the values cut the rows into RANGES ordered
+    ranges, only whose counts meet in one task. A value that is a bound itself
+    comes first in its range, so that the rows of a frequent one can be dealt
+    into 64 further parts by a hash of the row; only rows equal in all columns stay together.
+    """
+    sample = df.select(F.col(value).alias("_v")).where("_v is not null").orderBy(F.xxhash64(*df.columns)).limit(SAMPLE)
+    some = sample.agg(F.sort_array(F.collect_list("_v")).alias("_s"))  # one row, SAMPLE values at most
+    bounds = some.select(F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.get("_s", F.floor(i * F.size("_s") / RANGES).cast("int"))).alias("_bounds"))
+    v = F.col(value)
+    d = df.crossJoin(F.broadcast(bounds)).withColumn("_r", F.when(v.isNull(), RANGES).otherwise(F.size(F.filter("_bounds", lambda b: b <= v))))
+    first = (F.col("_r") == RANGES) | F.get("_bounds", F.col("_r") - 1).eqNullSafe(v)
+    d = d.withColumn("_k", F.when(first, F.pmod(F.xxhash64(*df.columns), F.lit(64))).otherwise(64).cast("int")).drop("_bounds")
+    sizes = d.groupBy("_r", "_k").agg(F.count("*").alias("_n"))
+    before = sizes.select("_r", "_k", (F.sum("_n").over(W.orderBy("_r", "_k")) - F.col("_n")).alias("_before"))  # at most 65 rows a range
+    inside = F.row_number().over(W.partitionBy("_r", "_k").orderBy(value)) - 1
+    return d.withColumn("_in", inside).join(F.broadcast(before), ["_r", "_k"]).withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_r", "_k", "_in", "_before")
+
+
 def percentiles(df: DataFrame, value: str, at: list[float]) -> list[float]:
     """The exact percentiles of a column of doubles, as ``percentile`` defines them; nulls take no part.
 

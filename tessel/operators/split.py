@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ranking import draw, draw_number, global_rank
+from .ranking import draw, draw_number, global_rank, ordered_rank
 
 
 def train_test_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
@@ -33,7 +33,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, see
     per = per.withColumn("_m", missing).withColumn("_k", F.row_number().over(every.orderBy(F.desc("_r"), "_c")))
     quota = per.select("_c", (F.col("_q") + (F.col("_k") <= F.col("_m")).cast("long")).alias("_quota"))
     ranked = global_rank(df, draw(seed, key), within=[label])
-    return ranked.join(F.broadcast(quota), F.col(label).eqNullSafe(F.col("_c"))).withColumn("is_test", F.col("rank") <= F.col("_quota")).drop("rank", "_c", "_quota")
+    return ranked.join(quota, F.col(label).eqNullSafe(F.col("_c"))).withColumn("is_test", F.col("rank") <= F.col("_quota")).drop("rank", "_c", "_quota")
 
 
 def sample_k(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -50,18 +50,9 @@ def sample_with_replacement(df: DataFrame, key: str, k: int, seed: int = 42) ->
 
 
 def assign_batches(df: DataFrame, key: str, size: int, shuffle: bool = True, seed: int = 42) -> DataFrame:
-    """Add ``batch_id``; the last batch may be short. Unshuffled batches follow the key (an integer)."""
-    order = draw(seed, key) if shuffle else F.lpad(F.hex(F.col(key).cast("long")), 16, "0")
-    if shuffle:
-        return global_rank(df, order).withColumn("batch_id", F.expr(f"(rank - 1) div {size}")).drop("rank")
-    # Source order: range buckets of the key in place of hash buckets.
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    span = max(1, ((hi or 0) - (lo or 0)) // 4096 + 1)
-    d = df.withColumn("_b", F.expr(f"(`{key}` - {lo or 0}) div {span}"))
-    sizes = d.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_before"))
-    d = d.withColumn("_in", F.row_number().over(W.partitionBy("_b").orderBy(key)) - 1).join(F.broadcast(before), "_b")
-    return d.withColumn("batch_id", F.expr(f"(_before + _in) div {size}")).drop("_b", "_in", "_before")
+    """Add ``batch_id``; the last batch may be short. Unshuffled batches follow the key."""
+    ranked = global_rank(df, draw(seed, key)).withColumn("rank", F.col("rank") - 1) if shuffle else ordered_rank(df, key)
+    return ranked.withColumn("batch_id", F.expr(f"rank div {size}")).drop("rank")
 
 
 def batch_shapes(df: DataFrame, first: int = 3) -> DataFrame:

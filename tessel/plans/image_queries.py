@@ -13,8 +13,10 @@ from .registry import query, table
 
 PX = "CAST(least(255, greatest(0, floor((CAST(embedding[p + 1] AS DOUBLE) + 1) * 127.5))) AS INTEGER)"
 GRAY = f"(SELECT vec_id AS image_id, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x, {PX} AS v FROM embeddings, (SELECT unnest(range(64)) AS p))"
-BIG = f"(SELECT * FROM (SELECT vec_id // 16 AS image_id, CAST(vec_id % 16 // 4 * 8 + p // 8 AS INTEGER) AS y, CAST(vec_id % 4 * 8 + p % 8 AS INTEGER) AS x, {PX} AS v, count(*) OVER (PARTITION BY vec_id // 16) AS n FROM embeddings, (SELECT unnest(range(64)) AS p)) WHERE n = 1024)"
-RGB = f"(SELECT image_id, y, x, max(v) FILTER (c = 0) AS b, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS r FROM (SELECT vec_id // 48 AS image_id, vec_id % 48 // 16 AS c, CAST(vec_id % 48 % 16 // 4 * 8 + p // 8 AS INTEGER) AS y, CAST(vec_id % 48 % 4 * 8 + p % 8 AS INTEGER) AS x, {PX} AS v, count(*) OVER (PARTITION BY vec_id // 48) AS n FROM embeddings, (SELECT unnest(range(64)) AS p)) WHERE n = 3072 GROUP BY 1, 2, 3)"
+#: All places of a 32x32 image of ``per`` vectors; those of missing vectors are 0.
+PLACES = "(SELECT image_id, CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS x FROM (SELECT DISTINCT vec_id // {per} AS image_id FROM embeddings), (SELECT unnest(range(32)) AS a), (SELECT unnest(range(32)) AS b))"
+BIG = f"(SELECT image_id, y, x, coalesce(f.v, 0) AS v FROM {PLACES.format(per=16)} LEFT JOIN (SELECT vec_id // 16 AS image_id, CAST(vec_id % 16 // 4 * 8 + p // 8 AS INTEGER) AS y, CAST(vec_id % 4 * 8 + p % 8 AS INTEGER) AS x, {PX} AS v FROM embeddings, (SELECT unnest(range(64)) AS p)) f USING (image_id, y, x))"
+RGB = f"(SELECT image_id, y, x, coalesce(max(f.v) FILTER (c = 0), 0) AS b, coalesce(max(f.v) FILTER (c = 1), 0) AS g, coalesce(max(f.v) FILTER (c = 2), 0) AS r FROM {PLACES.format(per=48)} LEFT JOIN (SELECT vec_id // 48 AS image_id, vec_id % 48 // 16 AS c, CAST(vec_id % 48 % 16 // 4 * 8 + p // 8 AS INTEGER) AS y, CAST(vec_id % 48 % 4 * 8 + p % 8 AS INTEGER) AS x, {PX} AS v FROM embeddings, (SELECT unnest(range(64)) AS p)) f USING (image_id, y, x) GROUP BY 1, 2, 3)"
 
 
 def gray(spark, d):
@@ -53,7 +55,7 @@ def i2(spark, d):
 @query("i3_grayscale", f"SELECT image_id, y, x, round(CAST(0.2126 AS DOUBLE) * r + 0.7152 * g + 0.0722 * b, 6) AS v, CAST(trunc(round(0.299 * r + 0.587 * g + 0.114 * b, 9)) AS INTEGER) AS library FROM {RGB} p")
 def i3(spark, d):
     p = rgb(spark, d)
-    return pixel.grayscale(p).withColumn("v", F.round("v", 6)).join(pixel.grayscale(p, truncate=True, library=True).withColumnRenamed("v", "library"), ["image_id", "y", "x"])
+    return p.select("image_id", "y", "x", F.round(pixel.gray_value(), 6).alias("v"), pixel.gray_value(truncate=True, library=True).alias("library"))
 
 
 HSV = f"""(SELECT image_id, y, x, b, g, r, CASE WHEN hi = lo THEN 0.0 WHEN lo = b THEN 60 * (g - r) / (hi - lo) + 60 WHEN lo = r THEN 60 * (b - g) / (hi - lo) + 180 ELSE 60 * (r - b) / (hi - lo) + 300 END AS h, (hi - lo) AS s, hi AS v
@@ -98,9 +100,9 @@ MEAN, STD = (0.5, 0.45, 0.4), (0.25, 0.2, 0.22)
 
 @query("i9_normalize_channels", f"SELECT image_id, y, x, " + ", ".join(f"round(({c} / 255 - {m}) / {s}, 6) AS {c}, round({c} / 255, 6) AS back_{c}" for c, m, s in zip("rgb", MEAN, STD)) + f" FROM {RGB} p")
 def i9(spark, d):
-    n = pixel.normalize_channels(rgb(spark, d), MEAN, STD)
-    back = pixel.denormalize(n, MEAN, STD).select("image_id", "y", "x", *[F.round(c, 6).alias(f"back_{c}") for c in "rgb"])
-    return n.select("image_id", "y", "x", *[F.round(c, 6).alias(c) for c in "rgb"]).join(back, ["image_id", "y", "x"])
+    n = pixel.normalize_channels(rgb(spark, d), MEAN, STD).withColumns({f"n_{c}": F.col(c) for c in "rgb"})
+    back = pixel.denormalize(n, MEAN, STD)
+    return back.select("image_id", "y", "x", *[F.round(f"n_{c}", 6).alias(c) for c in "rgb"], *[F.round(c, 6).alias(f"back_{c}") for c in "rgb"])
 
 
 def normal(seed: int, a: str, b: str, keys: str) -> str:
@@ -125,17 +127,23 @@ def i11(spark, d):
     return pixel.random_crop(pixel.random_flip(px(big(spark, d)), 32))
 
 
-@query("i12_hsv_wheel")
+def _wheel() -> str:
+    rows = [("v", "t", "0"), ("q", "v", "0"), ("0", "v", "t"), ("0", "q", "v"), ("t", "0", "v"), ("v", "0", "q")]
+    part = lambda k: "round(CASE WHEN v > 1 THEN 1 " + " ".join(f"WHEN s = {i} THEN {r[k]}" for i, r in enumerate(rows)) + " END, 6)"
+    return ", ".join(f"{part(k)} AS {c}" for k, c in enumerate("rgb"))
+
+
+@query("i12_hsv_wheel", f"""WITH a AS (SELECT image_id, y, x, sqrt(CAST((x - 16) * (x - 16) + (y - 16) * (y - 16) AS DOUBLE)) / 16 AS v, round((atan2(y - 16, x - 16) + pi()) / (2 * pi()) * 6, 9) AS h FROM {BIG} p),
+ w AS (SELECT image_id, y, x, v, CAST(floor(h) AS INTEGER) % 6 AS s, v * (1 - (h - floor(h))) AS q, v * (h - floor(h)) AS t FROM a) SELECT image_id, y, x, {_wheel()} FROM w""")
 def i12(spark, d):
-    size = max(16, int(math.sqrt(table(spark, d, "embeddings").count())) * 2)
-    return pixel.hsv_wheel(spark, size).select("y", "x", *[F.round(c, 6).alias(c) for c in "rgb"])
+    return pixel.paint_wheel(px(big(spark, d)), 32).select("image_id", "y", "x", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
 @query("i13_minmax_scale", f"SELECT image_id, y, x, round(coalesce((v - min(v) OVER w) / nullif(CAST(max(v) OVER w - min(v) OVER w AS DOUBLE), 0), 0) * 255, 6) AS v, round(v / max(v) OVER w, 6) AS m FROM {GRAY} p WINDOW w AS (PARTITION BY image_id)")
 def i13(spark, d):
-    p = gray_px(spark, d).withColumn("v", F.col("v").cast("double"))
-    a = pixel.minmax_scale(p, top=255.0).withColumn("v", F.round("v", 6))
-    return a.join(pixel.minmax_scale(p, max_only=True).select("image_id", "y", "x", F.round("v", 6).alias("m")), ["image_id", "y", "x"])
+    p = gray_px(spark, d).withColumns({c: F.col("v").cast("double") for c in "vm"})
+    both = pixel.minmax_scale(pixel.minmax_scale(p, top=255.0), "m", max_only=True)
+    return both.withColumns({c: F.round(c, 6) for c in "vm"})
 
 
 # --- neighbourhoods ----------------------------------------------------------
@@ -330,9 +338,9 @@ BINA, BINB = "CASE WHEN floor(ang / 20) BETWEEN 0 AND 8 THEN CAST(floor(ang / 20
 
 @query("h2_quantize_orientation", f"SELECT a.image_id, a.y, a.x, {BINA.replace('ang', 'a.ang')} AS bin_a, {BINB.replace('ang', 'b.ang')} AS bin_b FROM {GRA} a JOIN {GRB} b USING (image_id, y, x)")
 def h2(spark, d):
-    p = px(big(spark, d))
-    a = hog.gradients(p).select("image_id", "y", "x", hog.quantize_orientation(F.col("ang")).alias("bin_a"))
-    return a.join(hog.gradients(p, "B").select("image_id", "y", "x", hog.quantize_orientation(F.col("ang"), "B").alias("bin_b")), ["image_id", "y", "x"])
+    a = hog.gradients(px(big(spark, d)), keep=("v",)).withColumn("bin_a", hog.quantize_orientation(F.col("ang")))
+    b = hog.gradients(a.select("image_id", "y", "x", "v", "bin_a"), "B", keep=("bin_a",))
+    return b.select("image_id", "y", "x", "bin_a", hog.quantize_orientation(F.col("ang"), "B").alias("bin_b"))
 
 
 CELL = f"(SELECT image_id, cy, cx, CAST(b AS INTEGER) AS bin, sum(CASE WHEN bin = b THEN mag ELSE 0 END) AS m FROM (SELECT image_id, y // 8 AS cy, x // 8 AS cx, {BINA} AS bin, mag FROM {GRA} g), (SELECT unnest(range(9)) AS b) GROUP BY 1, 2, 3, 4)"

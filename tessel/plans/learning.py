@@ -349,7 +349,8 @@ def n5(spark, d):
     return spark.createDataFrame([(i + 1, float(round(x, 6))) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
-@query("n6_parameter_count", "SELECT label AS layer, CAST(64 * count(*) AS BIGINT) AS n_params FROM embeddings GROUP BY 1 UNION ALL SELECT NULL, CAST(64 * count(*) AS BIGINT) FROM embeddings")
+@query("n6_parameter_count", """WITH s AS (SELECT max(len(embedding)) AS d, count(DISTINCT label) AS k FROM embeddings)
+ SELECT layer, CAST(sum(n) AS BIGINT) AS n_params FROM (SELECT 0 AS layer, d * 16 + 16 AS n FROM s UNION ALL SELECT 1, 16 * k + k FROM s) GROUP BY GROUPING SETS ((layer), ())""")
 def n6(spark, d):
-    m = table(spark, d, "embeddings").select(F.col("label").alias("layer"), F.size("embedding").cast("long").alias("n_params"))
-    return network.parameter_count(m)
+    n = table(spark, d, "embeddings").agg(F.max(F.size("embedding")).alias("d"), F.countDistinct("label").alias("k")).first()
+    return network.parameter_count(network.layer_table(spark, network.init_layers([n["d"], 16, n["k"]])))

@@ -49,8 +49,10 @@ def s3(spark, d):
 @query("s4_image_table", """SELECT vec_id AS image_id, 8 AS height, 8 AS width, 1 AS channels,
  CAST(list_sum(list_transform(embedding, lambda x: least(255, greatest(0, floor((CAST(x AS DOUBLE) + 1) * 127.5))))) AS BIGINT) AS total FROM embeddings""")
 def s4(spark, d):
-    v = images.vector_images(table(spark, d, "embeddings"))
-    return v.withColumn("total", F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x)).drop("data")
+    path = scratch(spark)
+    images.write_images(images.vector_images(table(spark, d, "embeddings")), path)
+    v = images.read_images(spark, path).withColumn("image_id", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long"))
+    return v.withColumn("total", F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x)).drop("data", "path")
 
 
 @query("s5_load_annotated_images", "SELECT vec_id AS path, label, 64 AS n_pixels FROM embeddings")

@@ -1,16 +1,55 @@
-"""Image sources: an image table is (image_id, height, width, channels, data), row-major, channel last, BGR."""
+"""Image sources and sinks: an image table is (image_id, height, width, channels, data), row-major, channel last, BGR."""
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Image files; unreadable ones are left out. ``data`` is an array of 0..255."""
+
+    @F.pandas_udf("array<int>")
+    def numbers(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int32))
+
     df = spark.read.format("image").option("dropInvalid", True).load(path)
-    flat = F.transform(F.split(F.regexp_replace(F.hex("image.data"), "(..)(?=.)", "$1,"), ","), lambda h: F.conv(h, 16, 10).cast("int"))
-    return df.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), flat.alias("data"))
+    return df.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), numbers("image.data").alias("data"))
+
+
+def _png(height: int, width: int, channels: int, data: np.ndarray) -> bytes:
+    a = np.asarray(data).astype(np.uint8).reshape(height, width, channels)[..., ::-1]
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), a.reshape(height, -1)], axis=1)
+    chunk = lambda kind, b: struct.pack(">I", len(b)) + kind + b + struct.pack(">I", zlib.crc32(kind + b))
+    kind = {1: 0, 3: 2}[channels]  # gray, RGB
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def write_images(images: DataFrame, path: str) -> None:
+    """Write gray or BGR images as PNG files ``<image_id>.png`` in a folder that all executors share.
+
+    Tasks write through the store's client (local paths, or URIs that Arrow's
+    file systems know). A repeated task writes the same bytes again.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+        store.create_dir(folder)
+        for p in it:
+            for i, *image in zip(p["image_id"], p["height"], p["width"], p["channels"], p["data"]):
+                with store.open_output_stream(f"{folder}/{i}.png") as f:
+                    f.write(_png(*image))
+            yield pd.DataFrame({"n": [len(p)]})
+
+    images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def load_annotated_images(annotations: DataFrame, images: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
@@ -30,13 +69,22 @@ def pixel_of(e: Column) -> Column:
 
 
 def tiled_images(vectors: DataFrame, channels: int = 1) -> DataFrame:
-    """32x32 images of ``16 * channels`` vectors with consecutive ids, tile by tile; incomplete images are left out."""
+    """32x32 images of ``16 * channels`` vectors with consecutive ids, tile by tile, channel after channel; a missing vector is a tile of zeros.
+
+    Only the vectors are shuffled, as arrays; of several with one id the smallest stays.
+    """
     per = 16 * channels
-    px = vectors.select(F.expr(f"vec_id div {per}").alias("image_id"), (F.col("vec_id") % per).alias("t"), F.posexplode(F.transform("embedding", pixel_of)).alias("p", "v"))
-    # tiles of channel c come one after the other
-    y = F.expr("(t % 16) div 4 * 8 + p div 8")
-    x = F.expr("(t % 4) * 8 + p % 8")
-    at = (y * 32 + x) * channels + F.expr("t div 16")
-    rows = px.select("image_id", at.alias("at"), "v").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("s"))
-    rows = rows.where(F.size("s") == 32 * 32 * channels)
-    return rows.select("image_id", F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(channels).alias("channels"), F.col("s.v").alias("data"))
+    px = vectors.select(F.expr(f"vec_id div {per}").alias("image_id"), F.struct((F.col("vec_id") % per).alias("t"), F.transform("embedding", pixel_of).alias("px")).alias("s"))
+    tiles = px.groupBy("image_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: F.get(F.filter("s", lambda s: s["t"] == i), F.lit(0))["px"])
+
+    def value(slots: Column, k: Column) -> Column:
+        # position k of the image: its channel, row y and column x; tile and place in the tile
+        at, c = F.floor(k / channels), k % channels
+        y, x = F.floor(at / 32), at % 32
+        tile, place = c * 16 + F.floor(y / 8) * 4 + F.floor(x / 8), (y % 8) * 8 + x % 8
+        return F.coalesce(F.get(F.get(slots, tile.cast("int")), place.cast("int")), F.lit(0))
+
+    # the array around ``slots`` has it evaluated once an image
+    data = F.transform(F.array(slots), lambda s: F.transform(F.sequence(F.lit(0), F.lit(1024 * channels - 1)), lambda k: value(s, k)))[0]
+    return tiles.select("image_id", F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(channels).alias("channels"), data.alias("data"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessel.operators import encode, kmeans, linear, matrix, metrics, naive_bayes, network, pca, profile, ranking, scale, split, tree
 from tessel.operators.images import geometry, hog, hough, pixel, spectral, stencil, tables
+from tessel.sources import images
 
 
 @pytest.fixture(scope="module")
@@ -302,3 +303,138 @@ def test_no_task_holds_all_values(spark):
     df = spark.createDataFrame([(float(x),) for x in np.exp(rng.normal(size=4000) * 6)], "x double")
     sizes = [r["count"] for r in ranking.quantile_ranges(df, "x").groupBy("_r").count().collect()]
     assert len(sizes) > 150 and max(sizes) < 80
+
+
+def brute_canny(a):
+    h, w = a.shape
+    k = np.array([[math.exp(-(y * y + x * x) / (2 * 1.4**2)) for x in range(-2, 3)] for y in range(-2, 3)])
+    k /= k.sum()
+
+    def around(m, kernel):
+        r = len(kernel) // 2
+        at = lambda y, x: m[y][x] if 0 <= y < h and 0 <= x < w else 0
+        return [[sum(kernel[j][i] * at(y + j - r, x + i - r) for j in range(2 * r + 1) for i in range(2 * r + 1)) for x in range(w)] for y in range(h)]
+
+    cut = lambda m: [[min(255.0, max(0.0, v)) for v in r] for r in m]
+    g = [[math.floor(round(v, 9)) for v in r] for r in cut(around(a.tolist(), k))]
+    fy, fx = cut(around(g, [[1, 2, 1], [0, 0, 0], [-1, -2, -1]])), cut(around(g, [[1, 0, -1], [2, 0, -2], [1, 0, -1]]))
+    e = [[min(255.0, math.hypot(fx[y][x], fy[y][x])) for x in range(w)] for y in range(h)]
+    out = [r[:] for r in e]
+    for y in range(h):
+        for x in range(w):
+            d = math.degrees(math.atan(fy[y][x] / max(fx[y][x], 1e-10)))
+            d = round(d + 180 if d < -22.5 else d, 9)
+            dy, dx = (0, 1) if d <= 22.5 or d > 157.5 else (-1, 1) if d <= 67.5 else (1, 0) if d <= 112.5 else (1, 1)
+            inside = lambda v, n: min(n - 1, max(0, v))
+            if max(e[inside(y + s * dy, h)][inside(x + s * dx, w)] for s in (1, -1)) > e[y][x]:
+                out[y][x] = 0.0
+    out = [[255 if v >= 100 else 0 if v <= 30 else v for v in r] for r in out]
+    for y in range(h):
+        for x in range(w):
+            if 30 < out[y][x] < 100:
+                near = [out[j][i] for j in range(max(0, y - 1), min(h, y + 2)) for i in range(max(0, x - 1), min(w, x + 2)) if (j, i) != (y, x)]
+                out[y][x] = 255 if max(near) >= 100 else 0
+    return np.array(out)
+
+
+def test_canny_matches_plain_loops(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 90, (12, 14))
+    a[3:9, 4:11] += 150
+    got = back(stencil.canny(image(spark, a)))
+    assert got.any() and np.array_equal(got, brute_canny(a))
+
+
+def test_wheel_matches_colorsys(spark):
+    import colorsys
+
+    for r in pixel.hsv_wheel(spark, 12).collect():
+        dx, dy = r["x"] - 6, r["y"] - 6
+        want = colorsys.hsv_to_rgb((math.atan2(dy, dx) + math.pi) / (2 * math.pi), 1.0, math.hypot(dx, dy) / 6) if math.hypot(dx, dy) <= 6 else (1, 1, 1)
+        assert np.allclose((r["r"], r["g"], r["b"]), want, atol=1e-6)
+
+
+def test_clusters_of_components(points):
+    x, df = points
+    z = (x - x.mean(0)) / x.std(0)
+    vals, vecs = np.linalg.eigh(np.cov(z.T))
+    v = vecs[:, np.argsort(vals)[::-1][:2]]
+    v = v * np.sign(v[np.argmax(np.round(np.abs(v), 9), axis=0), [0, 1]])
+    s = z @ v
+    c = np.array([[p, s[:, 1].mean()] for p in np.quantile(s[:, 0], [1 / 6, 3 / 6, 5 / 6])])
+    for _ in range(100):
+        k = np.argmin(((s[:, None] - c) ** 2).sum(2), axis=1)
+        new = np.array([s[k == j].mean(0) for j in range(3)])
+        if np.linalg.norm(new - c) < 1e-4:
+            break
+        c = new
+    out = pca.cluster_on_components(df, ["a", "b", "c"], "y")
+    n = [c for c in out.columns if c not in ("cluster", "y", "label")]
+    got = sorted(tuple(r) for r in out.select("cluster", *[c for c in out.columns if c != "cluster"]).collect())
+    table = {(j, y): int(((k == j) & (np.arange(300) // 100 == y)).sum()) for j in range(3) for y in range(3)}
+    assert len(n) == 1 and {(r[0], r[1]): r[2] for r in got if r[2]} == {at: m for at, m in table.items() if m}
+
+
+def test_score_cnn(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5, 1, 8, 8))
+    convs = [(rng.normal(size=(2, 1, 3, 3)), rng.normal(size=2))]
+    dense = [(rng.normal(size=(6, 32)), rng.normal(size=6)), (rng.normal(size=(3, 6)), rng.normal(size=3))]
+    df = spark.createDataFrame([(i, [float(v) for v in a.ravel()]) for i, a in enumerate(x)], "id int, x array<double>")
+    got = np.array([r["logits"] for r in network.score_cnn(df, "x", (1, 8, 8), convs, dense, rows=2).orderBy("id").collect()])
+    p = np.pad(x, ((0, 0), (0, 0), (1, 1), (1, 1)))
+    (w, b), want = convs[0], []
+    for n in range(5):
+        y = np.array([[[max(0.0, (p[n, :, i : i + 3, j : j + 3] * w[o]).sum() + b[o]) for j in range(8)] for i in range(8)] for o in range(2)])
+        f = y.reshape(2, 4, 2, 4, 2).max(axis=(2, 4)).ravel()
+        want.append(dense[1][0] @ np.maximum(dense[0][0] @ f + dense[0][1], 0) + dense[1][1])
+    assert np.allclose(got, want)
+
+
+def test_picture_files(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    gray, colour = rng.integers(0, 256, (5, 7)), rng.integers(0, 256, (4, 3, 3))
+    images.write_images(image(spark, gray), f"{tmp_path}/a")
+    images.write_images(image(spark, colour), f"file:{tmp_path}/b")
+    (tmp_path / "a" / "broken.png").write_bytes(b"no picture")
+    assert np.array_equal(back(images.read_images(spark, f"{tmp_path}/a")), gray)
+    assert np.array_equal(back(images.read_images(spark, f"{tmp_path}/b")), colour)
+
+
+def test_tiles_of_missing_vectors_are_zero(spark):
+    df = spark.createDataFrame([(i, [1.0] * 64) for i in (0, 5, 17)], "vec_id long, embedding array<float>")
+    rows = {r["image_id"]: np.array(r["data"]).reshape(32, 32) for r in images.tiled_images(df).collect()}
+    assert sorted(rows) == [0, 1]
+    assert rows[0][:8, :8].all() and rows[0][8:16, 8:16].all() and (rows[0] > 0).sum() == 128 and rows[1][:8, 8:16].all() and (rows[1] > 0).sum() == 64
+    assert len(images.tiled_images(df, 3).collect()[0]["data"]) == 3072
+
+
+@pytest.mark.parametrize("kind", ["even", "hot", "text", "few"])
+def test_ordered_rank(spark, kind):
+    df = spark.range(3000).withColumn("v", F.expr({"even": "id * 7 % 3001", "hot": "if(id % 3 = 0, 1000, id)", "text": "concat('https://host/', lpad(cast(id * 31 % 2999 as string), 5, '0'))", "few": "if(id % 50 = 0, null, id % 2)"}[kind]))
+    rows = ranking.ordered_rank(df, "v").orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(3000)) and len({r["id"] for r in rows}) == 3000
+    v = [r["v"] for r in rows]
+    assert v == sorted(v, key=lambda x: (x is None, x))
+    assert ranking.ordered_rank(df.limit(0), "v").count() == 0
+    b = split.assign_batches(df, "v", 64, shuffle=False)
+    assert sorted(r["n_rows"] for r in split.batch_shapes(b, 99).collect()) == [3000 % 64] + [64] * (3000 // 64)
+
+
+def test_batches_of_training(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 2))
+    y = x[:, 0] - x[:, 1]
+    df = spark.createDataFrame([(list(map(float, r)), float(t), i % 4) for i, (r, t) in enumerate(zip(x, y))], "x array<double>, y double, b int")
+    net = network.init_layers([2, 1])
+    got, losses = network.train_mlp(df, "x", "y", net, optimizer="sgd", lr=0.1, epochs=2, batch="b")
+    w, c, want = net[0][0].copy(), net[0][1].copy(), []
+    for _ in range(2):
+        total = 0.0
+        for k in range(4):
+            xk, yk = x[k::4], y[k::4]
+            d = (xk @ w.T + c)[:, 0] - yk
+            total += float((d**2).sum())
+            w, c = w - 0.1 * 2 * (d @ xk)[None] / len(d), c - 0.1 * 2 * d.sum() / len(d)
+        want.append(total / 40)
+    assert np.allclose(got[0][0], w) and np.allclose(got[0][1], c) and np.allclose(losses, want)
