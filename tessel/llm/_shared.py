@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,22 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
             WRITTEN.remove(path)
 
 
+def tidy(run):
+    """``run``, a function for mapInArrow, that gives Arrow's free memory back at the end of a partition.
+
+    Spark keeps idle Python workers for a minute; what they hold counts beside the next step's heap.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def words(text: Column | str) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; empty for null."""
     text = F.col(text) if isinstance(text, str) else text

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._graph import components
-from ._shared import discard, materialize, partitions, table
+from ._shared import discard, materialize, partitions, table, tidy
 from ._words import Words, word_slices
 
 FIRST_BLOCK = 0.25  # share of the n-gram hashes in the first product
@@ -140,7 +140,7 @@ def _emit(n: int, what: str, clash: frozenset[int] = frozenset()):
 
 def lonely(docs: DataFrame, n: int, clash: frozenset[int]) -> DataFrame:
     """(cls, own): n-grams of the first block that only this class has."""
-    rows = docs.mapInArrow(_emit(n, "block", clash), "gram long, cls long")
+    rows = docs.mapInArrow(tidy(_emit(n, "block", clash)), "gram long, cls long")
     return rows.groupBy("gram").agg(F.min("cls").alias("cls"), F.max("cls").alias("_z")).where("cls = _z").groupBy("cls").agg(F.count("*").alias("own"))
 
 
@@ -229,7 +229,7 @@ def block_products(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     few = hot.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST
     side = F.broadcast(hot) if few else hot
     cool = rows.join(side, "gram", "left_anti").repartition(partitions(spark), "gram").sortWithinPartitions("gram", "cls")
-    out = materialize(cool.mapInArrow(_product(percent), _CELL), "jaccard-cells")
+    out = materialize(cool.mapInArrow(tidy(_product(percent)), _CELL), "jaccard-cells")
     pairs = out.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("both").alias("both"))
     long = out.where("b is null").select(F.col("a").alias("cls"), F.col("na").alias("n"), "gram").union(rows.join(side, "gram", "left_semi").select("cls", "n", "gram").distinct())
     pairs, long = materialize(pairs, "jaccard-counts"), materialize(long, "jaccard-members")
@@ -401,12 +401,12 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    meta = materialize(docs.mapInArrow(_emit(n, "classes"), "doc_id long, n long, cls long, more long"), "jaccard-classes")
+    meta = materialize(docs.mapInArrow(tidy(_emit(n, "classes")), "doc_id long, n long, cls long, more long"), "jaccard-classes")
     classes = meta.where("n > 0").groupBy("cls", "more", "n").agg(F.min("doc_id").alias("rep"))
     # Names that by chance stand for several classes: about one pair in 10**10 classes.
     clash = frozenset(r["cls"] for r in classes.groupBy("cls").count().where("count > 1").select("cls").collect())
     if clash:
-        meta = materialize(docs.mapInArrow(_emit(n, "classes", clash), "doc_id long, n long, cls long, more long"), "jaccard-classes")
+        meta = materialize(docs.mapInArrow(tidy(_emit(n, "classes", clash)), "doc_id long, n long, cls long, more long"), "jaccard-classes")
         classes = meta.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes.select("cls", "n", "rep"), "jaccard-names")
     own = lonely(docs, n, clash)
@@ -416,7 +416,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     small = active.count() <= ACTIVE_BROADCAST
     some = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     # A row that shares its doc_id with a representative comes along; a class that comes twice counts once.
-    sets = some.mapInArrow(_emit(n, "sets", clash), "cls long, n long, g array<long>").where("n > 0")
+    sets = some.mapInArrow(tidy(_emit(n, "sets", clash)), "cls long, n long, g array<long>").where("n > 0")
     if meta.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["cls"])
     sets = materialize(sets, "jaccard-sets")

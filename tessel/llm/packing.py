@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import materialize, prefix_sum, table
+from ._shared import materialize, prefix_sum, table, tidy
 
 FREQUENT = 64  # lengths from which patterns of three are made
 
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048) -> Data
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = docs.mapInArrow(_count(tokenizer, end_id, size), "doc_id long, doc_tokens long, crcs array<long>, ids binary")
+    counted = docs.mapInArrow(tidy(_count(tokenizer, end_id, size)), "doc_id long, doc_tokens long, crcs array<long>, ids binary")
     d = materialize(counted.withColumn("row", F.monotonically_increasing_id()), "packing-counts")
     d = d.withColumn("full", F.expr(f"doc_tokens div {size}")).withColumn("rest", (F.col("doc_tokens") % size).cast("int"))
 
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048) -> Data
     whole = parts.where("k = 1").withColumnRenamed("crc", "ids_crc32").select(names)
     # Parts of cut left-overs, about two a window of these, meet their ids; Spark chooses the join by their size.
     cut = parts.where("k > 1").join(d.select("row", "ids"), "row").select("ids", "begin", "length", "doc_id", "start", "doc_tokens", "sequence_id", "offset")
-    parts = whole.unionByName(cut.mapInArrow(_checksums(tokenizer), _PIECE))
+    parts = whole.unionByName(cut.mapInArrow(tidy(_checksums(tokenizer)), _PIECE))
     return full.unionByName(good).unionByName(parts)
 
 

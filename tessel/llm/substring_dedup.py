@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import discard, materialize, partitions, table
+from ._shared import discard, materialize, partitions, table, tidy
 from ._words import Words, word_slices
 from .jaccard_join import _mix, word_hashes
 
@@ -297,11 +297,11 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     text = docs.select(doc.alias("doc"), "text")
     total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size, n = window // 2, max(2 * partitions(spark), -(-total // BUCKET))
-    probes = text.mapInArrow(_probes(size, window, n), _PROBE_SQL).repartition(n, "bucket")
-    hits = probes.mapInArrow(_meet(size, n), _HIT_SQL).repartition(n, "bucket")
+    probes = text.mapInArrow(tidy(_probes(size, window, n)), _PROBE_SQL).repartition(n, "bucket")
+    hits = probes.mapInArrow(tidy(_meet(size, n)), _HIT_SQL).repartition(n, "bucket")
     hits = materialize(hits.mapInArrow(_by_doc, "doc long, hits array<int>"), "dedup-hits")
     near = text.join(hits, "doc")
-    spans = near.mapInArrow(_windows(size, window), "h1 long, h2 long, doc long, tkey long, start int, starts array<int>")
+    spans = near.mapInArrow(tidy(_windows(size, window)), "h1 long, h2 long, doc long, tkey long, start int, starts array<int>")
     spans = materialize(spans, "dedup-windows")
     discard(hits)
     first = W.partitionBy("h1", "h2").orderBy("doc", "tkey", "start")
@@ -311,7 +311,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     repeats = materialize(repeats, "dedup-repeats")
     discard(spans)
     out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
-    return docs.withColumn("_dedup_doc", doc).join(repeats, "_dedup_doc", "left").drop("_dedup_doc").mapInArrow(_remove(window), out)
+    return docs.withColumn("_dedup_doc", doc).join(repeats, "_dedup_doc", "left").drop("_dedup_doc").mapInArrow(tidy(_remove(window)), out)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

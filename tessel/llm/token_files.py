@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import partitions, shared_dir, table
+from ._shared import partitions, shared_dir, table, tidy
 
 BLOCK = 256
 _HEAD = np.dtype([("magic", "S4"), ("block", "<u2"), ("docs", "<u4"), ("ids", "<u8"), ("blocks", "<u4")])
@@ -201,7 +201,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    d.mapInArrow(_write(tokenizer, end_id, shard_ids), _SHARDS).write.parquet(path)
+    d.mapInArrow(tidy(_write(tokenizer, end_id, shard_ids)), _SHARDS).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import table, tidy
 from ._words import Words, held_out, sample_labels, word_slices
 
 TRAIN_ROWS = 20_000  # labelled documents that the model is fitted on, at most
@@ -218,7 +218,7 @@ def _lexicon(texts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     MIN_ODDS, and it stands behind different words: a chance word of a text
     with many copies always has the same neighbours.
     """
-    counts = texts.mapInArrow(_count_terms, "t string, pos long, neg long, bits long").groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_count(F.bit_or("bits")).alias("contexts"))
+    counts = texts.mapInArrow(tidy(_count_terms), "t string, pos long, neg long, bits long").groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_count(F.bit_or("bits")).alias("contexts"))
     counts = counts.where("length(t) > 2").persist()
     total = texts.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     pos, n = int(total["p"] or 0), int(total["n"])
@@ -274,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
                 x = features(w, matcher)
                 yield pa.RecordBatch.from_arrays([y.slice(w.first, w.n), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = texts.mapInArrow(run, "y int, x array<double>").collect()
+    rows = texts.mapInArrow(tidy(run), "y int, x array<double>").collect()
     texts.unpersist()
     y = np.array([r["y"] for r in rows], float)
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), N_FEATURES)
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 part = b.slice(w.first, w.n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], schema=None, names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
