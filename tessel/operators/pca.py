@@ -9,16 +9,17 @@ from pyspark.sql import Window as W
 
 from .kmeans import cluster_vs_label, kmeans_fit
 from .ranking import percentiles
-from .scale import covariance, standardize
+from .scale import covariance_matrix, standardize
 
 
 def pca_fit(df: DataFrame, cols: list[str]) -> DataFrame:
     """(pc, eigenvalue, loading) by falling eigenvalue; the first of the largest loadings of a component is positive."""
-    at = {c: i for i, c in enumerate(cols)}
-    m = np.zeros((len(cols), len(cols)))
-    for r in covariance(df, cols).collect():  # d * d numbers
-        m[at[r["a"]], at[r["b"]]] = r["cov"]
-    values, vectors = np.linalg.eigh(m)
+    return pca_fit_vector(df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v")), "v", len(cols))
+
+
+def pca_fit_vector(df: DataFrame, vector: str, dim: int) -> DataFrame:
+    """As :func:`pca_fit`, of the components of a column of arrays of ``dim`` numbers."""
+    values, vectors = np.linalg.eigh(covariance_matrix(df, vector, dim))
     rows = []
     for k, i in enumerate(np.argsort(-values, kind="stable")):
         v = vectors[:, i]

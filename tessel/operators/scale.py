@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import moments
+
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: mean and population deviation of each column (``m_col``, ``s_col``)."""
@@ -27,9 +30,19 @@ def normalize_const(df: DataFrame, means: dict[str, float], stds: dict[str, floa
     return df.withColumns({c: (F.col(c) - means[c]) / stds[c] for c in means})
 
 
+def covariance_matrix(df: DataFrame, vector: str, dim: int) -> np.ndarray:
+    """Sample covariance matrix of a column of arrays of ``dim`` numbers: one Gram matrix a task, summed in Spark.
+
+    Nulls are left out pair by pair; a pair with fewer than two rows is NaN. The
+    plan doesn't grow with ``dim``.
+    """
+    n, _, scatter = moments(df, vector, dim)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(n > 1, scatter / (n - 1), np.nan)
+
+
 def covariance(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(a, b, cov): sample covariance of all column pairs from one aggregate."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    one = df.agg(*[F.covar_samp(cols[i], cols[j]).alias(f"_{i}_{j}") for i, j in pairs])
-    rows = [F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"_{min(i, j)}_{max(i, j)}").alias("cov")) for i in range(len(cols)) for j in range(len(cols))]
-    return one.select(F.inline(F.array(*rows)))
+    """(a, b, cov): sample covariance of all column pairs, null where fewer than two rows hold both."""
+    m = covariance_matrix(df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v")), "v", len(cols))
+    rows = [(a, b, None if np.isnan(x) else float(x)) for a, line in zip(cols, m) for b, x in zip(cols, line)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, cov double")
