@@ -59,4 +59,21 @@ def _op10(risk: float = 0.01, delta: float = 0.05) -> str:
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM used WHERE used.stratum = st.stratum AND ({hit})) AS kept, stratum FROM st"""
 
 
-ORACLE_SQL = {"op3_jaccard_join": OP3, "op7_substring_dedup": OP7, "op10_quality_rules": _op10()}
+OP11 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ s AS (SELECT a.vec_id AS a, v.vec_id AS b, a.label = v.label AS same, CAST(list_sum(list_transform(range(1, len(v.x) + 1), lambda i: a.x[i] * v.x[i])) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id % 100 = 0 AND v.vec_id <> a.vec_id),
+ p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+ n AS (SELECT p.a, p.b, s.b AS c, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+ SELECT a AS anchor_id, b AS positive_id, CAST(r AS INTEGER) AS rank, c AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 5"""
+
+#: The level of the shares is found among the sources by falling need: the first k are at their limit, the rest share what they leave.
+OP12 = f"""WITH d AS (SELECT doc_id, source, len({_words("coalesce(text, '')")}) AS size, md5(concat('0|', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [1, 2, 3][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY 1),
+ o AS (SELECT *, 3 * source_size AS most, sum(3 * source_size) OVER q - 3 * source_size AS capped, sum(w) OVER () - (sum(w) OVER q - w) AS ws, sum(source_size) OVER () AS t FROM s WINDOW q AS (ORDER BY CAST(source_size AS DOUBLE) / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+ l AS (SELECT max(lv) AS lv FROM (SELECT CAST(t - capped AS DOUBLE) / CAST(ws AS DOUBLE) AS lv, w, most FROM o) WHERE most > w * lv),
+ g AS (SELECT source, source_size, CASE WHEN lv IS NULL OR most <= w * lv THEN CAST(most AS DOUBLE) ELSE w * lv END AS target FROM o, l),
+ b AS (SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(round(target) AS BIGINT) AS budget, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size END AS whole, CASE WHEN source_size = 0 THEN 0 ELSE least(size, greatest(0, budget % source_size - before)) END AS part, whole * size + part AS taken FROM b"""
+
+
+ORACLE_SQL = {"op3_jaccard_join": OP3, "op7_substring_dedup": OP7, "op10_quality_rules": _op10(), "op11_hard_negatives": OP11, "op12_mixing": OP12}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extraction, jaccard_join, nearest, packing, quality_classifier, quality_rules, sentencepiece_fst, substring_dedup, token_files, toxicity
+from . import hard_negatives, html_extraction, jaccard_join, mixing, nearest, packing, quality_classifier, quality_rules, sentencepiece_fst, substring_dedup, token_files, toxicity, whitening
 from .oracle import ORACLE_SQL
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_nearest": nearest.op9_nearest,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

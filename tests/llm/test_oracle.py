@@ -9,7 +9,7 @@ from tessel.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     r = con.sql(registry.ORACLE_SQL[name])
     df = registry.QUERIES[name](spark, data)
