@@ -1,9 +1,16 @@
 """Exact decision trees (CART, gini), grown level by level.
 
-One job per level finds the best split of every open node: rows are counted per
-(node, feature, value, class), then summed up along the values. The values of a
-(node, feature) are dealt into ranges first; the ranges' totals give offsets and
-a window runs inside a range only, so no task holds all values of a feature.
+Values are dealt into ordered ranges once: Spark's mergeable quantile sketch, one per
+feature in one aggregate, gives cuts that are even in rows whatever the values'
+distribution, and their number follows the table. A node holds no more rows of a
+range than the root does, so the cuts serve every level.
+
+One job a level finds the best split of every open node. Its first aggregate counts
+classes per (node, feature, range), which makes the gains at the borders of ranges
+exact and bounds the gains inside: moving one row from right to left changes
+sum(l_i^2) / l + sum(r_i^2) / r by at most 2. Only ranges whose bound reaches the
+node's best border are searched value by value. The splits carry the class counts of
+both sides, so no other job counts the children.
 """
 
 from __future__ import annotations
@@ -14,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .encode import categories
-from .ranking import RANGES, quantile_ranges
+from .encode import MAX_CATEGORIES, categories
+from .metrics import confusion_matrix
+from .ranking import quantile_ranges
 
 
 def gini(df: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -29,36 +37,80 @@ def _impurity(counts: list[Column], n: Column) -> Column:
     return F.when(n > 0, 1 - sum((F.pow(c / n, 2) for c in counts), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def split_candidates(df: DataFrame, node: str, features: list[str], label: str, classes: list, min_leaf: int) -> DataFrame:
-    """(node, feature, fidx, thr, gain, n_left, n_right) of each place between two distinct values."""
-    long = df.select(node, F.col(label).alias("_y"), F.inline(F.array(*[F.struct(F.lit(i).alias("fidx"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)])))
-    long = long.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
-    k = len(classes)
-    per = long.groupBy(node, "fidx", "value").agg(*[F.count_if(F.col("_y") == F.lit(c)).alias(f"c{i}") for i, c in enumerate(classes)])
-    # Equal-width ranges of each (node, feature): any monotone cut will do.
-    span = per.groupBy(node, "fidx").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    per = per.join(span, [node, "fidx"])
-    per = per.withColumn("_r", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0)))
-    ranges = per.groupBy(node, "fidx", "_r").agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in range(k)], F.min("value").alias("_first"))
-    w = W.partitionBy(node, "fidx").orderBy("_r")  # at most RANGES rows
-    ranges = ranges.select(node, "fidx", "_r", *[(F.sum(f"t{i}").over(w) - F.col(f"t{i}")).alias(f"b{i}") for i in range(k)], F.lead("_first").over(w).alias("_next"),
-                           *[F.sum(f"t{i}").over(W.partitionBy(node, "fidx")).alias(f"all{i}") for i in range(k)])
-    inner = W.partitionBy(node, "fidx", "_r").orderBy("value")
-    d = per.join(ranges, [node, "fidx", "_r"])
-    d = d.withColumns({f"l{i}": F.col(f"b{i}") + F.sum(f"c{i}").over(inner) for i in range(k)}).withColumn("_after", F.coalesce(F.lead("value").over(inner), F.col("_next")))
-    left, right, every = [F.col(f"l{i}") for i in range(k)], [F.col(f"all{i}") - F.col(f"l{i}") for i in range(k)], [F.col(f"all{i}") for i in range(k)]
-    nl, nr, n = sum(left, F.lit(0)), sum(right, F.lit(0)), sum(every, F.lit(0))
-    gain = _impurity(every, n) - (nl / n * _impurity(left, nl) + nr / n * _impurity(right, nr))
-    names = F.array(*[F.lit(f) for f in features])
-    d = d.where(F.col("_after").isNotNull()).select(node, F.get(names, F.col("fidx")).alias("feature"), "fidx", ((F.col("value") + F.col("_after")) / 2).alias("thr"), F.round(gain, 12).alias("gain"), nl.alias("n_left"), nr.alias("n_right"))
-    return d.where((F.col("n_left") >= min_leaf) & (F.col("n_right") >= min_leaf))
+RANGE_ROWS = 20_000  # rows of a range, about
+LEAST_RANGES, MOST_RANGES = 64, 4_096
+
+
+def feature_cuts(df: DataFrame, features: list[str], n: int) -> list[list[float]]:
+    """Ascending cut values of each feature, from one aggregate of sketches; about RANGE_ROWS rows lie between two."""
+    k = max(LEAST_RANGES, min(MOST_RANGES, n // RANGE_ROWS))
+    at = [i / k for i in range(1, k)]
+    one = df.agg(*[F.percentile_approx(F.col(f).cast("double"), at, 10 * k).alias(f"c{i}") for i, f in enumerate(features)]).first()
+    return [sorted(set(c or [])) for c in one]
+
+
+def ranged(df: DataFrame, features: list[str], label: str, classes: list, cuts: list[list[float]], keep: list[str] = ()) -> DataFrame:
+    """(y: place of the class, v: values, b: range of each value, -1 for null) of the rows that have a class."""
+    y = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).cast("int") - 1
+    d = df.where(F.col(label).isNotNull()).select(*keep, y.alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
+
+    def place(i: int, c: list[float]) -> str:
+        """The number of cuts up to the value, found by halving steps."""
+        steps = ", ".join(str(2**j) for j in range(len(c).bit_length() - 1, -1, -1))
+        array = "array(" + ", ".join(f"double('{x!r}')" for x in c) + ")"
+        return f"IF(v[{i}] IS NULL, -1, aggregate(array({steps}), 0, (at, step) -> IF(get({array}, at + step - 1) <= v[{i}], at + step, at)))" if c else f"IF(v[{i}] IS NULL, -1, 0)"
+
+    return d.selectExpr(*keep, "y", "v", f"array({', '.join(place(i, c) for i, c in enumerate(cuts))}) AS b")
+
+
+def _gain(left: list[str], every: list[str]) -> str:
+    """SQL of the gain of parting the counts ``every`` into ``left`` and the rest, to 12 places."""
+    right = [f"({a} - {c})" for a, c in zip(every, left)]
+    size = lambda x: "(" + " + ".join(x) + ")"
+
+    def loss(x: list[str]) -> str:
+        return f"IF({size(x)} > 0, 1D - (" + " + ".join(f"pow({c} / {size(x)}, 2)" for c in x) + "), 0D)"
+
+    return f"round({loss(every)} - ({size(left)} / {size(every)} * {loss(left)} + {size(right)} / {size(every)} * {loss(right)}), 12)"
+
+
+def split_candidates(data: DataFrame, k: int, min_leaf: int) -> DataFrame:
+    """(node, fidx, thr, gain, n_left, n_right, left: counts per class) of every candidate of ``data`` (node, y, v, b) that may be its node's best."""
+    each = lambda form, sep=", ": sep.join(form.format(i) for i in range(k))
+    columns = lambda name: [f"{name}{i}" for i in range(k)]
+    long = data.selectExpr("node", "y", "posexplode(arrays_zip(b, v)) AS (fidx, z)").selectExpr("node", "y", "fidx", "z.b AS b", "z.v AS value").where("b >= 0")
+    counts = [F.expr(f"count_if(y = {i}) AS c{i}") for i in range(k)]
+    cells = long.groupBy("node", "fidx", "b").agg(*counts, F.expr("min(value) AS lo"), F.expr("max(value) AS hi"))
+    # Windows over the ranges of a (node, feature), small as the counts are: s starts and e ends a range, a is the node.
+    cells = cells.repartition("node")
+    w = "(PARTITION BY node, fidx ORDER BY b)"
+    cells = cells.selectExpr("*", *[f"sum(c{i}) OVER {w} AS e{i}" for i in range(k)], *[f"sum(c{i}) OVER (PARTITION BY node, fidx) AS a{i}" for i in range(k)], f"lead(lo) OVER {w} AS after")
+    cells = cells.selectExpr("*", *[f"e{i} - c{i} AS s{i}" for i in range(k)], f"{each('a{}', ' + ')} AS n", f"{each('c{}', ' + ')} AS m", f"{each('e{}', ' + ')} AS n_left")
+    cells = cells.selectExpr("*", f"{_gain(columns('e'), columns('a'))} AS gain", f"{_gain(columns('s'), columns('a'))} AS before").withColumn("bound", F.expr("(before + gain) / 2 + m / n"))
+    valid = f"after IS NOT NULL AND n_left >= {min_leaf} AND n - n_left >= {min_leaf} AND gain > 0"
+    cells = cells.withColumn("best", F.expr(f"coalesce(max(CASE WHEN {valid} THEN gain END) OVER (PARTITION BY node), 0D)"))
+    borders = cells.where(f"{valid} AND gain >= best").selectExpr("node", "fidx", "(hi + after) / 2 AS thr", "gain", "n_left", "n - n_left AS n_right", f"array({each('e{}')}) AS left")
+    inside = cells.where(f"hi > lo AND bound >= best - 1e-9 AND n_left > {min_leaf} AND n - n_left + m > {min_leaf}").selectExpr("node", "fidx", "b", f"struct({each('s{}')}, {each('a{}')}) AS t")
+    per = long.join(inside, ["node", "fidx", "b"]).groupBy("node", "fidx", "b", "value", "t").agg(*counts)
+    w = "(PARTITION BY node, fidx, b ORDER BY value)"
+    per = per.selectExpr("node", "fidx", "value", f"lead(value) OVER {w} AS after", "t.*", *[f"t.s{i} + sum(c{i}) OVER {w} AS l{i}" for i in range(k)]).where("after IS NOT NULL")
+    per = per.selectExpr("*", f"{each('l{}', ' + ')} AS n_left", f"{each('a{}', ' + ')} AS n").where(f"n_left >= {min_leaf} AND n - n_left >= {min_leaf}")
+    found = per.selectExpr("node", "fidx", "(value + after) / 2 AS thr", f"{_gain(columns('l'), columns('a'))} AS gain", "n_left", "n - n_left AS n_right", f"array({each('l{}')}) AS left")
+    return borders.union(found.where("gain > 0"))
+
+
+def best_splits(data: DataFrame, k: int, min_leaf: int) -> DataFrame:
+    """(node, fidx, thr, gain, n_left, n_right, left): the best candidate per node: largest gain, then the first feature, then the lowest threshold; gains of 0 don't count."""
+    best = F.expr("max_by(struct(fidx, thr, gain, n_left, n_right, left), struct(gain, -fidx, -thr)) AS s")
+    return split_candidates(data, k, min_leaf).groupBy("node").agg(best).select("node", "s.*")
 
 
 def best_split(df: DataFrame, node: str, features: list[str], label: str, classes: list, min_leaf: int = 5) -> DataFrame:
-    """The best candidate per node: largest gain, then the first feature, then the lowest threshold; gains of 0 don't count."""
-    c = split_candidates(df, node, features, label, classes, min_leaf).where("gain > 0")
-    best = F.max_by(F.struct("feature", "thr", "gain", "n_left", "n_right"), F.struct("gain", -F.col("fidx"), -F.col("thr")))
-    return c.groupBy(node).agg(best.alias("s")).select(node, "s.*")
+    """(node, feature, thr, gain, n_left, n_right) of the best split of each node of ``df``."""
+    n = df.count()
+    data = ranged(df.withColumn("_node", F.col(node)), features, label, classes, feature_cuts(df, features, n), ["_node"]).withColumnRenamed("_node", "node")
+    name = F.get(F.array(*[F.lit(f) for f in features]), F.col("fidx"))
+    return best_splits(data, len(classes), min_leaf).select(F.col("node").alias(node), name.alias("feature"), "thr", "gain", "n_left", "n_right")
 
 
 @dataclass
@@ -81,44 +133,48 @@ class Tree:
 def tree_fit(df: DataFrame, features: list[str], label: str, max_depth: int = 4, min_leaf: int = 5) -> Tree:
     """Grow until the depth is reached, a node is pure or no split gains; majority class, the lower one on ties; left is x < thr.
 
-    A level is one aggregate of all open nodes; at most 2^depth rows of splits
-    and class counts reach the driver. Rows find their node by the splits as a
-    nested condition, so nothing but the input is read again at each level.
+    A level is one job of all open nodes; at most 2^depth rows of splits reach the
+    driver. Rows find their node by the splits as a nested condition, so nothing but
+    the cached values is read again at each level.
     """
-    data = df.where(F.col(label).isNotNull()).select(label, *features).persist()
-    classes = categories(data, label)
-    tree = Tree({1: {"depth": 0, "is_leaf": True, "pred": None, "feature": None, "thr": None, "gain": None, "n": 0}})
+    counts = {r[label]: r["n"] for r in df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).limit(MAX_CATEGORIES + 1).collect()}
+    if len(counts) > MAX_CATEGORIES:
+        raise ValueError(f"{label} has more than {MAX_CATEGORIES} distinct values")
+    classes = sorted(counts)
+    root = [counts[c] for c in classes]
+    tree = Tree({1: _leaf(0, root, classes)})
+    if len(classes) < 2 or not max_depth:
+        return tree
+    data = ranged(df, features, label, classes, feature_cuts(df.where(F.col(label).isNotNull()), features, sum(root))).persist()
+    inside = {1: root}
 
     def place(at: int = 1) -> Column:
         r = tree.nodes[at]
-        return F.lit(at).cast("long") if r["is_leaf"] else F.when(F.col(r["feature"]) < F.lit(r["thr"]), place(2 * at)).otherwise(place(2 * at + 1))
-
-    open_ = {1}
-    for depth in range(max_depth + 1):
-        at = data.withColumn("node", place()).where(F.col("node").isin(sorted(open_)))
-        counts: dict[int, dict] = {i: {} for i in open_}
-        for r in at.groupBy("node", label).agg(F.count("*").alias("n")).collect():
-            counts[r["node"]][r[label]] = r["n"]
-        for i, c in counts.items():
-            top = max(c.values(), default=0)
-            tree.nodes[i] |= {"n": sum(c.values()), "pred": min((k for k, v in c.items() if v == top), default=None)}
-        open_ = {i for i in open_ if len(counts[i]) > 1} if depth < max_depth else set()
+        return F.lit(at).cast("long") if r["is_leaf"] else F.when(F.get("v", F.lit(features.index(r["feature"]))) < F.lit(r["thr"]), place(2 * at)).otherwise(place(2 * at + 1))
+
+    for depth in range(max_depth):
+        open_ = sorted(i for i, c in inside.items() if sum(x > 0 for x in c) > 1)
         if not open_:
             break
-        grown = set()
-        for r in best_split(at.where(F.col("node").isin(sorted(open_))), "node", features, label, classes, min_leaf).collect():
+        found, grown = best_splits(data.withColumn("node", place()).where(F.col("node").isin(open_)), len(classes), min_leaf).collect(), {}
+        for r in found:
             i = r["node"]
-            tree.nodes[i] |= {"is_leaf": False, "feature": r["feature"], "thr": r["thr"], "gain": r["gain"]}
+            tree.nodes[i] |= {"is_leaf": False, "feature": features[r["fidx"]], "thr": r["thr"], "gain": r["gain"]}
+            # Rows without a value go right.
+            grown[2 * i], grown[2 * i + 1] = list(r["left"]), [a - b for a, b in zip(inside[i], r["left"])]
             for child in (2 * i, 2 * i + 1):
-                tree.nodes[child] = {"depth": depth + 1, "is_leaf": True, "pred": None, "feature": None, "thr": None, "gain": None, "n": 0}
-                grown.add(child)
-        open_ = grown
-        if not open_:
-            break
+                tree.nodes[child] = _leaf(depth + 1, grown[child], classes)
+        inside = grown
     data.unpersist()
     return tree
 
 
+def _leaf(depth: int, counts: list[int], classes: list) -> dict:
+    top = max(counts, default=0)
+    pred = next((c for c, n in zip(classes, counts) if n == top), None)
+    return {"depth": depth, "is_leaf": True, "pred": pred, "feature": None, "thr": None, "gain": None, "n": sum(counts)}
+
+
 def tree_predict(df: DataFrame, tree: Tree, out: str = "pred") -> DataFrame:
     return df.withColumn(out, tree.expression())
 
@@ -175,8 +231,15 @@ def nl_order() -> Column:
     return -F.col("nl")
 
 
-def tree_classifier(train: DataFrame, test: DataFrame, features: list[str], label: str, max_depth: int = 3) -> tuple[Tree, DataFrame]:
-    """Tree of ``train`` with (part, accuracy, n) for train and test."""
+@dataclass
+class Classified:
+    tree: Tree
+    scores: DataFrame  # (part, accuracy, n) of train and test
+    confusion: DataFrame  # (label, pred, n) of test, all pairs of classes
+
+
+def tree_classifier(train: DataFrame, test: DataFrame, features: list[str], label: str, max_depth: int = 3) -> Classified:
+    """A tree of ``train`` with its accuracy on both parts and the confusion table of ``test``."""
     tree = tree_fit(train, features, label, max_depth, min_leaf=1)
     score = tree_accuracy(train, tree, label).select(F.lit("train").alias("part"), "accuracy", "n").union(tree_accuracy(test, tree, label).select(F.lit("test"), "accuracy", "n"))
-    return tree, score
+    return Classified(tree, score, confusion_matrix(tree_predict(test, tree), label, "pred"))

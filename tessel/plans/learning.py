@@ -176,18 +176,21 @@ def c2(spark, d):
 DEPTH = 4
 
 
-def _cart(depth: int) -> str:
+def _cart(depth: int, rows: str = PARTS, features: int = 2, classes: str = "abc", leaf: int = LEAF) -> str:
     """Chained CTEs: t0 .. tn (rows with their node at each level), b0 .. (the splits made there), all splits b and the labels of all nodes."""
-    out = [f"t0 AS MATERIALIZED (SELECT *, 1 AS node FROM {PARTS})"]
+    each = lambda form, sep=", ": sep.join(form.format(c) for c in classes)
+    pick = "CASE fi " + " ".join(f"WHEN {j} THEN f{j}" for j in range(features)) + " END"
+    loss = lambda n: f"(1 - ({each(f'power({n}_{{0}} / {n}, 2)', ' + ')}))"
+    out = [f"t0 AS MATERIALIZED (SELECT *, 1 AS node FROM {rows})"]
     for i in range(depth):
         out += [
-            f"u{i} AS (SELECT node, 0 AS fi, f0 AS v, y FROM t{i} UNION ALL SELECT node, 1, f1, y FROM t{i})",
-            f"g{i} AS (SELECT node, fi, v, count(*) FILTER (y = 'a') AS a, count(*) FILTER (y = 'b') AS b, count(*) FILTER (y = 'c') AS c FROM u{i} GROUP BY 1, 2, 3)",
-            f"w{i} AS (SELECT node, fi, v, lead(v) OVER (PARTITION BY node, fi ORDER BY v) AS nxt, sum(a) OVER o AS l_a, sum(b) OVER o AS l_b, sum(c) OVER o AS l_c, sum(a) OVER p AS n_a, sum(b) OVER p AS n_b, sum(c) OVER p AS n_c FROM g{i} WINDOW o AS (PARTITION BY node, fi ORDER BY v), p AS (PARTITION BY node, fi))",
-            f"x{i} AS (SELECT *, l_a + l_b + l_c AS l, n_a + n_b + n_c AS n, n_a - l_a AS r_a, n_b - l_b AS r_b, n_c - l_c AS r_c, n_a + n_b + n_c - l_a - l_b - l_c AS r FROM w{i} WHERE nxt IS NOT NULL)",
-            f"s{i} AS (SELECT node, fi, (v + nxt) / 2 AS thr, l, r, round((1 - ({_G.format('n')})) - (l / n * (1 - ({_G.format('l')})) + r / n * (1 - ({_G.format('r')}))), 12) AS gain FROM x{i} WHERE l >= {LEAF} AND r >= {LEAF})",
+            f"u{i} AS (" + " UNION ALL ".join(f"SELECT node, {j} AS fi, CAST(f{j} AS DOUBLE) AS v, y FROM t{i}" for j in range(features)) + ")",
+            f"g{i} AS (SELECT node, fi, v, {each("count(*) FILTER (y = '{0}') AS c_{0}")} FROM u{i} GROUP BY 1, 2, 3)",
+            f"w{i} AS (SELECT node, fi, v, lead(v) OVER (PARTITION BY node, fi ORDER BY v) AS nxt, {each('sum(c_{0}) OVER o AS l_{0}, sum(c_{0}) OVER p AS n_{0}')} FROM g{i} WINDOW o AS (PARTITION BY node, fi ORDER BY v), p AS (PARTITION BY node, fi))",
+            f"x{i} AS (SELECT *, {each('l_{0}', ' + ')} AS l, {each('n_{0}', ' + ')} AS n, {each('n_{0} - l_{0} AS r_{0}')}, {each('n_{0} - l_{0}', ' + ')} AS r FROM w{i} WHERE nxt IS NOT NULL)",
+            f"s{i} AS (SELECT node, fi, (v + nxt) / 2 AS thr, l, r, round({loss('n')} - (l / n * {loss('l')} + r / n * {loss('r')}), 12) AS gain FROM x{i} WHERE l >= {leaf} AND r >= {leaf})",
             f"b{i} AS MATERIALIZED (SELECT node, fi, thr, gain FROM s{i} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, fi, thr) = 1)",
-            f"t{i + 1} AS MATERIALIZED (SELECT t.p_partkey, t.f0, t.f1, t.y, CASE WHEN fi IS NULL THEN t.node WHEN (CASE fi WHEN 0 THEN f0 ELSE f1 END) < thr THEN 2 * t.node ELSE 2 * t.node + 1 END AS node FROM t{i} t LEFT JOIN b{i} b ON b.node = t.node)",
+            f"t{i + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (node), CASE WHEN fi IS NULL THEN t.node WHEN ({pick}) < thr THEN 2 * t.node ELSE 2 * t.node + 1 END AS node FROM t{i} t LEFT JOIN b{i} b ON b.node = t.node)",
         ]
     out.append("b AS (" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(depth)) + ")")
     out.append("cnt AS (" + " UNION ".join(f"SELECT node, y, count(*) AS n FROM t{i} GROUP BY 1, 2" for i in range(depth + 1)) + ")")
@@ -251,13 +254,27 @@ def c7(spark, d):
     return r.select(F.round("thr", 6).alias("thr"), F.round("gain", 9).alias("gain"), F.round("last_gain", 9).alias("last_gain"), F.col("last_left").cast("long").alias("last_left"), F.col("last_right").cast("long").alias("last_right"), "n_candidates")
 
 
-@query("c8_tree_classifier")
+C8_DEPTH = 3
+#: Balance and segment (its first value left out) against a class that follows both, with rows that break the rule.
+C8 = "(SELECT c_custkey AS k, c_acctbal, c_mktsegment, CASE WHEN c_custkey % 11 = 0 THEN 'a' WHEN c_acctbal > 6000 THEN 'b' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_acctbal < -300 THEN 'c' ELSE 'a' END AS y FROM customer)"
+C8_PARTS = f"""cs AS {C8}, sg AS (SELECT s, row_number() OVER (ORDER BY s) AS j FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)),
+ q AS (SELECT y AS c, floor(round(count(*) * 0.2, 9)) AS q, round(count(*) * 0.2, 9) - floor(round(count(*) * 0.2, 9)) AS r, count(*) AS n FROM cs GROUP BY 1),
+ z AS (SELECT c, q + CASE WHEN row_number() OVER (ORDER BY r DESC, c) <= (SELECT ceil(round(sum(n) * 0.2, 9)) - sum(q) FROM q) THEN 1 ELSE 0 END AS quota FROM q),
+ ft AS (SELECT k, cs.y, c_acctbal AS f0, {", ".join(f"CAST(j = {j + 1} AS INTEGER) AS f{j}" for j in range(1, 5))}, row_number() OVER (PARTITION BY cs.y ORDER BY md5('42|' || k)) <= quota AS is_test FROM cs JOIN sg ON s = c_mktsegment JOIN z ON c = cs.y),
+ {_cart(C8_DEPTH, "(SELECT * FROM ft WHERE NOT is_test)", 5, "abc", 1)},
+ d0 AS (SELECT *, 1 AS node FROM ft), {", ".join(f"d{i + 1} AS (SELECT d.* EXCLUDE (node), CASE WHEN fi IS NULL THEN d.node WHEN (CASE fi WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 WHEN 3 THEN f3 ELSE f4 END) < thr THEN 2 * d.node ELSE 2 * d.node + 1 END AS node FROM d{i} d LEFT JOIN b{i} b ON b.node = d.node)" for i in range(C8_DEPTH))},
+ pr AS (SELECT d{C8_DEPTH}.y, is_test, lab.pred FROM d{C8_DEPTH} JOIN lab USING (node))"""
+
+
+@query("c8_tree_classifier", f"""WITH {C8_PARTS} SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, NULL AS actual, NULL AS predicted, round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) AS n FROM pr GROUP BY 1
+ UNION ALL SELECT 'confusion', a.c, p.c, NULL, (SELECT count(*) FROM pr WHERE is_test AND y = a.c AND pred = p.c) FROM q a, q p""")
 def c8(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", (F.col("c_nationkey") % 3).cast("string").alias("y"))
-    x = encode.dummies(c.dropna(), ["c_mktsegment"])
+    y = F.expr("CASE WHEN c_custkey % 11 = 0 THEN 'a' WHEN c_acctbal > 6000 THEN 'b' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_acctbal < -300 THEN 'c' ELSE 'a' END")
+    x = encode.dummies(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", y.alias("y")).dropna(), ["c_mktsegment"])
     s = split.stratified_split(x, "y", "c_custkey")
-    features = [n for n in x.columns if n not in ("c_custkey", "y")]
-    return tree.tree_classifier(s.where("not is_test"), s.where("is_test"), features, "y")[1]
+    made = tree.tree_classifier(s.where("not is_test"), s.where("is_test"), [n for n in x.columns if n not in ("c_custkey", "y")], "y", C8_DEPTH)
+    none = F.lit(None).cast("string")
+    return made.scores.select("part", none.alias("actual"), none.alias("predicted"), F.round("accuracy", 9).alias("accuracy"), "n").union(made.confusion.select(F.lit("confusion"), "actual", "predicted", F.lit(None).cast("double"), "n"))
 
 
 # --- regression --------------------------------------------------------------

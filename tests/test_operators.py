@@ -438,3 +438,61 @@ def test_batches_of_training(spark):
             w, c = w - 0.1 * 2 * (d @ xk)[None] / len(d), c - 0.1 * 2 * d.sum() / len(d)
         want.append(total / 40)
     assert np.allclose(got[0][0], w) and np.allclose(got[0][1], c) and np.allclose(losses, want)
+
+
+def skewed_rows(n):
+    rng = np.random.default_rng(9)
+    x = np.stack([np.exp(rng.normal(size=n) * 3), rng.integers(0, 4, n) * 1.0, rng.normal(size=n)], axis=1)
+    y = np.where(x[:, 0] > 1.7, "b", np.where(x[:, 2] > 0.3, "c", "a"))
+    y = np.where(rng.random(n) < 0.1, "a", y)
+    return x, y
+
+
+def test_ranges_of_skewed_values_are_even(spark):
+    """No range of log-normal values holds over 5 % of the distinct ones."""
+    x, y = skewed_rows(20_000)
+    df = spark.createDataFrame([(float(v), str(k)) for v, k in zip(x[:, 0], y)], "a double, y string")
+    data = tree.ranged(df, ["a"], "y", ["a", "b", "c"], tree.feature_cuts(df, ["a"], 20_000))
+    top = data.select(F.get("b", F.lit(0)).alias("b"), F.get("v", F.lit(0)).alias("v")).groupBy("b").agg(F.countDistinct("v").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert top[0] <= 0.05 * len(set(x[:, 0])) and top[1] >= tree.LEAST_RANGES - 1
+
+
+@pytest.mark.parametrize("leaf", [1, 5, 60])
+def test_split_search_skips_only_ranges_that_cannot_win(spark, leaf):
+    x, y = skewed_rows(3_000)
+    x[::50, 0] = np.nan
+    df = spark.createDataFrame([(*[None if np.isnan(v) else float(v) for v in r], str(k), i % 2) for i, (r, k) in enumerate(zip(x, y))], "a double, b double, c double, y string, node int")
+    got = {r["node"]: r for r in tree.best_split(df, "node", ["a", "b", "c"], "y", ["a", "b", "c"], leaf).collect()}
+    for node in (0, 1):
+        best = (0.0, 0, 0.0, 0)
+        for f in range(3):
+            at = (np.arange(3_000) % 2 == node) & ~np.isnan(x[:, f])
+            o = np.argsort(x[at, f], kind="stable")
+            v, k = x[at, f][o], np.array([y[at][o] == c for c in "abc"]).T.cumsum(0)
+            n, all_ = len(v), k[-1]
+            for i in np.flatnonzero(v[1:] != v[:-1]):
+                left, nl = k[i], i + 1
+                if min(nl, n - nl) < leaf:
+                    continue
+                g = lambda c: 1 - ((c / c.sum()) ** 2).sum()
+                gain = round(g(all_) - nl / n * g(left) - (n - nl) / n * g(all_ - left), 12)
+                if gain > best[0] + 1e-12:
+                    best = (gain, f, (v[i] + v[i + 1]) / 2, nl)
+        r = got[node]
+        assert (r["feature"], r["n_left"]) == ("abc"[best[1]], best[3]) and math.isclose(r["thr"], best[2]) and math.isclose(r["gain"], best[0], abs_tol=1e-11)
+
+
+def test_tree_takes_one_job_a_level(spark):
+    x, y = skewed_rows(2_000)
+    df = spark.createDataFrame([(*map(float, r), str(k)) for r, k in zip(x, y)], "a double, b double, c double, y string").persist()
+    calls = []
+    plain = tree.best_splits
+    tree.best_splits = lambda *a: calls.append(1) or plain(*a)
+    try:
+        t = tree.tree_fit(df, ["a", "b", "c"], "y", 5, 5)
+    finally:
+        tree.best_splits = plain
+    assert len(calls) == 5
+    at = tree.tree_predict(df, t).groupBy("pred").agg(F.count("*").alias("n")).collect()
+    leaves = [r for r in t.nodes.values() if r["is_leaf"]]
+    assert {r["pred"]: r["n"] for r in at} == {p: sum(r["n"] for r in leaves if r["pred"] == p) for p in {r["pred"] for r in leaves}}
