@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import CHUNK, SCHEMA, task_rows, task_sums
+
 Layers = list[tuple[np.ndarray, np.ndarray]]  # (out x in weights, out biases) of each dense layer
 
 
@@ -119,66 +124,150 @@ def _gradient(x: np.ndarray, y: np.ndarray, layers: Layers, loss: str) -> tuple[
     return total, np.concatenate([np.concatenate([w.ravel(), b]) for w, b in grads[::-1]])
 
 
-def train_mlp(df: DataFrame, features: str, target: str, layers: Layers, loss: str = "mse", optimizer: str = "adam", lr: float = 0.01, epochs: int = 50, batch: str | None = None) -> tuple[Layers, list[float]]:
-    """Synchronous data-parallel training: each step every task returns one summed gradient, which are added and applied.
+@dataclass
+class _State:
+    """Weights (flat) and what the optimiser carries from step to step."""
+
+    flat: np.ndarray
+    m: np.ndarray
+    s: np.ndarray
+    t: int = 0
+
+    def step(self, g: np.ndarray, optimizer: str, lr: float) -> None:
+        self.t += 1
+        if optimizer == "adam":
+            self.m, self.s = 0.9 * self.m + 0.1 * g, 0.999 * self.s + 0.001 * g * g
+            self.flat = self.flat - lr * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.s / (1 - 0.999**self.t)) + 1e-8)
+        else:
+            self.flat = self.flat - lr * g
+
+
+def _unflat(v: np.ndarray, shapes: list[tuple[int, int]]) -> Layers:
+    out, at = [], 0
+    for o, i in shapes:
+        out.append((v[at : at + o * i].reshape(o, i), v[at + o * i : at + o * i + o]))
+        at += o * i + o
+    return out
+
 
-    Full batches by default; with ``batch`` one step per value of that column:
-    cached blocks are sorted by it, so that a step reads only blocks that hold it.
-    Returns the layers and the loss of each epoch (before its updates, per row).
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(batch, x, y) of a partition that is sorted by batch: one batch's rows are held at a time."""
+    held, xs, ys = None, [], []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, y = b.column(2).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+        x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        cut = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        for a, z in zip(cut, cut[1:]):
+            if held is not None and ids[a] != held:
+                yield held, np.concatenate(xs), np.concatenate(ys)
+                xs, ys = [], []
+            held = int(ids[a])
+            xs.append(x[a:z])
+            ys.append(y[a:z])
+    if held is not None:
+        yield held, np.concatenate(xs), np.concatenate(ys)
+
+
+def _walk(shared, shapes: list[tuple[int, int]], loss: str, optimizer: str, lr: float):
+    """Steps through the batches of a partition, in order, and hands on (steps, sum of mean losses, sum of losses, rows, t) and the state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: _State = copy.deepcopy(shared.value)
+        done = np.zeros(4)
+        for _, x, y in _runs(batches):
+            lost, g = _gradient(x, y, _unflat(state.flat, shapes), loss)
+            state.step(g / len(y), optimizer, lr)
+            done += (1, lost / len(y), lost, len(y))
+        if done[0]:
+            yield task_rows(np.concatenate([done, [state.t], state.flat, state.m, state.s]))
+
+    return run
+
+
+def train_mlp(df: DataFrame, features: str, target: str, layers: Layers, loss: str = "mse", optimizer: str = "adam", lr: float = 0.01, epochs: int = 50, batch: str | None = None, row_mean: bool = False, span: int = 1_000_000, alone: int = 100_000) -> tuple[Layers, list[float]]:
+    """Synchronous training; returns the layers and the loss of each epoch (of each step before its update).
+
+    A step by rows of many tasks (full batches, the default, or batches of more than
+    ``alone`` rows) is one job: each task sums the gradient of its rows, and the tasks'
+    arrays are summed in Spark by chunks. Smaller batches (``batch`` is a column of
+    whole numbers) leave nothing to share out, as each step needs the weights of the
+    one before: the rows are cached in ranges of batches of about ``span`` rows, and
+    a task walks through the batches of a range. The weights go from range to range,
+    so an epoch takes as many jobs as there are ranges however many batches there
+    are, a task holds one batch's rows, and a lost executor costs one range.
+
+    An epoch's loss is the mean over the batches of their mean losses, so a short
+    last batch weighs as much as the others; ``row_mean`` gives the mean over rows.
+    Rows without features, target or batch take no part.
     """
-    spark, data = df.sparkSession, df.select(features, target, *([batch] if batch else []))
-    data = (data.sortWithinPartitions(batch) if batch else data).persist()
-    flat = np.concatenate([np.concatenate([w.ravel(), b]) for w, b in layers])
-    shapes = [w.shape for w, _ in layers]
-
-    def unflat(v: np.ndarray) -> Layers:
-        out, at = [], 0
-        for o, i in shapes:
-            out.append((v[at : at + o * i].reshape(o, i), v[at + o * i : at + o * i + o]))
-            at += o * i + o
-        return out
-
-    steps = [None] if batch is None else [r[0] for r in data.select(batch).distinct().orderBy(batch).collect()]
-    m, s, t, losses = np.zeros_like(flat), np.zeros_like(flat), 0, []
+    spark = df.sparkSession
+    data = df.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"), (F.col(batch).cast("long") if batch else F.lit(0).cast("long")).alias("b")).dropna()
+    spans = [None]
+    if batch:
+        sizes = data.groupBy("b").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max("b").alias("last")).first()
+        data = data.repartitionByRange(max(1, (sizes["n"] or 0) // span), "b").sortWithinPartitions("b").persist()
+        if (sizes["top"] or 0) <= alone:
+            spans = [(r["lo"], r["hi"]) for r in data.groupBy(F.spark_partition_id()).agg(F.min("b").alias("lo"), F.max("b").alias("hi")).orderBy("lo").collect()]  # one row per range
+        else:
+            spans = [(r["b"], r["b"]) for r in data.select("b").distinct().orderBy("b").collect()]  # batches of more than ``alone`` rows for the most part
+    else:
+        data = data.persist()
+    walks = bool(batch) and (sizes["top"] or 0) <= alone
+    flat, shapes, losses = np.concatenate([np.concatenate([w.ravel(), b]) for w, b in layers]), [w.shape for w, _ in layers], []
+    state = _State(flat, np.zeros_like(flat), np.zeros_like(flat))
     for _ in range(epochs):
-        total = rows = 0.0
-        for step in steps:
-            shared = spark.sparkContext.broadcast(flat)
-
-            def run(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                net, g, l, n = unflat(shared.value), 0.0, 0.0, 0
-                for p in it:
-                    if len(p):
-                        a, b = _gradient(_matrix(p[features]), p[target].to_numpy(), net, loss)
-                        l, g, n = l + a, g + b, n + len(p)
-                if n:
-                    yield pd.DataFrame({"g": [g], "l": [l], "n": [n]})
-
-            part = data if step is None else data.where(F.col(batch) == F.lit(step))
-            # One row a task; summed by position in Spark, so the driver gets one gradient.
-            got = part.select(features, target).mapInPandas(run, "g array<double>, l double, n long")
-            sums = got.select("l", "n", F.posexplode("g").alias("p", "g")).groupBy("p").agg(F.sum("g").alias("g"), F.sum("l").alias("l"), F.sum("n").alias("n")).orderBy("p").collect()
-            if not sums:
-                continue
-            n = sums[0]["n"]
-            g = np.array([r["g"] for r in sums]) / n
-            total, rows = total + sums[0]["l"], rows + n
-            t += 1
-            if optimizer == "adam":
-                m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-                flat = flat - lr * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+        done = np.zeros(4)
+        for at in spans:
+            shared = spark.sparkContext.broadcast(state)
+            part = data if at is None else data.where(F.col("b").between(*at))
+            if walks:
+                rows = part.mapInArrow(_walk(shared, shapes, loss, optimizer, lr), SCHEMA).collect()  # of the one task that has rows
+                got = np.concatenate([np.array(v) for _, v in sorted((r["chunk"], r["v"]) for r in rows)])
+                done += got[:4]
+                state = _State(*np.split(got[5:], 3), int(got[4]))
             else:
-                flat = flat - lr * g
+
+                def add(own: np.ndarray, b: pa.RecordBatch, shared=shared) -> None:
+                    x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    lost, g = _gradient(x, b.column(1).to_numpy(zero_copy_only=False), _unflat(shared.value.flat, shapes), loss)
+                    own[0] += b.num_rows
+                    own[1] += lost
+                    own[2:] += g
+
+                got = task_sums(part, lambda: np.zeros(2 + len(flat)), add)
+                if len(got):
+                    state = copy.deepcopy(state)
+                    state.step(got[2:] / got[0], optimizer, lr)
+                    done += (1, got[1] / got[0], got[1], got[0])
             shared.destroy()
-        losses.append(total / max(1.0, rows))
+        steps, mean, each, n = done
+        losses.append(float(each / max(1.0, n) if row_mean else mean / max(1.0, steps)))
     data.unpersist()
-    return unflat(flat), losses
+    return _unflat(state.flat, shapes), losses
+
+
+def save_model(spark: SparkSession, layers: Layers, path: str) -> None:
+    """The model table: one row per chunk of a layer's weights or biases (layer, kind, chunk, shape, v)."""
+    rows = []
+    for k, (w, b) in enumerate(layers):
+        for kind, a in (("weight", w), ("bias", b)):
+            flat = a.ravel()
+            rows += [(k, kind, i, list(a.shape), [float(v) for v in flat[at : at + CHUNK]]) for i, at in enumerate(range(0, flat.size, CHUNK))]
+    spark.createDataFrame(rows, "layer int, kind string, chunk int, shape array<int>, v array<double>").write.parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Layers:
+    at: dict[tuple[int, str], list] = {}
+    for r in spark.read.parquet(path).orderBy("layer", "kind", "chunk").collect():
+        at.setdefault((r["layer"], r["kind"]), [r["shape"], []])[1].extend(r["v"])
+    return [tuple(np.array(at[k, kind][1]).reshape(at[k, kind][0]) for kind in ("weight", "bias")) for k in range(1 + max(k for k, _ in at))]
 
 
-def layer_table(spark: SparkSession, layers: Layers) -> DataFrame:
-    """(layer, kind, n_params): the model table's sizes."""
-    rows = [(k, kind, int(a.size)) for k, (w, b) in enumerate(layers) for kind, a in (("weight", w), ("bias", b))]
-    return spark.createDataFrame(rows, "layer int, kind string, n_params long")
+def model_sizes(model: DataFrame) -> DataFrame:
+    """(layer, kind, n_params) of a stored model table."""
+    return model.groupBy("layer", "kind").agg(F.sum(F.size("v")).cast("long").alias("n_params"))
 
 
 def parameter_count(model: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import encode, kmeans, linear, metrics, naive_bayes, network, pca, scale, split, tree
-from .registry import query, table
+from .registry import query, scratch, table
 
 # --- principal components ----------------------------------------------------
 
@@ -359,15 +359,42 @@ def n4(spark, d):
     return out.select("vec_id", network.argmax(F.col("logits")).alias("best"), F.round(F.array_max("logits"), 6).alias("top"))
 
 
+def _regression(spark, d):
+    """All 64 components against a sum of them."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", x.alias("x"), (F.get("embedding", F.lit(0)).cast("double") * 1.5 - F.get("embedding", F.lit(1)).cast("double") * 2 + F.get("embedding", F.lit(63)).cast("double")).alias("y"))
+
+
 @query("n5_train_mlp")
 def n5(spark, d):
-    e = table(spark, d, "embeddings").select(F.slice("embedding", 1, 5).alias("x"), (F.get("embedding", F.lit(0)) * 1.5 - F.get("embedding", F.lit(1)) * 2).cast("double").alias("y"))
-    _, losses = network.train_mlp(e, "x", "y", network.init_layers([5, 8, 1]), epochs=5)
+    e = split.assign_batches(_regression(spark, d), "vec_id", 64)
+    _, losses = network.train_mlp(e, "x", "y", network.init_layers([64, 16, 1]), epochs=10, batch="batch_id")
     return spark.createDataFrame([(i + 1, float(round(x, 6))) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
+N5_EPOCHS, N5_RATE = 20, 0.5
+_N5 = network.init_layers([64, 1])[0]
+#: One layer by full batches: with the row (x, 1) the gradient is 2 (G w - c) / n, G the sum of products of rows and c of rows and targets.
+N5 = f"""WITH RECURSIVE r AS (SELECT list_append(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), CAST(1 AS DOUBLE)) AS x, CAST(embedding[1] AS DOUBLE) * 1.5 - CAST(embedding[2] AS DOUBLE) * 2 + CAST(embedding[64] AS DOUBLE) AS y FROM embeddings),
+ g AS (SELECT i, j, sum(x[i] * x[j]) AS v FROM r, (SELECT unnest(range(1, 66)) AS i), (SELECT unnest(range(1, 66)) AS j) GROUP BY 1, 2),
+ m AS (SELECT (SELECT list(q ORDER BY i) FROM (SELECT i, list(v ORDER BY j) AS q FROM g GROUP BY i)) AS g, (SELECT list(c ORDER BY i) FROM (SELECT i, sum(x[i] * y) AS c FROM r, (SELECT unnest(range(1, 66)) AS i) GROUP BY i)) AS c, (SELECT sum(y * y) FROM r) AS yy, (SELECT count(*) FROM r) AS n),
+ s AS (SELECT 0 AS e, CAST([{", ".join(repr(float(v)) for v in [*_N5[0].ravel(), *_N5[1]])}] AS DOUBLE[]) AS w
+  UNION ALL SELECT e + 1, list_transform(range(1, 66), lambda i: w[i] - {N5_RATE} * 2 * (list_dot_product(g[i], w) - c[i]) / n) FROM s, m WHERE e < {N5_EPOCHS})
+ SELECT 'loss' AS kind, e + 1 AS i, round((list_dot_product(list_transform(range(1, 66), lambda k: list_dot_product(g[k], w)), w) - 2 * list_dot_product(w, c) + yy) / n, 6) AS v FROM s, m WHERE e < {N5_EPOCHS}
+ UNION ALL SELECT 'weight', CAST(i AS INTEGER), round(w[i], 6) FROM s, (SELECT unnest(range(1, 66)) AS i) WHERE e = {N5_EPOCHS}"""
+
+
+@query("n5_train_linear", N5)
+def n5_linear(spark, d):
+    layers, losses = network.train_mlp(_regression(spark, d), "x", "y", [_N5], optimizer="sgd", lr=N5_RATE, epochs=N5_EPOCHS)
+    rows = [("loss", i + 1, float(x)) for i, x in enumerate(losses)] + [("weight", i + 1, float(x)) for i, x in enumerate([*layers[0][0].ravel(), *layers[0][1]])]
+    return spark.createDataFrame(rows, "kind string, i int, v double").withColumn("v", F.round("v", 6))
+
+
 @query("n6_parameter_count", """WITH s AS (SELECT max(len(embedding)) AS d, count(DISTINCT label) AS k FROM embeddings)
  SELECT layer, CAST(sum(n) AS BIGINT) AS n_params FROM (SELECT 0 AS layer, d * 16 + 16 AS n FROM s UNION ALL SELECT 1, 16 * k + k FROM s) GROUP BY GROUPING SETS ((layer), ())""")
 def n6(spark, d):
     n = table(spark, d, "embeddings").agg(F.max(F.size("embedding")).alias("d"), F.countDistinct("label").alias("k")).first()
-    return network.parameter_count(network.layer_table(spark, network.init_layers([n["d"], 16, n["k"]])))
+    path = scratch(spark)
+    network.save_model(spark, network.init_layers([n["d"], 16, n["k"]]), path)
+    return network.parameter_count(network.model_sizes(spark.read.parquet(path)))

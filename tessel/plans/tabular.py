@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import encode, matrix, metrics, profile, scale, split
 from ..sources import images, synthetic, tables
-from .registry import query, table
-
-
-def scratch(spark) -> str:
-    """A fresh folder that driver and executors share; only a local session may leave spark.checkpoint.dir unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors can write")
-        base = tempfile.mkdtemp(prefix="tessel-")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+from .registry import query, scratch, table
 
 
 # --- sources and sinks -------------------------------------------------------

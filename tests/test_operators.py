@@ -496,3 +496,41 @@ def test_tree_takes_one_job_a_level(spark):
     at = tree.tree_predict(df, t).groupBy("pred").agg(F.count("*").alias("n")).collect()
     leaves = [r for r in t.nodes.values() if r["is_leaf"]]
     assert {r["pred"]: r["n"] for r in at} == {p: sum(r["n"] for r in leaves if r["pred"] == p) for p in {r["pred"] for r in leaves}}
+
+
+@pytest.mark.parametrize("way", ["walk", "ranges", "jobs"])
+def test_training_by_batches_matches_numpy(spark, way):
+    """A short last batch, all three ways to take a step, and both means of the loss."""
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(100, 3)), rng.normal(size=100)
+    ids = np.minimum(np.arange(100) // 16, 6)
+    df = spark.createDataFrame([([float(v) for v in a], float(b), int(k), "clash") for a, b, k in zip(x, y, ids)] + [(None, 1.0, 1, ""), ([1.0, 1.0, 1.0], None, 1, ""), ([1.0, 1.0, 1.0], 1.0, None, "")], "x array<double>, y double, b int, n string").repartition(5)
+    net = network.init_layers([3, 4, 1], 1)
+    more = {"walk": {}, "ranges": {"span": 20}, "jobs": {"alone": 10}}[way]
+    state = network._State(*[np.concatenate([np.concatenate([w.ravel(), b]) for w, b in net])] * 3)
+    state.m, state.s = np.zeros_like(state.flat), np.zeros_like(state.flat)
+    shapes, by_batch, by_row = [w.shape for w, _ in net], [], []
+    for _ in range(3):
+        means, total = [], 0.0
+        for k in range(7):
+            lost, g = network._gradient(x[ids == k], y[ids == k], network._unflat(state.flat, shapes), "mse")
+            n = (ids == k).sum()
+            state.step(g / n, "adam", 0.01)
+            means.append(lost / n)
+            total += lost
+        by_batch.append(np.mean(means))
+        by_row.append(total / 100)
+    got, losses = network.train_mlp(df, "x", "y", net, epochs=3, batch="b", **more)
+    assert np.allclose(np.concatenate([np.concatenate([w.ravel(), b]) for w, b in got]), state.flat) and np.allclose(losses, by_batch)
+    if way == "walk":
+        assert np.allclose(network.train_mlp(df, "x", "y", net, epochs=3, batch="b", row_mean=True)[1], by_row)
+        assert network.train_mlp(df.limit(0), "x", "y", net, epochs=2, batch="b")[1] == [0.0, 0.0]
+
+
+def test_model_table(spark, tmp_path):
+    net = network.init_layers([70, 80, 2], 3)
+    network.save_model(spark, net, f"{tmp_path}/m")
+    back_ = network.load_model(spark, f"{tmp_path}/m")
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(net, back_))
+    counts = network.parameter_count(network.model_sizes(spark.read.parquet(f"{tmp_path}/m"))).collect()
+    assert {r["layer"]: r["n_params"] for r in counts} == {0: 70 * 80 + 80, 1: 162, None: 70 * 80 + 80 + 162}
