@@ -45,12 +45,18 @@ def _added(rows: Column) -> Column:
     return F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), ordered[0]["v"], lambda s, r: F.zip_with(s, r["v"], lambda a, b: a + b))
 
 
-def total(parts: DataFrame) -> np.ndarray:
-    """The sum of the tasks' arrays (rows of SCHEMA); empty without rows. Only the sum reaches the driver."""
+def total(parts: DataFrame, length: int) -> np.ndarray:
+    """The sum of the tasks' arrays (rows of SCHEMA) of ``length`` numbers; empty without rows.
+
+    Sums of FAN tasks reach the driver if the array is one chunk, else their sums.
+    """
     one = parts.groupBy("chunk", F.expr(f"part div {FAN}").cast("int").alias("part")).agg(_added(F.collect_list(F.struct("part", "v"))).alias("v"))
-    all_ = one.groupBy("chunk").agg(_added(F.collect_list(F.struct("part", "v"))).alias("v"))
-    rows = sorted((r["chunk"], r["v"]) for r in all_.collect())
-    return np.concatenate([np.array(v) for _, v in rows]) if rows else np.zeros(0)
+    if length > CHUNK:
+        one = one.groupBy("chunk").agg(_added(F.collect_list(F.struct("part", "v"))).alias("v")).select("chunk", F.lit(0).alias("part"), "v")
+    sums: dict[int, np.ndarray] = {}
+    for r in sorted(one.collect(), key=lambda r: (r["chunk"], r["part"])):
+        sums[r["chunk"]] = sums.get(r["chunk"], 0.0) + np.array(r["v"])
+    return np.concatenate([sums[c] for c in sorted(sums)]) if sums else np.zeros(0)
 
 
 def task_sums(df: DataFrame, start: Callable[[], np.ndarray], add: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray:
@@ -65,7 +71,7 @@ def task_sums(df: DataFrame, start: Callable[[], np.ndarray], add: Callable[[np.
         if any_:
             yield task_rows(own)
 
-    return total(df.mapInArrow(run, SCHEMA))
+    return total(df.mapInArrow(run, SCHEMA), len(start()))
 
 
 def moments(df: DataFrame, vector: str, dim: int, block: int = 4_096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,6 +26,15 @@ def t5(spark, d):
     return m.select("pc", F.round("eigenvalue", 6).alias("eigenvalue"), *[F.round(F.get("loading", F.lit(i)), 6).alias(f"w{i + 1}") for i in (0, 1)])
 
 
+@query("t5_pca_wide", """SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_samp(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)), 9) AS cov, CAST(i = j AS INTEGER) AS one FROM embeddings, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) GROUP BY i, j""")
+def t5_wide(spark, d):
+    """All 64 components: eigenvalues and loadings are right if loadings are orthonormal and sum_k l_k v_k v_k' is the covariance."""
+    m = pca.pca_fit_vector(table(spark, d, "embeddings"), "embedding", 64).select("pc", "eigenvalue", F.posexplode("loading").alias("p", "w"))
+    a, b = (m.select("pc", "eigenvalue", (F.col("p") + 1).alias(i), F.col("w").alias(f"w{i}")) for i in "ij")
+    back = a.join(b.drop("eigenvalue"), "pc").groupBy("i", "j").agg(F.sum(F.col("eigenvalue") * F.col("wi") * F.col("wj")).alias("cov"), F.sum(F.col("wi") * F.col("wj")).alias("one"))
+    return back.select("i", "j", F.round("cov", 9).alias("cov"), F.round("one", 9).cast("int").alias("one"))
+
+
 @query("t6_pca_project", f"SELECT round(avg(abs(a + s * b) * sqrt(0.5)), 6) AS m1, round(avg(abs(a - s * b) * sqrt(0.5)), 6) AS m2, round(sum((a + s * b) * (a + s * b) * 0.5) / count(*), 6) AS v1, count(*) AS n FROM {ZP} z, {EIG} e")
 def t6(spark, d):
     z = zpair(spark, d)
@@ -57,53 +66,62 @@ def t9(spark, d):
 
 # --- k-means -----------------------------------------------------------------
 
-XS = ["x0", "x1", "x2"]
-POINTS = "(SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS x2 FROM embeddings)"
-START = [[-0.1, 0.0, 0.1], [0.0, 0.1, -0.1], [0.1, -0.1, 0.0]]
+K = 5
+#: Points are the vectors with all their components; the first K are the start.
+KP = "p AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)"
 
 
-def _steps(n: int) -> str:
-    """Chained CTEs: centroids c0 .. cn and assignments a0 .. an (of points to the centroids of the same number)."""
-    parts = [f"p AS {POINTS}", "c0 AS (" + " UNION ALL ".join(f"SELECT {k} AS k, CAST({a} AS DOUBLE) AS c0, CAST({b} AS DOUBLE) AS c1, CAST({c} AS DOUBLE) AS c2" for k, (a, b, c) in enumerate(START)) + ")"]
-    for i in range(n + 1):
-        parts.append(f"a{i} AS (SELECT p.*, (SELECT arg_min(k, (power(x0 - c0, 2) + power(x1 - c1, 2) + power(x2 - c2, 2), k)) FROM c{i}) AS k FROM p)".replace("arg_min(k, (", "min_by(k, row("))
-        if i < n:
-            parts.append(f"c{i + 1} AS (SELECT c.k, coalesce(avg(x0), any_value(c.c0)) AS c0, coalesce(avg(x1), any_value(c.c1)) AS c1, coalesce(avg(x2), any_value(c.c2)) AS c2, count(x0) AS n FROM c{i} c LEFT JOIN a{i} a ON a.k = c.k GROUP BY c.k)")
-    return "WITH " + ", ".join(parts)
+def _place(c: str) -> str:
+    d = f"list_transform(range(1, {K + 1}), lambda q: list_sum(list_transform(range(1, 65), lambda j: power(x[j] - {c}[q][j], 2))))"
+    return f"list_position({d}, list_min({d}))"
 
 
-@query("k1_assign", _steps(0) + " SELECT vec_id, k AS cluster FROM a0")
-def k1(spark, d):
-    return kmeans.assign(vectors(spark, d, 3), XS, START).select("vec_id", "cluster")
+#: States (i, cs, mv) of Lloyd: centroids after i updates and how far the last one moved them. A step that moves them by less than 1e-4 is the last, and taken back.
+KS = f"""{KP}, s AS (SELECT 0 AS i, (SELECT list(x ORDER BY vec_id) FROM p WHERE vec_id < {K}) AS cs, CAST(1e9 AS DOUBLE) AS mv
+ UNION ALL SELECT i + 1, ncs, sqrt(list_sum(list_transform(range(1, {K + 1}), lambda q: list_sum(list_transform(range(1, 65), lambda j: power(ncs[q][j] - cs[q][j], 2)))))) FROM
+ (SELECT i, cs, list_transform(range(1, {K + 1}), lambda q: coalesce(list_filter(ms, lambda m: m.k = q)[1].c, cs[q])) AS ncs FROM
+ (SELECT i, cs, list({{'k': k, 'c': c}}) AS ms FROM (SELECT i, cs, k, list(m ORDER BY j) AS c FROM (SELECT i, cs, k, j, avg(x[j]) AS m FROM
+ (SELECT s.i, s.cs, p.x, {_place("s.cs")} AS k FROM s, p WHERE s.mv >= 1e-4 AND s.i < 100), (SELECT unnest(range(1, 65)) AS j) GROUP BY ALL) GROUP BY i, cs, k) GROUP BY i, cs)))"""
+K_END = f"{KS}, e AS (SELECT cs FROM s WHERE mv >= 1e-4 ORDER BY i DESC LIMIT 1), z AS (SELECT vec_id, label, CAST({_place('cs')} - 1 AS INTEGER) AS cluster FROM p, e)"
+K_START = f"{KP}, s AS (SELECT (SELECT list(x ORDER BY vec_id) FROM p WHERE vec_id < {K}) AS cs), z AS (SELECT vec_id, x, CAST({_place('cs')} - 1 AS INTEGER) AS cluster FROM p, s)"
 
 
-@query("k2_update", _steps(0) + " SELECT k AS cluster, count(*) AS n, round(avg(x0), 9) AS x0, round(avg(x1), 9) AS x1, round(avg(x2), 9) AS x2 FROM a0 GROUP BY k")
-def k2(spark, d):
-    u = kmeans.update(kmeans.assign(vectors(spark, d, 3), XS, START), XS)
-    return u.select("cluster", "n", *[F.round(c, 9).alias(c) for c in XS])
+def points(spark, d):
+    p = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return p, [r["x"] for r in p.where(F.col("vec_id") < K).orderBy("vec_id").collect()]
 
 
-ROUNDS, TOL = 12, 0.02
-_MOVED = " UNION ALL ".join(f"SELECT {i} AS i, sqrt(sum(power(a.c0 - b.c0, 2) + power(a.c1 - b.c1, 2) + power(a.c2 - b.c2, 2))) AS d FROM c{i} a JOIN c{i + 1} b ON b.k = a.k" for i in range(ROUNDS))
-#: The stop: the first step that moves the centroids by less than TOL is taken back.
-_STOP = f", mv AS ({_MOVED}), stop AS (SELECT coalesce(min(i) FILTER (d < {TOL}), {ROUNDS}) AS i FROM mv)"
+@query("k1_assign", f"WITH {K_START} SELECT vec_id, cluster FROM z")
+def k1(spark, d):
+    p, start = points(spark, d)
+    return kmeans.assign_vectors(p, "x", start).select("vec_id", "cluster")
+
+
+@query("k2_update", f"WITH {K_START} SELECT cluster, n, CAST(j AS INTEGER) AS pos, round(m, 9) AS value FROM (SELECT cluster, j, count(*) AS n, avg(x[j]) AS m FROM z, (SELECT unnest(range(1, 65)) AS j) GROUP BY 1, 2)")
+def k2(spark, d):
+    p, start = points(spark, d)
+    u = kmeans.update_vectors(kmeans.assign_vectors(p, "x", start), "x", K, 64)
+    return u.select("cluster", "n", F.posexplode("centroid").alias("pos", "value")).select("cluster", "n", (F.col("pos") + 1).alias("pos"), F.round("value", 9).alias("value"))
 
 
-@query("k3_kmeans_fit", _steps(ROUNDS).replace(" AS (SELECT", " AS MATERIALIZED (SELECT") + _STOP + " " + " UNION ALL ".join(f"SELECT vec_id, k AS cluster FROM a{i} WHERE (SELECT i FROM stop) = {i}" for i in range(ROUNDS + 1)))
+@query("k3_kmeans_fit", f"WITH RECURSIVE {K_END} SELECT vec_id, cluster FROM z")
 def k3(spark, d):
-    return kmeans.kmeans_fit(vectors(spark, d, 3), XS, START, ROUNDS, TOL).labels.select("vec_id", "cluster")
+    p, start = points(spark, d)
+    return kmeans.fit_vectors(p, "x", start).labels.select("vec_id", "cluster")
 
 
-@query("k4_kmeans_history", _steps(3) + " " + " UNION ALL ".join(f"SELECT {i} AS iter, k AS cluster, n, round(c0, 9) AS x0, round(c1, 9) AS x1, round(c2, 9) AS x2 FROM c{i + 1}" for i in range(3)))
+@query("k4_kmeans_history", f"""WITH RECURSIVE {KS}, h AS (SELECT i, k, count(*) AS n FROM (SELECT s.i, {_place('s.cs')} AS k FROM s, p) GROUP BY 1, 2)
+ SELECT CAST(s.i - 1 AS INTEGER) AS iter, CAST(q - 1 AS INTEGER) AS cluster, coalesce(h.n, 0) AS n, CAST(j AS INTEGER) AS pos, round(s.cs[q][j], 9) AS value FROM s CROSS JOIN (SELECT unnest(range(1, {K + 1})) AS q) CROSS JOIN (SELECT unnest(range(1, 65)) AS j) LEFT JOIN h ON h.i = s.i - 1 AND h.k = q WHERE s.i > 0 AND mv >= 1e-4""")
 def k4(spark, d):
-    p = vectors(spark, d, 3)
-    h = kmeans.kmeans_history(p, XS, kmeans.kmeans_fit(p, XS, START, max_iters=3, tol=0.0))
-    return h.select("iter", "cluster", "n", *[F.round(c, 9).alias(c) for c in XS])
+    p, start = points(spark, d)
+    h = kmeans.history_vectors(p, kmeans.fit_vectors(p, "x", start))
+    return h.select("iter", "cluster", "n", F.posexplode("centroid").alias("pos", "value")).select("iter", "cluster", "n", (F.col("pos") + 1).alias("pos"), F.round("value", 9).alias("value"))
 
 
-@query("k5_cluster_vs_label", _steps(2) + " SELECT k AS cluster, label, count(*) AS n FROM a2 GROUP BY 1, 2")
+@query("k5_cluster_vs_label", f"WITH RECURSIVE {K_END} SELECT cluster, label, count(*) AS n FROM z GROUP BY 1, 2")
 def k5(spark, d):
-    return kmeans.cluster_vs_label(kmeans.kmeans_fit(vectors(spark, d, 3), XS, START, max_iters=2, tol=0.0).labels, "label")
+    p, start = points(spark, d)
+    return kmeans.cluster_vs_label(kmeans.fit_vectors(p, "x", start).labels, "label")
 
 
 # --- Naive Bayes -------------------------------------------------------------

@@ -240,6 +240,12 @@ def t4(spark, d):
     return scale.covariance(table(spark, d, "lineitem"), NUM).withColumn("cov", F.round("cov", 4))
 
 
+@query("t4_covariance_wide", """SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_samp(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)), 9) AS cov FROM embeddings, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) GROUP BY i, j""")
+def t4_wide(spark, d):
+    m = scale.covariance_matrix(table(spark, d, "embeddings"), "embedding", 64)
+    return spark.createDataFrame([(i + 1, j + 1, float(v)) for i, r in enumerate(m) for j, v in enumerate(r)], "i int, j int, cov double").withColumn("cov", F.round("cov", 9))
+
+
 # --- metrics -----------------------------------------------------------------
 
 EV = "(SELECT doc_id, quality AS y, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE greatest(quality, toxic) END AS pred FROM labels)"

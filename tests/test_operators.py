@@ -534,3 +534,47 @@ def test_model_table(spark, tmp_path):
     assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(net, back_))
     counts = network.parameter_count(network.model_sizes(spark.read.parquet(f"{tmp_path}/m"))).collect()
     assert {r["layer"]: r["n_params"] for r in counts} == {0: 70 * 80 + 80, 1: 162, None: 70 * 80 + 80 + 162}
+
+
+def lloyd(x, c, max_iters=100, tol=1e-4):
+    c = np.array(c)
+    for steps in range(1, max_iters + 1):
+        k = np.argmin(((x[:, None] - c) ** 2).sum(2), axis=1)
+        new = np.array([x[k == j].mean(0) if (k == j).any() else c[j] for j in range(len(c))])
+        if np.linalg.norm(new - c) < tol:
+            break
+        c = new
+    return c, np.argmin(((x[:, None] - c) ** 2).sum(2), axis=1), steps
+
+
+@pytest.mark.parametrize("renew", [0.0, 0.25, 2.0])
+def test_kmeans_bounds_leave_the_steps_as_they_are(spark, renew):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 20)) + np.repeat(rng.normal(size=(6, 20)) * 1.2, 150, axis=0)
+    x[:300] = x[0]  # a third of all rows hold one vector
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1001, [1.0]), (1002, [None] * 20)], "id long, x array<double>").repartition(5)
+    init = x[[0, 320, 480, 610, 760, 890, 5]].tolist()  # the last is the first again: it stays empty
+    fitted = kmeans.fit_vectors(df, "x", init, renew=renew)
+    c, k, steps = lloyd(x, init)
+    assert fitted.steps == steps and np.allclose(fitted.centroids, c)
+    got = {r["id"]: r["cluster"] for r in fitted.labels.collect()}
+    assert [got[i] for i in range(900)] == k.tolist() and got[1000] is got[1001] is got[1002] is None
+    if renew == 0.25:
+        assert min(fitted.looked_at[1:]) < 450  # rows far from every border aren't looked at
+
+
+def test_wide_plans_do_not_grow(spark):
+    df = spark.createDataFrame([(i, [float(i % 7 + j) for j in range(50)]) for i in range(20)], "id long, x array<double>")
+    size = lambda k: len(kmeans.assign_vectors(df, "x", np.zeros((k, 50)))._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(2) - size(40)) < 50
+
+
+@pytest.mark.parametrize("length", [3, 5_000])
+def test_sums_of_task_arrays(spark, length):
+    from tessel.operators import arrays
+
+    def add(own, b):
+        own += b.num_rows * np.arange(length)
+
+    assert (arrays.task_sums(spark.range(0, 100, 1, 70), lambda: np.zeros(length), add) == 100 * np.arange(length)).all()
+    assert len(arrays.task_sums(spark.range(0), lambda: np.zeros(length), add)) == 0
