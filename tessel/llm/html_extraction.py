@@ -60,7 +60,7 @@ SALTS = (256, 16, 1)  # streams of a host's expressions on each level of the fol
 PERIOD = 8  # longest sequence of children that is looked for as a repeated group; longer ones stay as they are
 CELLS = 1_000_000  # size up to which alignments are the longest ones; above, each child takes the next of its kind
 SAME = 3  # pages that a text must be the same on, to count as one that never varies
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|svg|textarea|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|noscript|style|template|iframe|svg|textarea|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _TAG = re.compile(r"<\s*(/?)\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Fixed list: HTML elements that start a block.
@@ -383,6 +383,7 @@ def roles(wrapper: Part, stats: dict[int, tuple[int, bool, int, int]]) -> Part:
         stack += [(k, part, gone) for k in reversed(part.kids)]
     text: dict[Part, int] = {}  # varying text outside links, less that inside
     mass: dict[Part, int] = {}  # the same for all text
+    size: dict[Part, int] = {}  # all text, links too
     known = any(x[1] for x in stats.values())  # copies of one page tell nothing
     fixed: dict[Part, bool] = {}  # no text varies
     linked: dict[Part, int] = {}
@@ -391,13 +392,17 @@ def roles(wrapper: Part, stats: dict[int, tuple[int, bool, int, int]]) -> Part:
             pages, varies, plain, link = stats.get(part.id, (0, True, 0, 0))
             still = not varies and pages >= SAME and known
             text[part], mass[part], fixed[part], linked[part] = (0 if still else plain - link), plain - link, still or not pages, link - plain
+            size[part] = plain + link
         if above is not None:
             if not gone:
                 text[above] = text.get(above, 0) + text.get(part, 0)
                 mass[above] = mass.get(above, 0) + mass.get(part, 0)
+                size[above] = size.get(above, 0) + size.get(part, 0)
             fixed[above] = fixed.get(above, True) and fixed.get(part, True)
             linked[above] = linked.get(above, 0) + linked.get(part, 0)
-    mains = {part for part, _, gone in order if not gone and mass.get(part, 0) > 0 and part.kind and part.kind[0] not in "#(" and _is_main(part.kind)}
+    named = [part for part, _, gone in order if not gone and part.kind and part.kind[0] not in "#(" and _is_main(part.kind)]
+    # Where no named container holds more plain than linked text (lists of sources, say), one with any text will do.
+    mains = {part for part in named if mass.get(part, 0) > 0} or {part for part in named if size.get(part, 0) > 0}
     deepest = None
     if not mains:
         total, deepest = text.get(wrapper, 0), wrapper
