@@ -5,57 +5,82 @@ divided by the root of their neighbourhood's plain sum. B: edge padding, a zero
 x gradient becomes 1e-6, closed bins (the later one wins), cells divided in
 place by the root of the sum of squares, so that earlier cells count as already
 divided.
+
+An image is one row: stacks of equal-sized images go through numpy together, and no
+pixel is shuffled or sorted.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .tables import arrays_of
+from .tables import grid_rows, rows_of_stacks
 
 
-def gradients(pixels: DataFrame, variant: str = "A", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pixel table (image_id, y, x, v) as image_id, y, x, ``keep``, gx, gy, mag and ang (degrees in 0..180).
-
-    Images are shuffled once; windows along rows and columns both work inside that partitioning.
-    """
-    pixels = pixels.repartition("image_id")
-    row, col = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
-    lag = lambda w: F.lag("v").over(w)
-    lead = lambda w: F.lead("v").over(w)
+def gradient_stack(a: np.ndarray, variant: str = "A") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gx, gy, magnitude, angle in 0..180 degrees) of a stack of gray images."""
     if variant == "A":
-        d = pixels.withColumns({"_l": lag(row), "_r": lead(row), "_u": lag(col), "_d": lead(col)})
-        inner = F.col("_l").isNotNull() & F.col("_r").isNotNull() & F.col("_u").isNotNull() & F.col("_d").isNotNull()
-        d = d.withColumns({"gx": F.when(inner, F.col("_r") - F.col("_l")).otherwise(0).cast("double"), "gy": F.when(inner, F.col("_d") - F.col("_u")).otherwise(0).cast("double")})
-        ang = F.degrees(F.atan2("gy", "gx"))
-        ang = F.when(ang < 0, ang + 180).otherwise(ang)
+        gx, gy = np.zeros_like(a), np.zeros_like(a)
+        gx[:, 1:-1, 1:-1], gy[:, 1:-1, 1:-1] = a[:, 1:-1, 2:] - a[:, 1:-1, :-2], a[:, 2:, 1:-1] - a[:, :-2, 1:-1]
+        ang = np.degrees(np.arctan2(gy, gx))
     else:
-        here = F.col("v")
-        gx = (F.coalesce(lead(row), here) - F.coalesce(lag(row), here)).cast("double")
-        d = pixels.withColumns({"gx": F.when(gx == 0, 1e-6).otherwise(gx), "gy": (F.coalesce(lead(col), here) - F.coalesce(lag(col), here)).cast("double")})
-        ang = F.degrees(F.atan(F.col("gy") / F.col("gx")))
-        ang = F.when(ang < 0, ang + 180).otherwise(ang)
-    return d.withColumns({"mag": F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), "ang": F.round(ang, 9)}).select("image_id", "y", "x", *keep, "gx", "gy", "mag", "ang")
+        p = np.pad(a, ((0, 0), (1, 1), (1, 1)), "edge")
+        gx, gy = p[:, 1:-1, 2:] - p[:, 1:-1, :-2], p[:, 2:, 1:-1] - p[:, :-2, 1:-1]
+        gx = np.where(gx == 0, 1e-6, gx)
+        ang = np.degrees(np.arctan(gy / gx))
+    return gx, gy, np.sqrt(gx * gx + gy * gy), np.round(np.where(ang < 0, ang + 180, ang), 9)
 
 
-def quantize_orientation(ang: Column, variant: str = "A") -> Column:
+def bin_stack(ang: np.ndarray, variant: str = "A") -> np.ndarray:
     """Bin 0..8 of 20 degrees."""
+    b = np.floor(ang / 20).astype(np.int32)
+    return np.where((b < 0) | (b > 8), 0, b).astype(np.int32) if variant == "A" else np.clip(b, 0, 8)
+
+
+def histogram_stack(a: np.ndarray, cell: int = 8, variant: str = "A") -> np.ndarray:
+    """Image x cell row x cell column x bin: magnitudes summed; the ragged border is left out."""
+    _, _, mag, ang = gradient_stack(a, variant)
+    n, (ny, nx) = len(a), (s // cell for s in a.shape[1:])
+    cut = lambda v: v[:, : ny * cell, : nx * cell]
+    mag, b = cut(mag), cut(bin_stack(ang, variant))
+    return np.stack([np.where(b == k, mag, 0.0).reshape(n, ny, cell, nx, cell).sum((2, 4)) for k in range(9)], axis=-1)
+
+
+def normalize_stack(hist: np.ndarray, variant: str = "A") -> np.ndarray:
+    """Cells divided by the root of their 3 x 3 neighbourhood's sum (A) or sum of squares as it stands at that moment (B), plus 1."""
+    ny, nx = hist.shape[1:3]
+    if variant == "A":
+        t = np.pad(hist.sum(-1), ((0, 0), (1, 1), (1, 1)))
+        return hist / np.sqrt(sum(t[:, dy : dy + ny, dx : dx + nx] for dy in range(3) for dx in range(3)) + 1)[..., None]
+    hist = hist.copy()
+    for y in range(ny):  # cells in raster order, all images at once
+        for x in range(nx):
+            near = hist[:, max(y - 1, 0) : y + 2, max(x - 1, 0) : x + 2]
+            hist[:, y, x] /= np.sqrt((near**2).sum((1, 2, 3)) + 1)[:, None]
+    return hist
+
+
+def gradients(images: DataFrame, variant: str = "A") -> DataFrame:
+    """(image_id, y, x, gx, gy, mag, ang) of gray images; ang in degrees of 0..180."""
+    return rows_of_stacks(images, lambda a: grid_rows(*gradient_stack(a, variant)), "y int, x int, gx double, gy double, mag double, ang double")
+
+
+def orientations(images: DataFrame, variants: tuple[str, ...] = ("A", "B")) -> DataFrame:
+    """(image_id, y, x, one bin per variant: bin_a, bin_b)."""
+    return rows_of_stacks(images, lambda a: grid_rows(*[bin_stack(gradient_stack(a, v)[3], v) for v in variants]), "y int, x int, " + ", ".join(f"bin_{v.lower()} int" for v in variants))
+
+
+def quantize_orientation(ang: Column, variant: str = "A") -> Column:
+    """Bin 0..8 of 20 degrees, of a column of angles."""
     b = F.floor(ang / 20).cast("int")
     return F.when((b < 0) | (b > 8), 0).otherwise(b) if variant == "A" else F.least(F.lit(8), F.greatest(F.lit(0), b))
 
 
-def cell_histogram(grads: DataFrame, height: int, width: int, cell: int = 8, variant: str = "A") -> DataFrame:
-    """(image_id, cy, cx, bin, m): magnitudes summed per cell and bin, zeros filled, the ragged border left out."""
-    g = grads.where((F.col("y") < height // cell * cell) & (F.col("x") < width // cell * cell))
-    g = g.select("image_id", F.expr(f"cast(y div {cell} as int)").alias("cy"), F.expr(f"cast(x div {cell} as int)").alias("cx"), quantize_orientation(F.col("ang"), variant).alias("bin"), "mag")
-    wide = g.groupBy("image_id", "cy", "cx").agg(*[F.sum(F.when(F.col("bin") == b, F.col("mag")).otherwise(0.0)).alias(f"m{b}") for b in range(9)])
-    return wide.select("image_id", "cy", "cx", F.inline(F.array(*[F.struct(F.lit(b).alias("bin"), F.col(f"m{b}").alias("m")) for b in range(9)])))
+def cell_histogram(images: DataFrame, cell: int = 8, variant: str = "A") -> DataFrame:
+    """(image_id, cy, cx, bin, m): magnitudes summed per cell and bin."""
+    return rows_of_stacks(images, lambda a: grid_rows(histogram_stack(a, cell, variant)), "cy int, cx int, bin int, m double")
 
 
 def bin_edges_histogram(values: DataFrame, value: str, weight: str, edges: list[float]) -> DataFrame:
@@ -66,46 +91,6 @@ def bin_edges_histogram(values: DataFrame, value: str, weight: str, edges: list[
     return values.groupBy(b.alias("bin")).agg(F.sum(weight).alias("m")).where(F.col("bin").between(0, len(edges) - 2))
 
 
-def normalize_blocks(cells: DataFrame) -> DataFrame:
-    """Variant A: m / sqrt(sum of the 3 x 3 cells around + 1), from the original values. Each cell's total goes to its nine neighbours by an equi-join."""
-    total = cells.groupBy("image_id", "cy", "cx").agg(F.sum("m").alias("_t"))
-    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    spread = total.select("image_id", "cy", "cx", "_t").withColumn("_dy", F.explode(step)).withColumn("_dx", F.explode(step))
-    near = spread.groupBy("image_id", (F.col("cy") + F.col("_dy")).alias("cy"), (F.col("cx") + F.col("_dx")).alias("cx")).agg(F.sum("_t").alias("_s"))
-    return cells.join(near, ["image_id", "cy", "cx"]).withColumn("m", F.col("m") / F.sqrt(F.col("_s") + 1)).drop("_s")
-
-
-def hog_array_b(gray: np.ndarray, cell: int = 8) -> np.ndarray:
-    h, w = gray.shape
-    p = np.pad(gray, 1, "edge")
-    gx, gy = p[1:-1, 2:] - p[1:-1, :-2], p[2:, 1:-1] - p[:-2, 1:-1]
-    gx = np.where(gx == 0, 1e-6, gx)
-    mag, ang = np.hypot(gx, gy), np.degrees(np.arctan(gy / gx))
-    ang = np.round(np.where(ang < 0, ang + 180, ang), 9)
-    b = np.clip(np.floor(ang / 20), 0, 8).astype(int)
-    ny, nx = h // cell, w // cell
-    cy, cx = np.mgrid[: ny * cell, : nx * cell] // cell
-    hist = np.zeros((ny, nx, 9))
-    np.add.at(hist, (cy, cx, b[: ny * cell, : nx * cell]), mag[: ny * cell, : nx * cell])
-    for y in range(ny):
-        for x in range(nx):
-            near = hist[max(y - 1, 0) : y + 2, max(x - 1, 0) : x + 2]
-            hist[y, x] = hist[y, x] / math.sqrt(float((near**2).sum()) + 1)
-    return hist
-
-
-def hog(images: DataFrame, height: int, width: int, variant: str = "A", cell: int = 8) -> DataFrame:
-    """(image_id, cy, cx, bin, m) of gray images: the feature vector in long form. A is relational, B a helper inside a task."""
-    if variant == "A":
-        from .tables import explode_pixels
-
-        return normalize_blocks(cell_histogram(gradients(explode_pixels(images).drop("c")), height, width, cell))
-
-    def run(it):
-        for p in it:
-            for i, a in arrays_of(p):
-                f = hog_array_b(a, cell)
-                y, x, b = np.indices(f.shape)
-                yield pd.DataFrame({"image_id": i, "cy": y.ravel(), "cx": x.ravel(), "bin": b.ravel(), "m": f.ravel()})
-
-    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, "image_id long, cy int, cx int, bin int, m double")
+def hog(images: DataFrame, variant: str = "A", cell: int = 8) -> DataFrame:
+    """(image_id, cy, cx, bin, m) of gray images: the feature vector in long form."""
+    return rows_of_stacks(images, lambda a: grid_rows(normalize_stack(histogram_stack(a, cell, variant), variant)), "cy int, cx int, bin int, m double")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +57,34 @@ def map_images(images: DataFrame, f: Callable[[np.ndarray], np.ndarray], kind: s
                 yield pd.DataFrame(rows, columns=["image_id", "height", "width", "channels", "data"])
 
     return images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, f"image_id long, height int, width int, channels int, data array<{kind}>")
+
+
+def stacks(b: pa.RecordBatch, weight: Callable[[int, int, int], int], limit: int = 16_000_000) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(image ids, stack: image x row x column [x channel] of doubles) of the images of a batch, by size; ``weight`` tells how many numbers an image takes, ``limit`` are held at a time."""
+    sizes = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width", "channels")], axis=1)
+    for h, w, c in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == (h, w, c)).all(1))
+        step = max(1, limit // max(1, weight(int(h), int(w), int(c))))
+        for z in range(0, len(at), step):
+            own = pa.array(at[z : z + step])
+            a = b.column("data").take(own).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield b.column("image_id").take(own), a.reshape(len(own), h, w) if c == 1 else a.reshape(len(own), h, w, c)
+
+
+def rows_of_stacks(images: DataFrame, f: Callable[[np.ndarray], tuple[np.ndarray, ...]], schema: str, weight: Callable[[int, int, int], int] = lambda h, w, c: 12 * h * w * c) -> DataFrame:
+    """(image_id, the columns of ``schema``): ``f`` of a stack gives (place of the image in the stack, columns), one entry per row. Nothing is shuffled."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, stack in stacks(b, weight):
+                owner, *cols = f(stack)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), *[pa.array(c) for c in cols]], ["image_id", *names])
+
+    return images.select("image_id", "height", "width", "channels", "data").mapInArrow(run, f"image_id long, {schema}")
+
+
+def grid_rows(*values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For :func:`rows_of_stacks`: owner, the places along all further axes and the values of equally shaped stacks."""
+    owner, *places = np.indices(values[0].shape, sparse=False)
+    return (owner.ravel(), *[p.ravel().astype(np.int32) for p in places], *[v.ravel() for v in values])

@@ -325,12 +325,12 @@ GRB = f"(SELECT image_id, y, x, gx, gy, sqrt(gx * gx + gy * gy) AS mag, round(CA
 
 @query("h1_gradients_a", f"SELECT image_id, y, x, gx, gy, round(mag, 6) AS mag, round(ang, 6) AS ang FROM {GRA} g")
 def h1a(spark, d):
-    return hog.gradients(px(big(spark, d))).withColumns({c: F.round(c, 6) for c in ("mag", "ang")})
+    return hog.gradients(big(spark, d)).withColumns({c: F.round(c, 6) for c in ("mag", "ang")})
 
 
 @query("h1_gradients_b", f"SELECT image_id, y, x, round(gx, 6) AS gx, gy, round(mag, 6) AS mag, round(ang, 6) AS ang FROM {GRB} g")
 def h1b(spark, d):
-    return hog.gradients(px(big(spark, d)), "B").withColumns({c: F.round(c, 6) for c in ("gx", "mag", "ang")})
+    return hog.gradients(big(spark, d), "B").withColumns({c: F.round(c, 6) for c in ("gx", "mag", "ang")})
 
 
 BINA, BINB = "CASE WHEN floor(ang / 20) BETWEEN 0 AND 8 THEN CAST(floor(ang / 20) AS INTEGER) ELSE 0 END", "least(8, greatest(0, CAST(floor(ang / 20) AS INTEGER)))"
@@ -338,9 +338,7 @@ BINA, BINB = "CASE WHEN floor(ang / 20) BETWEEN 0 AND 8 THEN CAST(floor(ang / 20
 
 @query("h2_quantize_orientation", f"SELECT a.image_id, a.y, a.x, {BINA.replace('ang', 'a.ang')} AS bin_a, {BINB.replace('ang', 'b.ang')} AS bin_b FROM {GRA} a JOIN {GRB} b USING (image_id, y, x)")
 def h2(spark, d):
-    a = hog.gradients(px(big(spark, d)), keep=("v",)).withColumn("bin_a", hog.quantize_orientation(F.col("ang")))
-    b = hog.gradients(a.select("image_id", "y", "x", "v", "bin_a"), "B", keep=("bin_a",))
-    return b.select("image_id", "y", "x", "bin_a", hog.quantize_orientation(F.col("ang"), "B").alias("bin_b"))
+    return hog.orientations(big(spark, d))
 
 
 CELL = f"(SELECT image_id, cy, cx, CAST(b AS INTEGER) AS bin, sum(CASE WHEN bin = b THEN mag ELSE 0 END) AS m FROM (SELECT image_id, y // 8 AS cy, x // 8 AS cx, {BINA} AS bin, mag FROM {GRA} g), (SELECT unnest(range(9)) AS b) GROUP BY 1, 2, 3, 4)"
@@ -348,7 +346,7 @@ CELL = f"(SELECT image_id, cy, cx, CAST(b AS INTEGER) AS bin, sum(CASE WHEN bin
 
 @query("h3_cell_histogram", f"SELECT image_id, cy, cx, bin, round(m, 6) AS m FROM {CELL} c")
 def h3(spark, d):
-    return hog.cell_histogram(hog.gradients(px(big(spark, d))), 32, 32).withColumn("m", F.round("m", 6))
+    return hog.cell_histogram(big(spark, d)).withColumn("m", F.round("m", 6))
 
 
 NORM = f"WITH c AS {CELL}, t AS (SELECT image_id, cy, cx, sum(m) AS t FROM c GROUP BY 1, 2, 3), n AS (SELECT a.image_id, a.cy, a.cx, sum(b.t) AS s FROM t a JOIN t b ON b.image_id = a.image_id AND abs(b.cy - a.cy) <= 1 AND abs(b.cx - a.cx) <= 1 GROUP BY 1, 2, 3) SELECT c.image_id, c.cy, c.cx, bin, round(m / sqrt(s + 1), 6) AS m FROM c JOIN n USING (image_id, cy, cx)"
@@ -356,17 +354,24 @@ NORM = f"WITH c AS {CELL}, t AS (SELECT image_id, cy, cx, sum(m) AS t FROM c GRO
 
 @query("h4_normalize_blocks", NORM)
 def h4(spark, d):
-    return hog.normalize_blocks(hog.cell_histogram(hog.gradients(px(big(spark, d))), 32, 32)).select("image_id", "cy", "cx", "bin", F.round("m", 6).alias("m"))
+    return hog.hog(big(spark, d)).select("image_id", "cy", "cx", "bin", F.round("m", 6).alias("m"))
 
 
 @query("h5_hog_a", NORM)
 def h5a(spark, d):
-    return hog.hog(big(spark, d), 32, 32).select("image_id", "cy", "cx", "bin", F.round("m", 6).alias("m"))
+    return hog.hog(big(spark, d)).select("image_id", "cy", "cx", "bin", F.round("m", 6).alias("m"))
 
 
-@query("h5_hog_b")
+#: Cells are divided one after the other, in raster order: near[i] are the cells around the i-th, as they stand at that moment.
+HOGB = f"""WITH RECURSIVE c AS (SELECT image_id, cy * 4 + cx AS i, list(m ORDER BY b) AS m FROM (SELECT image_id, y // 8 AS cy, x // 8 AS cx, b, sum(CASE WHEN {BINB} = b THEN mag ELSE 0 END) AS m FROM {GRB} g, (SELECT unnest(range(9)) AS b) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+ r AS (SELECT image_id, 0 AS n, list(m ORDER BY i) AS h FROM c GROUP BY 1
+  UNION ALL SELECT image_id, n + 1, list_transform(range(1, 17), lambda i: CASE WHEN i = n + 1 THEN list_transform(h[i], lambda v: v / sqrt(1 + list_sum(list_transform(list_filter(range(1, 17), lambda j: abs((j - 1) // 4 - (i - 1) // 4) <= 1 AND abs((j - 1) % 4 - (i - 1) % 4) <= 1), lambda j: list_sum(list_transform(h[j], lambda w: w * w)))))) ELSE h[i] END) FROM r WHERE n < 16)
+ SELECT image_id, CAST(i // 4 AS INTEGER) AS cy, CAST(i % 4 AS INTEGER) AS cx, CAST(b AS INTEGER) AS bin, round(h[i + 1][b + 1], 6) AS m FROM r, (SELECT unnest(range(16)) AS i), (SELECT unnest(range(9)) AS b) WHERE n = 16"""
+
+
+@query("h5_hog_b", HOGB)
 def h5b(spark, d):
-    return hog.hog(big(spark, d), 32, 32, "B").withColumn("m", F.round("m", 6))
+    return hog.hog(big(spark, d), "B").withColumn("m", F.round("m", 6))
 
 
 # --- lines -------------------------------------------------------------------
@@ -378,29 +383,26 @@ LINE = f"{PEAK}, ln AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITI
 
 
 def edges(spark, d):
-    return px(big(spark, d)).withColumn("v", F.when(F.col("v") >= 165, 255).otherwise(0))
-
-
-def votes(spark, d):
-    return hough.hough_votes(edges(spark, d), 32, 32)
+    """Gray images, 255 where the value is 165 or more, else 0."""
+    return big(spark, d).withColumn("data", F.transform("data", lambda v: F.when(v >= 165, 255).otherwise(0)))
 
 
 @query("v1_hough_votes", f"WITH {VOTE} SELECT * FROM vt")
 def v1(spark, d):
-    return votes(spark, d)
+    return hough.hough_votes(edges(spark, d))
 
 
 @query("v2_hough_peaks", f"WITH {PEAK} SELECT image_id, rho, theta, votes FROM pk")
 def v2(spark, d):
-    return hough.hough_peaks(votes(spark, d))
+    return hough.hough_peaks(edges(spark, d))
 
 
 @query("v3_top_lines", f"WITH {LINE} SELECT image_id, rho, theta, votes, line FROM ln")
 def v3(spark, d):
-    return hough.top_lines(hough.hough_peaks(votes(spark, d)))
+    return hough.top_lines(edges(spark, d))
 
 
 @query("v4_draw_lines", f"""WITH {LINE}, z AS (SELECT ln.*, c, s, CAST(rho - 45 AS DOUBLE) AS r FROM ln JOIN {TH} t USING (theta)), k AS (SELECT CAST(unnest(range(32)) AS INTEGER) AS k)
  SELECT DISTINCT image_id, y, x FROM (SELECT image_id, CAST(trunc(round(-(c / s) * k + r / s, 9)) AS BIGINT) AS y, k AS x FROM z, k WHERE s <> 0 UNION ALL SELECT image_id, k, CAST(trunc(round(-(s / c) * k + r / c, 9)) AS BIGINT) FROM z, k WHERE c <> 0) WHERE y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31""")
 def v4(spark, d):
-    return hough.draw_lines(hough.top_lines(hough.hough_peaks(votes(spark, d))), 32, 32, 45).select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    return hough.draw_lines(edges(spark, d)).select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))

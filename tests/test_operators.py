@@ -234,7 +234,7 @@ def test_spectral(spark):
 def test_hog_b_divides_in_place():
     """A flat ramp: all cells alike at first, so the later of two cells is divided by a sum with the earlier one already small."""
     g = np.tile(np.arange(0, 160, 10.0), (8, 1))
-    h = hog.hog_array_b(g)
+    h = hog.normalize_stack(hog.histogram_stack(g[None], 8, "B"), "B")[0]
     m = np.full((8, 16), 20.0)
     m[:, [0, -1]] = 10.0
     left, right = m[:, :8].sum(), m[:, 8:].sum()
@@ -243,58 +243,54 @@ def test_hog_b_divides_in_place():
 
 
 def test_hough_line(spark):
-    rows = [(1, y, x, 255 if y == 5 else 0) for y in range(16) for x in range(16)]
-    px = spark.createDataFrame(rows, "image_id long, y int, x int, v int")
-    v = hough.hough_votes(px, 16, 16)
-    shift = int(math.hypot(16, 16))
+    a = np.zeros((16, 16), int)
+    a[5] = 255
+    img, shift = image(spark, a), int(math.hypot(16, 16))
+    v = hough.hough_votes(img)
     assert v.where(f"theta = 90 and rho = {5 + shift}").collect()[0]["votes"] == 16
     assert v.agg(F.sum("votes")).first()[0] == 16 * 180
-    line = spark.createDataFrame([(1, 5 + shift, 90)], "image_id long, rho int, theta int")
-    on = hough.draw_lines(line, 16, 16, shift)
-    assert {r["y"] for r in on.collect()} == {5}
-    assert hough.hough_votes(px.limit(0), 16, 16).count() == 0
-    assert hough.paint(px, on, 7).where("v = 7").count() == 16
-
-
-def label_change_by_rows(pairs, min_leaf):
-    """Thresholds and gains of the scan, in order, by a walk over all rows."""
-    rows = sorted(pairs)
-    classes = sorted({y for _, y in rows})
-    g = lambda part: 1 - sum((sum(y == c for _, y in part) / len(part)) ** 2 for c in classes)
-    out = []
-    for i in range(1, len(rows)):
-        a, b = rows[:i], rows[i:]
-        if rows[i - 1][1] != rows[i][1] and min(len(a), len(b)) >= min_leaf:
-            out.append(((rows[i - 1][0] + rows[i][0]) / 2, round(g(rows) - len(a) / len(rows) * g(a) - len(b) / len(rows) * g(b), 12), len(a), len(b)))
+    y = np.nonzero(hough.drawn(np.array([0]), np.array([5 + shift]), np.array([90]), 1, 16, 16, shift)[0])[0]
+    assert set(y.tolist()) == {5} and len(y) == 16
+    on = hough.draw_lines(img, 1)  # among equal peaks the first in raster order: rho 4 at a steeper angle
+    assert {r["y"] for r in on.collect()} == {4}
+    assert hough.hough_votes(img.limit(0)).count() == 0
+    assert hough.paint(tables.explode_pixels(img).drop("c"), on, 7).where("v = 7").count() == 16
+
+
+def brute_votes(a, round_up=False):
+    d = math.hypot(*a.shape)
+    shift, out = math.ceil(d) if round_up else int(d), {}
+    for y, x in zip(*np.nonzero(a == 255)):
+        for t in range(180):
+            r = math.trunc(round(x * round(math.cos(math.radians(t)), 12) + y * round(math.sin(math.radians(t)), 12), 9))
+            out[r + shift, t] = out.get((r + shift, t), 0) + 1
     return out
 
 
-@pytest.mark.parametrize("kind", ["even", "skewed", "ties", "one"])
-def test_label_change_split_matches_walk(spark, kind):
-    rng = np.random.default_rng(4)
-    v = {"even": rng.normal(size=500), "skewed": np.exp(rng.normal(size=500) * 6), "ties": rng.integers(0, 5, 500) * 1.0, "one": np.ones(500)}[kind]
-    pairs = list(zip(v.tolist(), [str(x) for x in (v > np.median(v)).astype(int) + rng.integers(0, 2, 500)]))
-    r = tree.label_change_split(spark.createDataFrame(pairs, "x double, y string"), "x", "y", 5).first()
-    want = label_change_by_rows(pairs, 5)
-    best = max(want, key=lambda c: (c[1], -c[0], -c[2]))
-    assert r["n_candidates"] == len(want) and np.isclose(r["thr"], best[0], rtol=1e-12) and np.isclose(r["gain"], best[1], atol=1e-11)
-    assert np.isclose(r["last_gain"], want[-1][1], atol=1e-11) and (r["last_left"], r["last_right"]) == want[-1][2:]
-
-
-def test_label_change_split_scans_inside_ranges(spark):
-    """No window that is ordered by the feature spans the table."""
-    r = tree.label_change_split(spark.createDataFrame([(float(i), str(i % 2)) for i in range(40)], "x double, y string"), "x", "y", 5)
-    scans = [x for x in r._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "v#" in x.rsplit("], [", 1)[-1]]
-    assert scans and all("], [_r#" in x for x in scans)
-
-
-@pytest.mark.parametrize("kind", ["even", "skewed", "ties", "one", "few"])
-def test_percentiles_match_spark(spark, kind):
-    rng = np.random.default_rng(5)
-    v = {"even": rng.normal(size=3000), "skewed": np.exp(rng.normal(size=3000) * 6), "ties": rng.integers(0, 3, 3000) * 1.0, "one": np.ones(300), "few": np.array([3.0, 1.0])}[kind]
-    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double")
-    at = [0.0, 1 / 6, 0.5, 5 / 6, 0.999, 1.0]
-    assert ranking.percentiles(df, "x", at) == df.agg(F.percentile("x", at)).first()[0]
+def test_hough_steps_match_loops(spark):
+    """Images of two sizes in one table, and the same edges as scattered pixels."""
+    rng = np.random.default_rng(2)
+    imgs = {1: rng.integers(0, 2, (9, 12)) * 255, 2: rng.integers(0, 2, (9, 12)) * 255, 3: np.full((6, 5), 255), 4: np.zeros((9, 12), int)}
+    df = spark.createDataFrame([(k, *a.shape, 1, [int(v) for v in a.ravel()]) for k, a in imgs.items()], "image_id long, height int, width int, channels int, data array<int>")
+    found = lambda d: {(r["image_id"], r["rho"], r["theta"]): r["votes"] for r in d.collect()}
+    for up in (False, True):
+        assert found(hough.hough_votes(df, up)) == {(k, *c): n for k, a in imgs.items() for c, n in brute_votes(a, up).items()}
+    full = brute_votes(np.full((20, 20), 255))
+    assert found(hough.hough_votes(image(spark, np.full((20, 20), 255)), wrap=True)) == {(1, *c): n % 256 for c, n in full.items()}
+    peak = {(k, *c): n for k, a in imgs.items() for v in [brute_votes(a)] for c, n in v.items() if min(c) >= 1 and n >= max(v.get((c[0] - 1, c[1]), 0), v.get((c[0], c[1] - 1), 0), v.get((c[0] - 1, c[1] - 1), 0))}
+    assert found(hough.hough_peaks(df)) == peak
+    best = {k: sorted((-n, r, t) for (i, r, t), n in peak.items() if i == k)[:3] for k in imgs}
+    lines = sorted((r["image_id"], r["line"], -r["votes"], r["rho"], r["theta"]) for r in hough.top_lines(df, 3).collect())
+    assert lines == [(k, i + 1, *v) for k in imgs for i, v in enumerate(best[k])]
+    px = tables.explode_pixels(df.where("height = 9")).drop("c").repartition(5)
+    assert found(hough.pixel_votes(px, 9, 12)) == {(k, *c): n for k in (1, 2) for c, n in brute_votes(imgs[k]).items()}
+    assert hough.pixel_votes(px.limit(0), 9, 12).count() == 0
+
+
+def test_image_rows_are_not_shuffled(spark):
+    df = image(spark, np.arange(256).reshape(16, 16) % 251)
+    for d in (hog.hog(df), hog.hog(df, "B"), hog.gradients(df), hog.orientations(df), hough.draw_lines(df), hough.top_lines(df)):
+        assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
 
 
 def test_no_task_holds_all_values(spark):
