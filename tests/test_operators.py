@@ -574,3 +574,38 @@ def test_sums_of_task_arrays(spark, length):
 
     assert (arrays.task_sums(spark.range(0, 100, 1, 70), lambda: np.zeros(length), add) == 100 * np.arange(length)).all()
     assert len(arrays.task_sums(spark.range(0), lambda: np.zeros(length), add)) == 0
+
+
+@pytest.mark.parametrize("form", ["cells", "blocks"])
+def test_matmul_with_a_heavy_inner_index(spark, form, monkeypatch):
+    """One inner index holds half of all cells."""
+    rng = np.random.default_rng(4)
+    a, b = np.zeros((400, 60)), np.zeros((60, 300))
+    a[:, 7], b[7] = rng.integers(1, 9, 400), rng.integers(1, 9, 300)
+    for m in (a, b):
+        at = rng.integers(0, m.size, 400)
+        m.ravel()[at] = rng.integers(1, 9, 400)
+    table = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "i long, j long, v double")
+    monkeypatch.setattr(matrix, "SIDE", 16)
+    got = matrix.matmul(table(a), table(b)) if form == "cells" else matrix.matmul_blocks(table(a), table(b), 16, 2)
+    out = np.zeros((400, 300))
+    for r in got.collect():
+        out[r["i"], r["j"]] = r["v"]
+    assert (out == a @ b).all()
+
+
+def test_heavy_inner_index_is_dealt_evenly(spark):
+    rng = np.random.default_rng(5)
+    cells = [(i, 0 if i % 2 else int(rng.integers(1, 500))) for i in range(8_000)]
+    x = spark.createDataFrame(cells, "i long, k long")
+    y = spark.createDataFrame([(k, j) for j, k in cells], "k long, j long")
+    left, right = matrix.dealt(x, y, 64)
+    for d in (left, right):
+        most = d.groupBy("k", "_p", "_q").count().agg(F.max("count")).first()[0]
+        assert most <= 2 * 64
+        sizes = sorted(r["n"] for r in d.repartition(16, "k", "_p", "_q").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+        assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+    pairs = left.where("i < 1000").join(right, ["k", "_p", "_q"]).groupBy("i", "j", "k").count()
+    n = {k: sum(c[1] == k for c in cells) for k in {c[1] for c in cells if c[1]}}
+    assert pairs.where("k > 0").count() == sum(n[k] for i, k in cells[:1000] if k) and pairs.where("count > 1").count() == 0
+    assert pairs.where("k = 0 and i < 100").count() == 50 * 4_000
