@@ -42,12 +42,16 @@ def s4(spark, d):
     return v.withColumn("total", F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x)).drop("data", "path")
 
 
-@query("s5_load_annotated_images", "SELECT vec_id AS path, label, 64 AS n_pixels FROM embeddings")
+@query("s5_load_annotated_images", "SELECT vec_id AS path, label, CASE WHEN label = 9 THEN 'missing' ELSE 'found' END AS status, CASE WHEN label = 9 THEN NULL ELSE 64 END AS n_pixels, CASE WHEN label = 9 THEN NULL ELSE CAST(list_sum(list_transform(embedding, lambda x: least(255, greatest(0, floor((CAST(x AS DOUBLE) + 1) * 127.5))))) AS BIGINT) END AS total FROM embeddings")
 def s5(spark, d):
-    e = table(spark, d, "embeddings")
-    pics = images.vector_images(e).withColumn("path", F.col("image_id").cast("string"))
-    found, _ = images.load_annotated_images(e.select(F.col("vec_id").cast("string").alias("path"), "label"), pics)
-    return found.select(F.col("path").cast("long").alias("path"), "label", F.size("data").alias("n_pixels"))
+    """Every vector is annotated; those with label 9 have no picture file."""
+    e, path = table(spark, d, "embeddings"), scratch(spark)
+    images.write_images(images.vector_images(e.where("label <> 9")), path)
+    got = images.load_annotated_images(e.select(F.concat("vec_id", F.lit(".png")).alias("path"), "label"), path)
+    total = F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x)
+    found = got.found.select("path", "label", F.lit("found").alias("status"), F.size("data").alias("n_pixels"), total.alias("total"))
+    gone = got.missing.select("path", "label", F.lit("missing"), F.lit(None).cast("int"), F.lit(None).cast("long")).union(got.unreadable.select("path", "label", F.lit("unreadable"), F.lit(None).cast("int"), F.lit(None).cast("long")))
+    return found.union(gone).withColumn("path", F.regexp_extract("path", r"(\d+)", 1).cast("long"))
 
 
 @query("s6_write_read_model", "SELECT l_returnflag AS class, count(*) AS n, round(count(*) / (SELECT count(*) FROM lineitem), 9) AS prior FROM lineitem GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,13 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files; unreadable ones are left out. ``data`` is an array of 0..255."""
+def numbers(data: str) -> Column:
+    """The bytes of a picture as an array of 0..255."""
 
     @F.pandas_udf("array<int>")
-    def numbers(data: pd.Series) -> pd.Series:
+    def bytes_(data: pd.Series) -> pd.Series:
         return data.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int32))
 
+    return bytes_(data)
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Image files; unreadable ones are left out. ``data`` is an array of 0..255."""
     df = spark.read.format("image").option("dropInvalid", True).load(path)
     return df.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), numbers("image.data").alias("data"))
 
@@ -52,10 +58,57 @@ def write_images(images: DataFrame, path: str) -> None:
     images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()
 
 
-def load_annotated_images(annotations: DataFrame, images: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
-    """(image rows with their label, annotations without an image) by file name; narrow annotations go to the wide images where they are small enough for Spark to send them."""
-    a = annotations.select(F.concat(F.lit(prefix), F.col("path")).alias("path"), "label")
-    return images.join(a, "path"), a.join(images.select("path"), "path", "left_anti")
+WAVE = 10_000  # files whose names are handed to one read
+
+
+@dataclass
+class Annotated:
+    found: DataFrame  # (path: as annotated, label, height, width, channels, data)
+    missing: DataFrame  # (path, label) without a file
+    unreadable: DataFrame  # (path, label) whose file is no picture
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, name: below the folder, length) of all files below a folder; no file is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    file = _plain(F.col("path"))
+    base = _plain(F.lit(folder.rstrip("/") + "/"))
+    return listed.select(file.alias("file"), F.element_at(F.split(F.regexp_replace(file, "^[a-z0-9]+:", ""), F.concat(F.lit("^\\Q"), F.regexp_replace(base, "^[a-z0-9]+:", ""), F.lit("\\E"))), -1).alias("name"), "length")
+
+
+def _plain(path: Column) -> Column:
+    """scheme:/path, however many slashes follow the scheme."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
+def load_annotated_images(annotations: DataFrame, folder: str, wave: int = WAVE) -> Annotated:
+    """Pictures of a folder with the labels of ``annotations`` (path below the folder, label).
+
+    Files are listed with their sizes, matched with the narrow annotations, and only
+    those that match are opened, in reads of at most ``wave`` names. Pictures that
+    several rows name appear with each; names are those of the whole path. Files
+    without a byte count as missing, as Spark doesn't list them.
+    """
+    spark = annotations.sparkSession
+    a = annotations.select("path", "label")
+    files = list_files(spark, folder)
+    named = a.join(files, a["path"] == files["name"]).select("path", "label", "file")
+    missing = a.join(files, a["path"] == files["name"], "left_anti")
+    reads, names = [], []
+    read = lambda names: spark.read.format("image").option("dropInvalid", False).load(names).select(_plain(F.col("image.origin")).alias("file"), "image")
+    for r in named.select("file").distinct().toLocalIterator():  # names alone, as Spark's own index of a read holds them
+        names.append(r["file"])
+        if len(names) == wave:
+            reads.append(read(names))
+            names = []
+    if names or not reads:
+        reads.append(read(names) if names else spark.createDataFrame([], "file string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"))
+    pictures = reads[0]
+    for r in reads[1:]:
+        pictures = pictures.union(r)
+    both = pictures.join(named, "file")
+    found = both.where("image.height > 0").select("path", "label", F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), numbers("image.data").alias("data"))
+    return Annotated(found, missing, both.where("image.height <= 0").select("path", "label"))
 
 
 def vector_images(vectors: DataFrame) -> DataFrame:

@@ -609,3 +609,19 @@ def test_heavy_inner_index_is_dealt_evenly(spark):
     n = {k: sum(c[1] == k for c in cells) for k in {c[1] for c in cells if c[1]}}
     assert pairs.where("k > 0").count() == sum(n[k] for i, k in cells[:1000] if k) and pairs.where("count > 1").count() == 0
     assert pairs.where("k = 0 and i < 100").count() == 50 * 4_000
+
+
+@pytest.mark.parametrize("wave", [1, 10_000])
+def test_annotated_picture_files(spark, tmp_path, wave):
+    """Files that match, are missing, are no pictures, lie in a folder of their own, or that nobody asked for."""
+    images.write_images(image(spark, np.arange(12).reshape(3, 4)), f"{tmp_path}/p")
+    images.write_images(image(spark, np.arange(30).reshape(5, 6)), f"{tmp_path}/p/more")
+    (tmp_path / "p" / "broken.png").write_bytes(b"no picture")
+    (tmp_path / "p" / "empty.png").write_bytes(b"")
+    (tmp_path / "p" / "unasked.png").write_bytes(b"never opened")
+    rows = [("1.png", 1), ("1.png", 2), ("more/1.png", 3), ("broken.png", 4), ("empty.png", 5), ("gone.png", 6), (None, 7)]
+    got = images.load_annotated_images(spark.createDataFrame(rows, "path string, label int"), f"{tmp_path}/p", wave)
+    assert sorted((r["path"], r["label"], r["height"], list(r["data"])) for r in got.found.collect()) == [("1.png", 1, 3, list(range(12))), ("1.png", 2, 3, list(range(12))), ("more/1.png", 3, 5, list(range(30)))]
+    assert sorted(r["label"] for r in got.missing.collect()) == [5, 6, 7] and sorted(r["label"] for r in got.unreadable.collect()) == [4]
+    none = images.load_annotated_images(spark.createDataFrame([("x", 1)], "path string, label int"), f"{tmp_path}/p", wave)
+    assert none.found.count() == 0 and none.missing.count() == 1
