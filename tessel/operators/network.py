@@ -150,84 +150,68 @@ def _unflat(v: np.ndarray, shapes: list[tuple[int, int]]) -> Layers:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(batch, x, y) of a partition that is sorted by batch: one batch's rows are held at a time."""
-    held, xs, ys = None, [], []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids, y = b.column(2).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-        x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        cut = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-        for a, z in zip(cut, cut[1:]):
-            if held is not None and ids[a] != held:
-                yield held, np.concatenate(xs), np.concatenate(ys)
-                xs, ys = [], []
-            held = int(ids[a])
-            xs.append(x[a:z])
-            ys.append(y[a:z])
-    if held is not None:
-        yield held, np.concatenate(xs), np.concatenate(ys)
-
-
 def _walk(shared, shapes: list[tuple[int, int]], loss: str, optimizer: str, lr: float):
-    """Steps through the batches of a partition, in order, and hands on (steps, sum of mean losses, sum of losses, rows, t) and the state."""
+    """Steps through the batches of a range, in order, and hands on (steps, sum of mean losses, sum of losses, rows, t) and the state."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: pa.Table) -> pa.Table:
         state: _State = copy.deepcopy(shared.value)
         done = np.zeros(4)
-        for _, x, y in _runs(batches):
-            lost, g = _gradient(x, y, _unflat(state.flat, shapes), loss)
-            state.step(g / len(y), optimizer, lr)
-            done += (1, lost / len(y), lost, len(y))
-        if done[0]:
-            yield task_rows(np.concatenate([done, [state.t], state.flat, state.m, state.s]))
+        rows = rows.sort_by("b").combine_chunks()
+        ids, y = rows.column("b").to_numpy(), rows.column("y").to_numpy()
+        x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        cut = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        for z, e in zip(cut, cut[1:]):
+            lost, g = _gradient(x[z:e], y[z:e], _unflat(state.flat, shapes), loss)
+            state.step(g / (e - z), optimizer, lr)
+            done += (1, lost / (e - z), lost, e - z)
+        return pa.Table.from_batches([task_rows(np.concatenate([done, [state.t], state.flat, state.m, state.s]))])
 
     return run
 
 
-def train_mlp(df: DataFrame, features: str, target: str, layers: Layers, loss: str = "mse", optimizer: str = "adam", lr: float = 0.01, epochs: int = 50, batch: str | None = None, row_mean: bool = False, span: int = 1_000_000, alone: int = 100_000) -> tuple[Layers, list[float]]:
+def train_mlp(df: DataFrame, features: str, target: str, layers: Layers, loss: str = "mse", optimizer: str = "adam", lr: float = 0.01, epochs: int = 50, batch: str | None = None, row_mean: bool = False, span: int = 16_000_000) -> tuple[Layers, list[float]]:
     """Synchronous training; returns the layers and the loss of each epoch (of each step before its update).
 
     A step by rows of many tasks (full batches, the default, or batches of more than
-    ``alone`` rows) is one job: each task sums the gradient of its rows, and the tasks'
-    arrays are summed in Spark by chunks. Smaller batches (``batch`` is a column of
-    whole numbers) leave nothing to share out, as each step needs the weights of the
-    one before: the rows are cached in ranges of batches of about ``span`` rows, and
-    a task walks through the batches of a range. The weights go from range to range,
-    so an epoch takes as many jobs as there are ranges however many batches there
-    are, a task holds one batch's rows, and a lost executor costs one range.
+    ``span`` numbers) is one job: each task sums the gradient of its rows, and the
+    tasks' arrays are summed in Spark by chunks. Smaller batches (``batch`` is a
+    column of whole numbers) leave nothing to share out, as each step needs the
+    weights of the one before: the batches are cut into ranges of about ``span``
+    numbers, and a task walks through the batches of a range. The weights go from
+    range to range, so an epoch takes as many jobs as there are ranges however many
+    batches there are, a task holds one range, and a lost executor costs one.
 
     An epoch's loss is the mean over the batches of their mean losses, so a short
     last batch weighs as much as the others; ``row_mean`` gives the mean over rows.
     Rows without features, target or batch take no part.
     """
     spark = df.sparkSession
-    data = df.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"), (F.col(batch).cast("long") if batch else F.lit(0).cast("long")).alias("b")).dropna()
-    spans = [None]
+    data = df.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"), (F.col(batch).cast("long") if batch else F.lit(0).cast("long")).alias("b")).dropna().persist()
+    rows, spans, walks = max(1, span // layers[0][0].shape[1]), [None], False
     if batch:
-        sizes = data.groupBy("b").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max("b").alias("last")).first()
-        data = data.repartitionByRange(max(1, (sizes["n"] or 0) // span), "b").sortWithinPartitions("b").persist()
-        if (sizes["top"] or 0) <= alone:
-            spans = [(r["lo"], r["hi"]) for r in data.groupBy(F.spark_partition_id()).agg(F.min("b").alias("lo"), F.max("b").alias("hi")).orderBy("lo").collect()]  # one row per range
+        sizes = data.groupBy("b").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("top")).first()
+        walks = (sizes["top"] or 0) <= rows
+        if walks and sizes["n"]:
+            k = -(-sizes["n"] // rows)
+            ends = sorted(set(data.agg(F.percentile_approx("b", [i / k for i in range(1, k)] + [1.0], 100 * k).alias("e")).first()["e"]))  # one per range
+            spans = list(zip([None, *ends], [*ends[:-1], None]))
         else:
-            spans = [(r["b"], r["b"]) for r in data.select("b").distinct().orderBy("b").collect()]  # batches of more than ``alone`` rows for the most part
-    else:
-        data = data.persist()
-    walks = bool(batch) and (sizes["top"] or 0) <= alone
+            spans = [(r["b"], r["b"]) for r in data.select("b").distinct().orderBy("b").collect()]  # batches that fill a range each, for the most part
     flat, shapes, losses = np.concatenate([np.concatenate([w.ravel(), b]) for w, b in layers]), [w.shape for w, _ in layers], []
     state = _State(flat, np.zeros_like(flat), np.zeros_like(flat))
     for _ in range(epochs):
         done = np.zeros(4)
         for at in spans:
             shared = spark.sparkContext.broadcast(state)
-            part = data if at is None else data.where(F.col("b").between(*at))
             if walks:
-                rows = part.mapInArrow(_walk(shared, shapes, loss, optimizer, lr), SCHEMA).collect()  # of the one task that has rows
-                got = np.concatenate([np.array(v) for _, v in sorted((r["chunk"], r["v"]) for r in rows)])
-                done += got[:4]
-                state = _State(*np.split(got[5:], 3), int(got[4]))
+                part = data.where((F.lit(True) if at[0] is None else F.col("b") > at[0]) & (F.lit(True) if at[1] is None else F.col("b") <= at[1]))
+                got = part.groupBy(F.lit(0).alias("one")).applyInArrow(_walk(shared, shapes, loss, optimizer, lr), SCHEMA).collect()
+                if got:
+                    got = np.concatenate([np.array(v) for _, v in sorted((r["chunk"], r["v"]) for r in got)])
+                    done += got[:4]
+                    state = _State(*np.split(got[5:], 3), int(got[4]))
             else:
+                part = data if at is None else data.where(F.col("b").between(*at))
 
                 def add(own: np.ndarray, b: pa.RecordBatch, shared=shared) -> None:
                     x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)

@@ -502,7 +502,7 @@ def test_training_by_batches_matches_numpy(spark, way):
     ids = np.minimum(np.arange(100) // 16, 6)
     df = spark.createDataFrame([([float(v) for v in a], float(b), int(k), "clash") for a, b, k in zip(x, y, ids)] + [(None, 1.0, 1, ""), ([1.0, 1.0, 1.0], None, 1, ""), ([1.0, 1.0, 1.0], 1.0, None, "")], "x array<double>, y double, b int, n string").repartition(5)
     net = network.init_layers([3, 4, 1], 1)
-    more = {"walk": {}, "ranges": {"span": 20}, "jobs": {"alone": 10}}[way]
+    more = {"walk": {}, "ranges": {"span": 60}, "jobs": {"span": 9}}[way]
     state = network._State(*[np.concatenate([np.concatenate([w.ravel(), b]) for w, b in net])] * 3)
     state.m, state.s = np.zeros_like(state.flat), np.zeros_like(state.flat)
     shapes, by_batch, by_row = [w.shape for w, _ in net], [], []
