@@ -49,9 +49,7 @@ def s5(spark, d):
     images.write_images(images.vector_images(e.where("label <> 9")), path)
     got = images.load_annotated_images(e.select(F.concat("vec_id", F.lit(".png")).alias("path"), "label"), path)
     total = F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x)
-    found = got.found.select("path", "label", F.lit("found").alias("status"), F.size("data").alias("n_pixels"), total.alias("total"))
-    gone = got.missing.select("path", "label", F.lit("missing"), F.lit(None).cast("int"), F.lit(None).cast("long")).union(got.unreadable.select("path", "label", F.lit("unreadable"), F.lit(None).cast("int"), F.lit(None).cast("long")))
-    return found.union(gone).withColumn("path", F.regexp_extract("path", r"(\d+)", 1).cast("long"))
+    return got.all.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("path"), "label", "status", F.when(F.col("data").isNotNull(), F.size("data")).alias("n_pixels"), total.alias("total"))
 
 
 @query("s6_write_read_model", "SELECT l_returnflag AS class, count(*) AS n, round(count(*) / (SELECT count(*) FROM lineitem), 9) AS prior FROM lineitem GROUP BY 1")

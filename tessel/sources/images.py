@@ -63,7 +63,8 @@ WAVE = 10_000  # files whose names are handed to one read
 
 @dataclass
 class Annotated:
-    found: DataFrame  # (path: as annotated, label, height, width, channels, data)
+    all: DataFrame  # (path: as annotated, label, status: found, missing or unreadable, height, width, channels, data), from one read
+    found: DataFrame  # (path, label, height, width, channels, data)
     missing: DataFrame  # (path, label) without a file
     unreadable: DataFrame  # (path, label) whose file is no picture
 
@@ -107,8 +108,12 @@ def load_annotated_images(annotations: DataFrame, folder: str, wave: int = WAVE)
     for r in reads[1:]:
         pictures = pictures.union(r)
     both = pictures.join(named, "file")
-    found = both.where("image.height > 0").select("path", "label", F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), numbers("image.data").alias("data"))
-    return Annotated(found, missing, both.where("image.height <= 0").select("path", "label"))
+    size = [F.col(f"image.{c}").alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"))]
+    status = F.when(F.col("image.height") > 0, "found").otherwise("unreadable")
+    opened = both.select("path", "label", status.alias("status"), *size, numbers("image.data").alias("data"))
+    every = opened.union(missing.select("path", "label", F.lit("missing"), *[F.lit(None).cast("int")] * 3, F.lit(None).cast("array<int>")))
+    pick = lambda s: opened.where(F.col("status") == s)
+    return Annotated(every, pick("found").drop("status"), missing, pick("unreadable").select("path", "label"))
 
 
 def vector_images(vectors: DataFrame) -> DataFrame:
