@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import map_images
+from .tables import map_images, rows_of_stacks
 
 
 MAX_TEMPLATE = 1_024  # pixels of a template that meets pixel tables
@@ -26,18 +26,19 @@ def resize_nearest(pixels: DataFrame, height: int, width: int, scale: float) ->
 
 
 def bilinear_array(a: np.ndarray, scale: float, standard: bool = False) -> np.ndarray:
-    """Four neighbours, inside the image. By default the two mixed terms have their weights swapped; ``standard`` gives the textbook weights. Truncated."""
-    h, w = a.shape[:2]
+    """Four neighbours, inside the image. By default the two mixed terms have their weights swapped; ``standard`` gives the textbook weights. Truncated. Of a stack (image x row x column [x channel])."""
+    h, w = a.shape[1:3]
     sy, sx = np.arange(int(h * scale)) / scale, np.arange(int(w * scale)) / scale
     y1, x1 = np.minimum(np.floor(np.round(sy, 9)).astype(int), h - 1), np.minimum(np.floor(np.round(sx, 9)).astype(int), w - 1)
     y2, x2 = np.minimum(y1 + 1, h - 1), np.minimum(x1 + 1, w - 1)
     dy, dx = (sy - y1)[:, None], (sx - x1)[None]
-    if a.ndim == 3:
+    if a.ndim == 4:
         dy, dx = dy[..., None], dx[..., None]
-    right, below = a[np.ix_(y1, x2)], a[np.ix_(y2, x1)]
+    at = lambda y, x: a[:, y[:, None], x]
+    right, below = at(y1, x2), at(y2, x1)
     if not standard:
         right, below = below, right
-    v = a[np.ix_(y1, x1)] * (1 - dx) * (1 - dy) + right * dx * (1 - dy) + below * (1 - dx) * dy + a[np.ix_(y2, x2)] * dx * dy
+    v = at(y1, x1) * (1 - dx) * (1 - dy) + right * dx * (1 - dy) + below * (1 - dx) * dy + at(y2, x2) * dx * dy
     return np.floor(np.round(v, 9))
 
 
@@ -54,34 +55,49 @@ def affine(pixels: DataFrame, height: int, width: int, tx: float, ty: float, ang
     return moved.groupBy("image_id", F.col("ny").alias("y"), F.col("nx").alias("x")).agg(F.max_by("v", "o").alias("v"))
 
 
+def template_stack(a: np.ndarray, t: np.ndarray, inclusive: bool = False) -> tuple[np.ndarray, ...]:
+    """(place in the stack, y, x, ssd) of the best offset of each image, none where the template doesn't fit.
+
+    A sum of squared differences is sum(a^2) - 2 sum(a t) + sum(t^2): the first by
+    a summed-area table, the second by a transform of the whole image. Memory does not
+    grow with the template, nor with the offsets times its size. Offsets that these
+    sums can't tell from the best one are compared by the differences themselves.
+    """
+    if a.ndim == 3:
+        a, t = a[..., None], t[..., None]
+    n, h, w, _ = a.shape
+    n_y, n_x = h - t.shape[0] + inclusive, w - t.shape[1] + inclusive
+    if n_y <= 0 or n_x <= 0:
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int32, np.int32, float))
+    area = np.zeros((n, h + 1, w + 1))
+    np.cumsum(np.cumsum((a**2).sum(3), axis=1), axis=2, out=area[:, 1:, 1:])
+    y, x = np.arange(n_y)[:, None], np.arange(n_x)
+    y2, x2 = y + t.shape[0], x + t.shape[1]
+    ssd = area[:, y2, x2] - area[:, y, x2] - area[:, y2, x] + area[:, y, x] + (t**2).sum()
+    for c in range(a.shape[3]):
+        both = np.fft.rfft2(a[..., c]) * np.fft.rfft2(t[..., c], (h, w)).conj()
+        ssd -= 2 * np.fft.irfft2(both, (h, w))[:, :n_y, :n_x]
+    blur = 1e-11 * (area[:, -1, -1] + (t**2).sum())
+    owner, y, x = np.nonzero(ssd <= (ssd.min((1, 2)) + blur)[:, None, None])
+    exact = np.empty(len(owner))
+    windows = np.lib.stride_tricks.sliding_window_view(a, t.shape[:2], axis=(1, 2))
+    step = max(1, 1_000_000 // t.size)
+    for z in range(0, len(owner), step):
+        some = slice(z, z + step)
+        exact[some] = ((windows[owner[some], y[some], x[some]] - np.moveaxis(t, 2, 0)) ** 2).sum((1, 2, 3))
+    best = np.lexsort((x, y, exact, owner))
+    best = best[np.unique(owner[best], return_index=True)[1]]
+    return owner[best], y[best].astype(np.int32), x[best].astype(np.int32), exact[best]
+
+
 def template_match(images: DataFrame, template: np.ndarray, inclusive: bool = False) -> DataFrame:
     """(image_id, y, x, ssd): the offset of the smallest sum of squared differences, the first in raster order.
 
     As is customary here the last offset of each axis is left out; ``inclusive``
-    takes it in. The template is small and travels with the function.
+    takes it in. The template is one array and travels with the function.
     """
-    import pandas as pd
-
-    from .tables import arrays_of
-
     t = np.asarray(template, float)
-
-    def run(it):
-        for p in it:
-            rows = []
-            for i, a in arrays_of(p):
-                n_y, n_x = (a.shape[k] - t.shape[k] + inclusive for k in (0, 1))
-                if n_y <= 0 or n_x <= 0:
-                    continue
-                win = np.lib.stride_tricks.sliding_window_view(a, t.shape[:2], axis=(0, 1))[:n_y, :n_x]
-                tt = t if t.ndim == 2 else np.moveaxis(t, 2, 0)
-                ssd = ((win - tt) ** 2).reshape(n_y, n_x, -1).sum(2)
-                y, x = np.unravel_index(np.argmin(ssd), ssd.shape)
-                rows.append((i, int(y), int(x), float(ssd[y, x])))
-            if rows:
-                yield pd.DataFrame(rows, columns=["image_id", "y", "x", "ssd"])
-
-    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, "image_id long, y int, x int, ssd double")
+    return rows_of_stacks(images, lambda a: template_stack(a, t, inclusive), "y int, x int, ssd double", lambda h, w, c: 8 * h * w * (c + 2))
 
 
 def template_match_pixels(pixels: DataFrame, template: DataFrame, height: int, width: int, t_height: int, t_width: int) -> DataFrame:

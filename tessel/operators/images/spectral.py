@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import arrays_of, map_images
+from .tables import grid_rows, map_images, rows_of_stacks
 
 
 def waves(n: int) -> np.ndarray:
@@ -28,22 +27,19 @@ def inverse(f: np.ndarray) -> np.ndarray:
 def dft2d(images: DataFrame, scaled: bool = False) -> DataFrame:
     """(image_id, u, v, re, im) of gray images; ``scaled`` divides by the root of the pixel count."""
 
-    def run(it):
-        for p in it:
-            for _, same in p.groupby(["height", "width"]):  # images of one size as a stack
-                ids, stack = zip(*arrays_of(same))
-                a = np.stack(stack)
-                f = transform(a) / (np.sqrt(a[0].size) if scaled else 1)
-                i, u, v = (x.ravel() for x in np.mgrid[: a.shape[0], : a.shape[1], : a.shape[2]])
-                yield pd.DataFrame({"image_id": np.array(ids)[i], "u": u, "v": v, "re": f.real.ravel(), "im": f.imag.ravel()})
+    def run(a: np.ndarray) -> tuple[np.ndarray, ...]:
+        f = transform(a) / (np.sqrt(a[0].size) if scaled else 1)
+        return grid_rows(f.real, f.imag)
 
-    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, "image_id long, u int, v int, re double, im double")
+    return rows_of_stacks(images, run, "u int, v int, re double, im double")
 
 
 def _scale(a: np.ndarray) -> np.ndarray:
+    """Each image of a stack from its smallest value to its largest, as 0..255; all zeros where they are equal."""
     a = np.round(a, 9)
-    span = a.max() - a.min()
-    return np.floor(np.round((a - a.min()) / span * 255, 6)) if span else np.zeros_like(a)
+    low = a.min((-2, -1), keepdims=True)
+    span = a.max((-2, -1), keepdims=True) - low
+    return np.floor(np.round((a - low) / np.where(span, span, 1) * 255, 6))
 
 
 def idft2d(images: DataFrame, scaled: bool = False) -> DataFrame:
@@ -51,7 +47,7 @@ def idft2d(images: DataFrame, scaled: bool = False) -> DataFrame:
 
     def back(a: np.ndarray) -> np.ndarray:
         f = inverse(a[..., 0] + 1j * a[..., 1])
-        return np.floor(np.round(np.clip(np.abs(f) * np.sqrt(f.size), 0, 255), 6)) if scaled else _scale(f.real)
+        return np.floor(np.round(np.clip(np.abs(f) * np.sqrt(f[0].size), 0, 255), 6)) if scaled else _scale(f.real)
 
     return map_images(images, back)
 
@@ -64,7 +60,8 @@ def quadrant_shift(spectrum: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def low_pass_array(a: np.ndarray, by_ratio: float | None = None) -> np.ndarray:
-    h, w = a.shape
+    """Of one image or of a stack of them."""
+    h, w = a.shape[-2:]
     y, x = np.mgrid[:h, :w]
     far = np.sqrt((y - h // 2) ** 2 + (x - w // 2) ** 2)
     keep = far <= (h // 4 if by_ratio is None else w // 2 * by_ratio)

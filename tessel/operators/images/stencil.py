@@ -1,4 +1,7 @@
-"""Neighbourhood filters: an image is one row, so they are numpy shifts inside a task and nothing is shuffled."""
+"""Neighbourhood filters: an image is one row, so they are numpy shifts inside a task and nothing is shuffled.
+
+The ``*_array`` functions take one gray image or a stack of them (image x row x column).
+"""
 
 from __future__ import annotations
 
@@ -10,11 +13,11 @@ from .tables import map_images
 
 
 def _shifted(a: np.ndarray, kernel: np.ndarray, mode: str = "constant") -> np.ndarray:
-    """Correlation of a gray image with an odd kernel."""
+    """Correlation of gray images with an odd kernel."""
     k, m = kernel.shape
-    p = np.pad(a, ((k // 2, k // 2), (m // 2, m // 2)), mode=mode)
-    h, w = a.shape
-    return sum(kernel[y, x] * p[y : y + h, x : x + w] for y in range(k) for x in range(m) if kernel[y, x])
+    p = np.pad(a, ((0, 0),) * (a.ndim - 2) + ((k // 2, k // 2), (m // 2, m // 2)), mode=mode)
+    h, w = a.shape[-2:]
+    return sum(kernel[y, x] * p[..., y : y + h, x : x + w] for y in range(k) for x in range(m) if kernel[y, x])
 
 
 def _byte(a: np.ndarray) -> np.ndarray:
@@ -63,7 +66,7 @@ def sobel_array(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sobel(images: DataFrame) -> DataFrame:
     """Two channels: vertical, horizontal."""
-    return map_images(images, lambda a: np.stack(sobel_array(a), axis=2))
+    return map_images(images, lambda a: np.stack(sobel_array(a), axis=-1))
 
 
 def edge_strength(fx: Column, fy: Column) -> Column:
@@ -94,11 +97,11 @@ _ALONG = {0: ((0, -1), (0, 1)), 45: ((1, -1), (-1, 1)), 90: ((-1, 0), (1, 0)), 1
 
 def suppress_array(edge: np.ndarray, band: np.ndarray) -> np.ndarray:
     """Zero where a neighbour along the band is larger. At the border the step that leaves the image is dropped on that axis alone."""
-    h, w = edge.shape
+    h, w = edge.shape[-2:]
     y, x = np.mgrid[:h, :w]
     out = edge.copy()
     for b, steps in _ALONG.items():
-        top = np.max([edge[np.clip(y + dy, 0, h - 1), np.clip(x + dx, 0, w - 1)] for dy, dx in steps], axis=0)
+        top = np.max([edge[..., np.clip(y + dy, 0, h - 1), np.clip(x + dx, 0, w - 1)] for dy, dx in steps], axis=0)
         out[(band == b) & (top > edge)] = 0
     return out
 
@@ -108,16 +111,39 @@ def non_max_suppress(images: DataFrame) -> DataFrame:
     return map_images(images, lambda a: suppress_array(a[..., 0], a[..., 1]), "double")
 
 
+def _beside(m: np.ndarray) -> np.ndarray:
+    """True where a place of the row above or below is, straight or one aside."""
+    out = m.copy()
+    out[..., 1:] |= m[..., :-1]
+    out[..., :-1] |= m[..., 1:]
+    return out
+
+
 def hysteresis_array(edge: np.ndarray, high: float = 100, low: float = 30) -> np.ndarray:
-    """One raster pass, in place: an undecided pixel becomes 255 if a neighbour, as it stands by then, reaches ``high``."""
-    h, w = edge.shape
-    e = np.zeros((h + 2, w + 2))
-    e[1:-1, 1:-1] = np.where(edge >= high, 255, np.where(edge <= low, 0, edge))
-    for y, x in np.argwhere((e > 0) & (e < high)):
-        near = e[y - 1 : y + 2, x - 1 : x + 2].copy()
-        near[1, 1] = 0
-        e[y, x] = 255 if near.max() >= high else 0
-    return e[1:-1, 1:-1]
+    """One raster pass, in place: an undecided pixel becomes 255 if a neighbour, as it stands by then, reaches ``high``.
+
+    By then the row above is final, this row and the one below hold first values
+    right of the pixel; so a row needs no walk: undecided pixels beside those are
+    raised, and a raised or strong one raises the run of undecided ones on its right.
+    """
+    e = np.where(edge >= high, 255, np.where(edge <= low, 0, edge))
+    strong = e >= high
+    undecided = (e > 0) & ~strong
+    h, w = e.shape[-2:]
+    place = np.arange(w)
+    out = np.zeros(e.shape)
+    above = np.zeros(e[..., 0, :].shape, bool)
+    for y in range(h):
+        now, may = strong[..., y, :], undecided[..., y, :]
+        near = _beside(above)
+        if y + 1 < h:
+            near |= _beside(strong[..., y + 1, :])
+        near[..., :-1] |= now[..., 1:]
+        lit = np.maximum.accumulate(np.where(now | (may & near), place, -1), axis=-1)
+        wall = np.maximum.accumulate(np.where(now | may, -1, place), axis=-1)
+        above = lit > wall
+        out[..., y, :] = np.where(above, 255, 0)
+    return out
 
 
 def hysteresis(images: DataFrame, high: float = 100, low: float = 30) -> DataFrame:
@@ -125,7 +151,8 @@ def hysteresis(images: DataFrame, high: float = 100, low: float = 30) -> DataFra
 
 
 def canny_array(a: np.ndarray, size: int = 5, sigma: float = 1.4, high: float = 100, low: float = 30) -> np.ndarray:
-    gray = np.floor(np.round(a[..., 2] * 0.2126 + a[..., 1] * 0.7152 + a[..., 0] * 0.0722, 9)) if a.ndim == 3 else a
+    """Of a stack (image x row x column [x channel])."""
+    gray = np.floor(np.round(a[..., 2] * 0.2126 + a[..., 1] * 0.7152 + a[..., 0] * 0.0722, 9)) if a.ndim == 4 else a
     fy, fx = sobel_array(gaussian_array(gray, size, sigma))
     edge, band = strength_and_band(fy, fx)
     return hysteresis_array(suppress_array(edge, band), high, low)

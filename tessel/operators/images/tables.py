@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,28 +36,6 @@ def pack_pixels(pixels: DataFrame) -> DataFrame:
     return g.select("image_id", "height", "width", "channels", F.col("s.v").alias("data"))
 
 
-def arrays_of(p: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """(image_id, height x width [x channels]) of each row."""
-    for i, h, w, c, d in zip(p["image_id"], p["height"], p["width"], p["channels"], p["data"]):
-        a = np.asarray(d, np.float64)
-        yield i, a.reshape(h, w) if c == 1 else a.reshape(h, w, c)
-
-
-def map_images(images: DataFrame, f: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:
-    """Image table of ``f`` of each image. An image is one row, so nothing is shuffled."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            rows = []
-            for i, a in arrays_of(p):
-                b = f(a)
-                rows.append((i, *b.shape[:2], b.shape[2] if b.ndim == 3 else 1, b.ravel().tolist() if kind != "int" else b.ravel().astype(np.int64).tolist()))
-            if rows:
-                yield pd.DataFrame(rows, columns=["image_id", "height", "width", "channels", "data"])
-
-    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, f"image_id long, height int, width int, channels int, data array<{kind}>")
-
-
 def stacks(b: pa.RecordBatch, weight: Callable[[int, int, int], int], limit: int = 16_000_000) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """(image ids, stack: image x row x column [x channel] of doubles) of the images of a batch, by size; ``weight`` tells how many numbers an image takes, ``limit`` are held at a time."""
     sizes = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width", "channels")], axis=1)
@@ -71,6 +48,21 @@ def stacks(b: pa.RecordBatch, weight: Callable[[int, int, int], int], limit: int
             yield b.column("image_id").take(own), a.reshape(len(own), h, w) if c == 1 else a.reshape(len(own), h, w, c)
 
 
+def map_images(images: DataFrame, f: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:
+    """Image table of ``f`` of stacks of equal-sized images: (image x row x column [x channel]) to the same form. An image is one row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, stack in stacks(b, lambda h, w, c: 12 * h * w * c):
+                out = f(stack)
+                n, h, w, c = *out.shape[:3], out.shape[3] if out.ndim == 4 else 1
+                flat = pa.array(out.ravel() if kind == "double" else out.ravel().astype(np.int32))
+                data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (h * w * c)), flat)
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.full(n, v, np.int32)) for v in (h, w, c)], data], ["image_id", "height", "width", "channels", "data"])
+
+    return images.select("image_id", "height", "width", "channels", "data").mapInArrow(run, f"image_id long, height int, width int, channels int, data array<{kind}>")
+
+
 def rows_of_stacks(images: DataFrame, f: Callable[[np.ndarray], tuple[np.ndarray, ...]], schema: str, weight: Callable[[int, int, int], int] = lambda h, w, c: 12 * h * w * c) -> DataFrame:
     """(image_id, the columns of ``schema``): ``f`` of a stack gives (place of the image in the stack, columns), one entry per row. Nothing is shuffled."""
     names = [c.split()[0] for c in schema.split(", ")]

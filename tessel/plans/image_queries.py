@@ -176,22 +176,30 @@ def g3(spark, d):
     return px(stencil.gaussian_blur(gray(spark, d))).withColumn("v", F.col("v").cast("long"))
 
 
-#: Sobel of the gray images: vertical fy and horizontal fx.
-SOB = f"""sob AS (SELECT p.image_id, p.y, p.x, least(255, greatest(0, sum(kv * q.v))) AS fy, least(255, greatest(0, sum(kh * q.v))) AS fx FROM {GRAY} p
- CROSS JOIN (SELECT dy, dx, -dy * (2 - abs(dx)) AS kv, -dx * (2 - abs(dy)) AS kh FROM {OFF} o) k JOIN {GRAY} q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3)"""
-EDGE = f"""{SOB}, an AS (SELECT image_id, y, x, fy, fx, least(255.0, sqrt(CAST(fx * fx + fy * fy AS DOUBLE))) AS e, atan(fy / greatest(CAST(fx AS DOUBLE), 1e-10)) AS a FROM sob),
+def sobel_sql(source: str) -> str:
+    """Sobel of the pixels ``source``: vertical fy and horizontal fx."""
+    return f"""sob AS (SELECT p.image_id, p.y, p.x, least(255, greatest(0, sum(kv * q.v))) AS fy, least(255, greatest(0, sum(kh * q.v))) AS fx FROM {source} p
+ CROSS JOIN (SELECT dy, dx, -dy * (2 - abs(dx)) AS kv, -dx * (2 - abs(dy)) AS kh FROM {OFF} o) k JOIN {source} q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3)"""
+
+
+def edge_sql(source: str) -> str:
+    return f"""{sobel_sql(source)}, an AS (SELECT image_id, y, x, fy, fx, least(255.0, sqrt(CAST(fx * fx + fy * fy AS DOUBLE))) AS e, atan(fy / greatest(CAST(fx AS DOUBLE), 1e-10)) AS a FROM sob),
  ed AS (SELECT image_id, y, x, e, CASE WHEN q <= 22.5 THEN 0 WHEN q <= 67.5 THEN 45 WHEN q <= 112.5 THEN 90 WHEN q <= 157.5 THEN 135 ELSE 0 END AS band FROM (SELECT *, round(CASE WHEN degrees(a) < -22.5 THEN degrees(a) + 180 ELSE degrees(a) END, 9) AS q FROM an))"""
 
 
+SOB, EDGE = sobel_sql(GRAY), edge_sql(GRAY)
+
+
 @query("g4_sobel", f"WITH {SOB} SELECT image_id, y, x, CAST(fy AS BIGINT) AS fy, CAST(fx AS BIGINT) AS fx FROM sob")
 def g4(spark, d):
     return sob(spark, d).select("image_id", "y", "x", F.col("fy").cast("long").alias("fy"), F.col("fx").cast("long").alias("fx"))
 
 
 def sob(spark, d):
-    p = tables.explode_pixels(stencil.sobel(gray(spark, d)))
-    pick = lambda c: F.max(F.when(F.col("c") == c, F.col("v"))).cast("double")
-    return p.groupBy("image_id", "y", "x").agg(pick(0).alias("fy"), pick(1).alias("fx"))
+    p = stencil.sobel(gray(spark, d))
+    at = F.transform(F.sequence(F.lit(0), F.expr("height * width - 1")), lambda k: F.struct(k.alias("k"), F.get("data", k * 2).cast("double").alias("fy"), F.get("data", k * 2 + 1).cast("double").alias("fx")))
+    p = p.select("image_id", "width", F.inline(at))
+    return p.select("image_id", F.expr("cast(k div width as int)").alias("y"), (F.col("k") % F.col("width")).alias("x"), "fy", "fx")
 
 
 def edge_px(spark, d):
@@ -204,8 +212,12 @@ def g5(spark, d):
     return edge_px(spark, d).withColumn("e", F.round("e", 6))
 
 
-NMS = f"""{EDGE}, st AS (SELECT 0 AS band, 0 AS dy, -1 AS dx UNION ALL SELECT 0, 0, 1 UNION ALL SELECT 45, 1, -1 UNION ALL SELECT 45, -1, 1 UNION ALL SELECT 90, -1, 0 UNION ALL SELECT 90, 1, 0 UNION ALL SELECT 135, -1, -1 UNION ALL SELECT 135, 1, 1),
- nb AS (SELECT a.image_id, a.y, a.x, a.e, max(b.e) AS top FROM ed a JOIN st ON st.band = a.band JOIN ed b ON b.image_id = a.image_id AND b.y = greatest(0, least(7, a.y + dy)) AND b.x = greatest(0, least(7, a.x + dx)) GROUP BY 1, 2, 3, 4)"""
+def suppress_sql(source: str, last: int) -> str:
+    return f"""{edge_sql(source)}, st AS (SELECT 0 AS band, 0 AS dy, -1 AS dx UNION ALL SELECT 0, 0, 1 UNION ALL SELECT 45, 1, -1 UNION ALL SELECT 45, -1, 1 UNION ALL SELECT 90, -1, 0 UNION ALL SELECT 90, 1, 0 UNION ALL SELECT 135, -1, -1 UNION ALL SELECT 135, 1, 1),
+ nb AS (SELECT a.image_id, a.y, a.x, a.e, max(b.e) AS top FROM ed a JOIN st ON st.band = a.band JOIN ed b ON b.image_id = a.image_id AND b.y = greatest(0, least({last}, a.y + dy)) AND b.x = greatest(0, least({last}, a.x + dx)) GROUP BY 1, 2, 3, 4)"""
+
+
+NMS = suppress_sql(GRAY, 7)
 
 
 @query("g6_non_max_suppress", f"WITH {NMS} SELECT image_id, y, x, CASE WHEN top > e THEN 0.0 ELSE round(e, 6) END AS e FROM nb".replace("THEN 0.0 ELSE", "THEN CAST(0 AS DOUBLE) ELSE"))
@@ -216,12 +228,32 @@ def g6(spark, d):
     return px(out).select("image_id", "y", "x", F.round("v", 6).alias("e"))
 
 
-@query("g7_hysteresis")
+def hysteresis_sql(source: str, high: int, low: int, side: int = 32) -> str:
+    """One raster pass over ``source`` (image_id, y, x, v), pixel by pixel: ``seen`` holds the last side + 1 results, ``e`` all first values."""
+    first = f"CASE WHEN v >= {high} THEN 255 WHEN v <= {low} THEN 0 ELSE v END"
+    x, k = f"((p + 1) % {side})", "(p + 2)"  # column and 1-based place of the next pixel
+    left, right = f"{x} > 0", f"{x} < {side - 1}"
+    near = f"""greatest(CASE WHEN {left} THEN seen[{side + 1}] ELSE 0 END, CASE WHEN {left} THEN seen[1] ELSE 0 END, seen[2], CASE WHEN {right} THEN seen[3] ELSE 0 END,
+     CASE WHEN {right} THEN coalesce(e[{k} + 1], 0) ELSE 0 END, CASE WHEN {left} THEN coalesce(e[{k} + {side - 1}], 0) ELSE 0 END, coalesce(e[{k} + {side}], 0), CASE WHEN {right} THEN coalesce(e[{k} + {side + 1}], 0) ELSE 0 END)"""
+    v = f"CASE WHEN e[{k}] > 0 AND e[{k}] < {high} THEN CASE WHEN {near} >= {high} THEN 255 ELSE 0 END ELSE e[{k}] END"
+    return f"""im AS MATERIALIZED (SELECT image_id, list(CAST({first} AS DOUBLE) ORDER BY y, x) AS e FROM {source} z GROUP BY 1),
+ walk AS (SELECT image_id, -1 AS p, CAST(0 AS DOUBLE) AS v, list_transform(range({side + 1}), lambda i: CAST(0 AS DOUBLE)) AS seen FROM im
+ UNION ALL SELECT image_id, p + 1, v, list_append(seen[2:], v) FROM (SELECT image_id, p, seen, CAST({v} AS DOUBLE) AS v FROM walk JOIN im USING (image_id) WHERE p < {side * side - 1}))
+ SELECT image_id, CAST(p // {side} AS INTEGER) AS y, CAST(p % {side} AS INTEGER) AS x, CAST(v AS INTEGER) AS v FROM walk WHERE p >= 0"""
+
+
+@query("g7_hysteresis", f"WITH RECURSIVE {hysteresis_sql(BIG, 160, 100)}")
 def g7(spark, d):
     return px(stencil.hysteresis(big(spark, d), 160, 100))
 
 
-@query("g8_canny")
+WIDE = "(SELECT a - 2 AS dy, b - 2 AS dx FROM (SELECT unnest(range(5)) AS a), (SELECT unnest(range(5)) AS b))"
+CANNY = f"""big AS MATERIALIZED {BIG}, k AS (SELECT dy, dx, exp(-(dy * dy + dx * dx) / (2 * 1.4 * 1.4)) AS w FROM {WIDE} o),
+ soft AS MATERIALIZED (SELECT p.image_id, p.y, p.x, floor(round(sum(w * q.v) / (SELECT sum(w) FROM k), 9)) AS v FROM big p CROSS JOIN k JOIN big q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3),
+ {suppress_sql("soft", 31)}, thin AS (SELECT image_id, y, x, CASE WHEN top > e THEN 0 ELSE e END AS v FROM nb)"""
+
+
+@query("g8_canny", f"WITH RECURSIVE {CANNY}, {hysteresis_sql('thin', 100, 30)}")
 def g8(spark, d):
     return px(stencil.canny(big(spark, d)))
 

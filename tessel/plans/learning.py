@@ -368,12 +368,31 @@ def n3(spark, d):
     return network.score_mlp(e, "x", layers).select("vec_id", F.round(F.get("logits", F.lit(0)), 9).alias("y"))
 
 
-@query("n4_score_cnn")
-def n4(spark, d):
+def _cnn():
     rng = np.random.default_rng(5)
     convs = [(rng.normal(0, 0.3, (4, 1, 3, 3)), np.zeros(4)), (rng.normal(0, 0.3, (8, 4, 3, 3)), np.zeros(8))]
+    return convs, [(rng.normal(0, 0.3, (10, 32)), np.zeros(10))]
+
+
+def _cnn_sql() -> str:
+    """Every block as a join of pixels with the weights' table."""
+    convs, ((w, _),) = _cnn()
+    ctes, source, side = [], "(SELECT vec_id, 0 AS c, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x, CAST(embedding[p + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(64)) AS p))", 8
+    for i, (k, _) in enumerate(convs):
+        values = ", ".join(f"({o}, {c}, {dy - 1}, {dx - 1}, ({float(k[o, c, dy, dx])!r})::DOUBLE)" for o, c, dy, dx in np.ndindex(*k.shape))
+        ctes.append(f"k{i}(o, c, dy, dx, w) AS (VALUES {values})")
+        ctes.append(f"z{i} AS MATERIALIZED (SELECT vec_id, o, p.y - dy AS y, p.x - dx AS x, greatest(0, sum(w * p.v)) AS v FROM {source} p JOIN k{i} k ON k.c = p.c AND p.y - dy BETWEEN 0 AND {side - 1} AND p.x - dx BETWEEN 0 AND {side - 1} GROUP BY 1, 2, 3, 4)")
+        ctes.append(f"m{i} AS MATERIALIZED (SELECT vec_id, o AS c, y // 2 AS y, x // 2 AS x, max(v) AS v FROM z{i} GROUP BY 1, 2, 3, 4)")
+        source, side = f"m{i}", side // 2
+    values = ", ".join(f"({o}, {j}, ({float(w[o, j])!r})::DOUBLE)" for o, j in np.ndindex(*w.shape))
+    ctes.append(f"d(o, j, w) AS (VALUES {values}), l AS (SELECT vec_id, o, sum(w * v) AS v FROM {source} p JOIN d ON j = c * {side * side} + y * {side} + x GROUP BY 1, 2)")
+    return "WITH " + ", ".join(ctes) + " SELECT vec_id, CAST(max_by(o, v) AS INTEGER) AS best, round(max(v), 6) AS top FROM l GROUP BY 1"
+
+
+@query("n4_score_cnn", _cnn_sql())
+def n4(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    out = network.score_cnn(e, "x", (1, 8, 8), convs, [(rng.normal(0, 0.3, (10, 32)), np.zeros(10))])
+    out = network.score_cnn(e, "x", (1, 8, 8), *_cnn())
     return out.select("vec_id", network.argmax(F.col("logits")).alias("best"), F.round(F.array_max("logits"), 6).alias("top"))
 
 

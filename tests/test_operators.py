@@ -213,6 +213,42 @@ def test_hysteresis_is_one_raster_pass():
     assert stencil.hysteresis_array(e[:, ::-1]).tolist()[0] == [255, 255, 255]
 
 
+def test_hysteresis_of_stacks_matches_a_walk():
+    rng = np.random.default_rng(11)
+    stack = rng.choice([0, 10, 40, 60, 90, 130], (40, 9, 13), p=[0.2, 0.1, 0.3, 0.2, 0.12, 0.08]).astype(float)
+    for a, got in zip(stack, stencil.hysteresis_array(stack)):
+        e = np.pad(np.where(a >= 100, 255, np.where(a <= 30, 0, a)), 1)
+        for y in range(1, 10):
+            for x in range(1, 14):
+                if 0 < e[y, x] < 100:
+                    near = [e[j, i] for j in (y - 1, y, y + 1) for i in (x - 1, x, x + 1) if (j, i) != (y, x)]
+                    e[y, x] = 255 if max(near) >= 100 else 0
+        assert np.array_equal(got, e[1:-1, 1:-1])
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_template_search_matches_every_offset(inclusive):
+    rng = np.random.default_rng(12)
+    for shape, size, values in [((5, 20, 17), (9, 6), 256), ((5, 12, 12, 3), (4, 5), 256), ((4, 10, 10), (3, 3), 2), ((3, 8, 8), (2, 2), 1), ((2, 6, 6), (6, 6), 256), ((2, 4, 4), (5, 2), 9)]:
+        stack, t = rng.integers(0, values, shape).astype(float), rng.integers(0, values, size + shape[3:]).astype(float)
+        owner, y, x, ssd = geometry.template_stack(stack, t, inclusive)
+        want = []
+        for i, a in enumerate(stack):
+            at = [(float(((a[j : j + size[0], k : k + size[1]] - t) ** 2).sum()), j, k) for j in range(shape[1] - size[0] + inclusive) for k in range(shape[2] - size[1] + inclusive)]
+            want += [(i, *min(at))] if at else []
+        assert list(zip(owner.tolist(), ssd.tolist(), y.tolist(), x.tolist())) == want
+
+
+def test_images_of_several_sizes(spark):
+    rows = [(i, h, w, 1, [(i * 7 + p) % 256 for p in range(h * w)]) for i, (h, w) in enumerate([(4, 6), (6, 4), (4, 6), (3, 3)])]
+    df = spark.createDataFrame(rows, "image_id long, height int, width int, channels int, data array<int>").coalesce(1)
+    got = {r["image_id"]: r for r in stencil.laplacian(df).collect()}
+    for i, h, w, _, d in rows:
+        assert (got[i]["height"], got[i]["width"]) == (h, w)
+        assert got[i]["data"] == stencil.laplacian_array(np.array(d, float).reshape(h, w)).ravel().astype(int).tolist()
+    assert stencil.laplacian(df.limit(0)).count() == 0
+
+
 def test_bilinear_weights(spark):
     a = np.array([[0, 100], [200, 40]])
     got, std = back(geometry.resize_bilinear(image(spark, a), 2.0)), back(geometry.resize_bilinear(image(spark, a), 2.0, standard=True))
