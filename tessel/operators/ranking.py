@@ -20,28 +20,43 @@ def draw_number(hashed: Column) -> Column:
     return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
 
 
-def global_rank(df: DataFrame, hashed: Column, out: str = "rank", within: list[str] | None = None) -> DataFrame:
+def _dealt(df: DataFrame, hashed: Column, rows: int) -> DataFrame:
+    """``df`` with ``_h`` (``hashed``) and ``_b``, as many of its first digits as leave about ``rows`` rows to a bucket: three at least."""
+    digits = F.ceil(F.round(F.log(16.0, F.greatest(F.count("*") / rows, F.lit(1.0))), 9)).cast("int")
+    size = df.agg(F.greatest(F.lit(3), F.least(F.lit(12), digits)).alias("_digits"))  # one row
+    return df.withColumn("_h", hashed).crossJoin(F.broadcast(size)).withColumn("_b", F.expr("substring(_h, 1, _digits)")).drop("_digits")
+
+
+def global_rank(df: DataFrame, hashed: Column, out: str = "rank", within: list[str] | None = None, rows: int = 250_000) -> DataFrame:
     """Add ``out``: 1-based rank by ``hashed`` (a hex text), inside each group of ``within``.
 
-    The first three digits deal the rows into 4,096 ordered, even buckets; only
-    the buckets' counts meet in one place, rows are ranked inside their bucket.
-    The counts of many groups are joined as Spark finds fit by their size.
+    First digits deal the rows into ordered, even buckets, whose number follows
+    the table: about ``rows`` rows each, 4,096 buckets at least. Rows are ranked
+    inside their bucket. Buckets' counts are summed in two steps: under the same
+    three digits, and over these (at most 4,096 rows in one place).
     """
     within = within or []
-    d = df.withColumn("_h", hashed).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = d.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(*within).orderBy("_b")) - F.col("_n")
-    offsets = sizes.select(*within, "_b", before.alias("_before"))
+    d = _dealt(df, hashed, rows)
+    sizes = d.groupBy(*within, "_b").agg(F.count("*").alias("_n")).withColumn("_p", F.substring("_b", 1, 3))
+    tops = sizes.groupBy(*within, "_p").agg(F.sum("_n").alias("_t"))
+    tops = tops.withColumn("_top", F.sum("_t").over(W.partitionBy(*within).orderBy("_p")) - F.col("_t")).drop("_t")
+    under = F.sum("_n").over(W.partitionBy(*within, "_p").orderBy("_b")) - F.col("_n")
+    offsets = _join_groups(sizes.withColumn("_under", under), tops, within, "_p")
+    offsets = offsets.select(*within, "_b", (F.col("_top") + F.col("_under")).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*within, "_b").orderBy("_h"))
-    j = d.withColumn("_in", inside)
-    # Null-safe equality keeps rows whose group is null.
-    on = [j[c].eqNullSafe(offsets[c]) for c in [*within, "_b"]]
-    j = j.join(offsets if within else F.broadcast(offsets), on)  # without groups at most 4,096 rows
-    for c in [*within, "_b"]:
-        j = j.drop(offsets[c])
+    j = _join_groups(d.withColumn("_in", inside), offsets, within, "_b")
     return j.withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_h", "_b", "_in", "_before")
 
 
+def _join_groups(left: DataFrame, right: DataFrame, within: list[str], key: str) -> DataFrame:
+    """The join on ``within`` and ``key``; groups may be null."""
+    on = [left[key] == right[key], *[left[c].eqNullSafe(right[c]) for c in within]]
+    j = left.join(right, on)
+    for c in [*within, key]:
+        j = j.drop(right[c])
+    return j
+
+
 def quantile_ranges(df: DataFrame, value: str, out: str = "_r") -> DataFrame:
     """Add ``out``: which of RANGES ordered ranges, about equal in rows, ``value`` lies in; equal values share one.
 

@@ -337,6 +337,19 @@ def test_no_task_holds_all_values(spark):
     assert len(sizes) > 150 and max(sizes) < 80
 
 
+def test_buckets_of_ranks_follow_the_table(spark):
+    """The largest bucket stays as it is when rows grow; ranks are those of a sort, groups without a value included."""
+    df = spark.range(30_000).withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    h = ranking.draw(7, "id")
+    most = [ranking._dealt(df.where(f"id < {n}"), h, 1).groupBy("_b").count().agg(F.max("count")).first()[0] for n in (4_000, 30_000)]
+    assert max(most) <= 10
+    rows = sorted((r["h"], r["id"], r["g"]) for r in df.withColumn("h", h).collect())
+    assert [r["id"] for r in ranking.global_rank(df, h, rows=1).orderBy("rank").collect()] == [i for _, i, _ in rows]
+    got = ranking.global_rank(df, h, within=["g"], rows=1).orderBy("rank").collect()
+    for g in (None, 1, 2):
+        assert [(r["rank"], r["id"]) for r in got if r["g"] == g] == list(enumerate([i for _, i, k in rows if k == g], 1))
+
+
 def brute_canny(a):
     h, w = a.shape
     k = np.array([[math.exp(-(y * y + x * x) / (2 * 1.4**2)) for x in range(-2, 3)] for y in range(-2, 3)])
