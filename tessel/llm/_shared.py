@@ -104,6 +104,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", rows: int = 50_000) -> DataFrame:
+    """Join ``left`` with ``right``, which has at most one row a key, on columns ``keys``; no key's rows meet in one task.
+
+    Keys with more than ``rows`` rows on the left are dealt over parts of about
+    ``rows``, and their row on the right is repeated once a part. Such keys are
+    broadcast; ``rows`` grows with ``left``, so that there are 10,000 at most.
+    Rows with a null in a key match nothing and are dealt over 1,000 parts.
+    ``left`` should be a written table, as it is read three times.
+    """
+    rows = max(rows, left.count() // 10_000)
+    whole = functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    many = left.where(whole).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    hot = F.broadcast(many.select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.when(whole, 1).otherwise(1000))
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns, F.monotonically_increasing_id()), parts).cast("int"))
+    each = right.where(whole).join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("_parts").join(each.drop("_parts"), [*keys, "_part"], how).drop("_part")
+
+
 def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before this one, in some fixed order of ``key``.
 

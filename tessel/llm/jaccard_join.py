@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._graph import components
-from ._shared import discard, materialize, partitions, table, tidy
+from ._shared import discard, hot_join, materialize, partitions, table, tidy
 from ._words import Words, word_slices
 
 FIRST_BLOCK = 0.25  # share of the n-gram hashes in the first product
@@ -423,9 +423,10 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     labels = links_of(sets, percent)
     discard(sets, active)
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "n", "rep", F.coalesce("label", "cls").alias("label"))
+    named = materialize(named, "jaccard-labelled")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    component = named.join(least, "label").select("cls", "n", "component_id")
-    out = meta.join(component, ["cls", "n"], "left")
+    component = hot_join(named, least, ["label"]).select("cls", "n", "component_id")
+    out = hot_join(meta, component, ["cls", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"))
 
 
