@@ -200,7 +200,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     """Encode ``docs`` (doc_id, text) and write the shards below ``path``, in doc_id order over (part, seq)."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, or of none, are cut by a hash of their texts.
+    order = ["doc_id", F.xxhash64("text")]
+    d = d.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "text")
     d.mapInArrow(tidy(_write(tokenizer, end_id, shard_ids)), _SHARDS).write.parquet(path)
 
 
