@@ -110,9 +110,9 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def entries(good: DataFrame, dim: int, k: int) -> DataFrame:
-    """Distinct vectors of ``good`` (id, v): eid (smallest id), ids (the k + 1 smallest), v. Ranks are cut before the shuffle and no list outgrows k + 1."""
+    """Distinct vectors of ``good`` (id, v): eid (smallest id), ids (the k + 1 smallest), v. Repeated rows go first; ranks are cut before the shuffle and no list outgrows k + 1."""
     rank = F.dense_rank().over(W.partitionBy("v").orderBy("id"))
-    few = good.where(F.size("v") == dim).withColumn("_r", rank).where(F.col("_r") <= k + 1)
+    few = good.where(F.size("v") == dim).dropDuplicates(["id", "v"]).withColumn("_r", rank).where(F.col("_r") <= k + 1)
     return few.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("eid"), "ids", "v")
 
 
