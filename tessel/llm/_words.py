@@ -48,6 +48,14 @@ def sample_labels(labels, label: str, rows: int):
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def labelled_texts(docs, labels, label: str, rows: int):
+    """(doc_id, text, y) of the labels of :func:`sample_labels`: ``rows`` rows at most, as of documents that share an id the one whose text has the smallest hash counts."""
+    from pyspark.sql import functions as F
+
+    known = docs.select("doc_id", "text").join(F.broadcast(sample_labels(labels, label, rows)), "doc_id")
+    return known.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y"))
+
+
 def held_out(doc_id):
     """Whether crc32 of the id as text is divisible by 5; false for a null id."""
     from pyspark.sql import functions as F

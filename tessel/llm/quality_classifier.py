@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
-from ._words import Words, held_out, sample_labels, word_slices
+from ._words import Words, held_out, labelled_texts, word_slices
 
 TRAIN_ROWS = 16_000  # labelled documents that the model is fitted on, at most
 BITS = 18
@@ -199,8 +199,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
-    sample = F.broadcast(sample_labels(labels, label, train_rows))
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "y")
+    texts = labelled_texts(docs, labels, label, train_rows).select("doc_id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shaper = Shaper()

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table, tidy
-from ._words import Words, held_out, sample_labels, word_slices
+from ._words import Words, held_out, labelled_texts, word_slices
 
 TRAIN_ROWS = 20_000  # labelled documents that the model is fitted on, at most
 MIN_ODDS = 3.0  # log odds that a term must have
@@ -261,8 +261,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
     """Model from at most ``train_rows`` labelled rows; only texts and labels are read."""
-    sample = F.broadcast(sample_labels(labels, label, train_rows))
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "y").persist()
+    texts = labelled_texts(docs, labels, label, train_rows).select("text", "y").persist()
     terms, stems = _lexicon(texts)
     model = Model(terms, stems)
     matcher = Matcher(model)

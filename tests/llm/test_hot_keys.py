@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from tessel.llm._graph import components
 from tessel.llm._shared import hot_join
+from tessel.llm._words import labelled_texts
 from tessel.llm.jaccard_join import jaccard_join
+from tessel.llm.nearest import entries
+from tessel.llm.token_files import read_token_files, write_token_files
 
 
 def test_hot_join_deals_hot_keys(spark):
@@ -36,3 +39,31 @@ def test_half_of_all_rows_are_copies(spark):
     rows = [(i, "one text that stands in half of all rows") for i in range(3000)] + [(3000 + i, f"text number {i} of its own kind here") for i in range(2500)] + [(6000 + i, t) for i, t in enumerate(["", None, " "] * 170)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert len(got) == len(rows) and all(got[i] == (6, 0) for i in range(3000)) and all(got[i][1] == i for i in range(3000, 5500)) and all(got[i] == (0, i) for i in range(6000, 6510))
+
+
+def test_fits_are_bounded_where_documents_share_an_id(spark):
+    docs = spark.range(4_000).select((F.col("id") % 8).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    labels = spark.range(8).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows = labelled_texts(docs, labels, "toxic", 5).collect()
+    assert 0 < len(rows) <= 5 and len({r["doc_id"] for r in rows}) == len(rows)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, labelled_texts(docs.repartition(7), labels, "toxic", 5).collect()))
+    assert labelled_texts(docs.limit(0), labels, "toxic", 5).count() == 0
+
+
+def test_token_files_of_rows_without_an_id(spark, tmp_path):
+    """Half of all rows lack an id: several parts hold them, all are read back, starts have no gaps."""
+    import public_tokenizers
+
+    docs = spark.range(600).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    write_token_files(docs, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    rows = sorted(read_token_files(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    assert len(rows) == 600 and [r["doc_id"] for r in rows[300:]] == list(range(0, 600, 2))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
+    parts = spark.read.parquet(str(tmp_path / "t")).groupBy("part").count().count()
+    assert parts == 4
+
+
+def test_repeated_vectors_are_one_entry(spark):
+    rows = [(7, [1.0, 2.0])] * 3000 + [(i, [1.0, 2.0]) for i in range(8, 40)] + [(100 + i, [float(i), 0.5]) for i in range(50)]
+    got = {r["eid"]: list(r["ids"]) for r in entries(spark.createDataFrame(rows, "id long, v array<double>").repartition(4), 2, 10).collect()}
+    assert len(got) == 51 and got[7] == list(range(7, 18))
