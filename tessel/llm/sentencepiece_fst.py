@@ -2,7 +2,8 @@
 
 The transducer is the composition of
 
-* the normaliser: a space becomes U+2581, one is put in front of the text;
+* the normaliser, compiled from the model file: its character map as a trie of
+  which the longest match is taken, white space rules, spaces as U+2581;
 * the lexicon: a trie of the pieces, each path emitting a piece id; characters
   that no piece covers fall back to byte pieces;
 * the grammar: for a unigram model one state, an arc's weight is minus the
@@ -11,21 +12,25 @@ The transducer is the composition of
   infinity. A sequence of pieces is the merges' result exactly if each two
   neighbours are, so the only path of finite weight is the encoding.
 
-The result is composed with each input and the tropical shortest path is taken.
+The result is composed with each input, state by state as the search needs
+them, and the tropical shortest path is found by relaxing arcs from the lightest
+state on, for both kinds of model.
 No piece holds U+2581 behind another character, so every path passes through
 the state between words; the words' paths are found once and remembered.
 
 Defined results: null and empty texts give no ids; texts with U+2581 itself are
-decoded with spaces there; a chunk without a path of finite weight falls apart
-into characters, or their bytes; unpaired surrogates become U+FFFD; repeated rows are
-encoded each for themselves; an empty table gives no rows; extra columns are
-ignored.
+decoded with spaces there, and texts that the normaliser changes as it left
+them, so their round trip is false; a chunk without a path of finite weight
+falls apart into characters, or their bytes; unpaired surrogates become U+FFFD;
+repeated rows are encoded each for themselves; an empty table gives no rows;
+extra columns are ignored. Models with user-defined symbols are refused.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +39,110 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 
 SPACE = "▁"
+INFINITE = float("inf")
+_SPACES = re.compile(" +")
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MADE: dict[tuple, "Transducer"] = {}
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            b = message[at]
+            at, n, shift = at + 1, n | (b & 127) << shift, shift + 7
+            if b < 128:
+                return n
+
+    while at < len(message):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+        yield key >> 3, message[at : at + size]
+        at += size
+
+
+def _character_map(blob: bytes) -> dict[str, str]:
+    """Source and target of each rule of a compiled character map: a double-array trie over bytes, then the targets, each ended by a zero byte."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, targets = np.frombuffer(blob[4 : 4 + size], "<u4").tolist(), blob[4 + size :]
+
+    def children(at: int) -> int:
+        return at ^ ((units[at] >> 10) << ((units[at] & 512) >> 6))
+
+    rules, todo = {}, [(children(0), b"")]
+    while todo:
+        base, key = todo.pop()
+        for c in range(1, 256):
+            at = base ^ c
+            if at >= len(units) or units[at] & 0x800000FF != c:
+                continue
+            down = children(at)
+            if units[at] >> 8 & 1:
+                start = units[down] & 0x7FFFFFFF
+                rules[(key + bytes([c])).decode()] = targets[start : targets.index(b"\0", start)].decode()
+            todo.append((down, key + bytes([c])))
+    return rules
+
+
+class Normaliser:
+    """The normaliser of a model, from the specification in its file."""
+
+    def __init__(self, model: bytes):
+        spec = trainer = b""
+        for number, value in _fields(model):
+            if number == 1 and dict(_fields(value)).get(3) == 4:
+                raise ValueError("models with user-defined symbols are not supported")
+            spec, trainer = value if number == 3 else spec, value if number == 2 else trainer
+        has = {3: 1, 4: 1, 5: 1} | dict(_fields(spec))
+        self.pad, self.squeeze, self.space = bool(has[3]), bool(has[4]), SPACE if has[5] else " "
+        self.behind = bool(dict(_fields(trainer)).get(24, 0))
+        self.trie: dict = {}
+        for source, target in _character_map(has.get(2, b"")).items():
+            node = self.trie
+            for c in source:
+                node = node.setdefault(c, {})
+            node[""] = target
+
+    def _mapped(self, text: str) -> str:
+        out, i = [], 0
+        while i < len(text):
+            node, z, target = self.trie, i + 1, text[i]
+            for j in range(i, len(text)):
+                node = node.get(text[j])
+                if node is None:
+                    break
+                if "" in node:
+                    z, target = j + 1, node[""]
+            out.append(target)
+            i = z
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        flat = self._mapped(text) if self.trie else text
+        if self.squeeze:
+            flat = _SPACES.sub(" ", flat).strip(" ")
+        if not flat:
+            return ""
+        if self.pad:
+            flat = flat + " " if self.behind else " " + flat
+        return flat.replace(" ", self.space)
+
+
 class Transducer:
     def __init__(self, path: str, kind: str = "bpe", keep: int = 600_000):
         import sentencepiece
 
+        with open(path, "rb") as f:
+            self.normalise = Normaliser(f.read())
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.kind, self.keep = kind, keep
         n = sp.get_piece_size()
@@ -53,6 +154,8 @@ class Transducer:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[p] = i
         self.unknown = sp.unk_id()
+        #: Weight of a character that no piece covers in a unigram model: 10 above that of the least likely piece.
+        self.outside = 10.0 - min((self.score[i] for i in self.ids.values()), default=0.0)
         self.size = [len(p) for p in self.pieces]
         self.longest = max(map(len, self.ids), default=1)
         self.raw = [p.encode() for p in self.pieces]
@@ -67,7 +170,7 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = i
         self.sides: dict[int, tuple[int, int] | None] = {}
-        self.beside: dict[int, bool] = {}
+        self.weights: dict[int, float] = {}
         self.paths: dict[str, bytes] = {}
 
     def _split(self, t: int) -> tuple[int, int] | None:
@@ -88,9 +191,6 @@ class Transducer:
                 self.sides[t] = (self.ids[parts[0]], self.ids[parts[1]])
         return self.sides[t]
 
-    def _reachable(self, t: int) -> bool:
-        return len(self.pieces[t]) == 1 or self._split(t) is not None
-
     def _side_by_side(self, a: int, b: int) -> bool:
         """Whether merges leave a next to b.
 
@@ -98,45 +198,38 @@ class Transducer:
         and b's left edge. A piece across the border would have been made
         before, if its score is higher than that of the merge undone last.
         """
-        key = a << 32 | b
-        got = self.beside.get(key)
-        if got is not None:
-            return got
-        if len(self.beside) > 2_000_000:
-            self.beside.clear()
-        score, x, y, limit, right, fine = self.score, a, b, -float("inf"), False, True
+        score, x, y, limit, right = self.score, a, b, -INFINITE, False
         while True:
             across = self.ids.get(self.pieces[x] + self.pieces[y])
             # Of equal scores the merges take the leftmost.
             if across is not None and (score[across] > limit or (score[across] == limit and right)):
-                fine = False
-                break
+                return False
             sx, sy = self._split(x), self._split(y)
             if sx is None and sy is None:
-                break
+                return True
             if sy is None or (sx is not None and score[x] < score[y]):
                 limit, x, right = score[x], sx[1], False
             else:
                 limit, y, right = score[y], sy[0], True
-        self.beside[key] = fine
-        return fine
 
     def _arcs(self, chunk: str, i: int) -> list[int]:
-        """Pieces that start at i, the longest first."""
-        node, out = self.trie, []
+        """Pieces that start at i, the longest first, and -2 where none is a single character."""
+        node, out, merged, sides = self.trie, [], self.kind != "unigram", self.sides
         for c in chunk[i : i + self.longest]:
             node = node.get(c)
             if node is None:
                 break
-            if "" in node:
-                out.append(node[""])
+            t = node.get("")
+            if t is not None and (not merged or (sides[t] if t in sides else self._split(t)) or self.size[t] == 1):
+                out.append(t)
+        if not out or self.size[out[0]] > 1:
+            out.insert(0, -2)
         return out[::-1]
 
     def path(self, chunk: str) -> bytes:
         """Ids (little-endian uint32) of the shortest path of one chunk."""
-        steps = self._lightest(chunk) if self.kind == "unigram" else self._only(chunk)
         out: list[int] = []
-        for a, z, t in steps:
+        for a, z, t in self._lightest(chunk):
             if t >= 0:
                 out.append(t)
             elif self.byte_ids:
@@ -145,55 +238,51 @@ class Transducer:
                 out.append(self.unknown)
         return np.array(out, "<u4").tobytes()
 
-    def _only(self, chunk: str) -> list[tuple[int, int, int]]:
-        """The only path of weight 0 of a merge model: depth first, states without a way on are left for good."""
-        n, size, dead = len(chunk), self.size, set()
-        steps: list[tuple[int, int, int]] = []
-        i, last = 0, -1
-        todo = [self._arcs(chunk, 0) or [-2]]
-        turn = [0]
-        while i < n:
-            arcs, k = todo[-1], turn[-1]
-            while k < len(arcs):
-                t = arcs[k]
-                k += 1
-                z = i + (1 if t < 0 else size[t])
-                if (z, t) not in dead and (t < 0 or (self._reachable(t) and (last < 0 or self._side_by_side(last, t)))):
-                    turn[-1] = k
-                    steps.append((i, z, t))
-                    i, last = z, t
-                    todo.append((self._arcs(chunk, i) or [-2]) if i < n else [])
-                    turn.append(0)
-                    break
-            else:
-                if not steps:  # pieces that no merges make: characters, or their bytes
-                    return [(a, a + 1, self.ids.get(c, -2)) for a, c in enumerate(chunk)]
-                dead.add((i, last))
-                todo.pop()
-                turn.pop()
-                i, _, _ = steps.pop()
-                last = steps[-1][2] if steps else -1
-        return steps
+    def _weight(self, state: int, t: int) -> float:
+        """Weight of the arc from a state of the grammar by piece t (-2: a character that no piece covers)."""
+        if self.kind == "unigram":
+            w = self.outside if t < 0 else -self.score[t]
+        else:
+            w = 0.0 if state < 0 or t < 0 or self._side_by_side(state, t) else INFINITE
+        if len(self.weights) > 2_000_000:
+            self.weights.clear()
+        self.weights[state << 32 | t] = w
+        return w
 
     def _lightest(self, chunk: str) -> list[tuple[int, int, int]]:
-        """Forward pass over the one-state grammar of a unigram model."""
-        n = len(chunk)
-        best: list[tuple[float, int, int] | None] = [None] * (n + 1)
-        best[0] = (0.0, 0, -1)
-        for i in range(n):
-            arcs = self._arcs(chunk, i)
-            w = best[i][0]
-            for t in arcs:
-                z = i + self.size[t]
-                if best[z] is None or w - self.score[t] < best[z][0]:
-                    best[z] = (w - self.score[t], i, t)
-            if not any(self.size[t] == 1 for t in arcs) and (best[i + 1] is None or w + 1e6 < best[i + 1][0]):
-                best[i + 1] = (w + 1e6, i, -2)
-        steps, i = [], n
+        """(start, end, piece) along the tropical shortest path of the composed machine.
+
+        Its states are (position, state of the grammar). No weight is negative,
+        so states are settled lightest first, of equal weights the furthest, and
+        each one's arcs are relaxed once.
+        """
+        n, size, many, known = len(chunk), self.size, self.kind != "unigram", self.weights.get
+        heap: list[tuple[float, int, int]] = [(0.0, 0, -1)]
+        back: dict[tuple[int, int], tuple[float, int, int, int]] = {(0, -1): (0.0, 0, -1, -1)}  # weight, and start, state before and piece of the arc
+        while heap:
+            w, i, state = heappop(heap)
+            i = -i
+            if i == n:
+                break
+            if w > back[i, state][0]:
+                continue
+            for t in self._arcs(chunk, i):
+                v = known(state << 32 | t)
+                new = w + (self._weight(state, t) if v is None else v)
+                if new == INFINITE:
+                    continue
+                z = i + (1 if t < 0 else size[t])
+                there = (z, t if many else -1)
+                if there not in back or new < back[there][0]:
+                    back[there] = (new, i, state, t)
+                    heappush(heap, (new, -z, there[1]))
+        else:  # pieces that no merges make: characters, or their bytes
+            return [(a, a + 1, self.ids.get(c, -2)) for a, c in enumerate(chunk)]
+        steps = []
         while i > 0:
-            _, a, t = best[i]
+            _, a, before, t = back[i, state]
             steps.append((a, i, t))
-            i = a
+            i, state = a, before
         return steps[::-1]
 
     def _parts(self, chunk: str) -> list[str]:
@@ -204,7 +293,7 @@ class Transducer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        flat = SPACE + text.replace(" ", SPACE)
+        flat = self.normalise(text)
         out = []
         for c in [flat] if self.inner_space else _CHUNK.findall(flat):
             got = self.paths.get(c)
@@ -228,7 +317,9 @@ class Transducer:
         """The text of these ids: the transducer read backwards."""
         raw = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         text = raw.decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+        if self.normalise.pad and self.normalise.behind:
+            return text.removesuffix(" ")
+        return text.removeprefix(" ") if self.normalise.pad else text
 
 
 def transducer(path: str, kind: str = "bpe") -> Transducer:
@@ -247,7 +338,7 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
             for a in range(0, len(b), 500):
                 texts = b.column("text").slice(a, 500).to_pylist()
                 ids = [t.encode(x) for x in texts]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, 500), pa.array(ids, pa.binary()), pa.array([t.decode(i) == (x or "").replace(SPACE, " ") for i, x in zip(ids, texts)])], ["doc_id", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, 500), pa.array(ids, pa.binary()), pa.array([t.decode(i) == (x or "") for i, x in zip(ids, texts)])], ["doc_id", "ids", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, round_trip boolean")
 

@@ -1,5 +1,6 @@
 """The operators' inner parts."""
 
+import functools
 import math
 
 import numpy as np
@@ -284,14 +285,14 @@ def test_unigram_path_is_the_lightest(text):
     t = sentencepiece_fst.transducer(public_tokenizers.path("piece_bpe_32k.model"), "unigram")
 
     def weight(steps):
-        return sum(1e6 if i < 0 else -t.score[i] for _, _, i in steps)
+        return sum(t.outside if i < 0 else -t.score[i] for _, _, i in steps)
 
     def least(at, seen={}):
         if at == len(text):
             return 0.0
         ways = [(z, -t.score[t.ids[text[at:z]]]) for z in range(at + 1, len(text) + 1) if text[at:z] in t.ids]
         if text[at] not in t.ids:
-            ways.append((at + 1, 1e6))
+            ways.append((at + 1, t.outside))
         return min(w + least(z) for z, w in ways)
 
     steps = t._lightest(text)
@@ -305,4 +306,44 @@ def test_path_of_unmergeable_pieces():
 
     t = sentencepiece_fst.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
     t._side_by_side = lambda a, b: False
-    assert [t.pieces[i] if i >= 0 else "" for _, _, i in t._only("qzé")] == ["q", "z", "é"]
+    assert [t.pieces[i] if i >= 0 else "" for _, _, i in t._lightest("qzé")] == ["q", "z", "é"]
+
+
+@functools.cache
+def library():
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aehinorst .,'1é日\n\u2581\U0001f600", max_size=40))
+def test_merge_path_is_the_encoding(text):
+    """Tropical relaxation over the merge grammar against the library."""
+    import public_tokenizers
+
+    t = sentencepiece_fst.transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    assert np.frombuffer(t.encode(text), "<u4").tolist() == library().encode(text)
+    assert (t.decode(t.encode(text)) == text) == ("\u2581" not in text)
+
+
+@pytest.mark.parametrize("rule", ["identity", "nfkc", "nmt_nfkc", "nmt_nfkc_cf"])
+def test_normaliser_is_compiled_from_the_model(rule):
+    """Every rule of the character map, its neighbours, white space and all single characters of a few planes, against the library's normaliser."""
+    import sentencepiece
+
+    for pad, squeeze, escape in [(1, 1, 1), (0, 0, 1), (1, 0, 0), (0, 1, 0)]:
+        lib = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=bool(pad), remove_extra_whitespaces=bool(squeeze), escape_whitespaces=bool(escape))
+        mine = sentencepiece_fst.Normaliser(lib.serialized_model_proto())
+        assert (mine.pad, mine.squeeze, mine.space == "\u2581") == (bool(pad), bool(squeeze), bool(escape))
+        rng = np.random.default_rng(0)
+        texts = ["", " ", "  a   b ", "\u3000 x\u00a0\u00a0y\t\n", "ﬁne ① ｱﾞ e\u0301 Å ㌔ ½ \u200b\ufeff", "가각 ÀÉ ſ İ"]
+        texts += ["".join(map(chr, x)) for x in rng.integers(32, 0x3400, (300, 8)).tolist()] + ["".join(map(chr, x)) for x in rng.integers(0xF900, 0xFFF0, (100, 6)).tolist()]
+        assert [mine(x) for x in texts] == [lib.normalize(x) for x in texts]
+
+
+def test_user_defined_symbols_are_refused():
+    piece = b"\x0a\x01x\x18\x04"
+    with pytest.raises(ValueError):
+        sentencepiece_fst.Normaliser(b"\x0a" + bytes([len(piece)]) + piece)
