@@ -78,14 +78,15 @@ def _character_map(blob: bytes) -> dict[str, str]:
     def children(at: int) -> int:
         return at ^ ((units[at] >> 10) << ((units[at] & 512) >> 6))
 
+    below: dict[int, list[int]] = {}  # units by the place that their parent points to
+    for at, u in enumerate(units):
+        if not u >> 31 and u & 255:
+            below.setdefault(at ^ u & 255, []).append(at)
     rules, todo = {}, [(children(0), b"")]
     while todo:
         base, key = todo.pop()
-        for c in range(1, 256):
-            at = base ^ c
-            if at >= len(units) or units[at] & 0x800000FF != c:
-                continue
-            down = children(at)
+        for at in below.get(base, ()):
+            c, down = base ^ at, children(at)
             if units[at] >> 8 & 1:
                 start = units[down] & 0x7FFFFFFF
                 rules[(key + bytes([c])).decode()] = targets[start : targets.index(b"\0", start)].decode()
