@@ -2,7 +2,12 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import re
+import zlib
+
+import numpy as np
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,3 +62,77 @@ def without_repeats(docs, window=20):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out[k] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def within_one_edit(a, b):
+    """An insertion, a deletion, another letter, or two neighbours swapped."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < len(b):
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+    differ = [i for i in range(len(a)) if a[i] != b[i]]
+    return len(differ) <= 1 or (len(differ) == 2 and differ[1] == differ[0] + 1 and a[differ[0]] == b[differ[1]] and a[differ[1]] == b[differ[0]])
+
+
+def sigmoid(z):
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def toxicity(text, model, seen):
+    """Score of one text from a fitted model, word by word against the whole lexicon; ``seen`` keeps what words gave."""
+    from tessel.llm import toxicity as tox
+
+    def hit(word):
+        if word in model.terms:
+            return model.terms[word], 0
+        stems = [s for s in model.stems if word.startswith(s)]
+        if stems:
+            return model.stems[max(stems, key=len)], 1
+        near = [t for t in model.terms if len(word) >= 4 and within_one_edit(word, t) and (len(t) >= 5 or (len(t) == 4 and sorted(t) == sorted(word)))]
+        return (model.terms[min(near)], 2) if near else None
+
+    words = WORD.findall(text or "")
+    sums, strongest, hits, reported = [0.0] * 4, 0.0, 0, 0
+    for i, w in enumerate(words):
+        bare = w.lower().strip(tox.TRIM)
+        if bare not in seen:
+            seen[bare] = hit(bare) if bare else None
+        if seen[bare]:
+            odds, kind = seen[bare]
+            inside = tox.quoted(words, i)
+            around = words[max(0, i - tox.WINDOW) : i + tox.WINDOW + 1]
+            sums[3 if inside else kind] += odds
+            reported += inside and any(x.lower().strip(tox.TRIM) in tox.REPORTING for x in around)
+            strongest = max(strongest, odds if kind < 2 and not inside else 0.0)
+            hits += 1
+    x = [*map(math.log1p, sums), strongest, hits / max(1, len(words)), math.log1p(reported)]
+    return sigmoid(sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale)) + model.bias)
+
+
+def word_shapes(word, piece=12):
+    kinds = ["0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c for c in word]
+    s = "".join(k if k in "0Aa" else k * min(3, len(list(run))) for k, run in itertools.groupby(kinds))
+    if len(s) <= piece:
+        return [s]
+    return [p[i : i + piece] for p in re.findall("[0Aa]*[^0Aa]+|[0Aa]+", s) for i in range(0, len(p), piece)]
+
+
+def quality(text, model, bits=18):
+    """Score of one text from a fitted model: its set of hashed n-grams, one by one."""
+
+    def mix(x):
+        x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 % 2**64
+        return x ^ x >> 29
+
+    words = WORD.findall(text or "")
+    h = [(zlib.crc32(p.encode()) + 1) * 2 + (i > 0 and words[i - 1] == w) for i, w in enumerate(words) for p in word_shapes(w)]
+    places = set() if h else {0}
+    for i in range(len(h)):
+        gram = 0
+        for k in range(min(3, len(h) - i)):
+            gram = mix((gram + h[i + k] + (k << 40)) % 2**64)
+            places.add(gram % 2**bits)
+    at = np.array(sorted(places))
+    ratio, weight = model.ratio[at], model.weights[at]
+    m = float(weight @ ratio) / max(1e-9, math.sqrt(float(ratio @ ratio))) + model.bias
+    return sigmoid(model.slope * m + model.shift)

@@ -9,7 +9,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessel.llm import registry
+import corpus_pipeline
+from tessel.llm import quality_classifier, registry, toxicity
 
 from . import brute
 
@@ -108,6 +109,29 @@ def test_classifiers(spark, name, label, least):
     assert np.mean([a == b for a, b in held]) >= least
 
 
+def test_scores_match_brute_force(spark):
+    """Both classifiers' scores, and the pipeline's verdicts on them, recomputed text by text from the fitted models."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model, seen = toxicity.fit(docs, labels), {}
+    assert model.terms or model.stems
+    toxic = {k: brute.toxicity(t, model, seen) for k, t in texts.items()}
+    kinds = {hit[1] for hit in seen.values() if hit}
+    assert 2 in kinds and kinds & {0, 1}  # misspelt words and others
+    got = {r["doc_id"]: r["score"] for r in run(spark, data, "op6_toxicity")}
+    assert got.keys() == toxic.keys() and all(abs(got[k] - v) < 1e-6 for k, v in toxic.items())
+    kept = corpus_pipeline.drop_toxic(spark, docs, data).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == {k for k, v in toxic.items() if v < 0.5}
+    model = quality_classifier.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in run(spark, data, "op8_quality_classifier")}
+    assert got.keys() == texts.keys() and all(abs(got[k] - brute.quality(t, model)) < 1e-6 for k, t in texts.items())
+
+
+def test_pipeline_packing(spark, data, ids):
+    check_packing(corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{data}/documents.parquet"), data).collect(), ids)
+
+
 def test_op7(spark, data, docs):
     want = brute.without_repeats(docs)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in run(spark, data, "op7_substring_dedup")} == want
