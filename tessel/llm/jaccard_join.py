@@ -8,11 +8,11 @@ similarity of at least ``percent`` / 100, found exactly:
    per class, the n-grams that no other class has. At a similarity t a class
    may keep at most (1 - t) of its n-grams to itself, so classes above that
    bound are dropped (:func:`lonely`).
-3. The columns (n-grams) of the rest are dealt into blocks. Each block's product
-   adds up, inside a task, how many of its columns each pair of classes shares;
-   pairs whose sizes can't meet the bound are left out; Spark sums the counts of
-   the blocks (:func:`block_products`). So the overlap of a pair is the sum over
-   all its columns of up to SHORT classes.
+3. The columns (n-grams) of the rest are dealt into blocks by their smallest class.
+   Each block's product adds up, inside a task, how many of its columns each pair
+   of classes shares; pairs whose sizes can't meet the bound are left out; Spark
+   sums the counts of the blocks (:func:`block_products`). So the overlap of a pair
+   is the sum over all its columns of up to SHORT classes.
 4. What a pair may still share are columns of more classes. Pairs whose count and
    number of these can't reach the bound are discarded, for the others the
    overlap in them is added (:func:`counted`).
@@ -149,37 +149,28 @@ def _need(percent: int, both="both"):
     return (100 + percent) * (F.col(both) if isinstance(both, str) else both) >= percent * (F.col("na") + F.col("nb"))
 
 
-_CELL = "a long, b long, na long, nb long, both long, gram long"
+_COLUMN = "cls long, n long, gram long, c array<long>, k array<int>"
 
 
-def _product(percent: int):
-    """The product of a block of columns, which come sorted: (a, b, na, nb, both) per pair of classes; members (a, na) of each column of more than SHORT classes with its gram."""
-    names = ["a", "b", "na", "nb", "both", "gram"]
+def _columns():
+    """Columns, which come sorted: one of 2 to SHORT classes is a row of its classes c and their sizes k, beside the smallest class; of longer ones each member (cls, n, gram) is a row."""
+    names = ["cls", "n", "gram", "c", "k"]
 
     def members(gram, cls, n):
-        none = pa.nulls(len(gram), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(cls), none, pa.array(n), none, none, pa.array(gram)], names)
+        return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n), pa.array(gram), pa.nulls(len(gram), pa.list_(pa.int64())), pa.nulls(len(gram), pa.list_(pa.int32()))], names)
 
-    def cells(gram, cls, n):
+    def whole(gram, cls, n):
         first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         m = np.diff(np.append(first, len(gram)))
         long = np.repeat(m > SHORT, m)
         if long.any():
             yield members(gram[long], cls[long], n[long])
-        ids, at = np.unique(cls, return_inverse=True)
-        size = np.zeros(len(ids), np.int64)
-        size[at] = n
-        keys = []
-        for k in np.unique(m[(m > 1) & (m <= SHORT)]).tolist():
-            rows = np.sort(at[first[m == k][:, None] + np.arange(k)], axis=1)
-            i, j = np.triu_indices(k, 1)
-            a, b = rows[:, i].ravel(), rows[:, j].ravel()
-            near = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-            keys.append(a[near] * len(ids) + b[near])
-        if keys:
-            key, both = np.unique(np.concatenate(keys), return_counts=True)
-            a, b = key // len(ids), key % len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(size[a]), pa.array(size[b]), pa.array(both.astype(np.int64)), pa.nulls(len(key), pa.int64())], names)
+        short = (m > 1) & (m <= SHORT)
+        if short.any():
+            some, none = np.repeat(short, m), pa.nulls(int(short.sum()), pa.int64())
+            cut = pa.array(np.append(0, np.cumsum(m[short])).astype(np.int32))
+            c, k = pa.ListArray.from_arrays(cut, pa.array(cls[some])), pa.ListArray.from_arrays(cut, pa.array(n[some].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[first[short]]), none, none, c, k], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, over = [], 0, None  # ``over``: the column at hand, if it is long already
@@ -205,7 +196,7 @@ def _product(percent: int):
             gram, cls, n = gram[new], cls[new], n[new]
             z = int(np.searchsorted(gram, gram[-1]))
             if z:
-                yield from cells(gram[:z], cls[:z], n[:z])
+                yield from whole(gram[:z], cls[:z], n[:z])
             if len(gram) - z > SHORT:
                 over = gram[-1]
                 yield members(gram[z:], cls[z:], n[z:])
@@ -216,22 +207,63 @@ def _product(percent: int):
             gram, cls, n = (np.concatenate(x) for x in zip(*held))
             new = np.ones(len(gram), bool)
             new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])
-            yield from cells(gram[new], cls[new], n[new])
+            yield from whole(gram[new], cls[new], n[new])
+
+    return run
+
+
+def _product(percent: int):
+    """The product of a block of columns (c, k): (a, b, na, nb, both) per pair of classes."""
+
+    def cells(c, k, m):
+        first = np.cumsum(m) - m
+        ids, at = np.unique(c, return_inverse=True)
+        size = np.zeros(len(ids), np.int64)
+        size[at] = k
+        keys = []
+        for w in np.unique(m).tolist():
+            rows = at[first[m == w][:, None] + np.arange(w)]  # in order, as a column's classes are
+            i, j = np.triu_indices(w, 1)
+            a, b = rows[:, i].ravel(), rows[:, j].ravel()
+            near = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+            keys.append(a[near] * len(ids) + b[near])
+        key, both = np.unique(np.concatenate(keys), return_counts=True)
+        a, b = key // len(ids), key % len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], size[a], size[b], both.astype(np.int64))], ["a", "b", "na", "nb", "both"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            c, k = b.column("c"), b.column("k")
+            held.append((c.flatten().to_numpy(), k.flatten().to_numpy(), pc.list_value_length(c).to_numpy()))
+            count += len(held[-1][0])
+            if count >= 200_000:
+                yield cells(*(np.concatenate(x) for x in zip(*held)))
+                held, count = [], 0
+        if count:
+            yield cells(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
 def block_products(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, na, nb, both): n-grams that pairs of classes share in columns of up to SHORT classes; (cls, n, gram): the members of longer columns. Both are written tables."""
+    """(a, b, na, nb, both): n-grams that pairs of classes share in columns of up to SHORT classes; (cls, n, gram): the members of longer columns. Both are written tables.
+
+    A block holds all columns with the same smallest class (at most that class's
+    own set), in order: a pair's columns meet in a few products, however many
+    blocks and tasks there are.
+    """
     spark = sets.sparkSession
     rows = sets.select(F.explode("g").alias("gram"), "cls", "n")
     hot = materialize(rows.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLED)) == 0).groupBy("gram").agg(F.count_distinct("cls").alias("m")).where(F.col("m") > HOT).select("gram"), "jaccard-hot")
     few = hot.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST
     side = F.broadcast(hot) if few else hot
     cool = rows.join(side, "gram", "left_anti").repartition(partitions(spark), "gram").sortWithinPartitions("gram", "cls")
-    out = materialize(cool.mapInArrow(tidy(_product(percent)), _CELL), "jaccard-cells")
-    pairs = out.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("both").alias("both"))
-    long = out.where("b is null").select(F.col("a").alias("cls"), F.col("na").alias("n"), "gram").union(rows.join(side, "gram", "left_semi").select("cls", "n", "gram").distinct())
+    out = materialize(cool.mapInArrow(tidy(_columns()), _COLUMN), "jaccard-columns")
+    blocks = out.where("c is not null").repartition(partitions(spark), "cls").sortWithinPartitions("cls").select("c", "k")
+    cells = blocks.mapInArrow(tidy(_product(percent)), "a long, b long, na long, nb long, both long")
+    pairs = cells.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("both").alias("both"))
+    long = out.where("c is null").select("cls", "n", "gram").union(rows.join(side, "gram", "left_semi").select("cls", "n", "gram").distinct())
     pairs, long = materialize(pairs, "jaccard-counts"), materialize(long, "jaccard-members")
     discard(out, hot)
     return pairs, long

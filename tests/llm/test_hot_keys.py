@@ -41,6 +41,44 @@ def test_half_of_all_rows_are_copies(spark):
     assert len(got) == len(rows) and all(got[i] == (6, 0) for i in range(3000)) and all(got[i][1] == i for i in range(3000, 5500)) and all(got[i] == (0, i) for i in range(6000, 6510))
 
 
+def test_cells_of_a_pair_follow_its_classes_not_the_blocks(spark, monkeypatch):
+    """Pairs and groups of near copies: a pair's columns meet in one product, a group's in a few, at 2 as at 16 partitions."""
+    from tessel.llm import jaccard_join as joins
+
+    made, rows = joins._product, []
+    for i in range(60):
+        words = [f"p{i}_{j}" for j in range(300)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] + ["other"]))]
+    for i in range(5):
+        words = [f"g{i}_{j}" for j in range(300)]
+        rows += [(1000 + 20 * i + x, " ".join(words[: 10 * x] + [f"own{x}"] + words[10 * x + 1 :])) for x in range(20)]
+    sets = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(joins._emit(4, "sets"), "cls long, n long, g array<long>")
+    counts, shared = [], []
+    for n in ("2", "16"):
+        cells = spark.sparkContext.accumulator(0)
+
+        def counting(percent, cells=cells):
+            def run(batches):
+                for b in made(percent)(batches):
+                    cells.add(len(b) - b.column("b").null_count)
+                    yield b
+
+            return run
+
+        monkeypatch.setattr(joins, "_product", counting)
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            shared.append(sorted(map(tuple, joins.block_products(sets, 85)[0].collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        counts.append(cells.value)
+    of = {r["cls"]: set(r["g"]) for r in sets.collect()}
+    want = [(a, b, len(of[a]), len(of[b]), both) for a in sorted(of) for b in sorted(of) if a < b and (both := len(of[a] & of[b]))]
+    assert shared == [want, want] and len(want) == 60 + 5 * 190
+    assert max(counts) <= 60 + 5 * (190 + 171)  # columns without the group's smallest class are a second block
+
+
 def test_fits_are_bounded_where_documents_share_an_id(spark):
     docs = spark.range(4_000).select((F.col("id") % 8).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
     labels = spark.range(8).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
