@@ -51,9 +51,10 @@ FIRST_BLOCK = 0.25  # share of the n-gram hashes in the first product
 PIVOT_ROUNDS = 2
 SHORT = 32  # classes in a column up to which its pairs are counted
 SAMPLED, HOT = 64, 64  # a column with more than HOT of every SAMPLED-th class is hot: long for certain, and spread over all tasks
-HOT_BROADCAST = 1_000_000  # hot columns up to which their names are broadcast; beyond, they are joined by shuffle
+HOT_BROADCAST = 250_000  # hot columns up to which their names are broadcast; beyond, they are joined by shuffle
 BLOCK_CLASSES, BLOCK_GRAMS = 1_024, 500_000  # size of a block of the product, in classes and in n-grams
-ACTIVE_BROADCAST = 1_000_000  # class representatives up to which their ids are broadcast
+ACTIVE_BROADCAST = 250_000  # class representatives up to which their ids are broadcast; beyond, texts are joined by shuffle
+PART_ROWS = 2_000  # members of a long column that meet in one task, about
 
 
 def _limit(share: float) -> int:
@@ -391,28 +392,33 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame:
     many = many.where("p > 0")
     if not many.limit(1).count():
         return labels
-    df = long.groupBy("gram").agg(F.count("*").alias("df"))
-    salts = partitions(sets.sparkSession)
-    salt, all_salts = F.pmod(F.xxhash64("cls"), F.lit(salts)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    spread = lambda d: d.select("*", all_salts)  # noqa: E731  one row a column, for a join that hot columns don't hold up
-    inside = long.join(many.select("cls", "p"), "cls").select("*", salt).join(spread(df), ["gram", "salt"])
+    # Columns are dealt over parts of about PART_ROWS members, 10,000 columns at most over more than one. What is joined
+    # to a column is repeated once a part, not once a partition: Spark broadcasts it by its size before that.
+    rows = max(PART_ROWS, long.count() // 10_000)
+    df = long.groupBy("gram").agg(F.count("*").alias("df")).withColumn("parts", F.ceil(F.col("df") / rows).cast("int"))
+    df = materialize(df, "jaccard-sizes")
+    hot = F.broadcast(df.where("parts > 1").select("gram", "parts"))
+    spread = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")  # noqa: E731  d: one row a column
+    parts = F.first("parts").alias("parts")
+    inside = long.join(many.select("cls", "p"), "cls").join(hot, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    inside = inside.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).join(spread(df), ["gram", "salt"])
     w = W.partitionBy("cls")
     # A text that others were copied from shares most of its n-grams with most of them: the best pivot.
     posts = inside.withColumn("place", F.row_number().over(w.orderBy("df", "gram"))).withColumn("hub", F.sum("df").over(w) / F.col("n"))
-    posts = materialize(posts.where("place <= p").select("gram", "cls", "n", "hub", "salt"), "jaccard-posts")
-    shared = posts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    posts = materialize(posts.where("place <= p").select("gram", "cls", "n", "hub", "parts", "salt"), "jaccard-posts")
+    shared = posts.groupBy("gram").agg(F.count("*").alias("m"), parts).where("m > 1").select("gram", "parts")
     posts = materialize(posts.join(spread(shared), ["gram", "salt"]), "jaccard-posts")
     tested = None
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
     for turn in range(PIVOT_ROUNDS + 1):
         now = posts.join(labels, posts["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
-        sizes = now.groupBy("gram", "label").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+        sizes = now.groupBy("gram", "label").agg(F.count("*").alias("k"), parts)
+        main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("_c"), parts).where("_c > 1").drop("_c")
         some = materialize(now.join(spread(main), ["gram", "salt"]), "jaccard-open")
         if turn == PIVOT_ROUNDS:
             break
         # The pivot comes from outside the column's largest component, which earlier pivots have met.
-        pivot = some.where(F.col("label") != F.col("main")).groupBy("gram").agg(F.max_by(F.struct("cls", "n", "label"), F.struct("hub", "cls")).alias("v"))
+        pivot = some.where(F.col("label") != F.col("main")).groupBy("gram").agg(F.max_by(F.struct("cls", "n", "label"), F.struct("hub", "cls")).alias("v"), parts)
         pairs = some.join(spread(pivot), ["gram", "salt"]).where(F.col("label") != F.col("v.label")).select(F.col("v.cls").alias("a"), F.col("v.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
         pairs = pairs.where(near).distinct()
         if tested is not None:
@@ -425,7 +431,7 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame:
     if not some.limit(1).count():
         return labels
     # All that is left: products of the blocks of classes that still meet.
-    lead = some.groupBy("gram").agg(F.min("cls").alias("lead"))
+    lead = some.groupBy("gram").agg(F.min("cls").alias("lead"), parts)
     meet = some.select("gram", "cls", "salt").join(spread(lead), ["gram", "salt"]).where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
     return materialize(components(found.union(materialize(_products(components(meet), sets, percent), "jaccard-links"))), "jaccard-labels")
 

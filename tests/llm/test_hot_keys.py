@@ -105,3 +105,35 @@ def test_repeated_vectors_are_one_entry(spark):
     rows = [(7, [1.0, 2.0])] * 3000 + [(i, [1.0, 2.0]) for i in range(8, 40)] + [(100 + i, [float(i), 0.5]) for i in range(50)]
     got = {r["eid"]: list(r["ids"]) for r in entries(spark.createDataFrame(rows, "id long, v array<double>").repartition(4), 2, 10).collect()}
     assert len(got) == 51 and got[7] == list(range(7, 18))
+
+
+def test_what_meets_long_columns_follows_them_not_the_partitions(spark, monkeypatch):
+    """A row joined to a long column goes out once a part of its members, not once a partition, as Spark may broadcast it; results stay where columns have several parts."""
+    from tessel.llm import jaccard_join as joins
+
+    from . import brute
+
+    rows, sent = [], []
+    for g in range(3):
+        words = [f"w{g}_{j}" for j in range(120)]
+        rows += [(100 * g + x, " ".join([*words[:x], f"own{g}_{x}", *words[x + 1 :]])) for x in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frame, join = type(docs), type(docs).join
+
+    def counting(self, other, on=None, how=None):
+        if isinstance(on, list) and on == ["gram", "salt"]:
+            sent.append(other.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(frame, "join", counting)
+    monkeypatch.setattr(joins, "PART_ROWS", 24, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in joins.jaccard_join(docs, 5, 80).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute.components(dict(rows), 5, 80)
+    columns = len(set.union(*(brute.shingles(t, 5) for _, t in rows)))
+    long = 3 * 116  # those of a group's common text
+    assert columns > long < max(sent) <= 3 * long
