@@ -674,3 +674,20 @@ def test_annotated_picture_files(spark, tmp_path, wave):
     assert sorted(r["label"] for r in got.missing.collect()) == [5, 6, 7] and sorted(r["label"] for r in got.unreadable.collect()) == [4]
     none = images.load_annotated_images(spark.createDataFrame([("x", 1)], "path string, label int"), f"{tmp_path}/p", wave)
     assert none.found.count() == 0 and none.missing.count() == 1
+
+
+def test_tasks_follow_the_bytes_of_pictures(spark, tmp_path):
+    """300 small pictures are looked up and read in few tasks, not in one or more each."""
+    images.write_images(spark.range(300).selectExpr("id AS image_id", "2 AS height", "2 AS width", "1 AS channels", "array(1, 2, 3, cast(id % 256 as int)) AS data"), f"{tmp_path}/p")
+    sc = spark.sparkContext
+    sc.setJobGroup("pictures", "pictures")
+    try:
+        got = images.load_annotated_images(spark.range(310).selectExpr("concat(id, '.png') AS path", "cast(id as int) AS label"), f"{tmp_path}/p").all
+        assert got.sparkSession._jsparkSession.equals(spark._jsparkSession)
+        rows = got.collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r["label"], r["status"], r["data"] and r["data"][3]) for r in rows) == [(i, "found", i % 256) if i < 300 else (i, "missing", None) for i in range(310)]
+    track = sc.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("pictures") for s in track.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 40
